@@ -1,9 +1,9 @@
 """Token ids by the ``tokenizers`` library, with a bounded cache of word chunks.
 
-A byte-level BPE never joins a character and a white-space character after it. So where a single space stands
-between two characters that aren't white space, a text may be cut before that space and its parts encoded alone. Each
-distinct part is encoded by the library once and then looked up. A text with any other white space at such a cut is
-encoded whole.
+A byte-level BPE never joins a character and a white-space character after it. So where a single space or line feed
+stands between two characters that aren't white space, a text may be cut before it and its parts encoded alone. Each
+distinct part is encoded by the library once, together with the other new ones of its batch, and then looked up. A text
+with any other white space at such a cut is encoded whole.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 
 from . import common  # noqa: F401  (sets TOKENIZERS_PARALLELISM)
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 600_000
 LONGEST_CACHED = 48
 
 
@@ -23,32 +23,50 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self._tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self._entries = cache_entries
         self._cache: dict[str, bytes | None] = {}
+        self._starts = {}  # the ids of tokens that begin with a space or a line feed, as the vocabulary spells them
+        for sign, spelt in ((" ", "Ġ"), ("\n", "Ċ")):
+            self._starts[sign] = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self._starts[sign][[i for token, i in vocabulary.items() if token.startswith(spelt)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in encoded]
 
+    def _encode_chunks(self, chunks: list[str], sign: str) -> list[bytes]:
+        """Encode chunks, each with ``sign`` first and nowhere else, as one text; each begins at a token with ``sign``."""
+        if not chunks:
+            return []
+        ids = np.array(self._tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        at = np.flatnonzero(self._starts[sign][ids])
+        if len(at) != len(chunks) or at[0]:
+            return self._encode(chunks)
+        data, edges = ids.tobytes(), (np.append(at, len(ids)) * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
     def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
         """Each text's ids, little-endian in ``dtype``, with the id ``end`` after them if it is given."""
         cache = self._cache
         if len(cache) > self._entries:
             cache.clear()
-        parts = [t.split(" ") for t in texts]
+        parts = [t.replace("\n", " \n").split(" ") for t in texts]
         new = [p for p in set().union(*parts) if p not in cache] if parts else []
-        safe = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        cache.update(dict.fromkeys(new))
-        cache.update(zip(safe, self._encode([" " + p for p in safe]), strict=True))
-        heads = self._encode([p[0] if not p[0][-1:].isspace() else "" for p in parts])
+        spaced = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        lined = [p for p in new if p[0:1] == "\n" and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
+        cache.update(dict.fromkeys(new))  # None: can't stand alone
+        cache.update(zip(spaced, self._encode_chunks([" " + p for p in spaced], " "), strict=True))
+        cache.update(zip(lined, self._encode_chunks(lined, "\n"), strict=True))
+        heads = self._encode([p[0] for p in parts])
         last = b"" if end is None else np.array([end], dtype=self.dtype).tobytes()
         out: list[bytes] = []
         for text, words, head in zip(texts, parts, heads, strict=True):
             try:
                 if len(words) > 1 and (not words[0] or words[0][-1].isspace()):
                     raise TypeError
-                ids = head + b"".join(map(cache.__getitem__, words[1:])) if len(words) > 1 else self._encode([text])[0]
+                ids = head + b"".join(map(cache.__getitem__, words[1:]))
             except TypeError:  # a part that can't stand alone
                 ids = self._encode([text])[0]
             out.append(ids + last)
