@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_decontamination, op3_packing, op8_toxicity, op10_token_ids
+from . import op2_decontamination, op3_packing, op7_jaccard_join, op8_toxicity, op10_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination.op2_decontamination,
     "op3_packing": op3_packing.op3_packing,
+    "op7_jaccard_join": op7_jaccard_join.op7_jaccard_join,
     "op8_toxicity": op8_toxicity.op8_toxicity,
     "op10_token_ids": op10_token_ids.op10_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": op2_decontamination.SQL,
+    "op7_jaccard_join": op7_jaccard_join.SQL,
 }
