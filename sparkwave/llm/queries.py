@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_decontamination, op3_packing, op7_jaccard_join, op8_toxicity, op10_token_ids
+from . import op1_warc, op2_decontamination, op3_packing, op7_jaccard_join, op8_toxicity, op10_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc.op1_warc,
     "op2_decontamination": op2_decontamination.op2_decontamination,
     "op3_packing": op3_packing.op3_packing,
     "op7_jaccard_join": op7_jaccard_join.op7_jaccard_join,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": op1_warc.SQL,
     "op2_decontamination": op2_decontamination.SQL,
     "op7_jaccard_join": op7_jaccard_join.SQL,
 }
