@@ -39,7 +39,7 @@ GAP = 1e-4
 #: And after so many rounds of pricing at most; rounds bound the time, not what is packed.
 ROUNDS = 1000
 BLOCK_ROWS = 2048
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 4_000_000
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:

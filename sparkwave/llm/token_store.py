@@ -32,7 +32,7 @@ from .tokenize import tokenizer
 MAGIC = b"SWTOKIX1"
 LEVELS = 40
 GAMMA = 2.0
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 4_000_000
 READ_BYTES = 8 << 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 

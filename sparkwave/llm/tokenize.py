@@ -14,7 +14,9 @@ import numpy as np
 
 from . import common  # noqa: F401  (sets TOKENIZERS_PARALLELISM)
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 700_000
+#: Slots that remember by hash which chunks came before: only those that come again stay in the cache.
+SLOTS = 1 << 24
 LONGEST_CACHED = 48
 
 
@@ -27,6 +29,7 @@ class ChunkTokenizer:
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self._entries = cache_entries
         self._cache: dict[str, bytes | None] = {}
+        self._met = np.zeros(SLOTS, dtype=bool)
         self._starts = {}  # the ids of tokens that begin with a space or a line feed, as the vocabulary spells them
         for sign, spelt in ((" ", "Ġ"), ("\n", "Ċ")):
             self._starts[sign] = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -52,8 +55,9 @@ class ChunkTokenizer:
         cache = self._cache
         if len(cache) > self._entries:
             cache.clear()
+            self._met[:] = False
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
-        new = [p for p in set().union(*parts) if p not in cache] if parts else []
+        new = list(set().union(*parts).difference(cache)) if parts else []
         spaced = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         lined = [p for p in new if p[0:1] == "\n" and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
         cache.update(dict.fromkeys(new))  # None: can't stand alone
@@ -70,9 +74,11 @@ class ChunkTokenizer:
             except TypeError:  # a part that can't stand alone
                 ids = self._encode([text])[0]
             out.append(ids + last)
-        for p in new:
-            if len(p) > LONGEST_CACHED:
+        slots = np.fromiter(map(hash, new), dtype=np.int64, count=len(new)) % SLOTS
+        for p, again in zip(new, self._met[slots].tolist(), strict=True):
+            if not again or len(p) > LONGEST_CACHED:
                 del cache[p]
+        self._met[slots] = True
         return out
 
 
