@@ -35,7 +35,7 @@ from ..session import materialise, scratch_dir, ship_package
 from .common import open_fs, slices, texts_in
 from .shingles import word_hashes
 
-ORDER = 4
+ORDER = 5
 BITS = 9
 END, START, SYMBOLS = 256, 257, 257
 BATCH_BYTES = 2_000_000
@@ -89,7 +89,8 @@ class Trie:
             shorter = np.searchsorted(self.contexts[level], self.contexts[level + 1] & (width >> np.uint64(BITS)))
             self.left_totals.append(self.totals[level][shorter] - covered)
             self.left_kinds.append(self.kinds[level][shorter] - self.kinds[level + 1])
-        self.deepest = np.log10(counts / np.repeat(self.totals[order] + self.kinds[order], self.kinds[order])) if len(counts) else np.zeros(0)
+        self.deepest = np.log10(counts / np.repeat(self.totals[order] + self.kinds[order], self.kinds[order])).astype(np.float32) if len(counts) else np.zeros(0, dtype=np.float32)
+        self.counts[order] = None  # the deepest level is large, and its logarithms are all that is asked for
 
     def log10(self, grams_: np.ndarray) -> np.ndarray:
         """Log-probability of each gram's symbol after its context; fast for sorted grams."""
@@ -104,8 +105,8 @@ class Trie:
             hit = keys[at] == own
             if level == self.order:
                 out[open_[hit]] = self.deepest[at[hit]]
-                open_, own, longer = open_[~hit], own[~hit], longer[~hit]
-                at, hit = at[~hit], hit[~hit]
+                open_, own, longer, at = open_[~hit], own[~hit], longer[~hit], at[~hit]
+                hit = np.zeros(len(open_), dtype=bool)
             context = np.minimum(np.searchsorted(contexts, own >> np.uint64(BITS)), len(contexts) - 1)
             known = contexts[context] == own >> np.uint64(BITS)
             total, kinds = self.totals[level][context].astype(float), self.kinds[level][context].astype(float)
@@ -114,7 +115,7 @@ class Trie:
                 total[below], kinds[below] = self.left_totals[level][longer[below]], self.left_kinds[level][longer[below]]
             both = np.maximum(total + kinds, 1.0)
             with np.errstate(divide="ignore"):
-                step = np.where(hit, np.log10(self.counts[level][at] / both), np.where(known & (kinds > 0), np.log10(kinds / both), 0.0))
+                step = np.where(hit, 0.0 if level == self.order else np.log10(self.counts[level][at] / both), np.where(known & (kinds > 0), np.log10(kinds / both), 0.0))
             out[open_] += step
             open_, longer = open_[~hit], np.where(known, context, -1)[~hit]
         unseen = SYMBOLS - (len(self.keys[0]) if self.keys else 0)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_warc, op2_decontamination, op3_packing, op4_hash_forest, op5_ppm, op7_jaccard_join, op8_toxicity, op10_token_ids
+from . import op1_warc, op2_decontamination, op3_packing, op4_hash_forest, op5_ppm, op7_jaccard_join, op8_toxicity, op9_chat_format, op10_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ppm": op5_ppm.op5_ppm,
     "op7_jaccard_join": op7_jaccard_join.op7_jaccard_join,
     "op8_toxicity": op8_toxicity.op8_toxicity,
+    "op9_chat_format": op9_chat_format.op9_chat_format,
     "op10_token_ids": op10_token_ids.op10_token_ids,
 }
 
