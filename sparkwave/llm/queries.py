@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_warc, op2_decontamination, op3_packing, op4_hash_forest, op5_ppm, op7_jaccard_join, op8_toxicity, op9_chat_format, op10_token_ids
+from . import op1_warc, op2_decontamination, op3_packing, op4_hash_forest, op5_ppm, op6_html_blocks, op7_jaccard_join, op8_toxicity, op9_chat_format, op10_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc.op1_warc,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing.op3_packing,
     "op4_hash_forest": op4_hash_forest.op4_hash_forest,
     "op5_ppm": op5_ppm.op5_ppm,
+    "op6_html_blocks": op6_html_blocks.op6_html_blocks,
     "op7_jaccard_join": op7_jaccard_join.op7_jaccard_join,
     "op8_toxicity": op8_toxicity.op8_toxicity,
     "op9_chat_format": op9_chat_format.op9_chat_format,
