@@ -286,7 +286,7 @@ def make_page(rng: np.random.Generator) -> list[tuple[str, bool]]:
     return pieces
 
 
-TRAIN_PAGES, EPOCHS, SEED = 500, 10, 7
+TRAIN_PAGES, EPOCHS, SEED = 700, 14, 7
 
 
 def training_pages(count: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
