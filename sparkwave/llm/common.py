@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,6 +45,13 @@ def texts_in(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def text_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Consecutive parts (from, to, strings) of a column with at most ``most`` bytes each, or one larger text."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in slices(sizes, most):
+        yield a, b, texts_in(column[a:b])
+
+
 def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes sum to ``most`` at most, or that hold one larger item."""
     start, total, i = 0, 0, -1

@@ -13,11 +13,13 @@ differ in at most floor(n / 3) tokens, n being the size of either, so:
 A scheme takes the form that costs less by ``allocate``. Sets whose segments can't carry the count (never met with
 random hashes, but checked for every set) use single tokens as segments for the whole scheme: the job is run again so.
 
-Kept keys go to buckets in compressed blobs. A bucket links each document of a key to the key's first document and
-keeps the lists of longer keys. Links are verified exactly on whole sets. Each round verifies, for each document, the
-link that most keys ask for; connected components of what holds are formed; after ``STAR_ROUNDS`` of these, all pairs
-of documents with a common key in different components are verified. So the components are exact, and members that
-are linked already aren't paired again.
+A first pass links what is easy: each set's ``SKETCH`` smallest mixed tokens propose, for each document, the smallest
+document that shares most of them; what holds exactly forms components. Then all kept keys go to buckets in compressed
+blobs, with each document's component. A bucket passes on only keys whose documents lie in different components: a link
+of each of those to the key's first document, and the lists of longer keys. Each round verifies, for each document, the
+link that most keys ask for; after ``STAR_ROUNDS`` of these, all pairs of documents with a common key in different
+components are verified. So the components are exact, and members that are linked already aren't paired again. Links are
+verified on whole sets.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; texts of fewer than five words
 have one shingle; repeated rows and equal texts share a component; rows with a null key are kept, without a component;
@@ -37,16 +39,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, ship_package
-from .common import mix64, texts_in
+from .common import mix64, text_slices
 from .components import components
 from .shingles import WIDTH, shingle_sets
 
 #: Links need 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
 TOKEN_LEVEL = 32  # sets below this size use single tokens
-STAR_ROUNDS = 3
-BUCKET_KEYS = 1_500_000
-EMIT_KEYS = 1_000_000
+SKETCH, SKETCH_ROUNDS, STAR_ROUNDS = 12, 2, 2
+BUCKET_KEYS = 1_000_000
+SLICE_BYTES = 4_000_000
+EMIT_KEYS = 600_000
 MIN_LOCAL, MIN_HOT = 4, 12
 #: Frequent tokens that are broadcast, at most; which tokens count as frequent changes costs, not results.
 MAX_HOT = 200_000
@@ -128,11 +131,11 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-SETS = T.StructType([T.StructField("frequent", T.BooleanType()), T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())])
+SETS = T.StructType([T.StructField("frequent", T.BooleanType()), T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """A row (doc, n, digest of the set) per document, and rows (token, count) of tokens that a task meets often."""
+    """A row (doc, n, digest and sketch of the set) per document, and rows (token, count) of tokens that a task meets often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, every, size = _arrow(SETS), [], 0
@@ -143,14 +146,16 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             counts.append((tokens[n > 1], n[n > 1]))
 
         for batch in batches:
-            sets = list(shingle_sets(texts_in(batch.column(1)), width))
-            every += [s for s in sets if len(s)]
-            size += sum(map(len, sets))
-            if size > 4_000_000:
-                fold()
-                every, size = [], 0
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([False] * len(sets)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], schema=arrow)
+            for lo, hi, texts in text_slices(batch.column(1), SLICE_BYTES):
+                sets = list(shingle_sets(texts, width))
+                every += [s for s in sets if len(s)]
+                size += sum(map(len, sets))
+                if size > 2_000_000:
+                    fold()
+                    every, size = [], 0
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                sketches = [np.partition(mix64(s), SKETCH - 1)[:SKETCH].view(np.int64) if len(s) > SKETCH else mix64(s).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([False] * len(sets)), batch.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], schema=arrow)
         if every:
             fold()
         if counts:
@@ -159,18 +164,18 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             tokens, total = tokens[total >= MIN_LOCAL], total[total >= MIN_LOCAL]
             for a in range(0, len(tokens), 10_000):
                 part = tokens[a : a + 10_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([True] * len(part)), pa.array(part), pa.array(total[a : a + 10_000]), pa.nulls(len(part), pa.binary())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([True] * len(part)), pa.array(part), pa.array(total[a : a + 10_000]), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.list_(pa.int64()))], schema=arrow)
 
     return docs.mapInArrow(run, SETS)
 
 
 def keyed(docs: DataFrame, width: int, buckets: int, hot, plain: bool) -> DataFrame:
-    """Rows (bucket, blob): the kept keys of each set, once for equal sets of a task."""
+    """Rows (bucket, blob): the kept keys of each set of docs (doc, text, component), once for equal sets of a task."""
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, frequent, met = _arrow(schema), np.frombuffer(hot.value, dtype=np.uint64), set()
-        found, ids, sizes, total = [], [], [], 0
+        found, ids, sizes, parts, total = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             every = np.concatenate(found)
@@ -182,12 +187,14 @@ def keyed(docs: DataFrame, width: int, buckets: int, hot, plain: bool) -> DataFr
             blobs = []
             for a, b in zip(edge, np.append(edge[1:], len(every)), strict=True):
                 docs_, runs = np.unique(of[a:b], return_counts=True)
-                head = np.array([len(docs_)], dtype="<i8").tobytes() + np.array(ids, dtype="<i8")[docs_].tobytes() + np.array(sizes, dtype="<i4")[docs_].tobytes() + runs.astype("<i4").tobytes()
+                head = np.array([len(docs_)], dtype="<i8").tobytes() + np.array(ids, dtype="<i8")[docs_].tobytes() + np.array(parts, dtype="<i8")[docs_].tobytes() + np.array(sizes, dtype="<i4")[docs_].tobytes() + runs.astype("<i4").tobytes()
                 blobs.append(head + (every[a:b] >> np.uint64(16)).view("u1").reshape(-1, 8)[:, :6].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), pa.array(blobs, pa.binary())], schema=arrow)
 
         for batch in batches:
-            for doc, tokens in zip(batch.column(0).to_pylist(), shingle_sets(texts_in(batch.column(1)), width), strict=True):
+            ids_here, parts_here = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            sets = (s for _, _, texts in text_slices(batch.column(1), SLICE_BYTES) for s in shingle_sets(texts, width))
+            for doc, part, tokens in zip(ids_here, parts_here, sets, strict=True):
                 digest = xxhash.xxh3_128_digest(tokens.tobytes())
                 if doc is None or not len(tokens) or digest in met:
                     continue
@@ -198,11 +205,12 @@ def keyed(docs: DataFrame, width: int, buckets: int, hot, plain: bool) -> DataFr
                         raise ValueError(SHORT)
                     found.append(np.unique(keys))
                     ids.append(doc)
+                    parts.append(part)
                     sizes.append(len(tokens))
                     total += len(found[-1])
                 if total > EMIT_KEYS:
                     yield flush()
-                    found, ids, sizes, total = [], [], [], 0
+                    found, ids, sizes, parts, total = [], [], [], [], 0
         if found:
             yield flush()
 
@@ -213,32 +221,36 @@ SHORT = "a set has too few segments"
 CANDIDATES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("keys", T.LongType()), T.StructField("members", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType()))])
 
 
-def _read_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
     n = int(np.frombuffer(blob, "<i8", 1)[0])
-    docs, sizes, runs = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i4", n, 8 + 8 * n), np.frombuffer(blob, "<i4", n, 8 + 12 * n)
-    six = np.frombuffer(blob, "u1", offset=8 + 16 * n).reshape(-1, 6)
+    docs, parts = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n)
+    sizes, runs = np.frombuffer(blob, "<i4", n, 8 + 16 * n), np.frombuffer(blob, "<i4", n, 8 + 20 * n)
+    six = np.frombuffer(blob, "u1", offset=8 + 24 * n).reshape(-1, 6)
     keys = np.zeros((len(six), 8), dtype="u1")
     keys[:, :6] = six
-    return keys.view("<u8").ravel(), np.repeat(docs, runs), np.repeat(sizes, runs)
+    return keys.view("<u8").ravel(), np.repeat(docs, runs), np.repeat(sizes, runs), np.repeat(parts, runs)
 
 
 def _bucket_rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    keys, docs, sizes = (np.concatenate(x) for x in zip(*map(_read_blob, blobs), strict=True))
-    order = np.lexsort((docs, keys))
-    keys, docs, sizes = keys[order], docs[order], sizes[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
-    keys, docs, sizes = keys[new], docs[new], sizes[new]
+    keys, docs, sizes, parts = (np.concatenate(x) for x in zip(*map(_read_blob, blobs), strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, docs, sizes, parts = keys[order], docs[order], sizes[order], parts[order]
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     count = np.diff(np.append(edge, len(keys)))
-    shared = np.repeat(count > 1, count)
-    docs, sizes, count = docs[shared], sizes[shared], count[count > 1]
+    wanted = np.repeat(np.minimum.reduceat(parts, edge) != np.maximum.reduceat(parts, edge), count)  # several components
+    keys, docs, sizes, parts = keys[wanted], docs[wanted], sizes[wanted], parts[wanted]
+    if not len(keys):
+        return
+    order = np.lexsort((docs, keys))
+    keys, docs, sizes, parts = keys[order], docs[order], sizes[order], parts[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
+    keys, docs, sizes, parts = keys[new], docs[new], sizes[new], parts[new]
+    count = np.diff(np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys)))
     edge = np.cumsum(count) - count
     arrow = _arrow(CANDIDATES)
-    if not len(count):
-        return
-    # the first document of each key with each of its others
+    # the first document of each key with each of its others in another component
     first = np.repeat(edge, count)
-    other = first != np.arange(len(docs))
+    other = parts[first] != parts
     a, b = docs[first][other], docs[other]
     small, large = np.minimum(sizes[first][other], sizes[other]), np.maximum(sizes[first][other], sizes[other])
     ok = DENOMINATOR * small >= NUMERATOR * large
@@ -286,6 +298,9 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     The pairs of one ``a`` meet in groups of ``GROUP`` b's. A group streams: one set of ``a`` stays, the others pass.
     """
+    pairs = materialise(pairs, "pairs")
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], PAIR)
     salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(Window.partitionBy("a")) / GROUP)).cast("int"))
     roles = salted.select(F.col("b").alias("doc"), F.col("a").alias("rep"), "part").union(salted.select(F.col("a").alias("doc"), F.col("a").alias("rep"), "part").distinct())
     roles = materialise(roles.groupBy("doc").agg(F.collect_list(F.struct("rep", "part")).alias("roles")), "roles")
@@ -298,8 +313,9 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = _arrow(schema)
         for batch in batches:
-            tokens = [s.tobytes() for s in shingle_sets(texts_in(batch.column(1)), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary()), batch.column(2).cast(arrow[2].type)], schema=arrow)
+            for lo, hi, texts in text_slices(batch.column(1), SLICE_BYTES):
+                tokens = [s.tobytes() for s in shingle_sets(texts, width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(tokens, pa.binary()), batch.column(2)[lo:hi].cast(arrow[2].type)], schema=arrow)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, group, own = _arrow(PAIR), None, []
@@ -319,7 +335,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     met = texts.mapInArrow(sets, schema).select(F.explode("roles").alias("r"), "doc", "tokens").select("r.rep", "r.part", "doc", "tokens")
     met = met.repartition("rep", "part").sortWithinPartitions("rep", "part", (F.col("doc") != F.col("rep")))
-    return met.mapInArrow(compare, PAIR).groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return materialise(met.mapInArrow(compare, PAIR).groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -335,52 +351,71 @@ def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame
     ship_package(spark)
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     described = materialise(describe(docs, width), "sets")
-    rows = described.where("not frequent").select("doc", "n", "digest")
+    rows = described.where("not frequent").select("doc", "n", "digest", "sketch")
     top = described.where("frequent").groupBy("doc").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_HOT).orderBy(F.desc("n"), "doc").limit(MAX_HOT)
     hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top.select("doc").collect()], dtype=np.int64).view(np.uint64)).tobytes())
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(12, -(-int(total) // (2 * BUCKET_KEYS)))
+    buckets = max(12, -(-int(total) // (2 * BUCKET_KEYS)))  # half the tokens, about, become keys
+    # equal sets are one node, named by their smallest document
+    same = rows.where("digest is not null and doc is not null")
+    named = same.join(same.groupBy("digest").agg(F.min("doc").alias("node")), "digest").select("doc", "node", "n", "sketch")
+    edges = named.where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
+    tokens = named.where("doc = node").select("doc", "n", F.explode("sketch").alias("token"))
+    first = tokens.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("first"), F.count("*").alias("many")).where("many > 1")
+    asked = tokens.join(first, "token").where("doc <> first.doc").where(_similar("n", "first.n"))
+    asked = materialise(asked.groupBy(F.col("first.doc").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("keys")), "asked")
+    done = None
+    for step in range(SKETCH_ROUNDS):
+        pairs = _best(_across(asked, components(edges)).join(done, ["a", "b"], "left_anti") if step else asked)
+        checked = verify(pairs, docs, width)
+        done = done.union(checked.select("a", "b")) if step else checked.select("a", "b")
+        edges = edges.union(checked.where("linked").select("a", "b"))
+    within = components(edges).withColumnRenamed("node", "doc")
+    if within.count() <= MAX_BROADCAST:
+        within = F.broadcast(within)
+    placed = docs.join(within, "doc", "left").select("doc", "text", F.coalesce("component", "doc").alias("component"))
     try:
-        found = materialise(candidates(keyed(docs, width, buckets, hot, False), buckets), "candidates")
+        found = materialise(candidates(keyed(placed, width, buckets, hot, False), buckets), "candidates")
     except Exception as error:
         if SHORT not in str(error):
             raise
-        found = materialise(candidates(keyed(docs, width, buckets, hot, True), buckets), "candidates")
-    # equal sets are one node, named by their smallest document; those of one task were emitted once
-    same = rows.where("digest is not null and doc is not null")
-    named = same.join(same.groupBy("digest").agg(F.min("doc").alias("node")), "digest").select("doc", "node").distinct()
-    edges = named.where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
-    asked = found.where("a is not null").groupBy("a", "b").agg(F.sum("keys").alias("keys"))
+        found = materialise(candidates(keyed(placed, width, buckets, hot, True), buckets), "candidates")
+    pairs_left = found.where("a is not null").groupBy("a", "b").agg(F.sum("keys").alias("keys"))
     lists = found.where("members is not null").select(F.monotonically_increasing_id().alias("list"), F.explode(F.arrays_zip("members", "sizes")).alias("m"))
     lists = materialise(lists.select("list", F.col("m.members").alias("doc"), F.col("m.sizes").alias("n")), "lists")
-    done = None
     for step in range(STAR_ROUNDS + 1):
-        if step == 0:
-            pairs = asked.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
+        within = components(edges)
+        placed = lists.join(within.withColumnRenamed("node", "doc"), "doc", "left").select("list", "doc", "n", F.coalesce("component", "doc").alias("component"))
+        left = _across(pairs_left, within)
+        if step < STAR_ROUNDS:  # each document with the first one of another component in its lists
+            heads = placed.groupBy("list", "component").agg(F.min(F.struct("doc", "n")).alias("head"))
+            mine = placed.join(heads.select("list", F.col("component").alias("other"), "head"), "list").where("component <> other")
+            mine = mine.where(_similar("n", "head.n")).select(F.least("doc", "head.doc").alias("a"), F.greatest("doc", "head.doc").alias("b"), F.lit(1).alias("keys"))
+            left = left.unionByName(mine).groupBy("a", "b").agg(F.sum("keys").alias("keys"))
+            pairs = _best(left.join(done, ["a", "b"], "left_anti"))
         else:
-            within = components(edges)
-            placed = lists.join(within.withColumnRenamed("node", "doc"), "doc", "left").select("list", "doc", "n", F.coalesce("component", "doc").alias("component"))
-            both = asked.join(within.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(within.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            left = both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "keys")
-            if step < STAR_ROUNDS:  # each document with the first one of another component in its lists
-                heads = placed.groupBy("list", "component").agg(F.min(F.struct("doc", "n")).alias("head"))
-                mine = placed.join(heads.select("list", F.col("component").alias("other"), "head"), "list").where("component <> other")
-                mine = mine.where(_similar("n", "head.n")).select(F.least("doc", "head.doc").alias("a"), F.greatest("doc", "head.doc").alias("b"), F.lit(1).alias("keys"))
-                left = left.unionByName(mine).groupBy("a", "b").agg(F.sum("keys").alias("keys")).join(done, ["a", "b"], "left_anti")
-                pairs = left.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
-            else:
-                open_ = placed.join(placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list"), "list", "left_semi")
-                x, y = open_.alias("x"), open_.alias("y")
-                cross = x.join(y, "list").where(F.expr("x.component <> y.component and x.doc < y.doc")).where(_similar("x.n", "y.n")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-                pairs = left.select("a", "b").union(cross).distinct().join(done, ["a", "b"], "left_anti")
-        checked = materialise(verify(materialise(pairs, "pairs"), docs, width), "verified")
-        done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
-        edges = edges.union(checked.where("linked").select("a", "b"))
+            open_ = placed.join(placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list"), "list", "left_semi")
+            x, y = open_.alias("x"), open_.alias("y")
+            cross = x.join(y, "list").where(F.expr("x.component <> y.component and x.doc < y.doc")).where(_similar("x.n", "y.n")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+            pairs = left.select("a", "b").union(cross).distinct().join(done, ["a", "b"], "left_anti")
+        checked = verify(pairs, docs, width)
+        done, edges = done.union(checked.select("a", "b")), edges.union(checked.where("linked").select("a", "b"))
     final = components(edges).select(F.col("node").alias("doc"), "component")
     out = rows.join(final, "doc", "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """For each b the a that most keys ask for, the smallest of several."""
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def _across(pairs: DataFrame, within: DataFrame) -> DataFrame:
+    """The pairs (a, b, keys) whose documents lie in different components."""
+    both = pairs.join(within.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(within.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "keys")
+
+
 def _similar(a: str, b: str):
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, scratch_dir, ship_package
-from .common import open_fs, slices, texts_in
+from .common import open_fs, slices, text_slices
 from .shingles import word_hashes
 
 ORDER = 5
@@ -40,7 +40,7 @@ BITS = 9
 END, START, SYMBOLS = 256, 257, 257
 BATCH_BYTES = 2_000_000
 GRAM_BUCKETS = 32
-WORDS_IN_BUCKET = 3_000_000
+WORDS_IN_BUCKET = 2_000_000
 SMOOTHING = 0.1
 
 
@@ -63,7 +63,7 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[edge], np.add.reduceat(counts, edge) if len(edge) else counts
+    return keys[edge], np.add.reduceat(counts, edge, dtype=np.int64) if len(edge) else counts
 
 
 class Trie:
@@ -77,8 +77,8 @@ class Trie:
             self.keys.append(k)
             self.counts.append(c)
             self.contexts.append(k[edge] >> np.uint64(BITS))
-            self.totals.append(np.add.reduceat(c, edge) if len(edge) else np.zeros(0, dtype=np.int64))
-            self.kinds.append(np.diff(np.append(edge, len(k))))
+            self.totals.append(np.add.reduceat(c, edge, dtype=np.int64) if len(edge) else np.zeros(0, dtype=np.int64))
+            self.kinds.append(np.diff(np.append(edge, len(k))).astype(np.int32))
         # of each context of level j + 1: what its symbols leave in the context of level j
         self.left_totals, self.left_kinds = [], []
         for level in range(order):
@@ -162,8 +162,8 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
 GRAMS = _schema(("bucket", T.IntegerType()), ("grams", T.BinaryType()), ("counts", T.BinaryType()))
 
 
-def _bytes_of(column: pa.Array) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in texts_in(column)]
+def _encoded(texts: list[str]) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
 def fit(texts: DataFrame, text: str = "text", *, order: int = ORDER) -> str:
@@ -173,12 +173,12 @@ def fit(texts: DataFrame, text: str = "text", *, order: int = ORDER) -> str:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        _tries.clear()  # of an earlier model
         for batch in batches:
-            own = _bytes_of(batch.column(0))
-            for a, b in slices(map(len, own), BATCH_BYTES):
-                held.append(np.unique(grams(own[a:b], order)[0], return_counts=True))
-            if len(held) > 8:
-                held = [_sum_by(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+            for _, _, own in text_slices(batch.column(0), BATCH_BYTES):
+                held.append(np.unique(grams(_encoded(own), order)[0], return_counts=True))
+                if len(held) > 8:
+                    held = [_sum_by(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
         if held:
             keys, counts = _sum_by(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
             bucket = _bucket(keys)
@@ -217,10 +217,13 @@ def load(folder: str, order: int) -> Trie:
         _tries.clear()
         fs, path = open_fs(folder)
         files = [f.path for f in fs.get_file_info(_selector(path)) if f.path.endswith(".parquet")]
-        held = [(np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")) for f in files for k, c in zip(*(pq.read_table(f, filesystem=fs, columns=["grams", "counts"]).column(i).to_pylist() for i in range(2)), strict=True)]
-        keys, counts = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, dtype=d) for i, d in ((0, "<u8"), (1, "<i8")))
+        parts = [pq.read_table(f, filesystem=fs, columns=["grams", "counts"]) for f in files]
+        column = lambda name, kind: np.frombuffer(b"".join(x for p in parts for x in p.column(name).to_pylist()), kind)
+        keys, counts = column("grams", "<u8"), column("counts", "<i8").astype(np.uint32)
+        del parts
         sort = np.argsort(keys)
-        _tries[folder] = Trie(keys[sort], counts[sort], order)
+        keys, counts = keys[sort], counts[sort]
+        _tries[folder] = Trie(keys, counts, order)
     return _tries[folder]
 
 
@@ -239,15 +242,16 @@ def score(texts: DataFrame, folder: str, *, row: str, text: str = "text", order:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, rows = _bytes_of(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in slices(map(len, own), BATCH_BYTES):
-                keys, of = grams(own[a:b], order)
+            rows = batch.column(0).to_pylist()
+            for a, b, texts_ in text_slices(batch.column(1), BATCH_BYTES):
+                own = _encoded(texts_)
+                keys, of = grams(own, order)
                 sort = np.argsort(keys)
                 keys, of = keys[sort], of[sort]
                 edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 logs = np.repeat(load(folder, order).log10(keys[edge]), np.diff(np.append(edge, len(keys))))
                 sums = np.bincount(of, weights=logs, minlength=b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[a:b], pa.int64()), pa.array([len(t.split()) for t in own[a:b]], pa.int64()), pa.array(sums)], schema=_arrow(SCORES))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[a:b], pa.int64()), pa.array([len(t.split()) for t in own], pa.int64()), pa.array(sums)], schema=_arrow(SCORES))
 
     return texts.select(row, text).mapInArrow(run, SCORES)
 
@@ -287,14 +291,14 @@ def unigrams(texts: DataFrame, *, row: str, text: str = "text", train: str = "tr
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        _tries.clear()
         batch_id = TaskContext.get().partitionId() << 24
         for batch in batches:
-            own = [t.lower() for t in _bytes_of(batch.column(1))]
             names, learns = np.array(batch.column(0).to_pylist(), dtype=np.int64), np.array(batch.column(2).to_pylist(), dtype=bool)
-            for a, b in slices(map(len, own), 4 * BATCH_BYTES):
-                found = []
-                for lo, hi in slices((len(t) for t in own[a:b]), BATCH_BYTES // 2):
-                    part = own[a + lo : a + hi]
+            for a, b, texts_ in text_slices(batch.column(1), 4 * BATCH_BYTES):
+                own, found = [t.lower() for t in _encoded(texts_)], []
+                for lo, hi in slices(map(len, own), BATCH_BYTES // 2):
+                    part = own[lo:hi]
                     starts, hashes = word_hashes(b"\n".join(part))
                     edges = np.cumsum([0, *(len(t) + 1 for t in part)])
                     found.append((hashes, np.searchsorted(edges, starts, side="right") - 1 + lo))

@@ -25,7 +25,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -36,9 +36,9 @@ from pyspark.sql import types as T
 from ..session import materialise, ship_package
 
 STEM = 4
-MAX_EXAMPLES = 4000
-#: A bound on the vocabulary that is broadcast; terms with the largest chi-square are taken.
-MAX_TERMS = 20_000
+MAX_EXAMPLES = 2000
+#: The vocabulary: so many terms at most, those with the largest chi-square.
+MAX_TERMS = 256
 MIN_CHI2 = 24.0
 MIN_DF = 5
 NEIGHBOURS = 15
@@ -138,11 +138,19 @@ class Model:
     levels: np.ndarray
     blank: float
     names: list
+    votes: dict = field(default_factory=dict)
 
     def score(self, text: str, evidence: int = 0) -> tuple[float, list[tuple[str, float, int]]]:
         known = self.index.terms
         counts = Counter(i for i in map(known.get, stems(text)) if i is not None)
-        raw, best, cosines = self.index.vote(counts, NEIGHBOURS)
+        if not counts:
+            return self.blank, []
+        same = tuple(sorted(counts.items()))  # few terms make few different vectors
+        if same not in self.votes:
+            if len(self.votes) > 50_000:
+                self.votes.clear()
+            self.votes[same] = self.index.vote(counts, NEIGHBOURS)
+        raw, best, cosines = self.votes[same]
         if raw is None:
             return self.blank, []
         level = float(self.levels[np.searchsorted(self.edges, raw, side="right") - 1])
@@ -187,12 +195,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     chi2 = F.lit(float(n)) * F.pow(d1 * F.lit(float(n)) - d * F.lit(float(n1)), F.lit(2.0)) / (d * (F.lit(float(n)) - d) * F.lit(float(max(n1, 1)) * max(n0, 1)))
     chosen = df.where((d >= MIN_DF) & (d < n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
     vocabulary = [(r["term"], float(np.log(n / r["d"]) + 1)) for r in chosen.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term", "d").collect()]
-    known = {t for t, _ in vocabulary}
-    examples, names, by_label = [], [], counted.select("key", "label", "order", "terms")
+    known = [t for t, _ in vocabulary]
+    examples, names = [], []
+    kept = F.filter("terms", lambda t: F.substring_index(t, "\t", 1).isin(known)) if known else F.array().cast("array<string>")
+    by_label = counted.select("key", "label", "order", kept.alias("terms"))
     for y in (1, 0):
         for r in by_label.where(F.col("label") == y).orderBy("order", "key").limit(max_examples).select("key", "terms").collect():
             pairs = (t.split("\t") for t in r["terms"])
-            examples.append((y, {t: int(c) for t, c in pairs if t in known}))
+            examples.append((y, {t: int(c) for t, c in pairs}))
             names.append(r["key"])
     index = build_index(vocabulary, examples)
     raw, marks, blank = [], [], [0, 0]
