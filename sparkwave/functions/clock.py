@@ -20,7 +20,8 @@ KINDS = ("anchor", "interpolated", "extrapolated_nominal")
 def at_samples(samples: DataFrame, anchors: DataFrame, origin: int, rate: float, *, extrapolation: str = "error", max_seconds: float = 10.0) -> DataFrame:
     """``samples`` (sample) with numerator, denominator and kind of their ticks; outside the anchors null under "error".
 
-    Anchors bracket samples by an as-of lookup; their number is bounded by a budget, so they are broadcast as ranges.
+    Anchors bracket samples by an as-of lookup; their number is bounded by a budget, so they are broadcast as ranges. The
+    ranges are cut at bins as wide as a range is on average, which makes the lookup a hash join of at most twice as many rows.
     """
     if extrapolation not in ("error", "nominal"):
         raise ValueError("extrapolation must be 'error' or 'nominal'")
@@ -33,7 +34,11 @@ def at_samples(samples: DataFrame, anchors: DataFrame, origin: int, rate: float,
     first = anchors.agg(F.min(F.struct("stamp", "ticks")).alias("first"), F.max(F.struct("stamp", "ticks")).alias("last"))
     big = lambda c: c.cast("decimal(20,0)")
     stamp = F.col("sample") + origin
-    met = samples.join(F.broadcast(legs), (stamp >= F.col("s0")) & (stamp < F.coalesce("s1", F.col("s0") + 1)), "left").join(F.broadcast(first))
+    low, high, n = anchors.agg(F.min("stamp"), F.max("stamp"), F.count("*")).first()
+    width = max(1, (high - low) // n) if n else 1
+    after = F.coalesce("s1", F.col("s0") + 1)
+    binned = legs.select("*", F.explode(F.sequence(F.floor(F.col("s0") / width), F.floor((after - 1) / width))).alias("_leg"))
+    met = samples.join(F.broadcast(binned), (F.floor(stamp / width) == F.col("_leg")) & (stamp >= F.col("s0")) & (stamp < after), "left").join(F.broadcast(first))
     near = F.when(stamp < F.col("first.stamp"), F.col("first")).otherwise(F.col("last"))
     away = stamp - near["stamp"]
     allowed = Fraction(max_seconds) * Fraction(rate)

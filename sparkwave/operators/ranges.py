@@ -74,3 +74,19 @@ def stored_ranges(packets: DataFrame, origin: int, by: list[str]) -> DataFrame:
     """The islands that packets (sample_stamp, sample_span) cover, as samples."""
     start = F.col("sample_stamp") - origin
     return islands(packets.select(*by, start.alias("start"), (start + F.col("sample_span")).alias("stop")), by)
+
+
+def carried(deltas: DataFrame, by: list[str], order: str, delta: str, absolute: str, out: str) -> DataFrame:
+    """Running sums of ``delta`` that start anew wherever ``absolute`` has a value; null before the first such value."""
+    one = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = deltas.withColumn("_run", F.count(absolute).over(one))
+    within = Window.partitionBy(*by, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(F.coalesce(absolute, delta)).over(within)
+    return run.withColumn(out, F.when(F.col("_run") > 0, total)).drop("_run")
+
+
+def filled(stored: DataFrame, low: int, high: int, channels: list[int]) -> DataFrame:
+    """A row (sample, channel, value) for every sample of [low, high) and channel; null where nothing is stored."""
+    spark = stored.sparkSession
+    grid = spark.range(low, high).select(F.col("id").alias("sample"), F.explode(F.array(*map(F.lit, channels))).alias("channel"))
+    return grid.join(stored.select("sample", "channel", "value"), ["sample", "channel"], "left")

@@ -55,8 +55,8 @@ def event_note(stamp: int, text: str, user: str) -> tuple[int, str]:
 def write(df: DataFrame, folder: str, *, sample: str, values: list[str], n_samples: int, rate: float, n_channels: int = layout.RECORDED_CHANNELS, packet: int = 64, segment: int = 16_384, drop=None, origin: int = 1000, anchors: list[tuple[int, int]] | None = None, notes: list[tuple[int, str]] | None = None) -> str:
     """A recording of the rows (``sample``, ``values``...): channels after the values are shorted.
 
-    ``drop`` is a condition on ``packet`` (the sample's packet number) whose packets are left out. Segments are written
-    by one task each.
+    Packets end at multiples of ``packet`` and wherever samples are missing. ``drop`` is a condition on ``packet`` (the
+    sample's packet number) whose packets are left out. Segments are written by one task each.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -89,7 +89,7 @@ def write(df: DataFrame, folder: str, *, sample: str, values: list[str], n_sampl
             return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([state["stored"]], pa.int64())], names=["segment", "stored"])
 
         fs_, path_ = filesystem(folder)
-        last = None
+        last = after = None
         for batch in batches:
             for at, number, seg, row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if seg != current:
@@ -99,10 +99,11 @@ def write(df: DataFrame, folder: str, *, sample: str, values: list[str], n_sampl
                     out = fs_.open_output_stream(f"{path_}/seg{seg:05d}.erd", compression=None)
                     out.write(header_bytes(n_channels, rate, shorted))
                     state = {"out": out, "at": layout.ERD_HEADER, "stored": 0, "index": []}
-                if number != last:
+                if number != last or at != after:
                     flush()
                     last = number
                 pending.append((at, row))
+                after = at + 1
         if current is not None:
             yield close()
 
