@@ -381,7 +381,9 @@ def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame
             raise
         found = materialise(candidates(keyed(placed, width, buckets, hot, True), buckets), "candidates")
     pairs_left = found.where("a is not null").groupBy("a", "b").agg(F.sum("keys").alias("keys"))
-    lists = found.where("members is not null").select(F.monotonically_increasing_id().alias("list"), F.explode(F.arrays_zip("members", "sizes")).alias("m"))
+    lists = found.where("members is not null").select("members", "sizes").distinct()  # many keys have the same documents
+    # named by a hash: lists that met in one would only propose more pairs
+    lists = lists.select(F.xxhash64("members").alias("list"), F.explode(F.arrays_zip("members", "sizes")).alias("m"))
     lists = materialise(lists.select("list", F.col("m.members").alias("doc"), F.col("m.sizes").alias("n")), "lists")
     for step in range(STAR_ROUNDS + 1):
         within = components(edges)
