@@ -294,11 +294,41 @@ PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Long
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(a, b, linked) for pairs (a, b): each exactly, from the whole sets.
+    """(a, b, linked) for pairs (a, b), exactly: bitmaps of the sets refuse most others, whole sets decide the rest."""
+    pairs = materialise(pairs, "pairs")
+    possible = _compared(pairs, docs, width, _bitmap, _may_link)
+    rest = materialise(possible.where("linked").select("a", "b"), "possible")
+    sure = _compared(rest, docs, width, lambda tokens: tokens.tobytes(), _do_link)
+    return possible.where("not linked").union(sure)
+
+
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """The number of tokens, and a bit for each of their hashes below a power of two from twice that number on."""
+    size = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(mix64(tokens) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return len(tokens).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def _may_link(x: bytes, y: bytes) -> bool:
+    """False only if the sets can't link: a bit that one bitmap alone has stands for a token that one set alone has."""
+    m, n = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
+    a, b = np.frombuffer(x, "<u8", offset=8), np.frombuffer(y, "<u8", offset=8)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (a, b))  # bits of hashes below the smaller power
+    return linked(min(m - int(np.bitwise_count(a & ~b).sum()), n - int(np.bitwise_count(b & ~a).sum())), m, n)
+
+
+def _do_link(x: bytes, y: bytes) -> bool:
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    return linked(_common(a, b), len(a), len(b))
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, width: int, form, holds) -> DataFrame:
+    """(a, b, linked) for written pairs (a, b): ``holds`` of the two sets' ``form``.
 
     The pairs of one ``a`` meet in groups of ``GROUP`` b's. A group streams: one set of ``a`` stays, the others pass.
     """
-    pairs = materialise(pairs, "pairs")
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], PAIR)
     salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(Window.partitionBy("a")) / GROUP)).cast("int"))
@@ -314,7 +344,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
         arrow = _arrow(schema)
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column(1), SLICE_BYTES):
-                tokens = [s.tobytes() for s in shingle_sets(texts, width)]
+                tokens = [form(s) for s in shingle_sets(texts, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(tokens, pa.binary()), batch.column(2)[lo:hi].cast(arrow[2].type)], schema=arrow)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,14 +352,12 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             rows = []
             for rep, part, doc, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                tokens = np.frombuffer(raw, dtype=np.uint64)
                 if (rep, part) != group:
                     group, own = (rep, part), []
                 if doc == rep:
-                    own.append(tokens)  # a repeated id has several sets
+                    own.append(raw)  # a repeated id has several sets
                     continue
-                holds = any(linked(_common(o, tokens), len(o), len(tokens)) for o in own)
-                rows.append((rep, doc, holds))
+                rows.append((rep, doc, any(holds(o, raw) for o in own)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
