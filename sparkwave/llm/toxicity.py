@@ -43,12 +43,15 @@ MIN_CHI2 = 24.0
 MIN_DF = 5
 NEIGHBOURS = 15
 BLOCK = 64
+#: Votes that a task keeps for texts with the same terms.
+MAX_VOTES = 20_000
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 
 
-def stems(text: str) -> list[str]:
-    return [w[:STEM] for w in _WORD.findall(text.lower())]
+def stems(text: str) -> Iterator[str]:
+    """One at a time, as the words of a very long text take many times its memory."""
+    return (m[0][:STEM] for m in _WORD.finditer(text.lower()))
 
 
 @dataclass
@@ -145,11 +148,12 @@ class Model:
         counts = Counter(i for i in map(known.get, stems(text)) if i is not None)
         if not counts:
             return self.blank, []
-        same = tuple(sorted(counts.items()))  # few terms make few different vectors
+        same = (evidence, np.array(sorted(counts.items()), dtype=np.int64).tobytes())  # few terms make few different vectors
         if same not in self.votes:
-            if len(self.votes) > 50_000:
+            if len(self.votes) > MAX_VOTES:
                 self.votes.clear()
-            self.votes[same] = self.index.vote(counts, NEIGHBOURS)
+            raw, best, cosines = self.index.vote(counts, NEIGHBOURS)
+            self.votes[same] = raw, best[:evidence].copy(), cosines[:evidence].copy()
         raw, best, cosines = self.votes[same]
         if raw is None:
             return self.blank, []
