@@ -98,7 +98,7 @@ class Index:
             scores[docs] += w[i] * part
             if skip >= 0:
                 scores[skip], seen[skip] = 0.0, False
-            if seen.sum() >= k:
+            if rest[n + 1] < scores.max() and seen.sum() >= k:  # else no floor could shut out an example yet
                 floor = np.partition(scores[seen], -k)[-k] - 1e-12  # sums of the same terms in another order
         found = np.flatnonzero(seen)
         best = found[np.lexsort((found, -scores[found]))][:k]
