@@ -1,14 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are word stems: the first ``STEM`` characters of each run of letters and digits, lower-cased. Document frequencies
-are counted over every labelled training row; terms whose presence depends on the label (chi-square of at least
-``MIN_CHI2``, found in ``MIN_DF`` rows at least) make the vocabulary. Vectors are (1 + log tf) * idf over it, normalised.
+Terms are whole words: each run of letters and digits, lower-cased. Document frequencies are counted over every labelled
+training row. A term's weight is idf * (1 + chi2), where chi2 is the chi-square of its presence against the label, so a
+term that tells nothing keeps its idf and none is left out. Vectors are (1 + log tf) * weight over all terms of the
+examples, normalised; a word that no example has would shorten all of a text's cosines alike and isn't taken.
 
 Examples are a bounded sample: at most ``MAX_EXAMPLES`` training rows of each label, those with the smallest hash of
 their text. The inverted index keeps a term's postings in order of example number, in blocks with the largest weight of
-each block. A query takes its terms by falling upper bound; once the bounds of the terms still to come can't lift a new
-example over the k-th best score, only blocks whose maximum could still matter are read, so the k nearest are exact
-(ties to the smaller example number).
+each block. A query takes its terms by falling upper bound, some at a time; once the bounds of the terms still to come
+leave few examples that can reach the k-th best score, only blocks that hold such an example and whose maximum could still
+lift it are read, so the k nearest are exact (ties to the smaller example number).
 
 A score is the share of label 1 in the neighbours' votes, weighted by similarity, and mapped to a probability by
 isotonic bins fitted on the examples themselves, each scored without itself. Texts without a term of the vocabulary
@@ -25,7 +26,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,28 +36,29 @@ from pyspark.sql import types as T
 
 from ..session import materialise, ship_package
 
-STEM = 4
 MAX_EXAMPLES = 2000
-#: The vocabulary: so many terms at most, those with the largest chi-square.
-MAX_TERMS = 256
-MIN_CHI2 = 24.0
-MIN_DF = 5
 NEIGHBOURS = 15
 BLOCK = 64
-#: Votes that a task keeps for texts with the same terms.
-MAX_VOTES = 20_000
+#: Terms that a query takes at a time, and the share of the examples that must be shut out before blocks are looked at.
+GROUP, SHUT = 256, 0.75
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 
 
-def stems(text: str) -> Iterator[str]:
+def words(text: str) -> Iterator[str]:
     """One at a time, as the words of a very long text take many times its memory."""
-    return (m[0][:STEM] for m in _WORD.finditer(text.lower()))
+    return (m[0] for m in _WORD.finditer(text.lower()))
+
+
+def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [low, high), one range after the other."""
+    sizes = high - low
+    return np.repeat(high - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
 
 
 @dataclass
 class Index:
-    """Postings by term: ``at[t]:at[t+1]`` of ``docs`` and ``weights``; a block's maximum in ``block_max``."""
+    """Postings by term: ``at[t]:at[t+1]`` of ``docs`` and ``weights``; a block's largest weight in ``block_max``."""
 
     terms: dict[str, int]
     idf: np.ndarray
@@ -77,29 +79,36 @@ class Index:
         """The k nearest examples but ``skip`` with a common term, and their cosines: exact, ties to smaller numbers."""
         bounds = w * self.term_max[ids]
         order = np.argsort(-bounds, kind="stable")
-        rest = np.append(np.cumsum(bounds[order][::-1])[::-1], 0.0)
-        scores = np.zeros(len(self.labels))
-        seen = np.zeros(len(self.labels), dtype=bool)
-        floor = 0.0
-        for n, i in enumerate(order):
-            t, lo, hi = ids[i], self.at[ids[i]], self.at[ids[i] + 1]
-            if rest[n] >= floor:  # a new example can still enter
-                docs, part = self.docs[lo:hi], self.weights[lo:hi]
-                seen[docs] = True
-            else:  # only examples already seen, in blocks that hold one that can still enter
-                open_ = np.flatnonzero(seen & (scores + rest[n] >= floor))
-                block = np.searchsorted(self.docs[lo:hi], open_) // BLOCK
-                open_, block = open_[block < self.block_at[t + 1] - self.block_at[t]], block[block < self.block_at[t + 1] - self.block_at[t]]
-                can = scores[open_] + w[i] * self.block_max[self.block_at[t] + block] + rest[n + 1] >= floor
-                picks = (lo + np.unique(block[can])[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                picks = picks[picks < hi]
-                docs, part = self.docs[picks], self.weights[picks]
-                docs, part = docs[seen[docs]], part[seen[docs]]
-            scores[docs] += w[i] * part
+        ids, w, bounds = ids[order], w[order], bounds[order]
+        rest = np.append(np.cumsum(bounds[::-1])[::-1], 0.0)
+        n, floor, open_ = len(self.labels), 0.0, None
+        scores = np.zeros(n)
+        for a in range(0, len(ids), GROUP):
+            t, v, b = ids[a : a + GROUP], w[a : a + GROUP], min(a + GROUP, len(ids))
+            if open_ is None:
+                low, high = self.at[t], self.at[t + 1]
+            else:  # blocks that hold an example that can still enter
+                sizes = self.block_at[t + 1] - self.block_at[t]
+                block = _spans(self.block_at[t], self.block_at[t + 1])
+                low = np.repeat(self.at[t], sizes) + (block - np.repeat(self.block_at[t], sizes)) * BLOCK
+                high = np.minimum(low + BLOCK, np.repeat(self.at[t + 1], sizes))
+                v, others = np.repeat(v, sizes), rest[a] - np.repeat(bounds[a:b], sizes)
+                first, last = np.searchsorted(open_, self.docs[low]), np.searchsorted(open_, self.docs[high - 1], side="right")
+                held = np.append(scores[open_], -np.inf)
+                most = np.maximum.reduceat(held, np.stack([first, last], axis=1).ravel())[::2]
+                can = (first < last) & (most + v * self.block_max[block] + others >= floor)
+                v, low, high = v[can], low[can], high[can]
+            picks = _spans(low, high)
+            scores += np.bincount(self.docs[picks], np.repeat(v, high - low) * self.weights[picks], n)
             if skip >= 0:
-                scores[skip], seen[skip] = 0.0, False
-            if rest[n + 1] < scores.max() and seen.sum() >= k:  # else no floor could shut out an example yet
-                floor = np.partition(scores[seen], -k)[-k] - 1e-12  # sums of the same terms in another order
+                scores[skip] = 0.0
+            if b < len(ids) and n > k:
+                floor = max(floor, np.partition(scores, -k)[-k] - 1e-12)  # sums of the same terms in another order
+                if rest[b] < floor:  # so an example without a term yet can't enter
+                    left = np.flatnonzero(scores + rest[b] >= floor)
+                    if len(left) <= (1 - SHUT) * n:
+                        open_ = left
+        seen = scores > 0
         found = np.flatnonzero(seen)
         best = found[np.lexsort((found, -scores[found]))][:k]
         return best, scores[best]
@@ -119,18 +128,20 @@ def build_index(vocabulary: list[tuple[str, float]], examples: list[tuple[int, d
     idf = np.array([v for _, v in vocabulary])
     labels = np.array([y for y, _ in examples], dtype=np.float64)
     index = Index(terms, idf, *(np.zeros(0),) * 6, labels)
-    postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for n, (_, counts) in enumerate(examples):
-        if counts:
-            for t, w in zip(*index.vector({terms[t]: c for t, c in counts.items()}), strict=True):
-                postings[t].append((n, w))
-    index.at = np.cumsum([0, *map(len, postings)])
-    index.docs = np.array([d for p in postings for d, _ in p], dtype=np.int64)
-    index.weights = np.array([w for p in postings for _, w in p])
-    blocks = [[max(w for _, w in p[a : a + BLOCK]) for a in range(0, len(p), BLOCK)] for p in postings]
-    index.block_at = np.cumsum([0, *map(len, blocks)])
-    index.block_max = np.array([m for b in blocks for m in b])
-    index.term_max = np.array([max(b, default=0.0) for b in blocks])
+    none = np.zeros(0, dtype=np.int64), np.zeros(0)
+    vectors = [index.vector({terms[t]: c for t, c in counts.items()}) if counts else none for _, counts in examples]
+    of = np.concatenate([none[0], *(ids for ids, _ in vectors)])
+    docs = np.repeat(np.arange(len(examples)), [len(ids) for ids, _ in vectors])
+    order = np.argsort(of, kind="stable")
+    index.docs, index.weights = docs[order], np.concatenate([none[1], *(w for _, w in vectors)])[order]
+    sizes = np.bincount(of, minlength=len(terms))
+    index.at = np.append(0, np.cumsum(sizes))
+    blocks = -(-sizes // BLOCK)
+    index.block_at = np.append(0, np.cumsum(blocks))
+    starts = np.repeat(index.at[:-1], blocks) + (np.arange(index.block_at[-1]) - np.repeat(index.block_at[:-1], blocks)) * BLOCK
+    index.block_max = np.maximum.reduceat(index.weights, starts) if len(starts) else none[1]
+    index.term_max = np.zeros(len(terms))
+    np.maximum.at(index.term_max, np.repeat(np.arange(len(terms)), blocks), index.block_max)
     return index
 
 
@@ -141,20 +152,11 @@ class Model:
     levels: np.ndarray
     blank: float
     names: list
-    votes: dict = field(default_factory=dict)
 
     def score(self, text: str, evidence: int = 0) -> tuple[float, list[tuple[str, float, int]]]:
         known = self.index.terms
-        counts = Counter(i for i in map(known.get, stems(text)) if i is not None)
-        if not counts:
-            return self.blank, []
-        same = (evidence, np.array(sorted(counts.items()), dtype=np.int64).tobytes())  # few terms make few different vectors
-        if same not in self.votes:
-            if len(self.votes) > MAX_VOTES:
-                self.votes.clear()
-            raw, best, cosines = self.index.vote(counts, NEIGHBOURS)
-            self.votes[same] = raw, best[:evidence].copy(), cosines[:evidence].copy()
-        raw, best, cosines = self.votes[same]
+        counts = {known[t]: c for t, c in Counter(words(text)).items() if t in known}
+        raw, best, cosines = self.index.vote(counts, NEIGHBOURS)
         if raw is None:
             return self.blank, []
         level = float(self.levels[np.searchsorted(self.edges, raw, side="right") - 1])
@@ -186,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: [f"{t}\t{n}" for t, n in Counter(stems(x)).items()])
+        return batch.map(lambda x: [f"{t}\t{n}" for t, n in Counter(words(x)).items()])
 
     counted = rows.select("key", "label", F.xxhash64("text").alias("order"), split.asNondeterministic()("text").alias("terms"))
     counted = materialise(counted, "toxicity-terms")
@@ -197,17 +199,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     df = term.groupBy("term").agg(F.sum("label").alias("d1"), F.count("*").alias("d"))
     d1, d = F.col("d1").cast("double"), F.col("d").cast("double")
     chi2 = F.lit(float(n)) * F.pow(d1 * F.lit(float(n)) - d * F.lit(float(n1)), F.lit(2.0)) / (d * (F.lit(float(n)) - d) * F.lit(float(max(n1, 1)) * max(n0, 1)))
-    chosen = df.where((d >= MIN_DF) & (d < n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    vocabulary = [(r["term"], float(np.log(n / r["d"]) + 1)) for r in chosen.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term", "d").collect()]
-    known = [t for t, _ in vocabulary]
+    drawn = [counted.where(F.col("label") == y).orderBy("order", "key").limit(max_examples) for y in (1, 0)]
+    drawn = materialise(drawn[0].unionByName(drawn[1]), "toxicity-examples")
+    used = drawn.select(F.explode("terms").alias("term")).select(F.substring_index("term", "\t", 1).alias("term")).distinct()
+    weight = (F.log(F.lit(float(n)) / d) + 1) * (1 + F.when(d < n, chi2).otherwise(0.0))
+    weighed = df.join(used, "term", "left_semi").select("term", weight.alias("weight")).toArrow()
+    vocabulary = sorted(zip(weighed["term"].to_pylist(), weighed["weight"].to_pylist(), strict=True))
     examples, names = [], []
-    kept = F.filter("terms", lambda t: F.substring_index(t, "\t", 1).isin(known)) if known else F.array().cast("array<string>")
-    by_label = counted.select("key", "label", "order", kept.alias("terms"))
-    for y in (1, 0):
-        for r in by_label.where(F.col("label") == y).orderBy("order", "key").limit(max_examples).select("key", "terms").collect():
-            pairs = (t.split("\t") for t in r["terms"])
-            examples.append((y, {t: int(c) for t, c in pairs}))
-            names.append(r["key"])
+    for r in drawn.orderBy(F.desc("label"), "order", "key").select("key", "label", "terms").toLocalIterator():
+        examples.append((r["label"], {t: int(c) for t, c in (pair.split("\t") for pair in r["terms"])}))
+        names.append(r["key"])
     index = build_index(vocabulary, examples)
     raw, marks, blank = [], [], [0, 0]
     for i, (y, counts) in enumerate(examples):

@@ -70,6 +70,32 @@ def test_toxicity_finds_held_out_labels(spark):
     assert np.mean(np.array(good) >= 0.7) < 0.05
 
 
+def test_skipped_blocks_change_no_neighbour(monkeypatch):
+    rng = np.random.default_rng(8)
+    vocabulary = [(f"t{i}", float(w)) for i, w in enumerate(rng.pareto(1, 300) + 1)]
+    examples = [(i % 2, {f"t{k}": 1 for k in rng.integers(0, 300, 20)}) for i in range(1500)]
+    index = toxicity.build_index(vocabulary, examples)
+    queries = [index.vector({int(k): 1 for k in rng.integers(0, 300, 40)}) for _ in range(30)]
+    whole = [index.nearest(*q, 15) for q in queries]
+    monkeypatch.setattr(toxicity, "GROUP", 4)
+    for q, (near, scores) in zip(queries, whole, strict=True):
+        found = index.nearest(*q, 15)
+        assert near.tolist() == found[0].tolist() and np.allclose(scores, found[1])
+
+
+def test_toxicity_learns_whole_words_from_few_rows(spark):
+    """Six toxic rows of 46; bad and good words begin alike."""
+    rng = np.random.default_rng(5)
+    filler = [f"word{i}" for i in range(400)]
+    text = lambda word: " ".join([*rng.choice(filler, 30), word, *rng.choice(filler, 5)])
+    rows = [(i, text("stupidest" if i < 6 else "stupendous"), int(i < 6)) for i in range(46)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert set(model.index.terms) == {w for r in rows for w in r[1].split()}
+    bad, good = ([model.score(text(w))[0] for _ in range(20)] for w in ("stupidest", "stupendous"))
+    assert min(bad) > max(good)
+
+
 def test_toxicity_of_odd_rows(spark, documents):
     labels = spark.createDataFrame([(3, 1), (8, 0), (999, 1), (4, None)], "doc_id long, toxic int")
     model = toxicity.fit(documents, labels)
