@@ -10,7 +10,8 @@ comments around an article, from a fixed seed; the words of a text are random, s
 names, lengths and order. Weights are trained once per driver process and broadcast (well below a megabyte).
 
 Defined cases: a null or empty page has no blocks and an empty text; scripts, styles, templates, comments and the head
-hold no blocks; unclosed and stray tags are tolerated; very long pages are read whole; further columns are kept.
+hold no blocks; unclosed and stray tags are tolerated, but an unclosed script or style runs to the end of the page; a head
+ends at the first text or tag that can't stand in it; very long pages are read whole; further columns are kept.
 """
 
 from __future__ import annotations
@@ -38,9 +39,13 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 _NAME = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+|\d+")
 _SPACE = re.compile(r"\s+")
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math annotation menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select option".split())
+#: Elements without blocks. Nothing inside is a tag, whatever it looks like, but the first end tag of the same name.
+RAW = frozenset("script style noscript template textarea title iframe svg select datalist".split())
+_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?(?:>|\Z)", re.I) for tag in RAW}
+#: What may stand in a head, besides.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes".split())
 #: Start tags that end an open element of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
@@ -79,21 +84,18 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
                 path = tuple(f for _, features in stack for f in features)
             linked += len(piece) if in_link else 0
 
-    skip = ""
-    for match in _TAG.finditer(page):
-        piece, start = page[at : match.start()], match.end()
-        if skip:
-            if match.group(2) and match.group(1) and match.group(2).lower() == skip:
-                skip = ""
-            at = start
-            continue
-        take(piece)
-        at = start
+    in_head, endless = False, set()
+    while match := _TAG.search(page, at):
+        piece, at = page[at : match.start()], match.end()
+        in_head = in_head and not piece.strip()
+        if not in_head:
+            take(piece)
         name = match.group(2)
         if not name:
             continue
         tag = name.lower()
         if match.group(1):
+            in_head = in_head and tag not in ("head", "body", "html", "br")
             if tag not in INLINE:
                 flush()
             elif tag == "a":
@@ -102,13 +104,24 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
                 while stack.pop()[0] != tag:
                     pass
             continue
-        if tag == "br":
-            take(" ")
         if tag in RAW or tag == "head":
             flush()
-            if not match.group(3).rstrip().endswith("/"):
-                skip = tag
+            if tag == "head":
+                in_head = True
+            elif not match.group(3).rstrip().endswith("/"):
+                end = None if tag in endless else _END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:  # never closed: what follows is read as if the tag weren't there
+                    endless.add(tag)
             continue
+        if in_head and tag in IN_HEAD:
+            continue
+        in_head = False
+        if tag == "br":
+            take(" ")
         if tag not in INLINE:
             flush()
             in_link = 0
@@ -123,8 +136,7 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
             in_link += 1
         if tag not in VOID:
             stack.append((tag, _words_of(tag, match.group(3))))
-    if not skip:
-        take(page[at:])
+    take(page[at:])
     flush()
     return out
 

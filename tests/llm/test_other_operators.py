@@ -76,6 +76,26 @@ def test_blocks_of_a_page():
     assert html_blocks.blocks("") == [] and html_blocks.blocks("<<<>") is not None
 
 
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<p>a<script>for(i=0;i<n;i++){x}</script><p>b<script>y</script><p>c", ["a", "b", "c"]),
+        ("<p>a<SCRIPT>for(i=0;i<n;i++){x}</Script ><p>b", ["a", "b"]),
+        ("<p>a<script>var s = '<!--';</script><p>b", ["a", "b"]),
+        ("<p>a<style>/* <b title=\"x */</style><p>b", ["a", "b"]),
+        ("<html><head><title>t</title><meta charset=utf-8><body><p>a<p>b", ["a", "b"]),
+        ("<html><head><title>t</title><link href=x><script>1<2</script><h1>a</h1><p>b", ["a", "b"]),
+        ("<head><title>t</title>a<p>b", ["a", "b"]),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b<p>c", ["a x=2 b", "c"]),
+        ("<datalist><option>x<option>y</datalist><select><option>z</select><p>a", ["a"]),
+        ("<p>a<svg><path d='x'><p>b", ["a", "b"]),
+        ("<p>a<script>b<p>c", ["a"]),
+    ],
+)
+def test_no_text_is_lost_after_raw_elements_and_heads(page, wanted):
+    assert [t for t, _, _ in html_blocks.blocks(page)] == wanted
+
+
 def test_gradients_are_right():
     """Of the block labeller, by central differences."""
     rng = np.random.default_rng(0)
