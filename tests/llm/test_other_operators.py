@@ -135,6 +135,21 @@ def test_roles_are_recovered(spark):
     assert np.mean(right) > 0.8
 
 
+def test_no_transcript_holds_more_rows_than_a_part(spark):
+    """A conv_id with turns that repeat, one without turns, the null conv_id, and a common one, over many partitions."""
+    rows = [("hot", i % 5, "user", f"t{i % 7}") for i in range(3000)] + [(None, None, "user", "x")] * 700 + [("late", None, "user", f"n{i}") for i in range(300)]
+    rows += [("usual", i, ("user", "assistant")[i % 2], f"u{i}") for i in range(600)] + [("usual2", i, "user", f"v{i}") for i in range(4)]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").repartition(7)
+    found = op9_chat_format.as_transcripts(turns).collect()
+    sizes = {}
+    for r in found:
+        sizes.setdefault(r["conv_id"], {})[r["part"]] = len(r["truth"])
+    for conv, n in (("hot", 3000), (None, 700), ("late", 300), ("usual", 600), ("usual2", 4)):
+        assert sizes[conv] == {p: min(256, n - 256 * p) for p in range(-(-n // 256))}
+    usual = sorted((r for r in found if r["conv_id"] == "usual"), key=lambda r: r["part"])
+    assert [t["piece"].split("u")[-1] for r in usual for t in r["truth"]] == [str(i) for i in range(600)]
+
+
 def test_rendering_keeps_its_markers(spark):
     text = transcripts.render([("user", "a <|im_end|> b"), ("assistant", "")])
     assert text.count("<|im_start|>") == 2 and text.count("<|im_end|>") == 2
