@@ -5,14 +5,14 @@ training row. A term's weight is idf * (1 + chi2), where chi2 is the chi-square
 term that tells nothing keeps its idf and none is left out. Vectors are (1 + log tf) * weight over all terms of the
 examples, normalised; a word that no example has would shorten all of a text's cosines alike and isn't taken.
 
-Examples are a bounded sample: at most ``MAX_EXAMPLES`` training rows of each label, those with the smallest hash of
-their text. The inverted index keeps a term's postings in order of example number, in blocks with the largest weight of
+Examples are a bounded sample: at most ``MAX_EXAMPLES`` different texts of each label among the training rows, those with
+the smallest hash; a text's number of rows is its weight in votes and in calibration. The inverted index keeps a term's postings in order of example number, in blocks with the largest weight of
 each block. A query takes its terms by falling upper bound, some at a time; once the bounds of the terms still to come
 leave few examples that can reach the k-th best score, only blocks that hold such an example and whose maximum could still
 lift it are read, so the k nearest are exact (ties to the smaller example number).
 
-A score is the share of label 1 in the neighbours' votes, weighted by similarity, and mapped to a probability by
-isotonic bins fitted on the examples themselves, each scored without itself. Texts without a term of the vocabulary
+A score is the share of label 1 in the neighbours' votes, weighted by similarity and rows, and mapped to a probability by
+isotonic bins fitted on the examples' rows, each scored without itself. Texts without a term of the vocabulary
 get the share of label 1 among such examples.
 
 Defined cases: null and empty texts have no terms; rows with null or other labels and labels without a document aren't
@@ -69,6 +69,7 @@ class Index:
     block_max: np.ndarray
     term_max: np.ndarray
     labels: np.ndarray
+    rows: np.ndarray
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.fromiter(counts, dtype=np.int64, count=len(counts))
@@ -114,20 +115,22 @@ class Index:
         return best, scores[best]
 
     def vote(self, counts: dict[int, int], k: int, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """The vote without one row of ``skip``: its other rows are neighbours like any."""
         if not counts:
             return None, np.zeros(0, dtype=np.int64), np.zeros(0)
-        best, cosines = self.nearest(*self.vector(counts), k, skip)
+        alone = skip >= 0 and self.rows[skip] <= 1
+        best, cosines = self.nearest(*self.vector(counts), k, skip if alone else -1)
         if not len(best):
             return None, best, cosines
-        weights = cosines / (1.0 - cosines + 0.05)  # by distance
+        weights = cosines / (1.0 - cosines + 0.05) * (self.rows[best] - (best == skip))  # by distance
         return float((weights * self.labels[best]).sum() / weights.sum()), best, cosines
 
 
-def build_index(vocabulary: list[tuple[str, float]], examples: list[tuple[int, dict[str, int]]]) -> Index:
+def build_index(vocabulary: list[tuple[str, float]], examples: list[tuple[int, dict[str, int]]], rows: list[int] | None = None) -> Index:
     terms = {t: i for i, (t, _) in enumerate(vocabulary)}
     idf = np.array([v for _, v in vocabulary])
     labels = np.array([y for y, _ in examples], dtype=np.float64)
-    index = Index(terms, idf, *(np.zeros(0),) * 6, labels)
+    index = Index(terms, idf, *(np.zeros(0),) * 6, labels, np.array(rows if rows else [1] * len(examples), dtype=np.float64))
     none = np.zeros(0, dtype=np.int64), np.zeros(0)
     vectors = [index.vector({terms[t]: c for t, c in counts.items()}) if counts else none for _, counts in examples]
     of = np.concatenate([none[0], *(ids for ids, _ in vectors)])
@@ -163,14 +166,14 @@ class Model:
         return level, [(str(self.names[b]), float(c), int(self.index.labels[b])) for b, c in zip(best[:evidence], cosines[:evidence], strict=True)]
 
 
-def calibrate(raw: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def calibrate(raw: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing steps (lower edges and levels) by pooling adjacent violators, smoothed by half a row of each label."""
     edges, sums, sizes = [], [], []
     for value in np.unique(raw):
-        own = labels[raw == value]
+        same = raw == value
         edges.append(float(value))
-        sums.append(float(own.sum()))
-        sizes.append(float(len(own)))
+        sums.append(float((labels[same] * rows[same]).sum()))
+        sizes.append(float(rows[same].sum()))
         while len(sums) > 1 and sums[-2] / sizes[-2] >= sums[-1] / sizes[-1]:
             s, n = sums.pop(), sizes.pop()
             sums[-1] += s
@@ -181,7 +184,7 @@ def calibrate(raw: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Model:
-    """A model of the labelled documents. Their terms are counted in full; ``max_examples`` bounds the examples by label."""
+    """A model of the labelled documents. Their terms are counted in full; ``max_examples`` bounds the different texts by label."""
     ship_package(docs.sparkSession)
     marked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(marked, "key")
@@ -190,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     def split(batch: pd.Series) -> pd.Series:
         return batch.map(lambda x: [f"{t}\t{n}" for t, n in Counter(words(x)).items()])
 
-    counted = rows.select("key", "label", F.xxhash64("text").alias("order"), split.asNondeterministic()("text").alias("terms"))
+    counted = rows.select("key", "label", F.xxhash64("text").alias("order"), F.md5("text").alias("digest"), split.asNondeterministic()("text").alias("terms"))
     counted = materialise(counted, "toxicity-terms")
     totals = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -199,28 +202,33 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     df = term.groupBy("term").agg(F.sum("label").alias("d1"), F.count("*").alias("d"))
     d1, d = F.col("d1").cast("double"), F.col("d").cast("double")
     chi2 = F.lit(float(n)) * F.pow(d1 * F.lit(float(n)) - d * F.lit(float(n1)), F.lit(2.0)) / (d * (F.lit(float(n)) - d) * F.lit(float(max(n1, 1)) * max(n0, 1)))
-    drawn = [counted.where(F.col("label") == y).orderBy("order", "key").limit(max_examples) for y in (1, 0)]
-    drawn = materialise(drawn[0].unionByName(drawn[1]), "toxicity-examples")
+    texts = counted.groupBy("label", "order", "digest").agg(F.count("*").alias("rows"), F.min("key").alias("key"))
+    drawn = [texts.where(F.col("label") == y).orderBy("order", "digest").limit(max_examples) for y in (1, 0)]
+    drawn = F.broadcast(drawn[0].unionByName(drawn[1]))
+    drawn = counted.join(drawn, ["label", "order", "digest", "key"]).dropDuplicates(["label", "order", "digest"])
+    drawn = materialise(drawn, "toxicity-examples")
     used = drawn.select(F.explode("terms").alias("term")).select(F.substring_index("term", "\t", 1).alias("term")).distinct()
     weight = (F.log(F.lit(float(n)) / d) + 1) * (1 + F.when(d < n, chi2).otherwise(0.0))
     weighed = df.join(used, "term", "left_semi").select("term", weight.alias("weight")).toArrow()
     vocabulary = sorted(zip(weighed["term"].to_pylist(), weighed["weight"].to_pylist(), strict=True))
-    examples, names = [], []
-    for r in drawn.orderBy(F.desc("label"), "order", "key").select("key", "label", "terms").toLocalIterator():
+    examples, names, rows_of = [], [], []
+    for r in drawn.orderBy(F.desc("label"), "order", "digest").select("key", "label", "rows", "terms").toLocalIterator():
         examples.append((r["label"], {t: int(c) for t, c in (pair.split("\t") for pair in r["terms"])}))
         names.append(r["key"])
-    index = build_index(vocabulary, examples)
-    raw, marks, blank = [], [], [0, 0]
+        rows_of.append(r["rows"])
+    index = build_index(vocabulary, examples, rows_of)
+    raw, marks, sizes, blank = [], [], [], [0, 0]
     for i, (y, counts) in enumerate(examples):
         vote, _, _ = index.vote({index.terms[t]: c for t, c in counts.items()}, NEIGHBOURS, skip=i)
         if vote is None:
-            blank[y] += 1
+            blank[y] += rows_of[i]
         else:
             raw.append(vote)
             marks.append(y)
+            sizes.append(rows_of[i])
     # examples are drawn by label, so a count stands for its label's share in the training rows
-    share = [totals.get(y, 0) / max(1, sum(1 for e in examples if e[0] == y)) for y in (0, 1)]
-    edges, levels = calibrate(np.array(raw), np.array(marks, dtype=float)) if raw else (np.array([-np.inf]), np.array([n1 / n if n else 0.0]))
+    share = [totals.get(y, 0) / max(1, sum(c for e, c in zip(examples, rows_of, strict=True) if e[0] == y)) for y in (0, 1)]
+    edges, levels = calibrate(np.array(raw), np.array(marks, dtype=float), np.array(sizes, dtype=float)) if raw else (np.array([-np.inf]), np.array([n1 / n if n else 0.0]))
     none = blank[1] * share[1] / (blank[0] * share[0] + blank[1] * share[1]) if any(blank) else (n1 / n if n else 0.0)
     return Model(index, edges, levels, none, names)
 

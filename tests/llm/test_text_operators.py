@@ -96,6 +96,16 @@ def test_toxicity_learns_whole_words_from_few_rows(spark):
     assert min(bad) > max(good)
 
 
+def test_copies_take_one_place_among_the_examples(spark):
+    """300 copies of one text of a label, and 40 places: all 40 are different texts, whatever the copies' hash is."""
+    texts = [f"common{i % 3} good{i} fine{i}" for i in range(40)]
+    for copied in texts[:3]:
+        rows = [(i, t) for i, t in enumerate([*texts, *[copied] * 300])]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        model = toxicity.fit(docs, docs.selectExpr("doc_id", "0 as toxic"), max_examples=40)
+        assert len(model.names) == 40 and sorted(model.index.rows) == [1] * 39 + [301]
+
+
 def test_toxicity_of_odd_rows(spark, documents):
     labels = spark.createDataFrame([(3, 1), (8, 0), (999, 1), (4, None)], "doc_id long, toxic int")
     model = toxicity.fit(documents, labels)
