@@ -42,7 +42,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: The stages use a tokenizer and a fitted model, which SQL can't express; the tests have a brute-force version.
+#: The stages use a tokenizer and a fitted model, which SQL can't express; the tests plant what each stage has to drop.
 ORACLE_SQL = None
 
 

@@ -172,3 +172,33 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - toxic
     packed = corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()
     assert {r["doc_id"] for r in packed} <= {r["doc_id"] for r in kept.collect()} and len(packed) > 100
+
+
+def test_each_stage_keeps_just_what_it_should(spark, folder_of):
+    """Planted toxic, copied and benchmark documents: each stage on its own input, and the packed ids."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    bank = [f"w{i}" for i in range(3000)]
+    words = lambda n: [str(w) for w in rng.choice(bank, n)]
+    texts = {i: words(80) for i in range(150)}
+    toxic, copies, leaked = set(range(60, 100)), set(range(100, 110)), set(range(110, 120))
+    for i in toxic:
+        texts[i][40:45] = ["scum", "idiot", "moron", "trash", "loser"]
+    for i in copies:
+        texts[i] = [*texts[i - 100][:79], "changed"]
+    passages = {i: words(20) for i in leaked}
+    for i in leaked:
+        texts[i][10:30] = passages[i]
+    folder = folder_of(
+        documents=spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars int"),
+        labels=spark.createDataFrame([(i, 1, int(i in toxic)) for i in texts if i < 90], "doc_id long, quality int, toxic int"),
+        benchmark=spark.createDataFrame([(f"b{i}", " ".join(p)) for i, p in passages.items()], "item_id string, text string"),
+    )
+    docs, wanted = spark.read.parquet(f"{folder}/documents.parquet"), set(texts)
+    for (name, stage), gone in zip(corpus_pipeline.STAGES, (toxic, copies, leaked, set()), strict=True):
+        kept = {r["doc_id"] for r in stage(spark, docs, folder).select("doc_id").distinct().collect()}
+        wanted -= gone
+        assert kept == wanted, (name, kept ^ wanted)
+        docs = docs.where(~docs["doc_id"].isin(sorted(gone)))
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()} == wanted
