@@ -270,8 +270,10 @@ def pack(df: DataFrame, key: str, text: str, tokenizer_path: str, *, end: int =
     plan = make_plan(counts, capacity, gap)
     earlier = lambda part: Window.partitionBy(*part).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = by_block.withColumn("before", F.coalesce(F.sum("docs").over(earlier(["rest"])), F.lit(0)))
-    firsts = first.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("rest", "before"))).alias("firsts"), F.sum("chunks").alias("chunks"))
-    firsts = firsts.withColumn("full_before", F.coalesce(F.sum("chunks").over(earlier([])), F.lit(0))).select("block", "firsts", "full_before")
+    firsts = first.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("rest", "before"))).alias("firsts"))
+    whole = by_block.groupBy("block").agg(F.sum("chunks").alias("chunks"))  # one small row per block, without its map
+    whole = whole.select("block", F.coalesce(F.sum("chunks").over(earlier([])), F.lit(0)).alias("full_before"))
+    firsts = firsts.join(whole, "block")
     met = ids.join(firsts.hint("shuffle_hash"), "block").select("key", "ids", "n", "rest", (F.col("rank") + F.element_at("firsts", F.col("rest"))).alias("rank"), (F.col("full_rank") + F.col("full_before")).alias("full_rank"))
     fields = [T.StructField(key, ids.schema["key"].dataType), *(T.StructField(n, T.LongType()) for n in PIECE)] + ([T.StructField("ids", T.BinaryType())] if with_ids else [])
     schema = T.StructType(fields)

@@ -165,6 +165,18 @@ def test_pieces_hold_every_id_once(spark, documents):
         assert at <= 1024
 
 
+def test_no_window_of_packing_carries_maps(spark, documents):
+    """The window over all blocks goes through one task."""
+    plan = packing.pack(documents, "doc_id", "text", tokenizer_file(), with_ids=False)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    windows = [i for i, line in enumerate(plan) if "Window [" in line]
+    assert len(windows) == 2
+    for i in windows:
+        for line in plan[i + 1 :]:
+            if len(line) - len(line.lstrip(" :+-")) <= plan[i].index("Window ["):
+                break
+            assert "map_from_entries" not in line
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_leaves_little_padding(seed):
     rng = np.random.default_rng(seed)
