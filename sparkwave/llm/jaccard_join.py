@@ -2,28 +2,33 @@
 
 Sets of word shingles (sorted 64-bit hashes) of similar size share a scheme: a size band, and for sets that reach into
 it the band above. A scheme hashes the universe of tokens into segments. Two sets with Jaccard similarity of at least 3/4
-differ in at most floor(n / 3) tokens, n being the size of either, so:
-
-* exact segments: a set's keys are the contents of its segments that aren't empty. The two sets disagree in at most
-  floor(n / 3) segments, so if each keeps the first floor(n / 3) + 1 of its keys in one global order, they share a
-  kept key. The order puts keys of frequent tokens last: a subset of segments that is chosen by cost.
-* one-deletion neighbourhoods: a key for a segment's content and one for each content with one token less (empty contents
-  aside). Segments with one token then stand for one difference, those with more for two, and no order is needed.
-
-A scheme takes the form that costs less by ``allocate``. Sets whose segments can't carry the count (never met with
-random hashes, but checked for every set) use single tokens as segments for the whole scheme: the job is run again so.
-
-A first pass links what is easy: each set's ``SKETCH`` smallest mixed tokens propose, for each document, the smallest
-document that shares most of them; what holds exactly forms components. Then all kept keys go to buckets in compressed
-blobs, with each document's component. A bucket passes on only keys whose documents lie in different components: a link
-of each of those to the key's first document, and the lists of longer keys. Each round verifies, for each document, the
-link that most keys ask for; after ``STAR_ROUNDS`` of these, all pairs of documents with a common key in different
-components are verified. So the components are exact, and members that are linked already aren't paired again. Links are
-verified on whole sets.
+differ in at most d = floor((m + n) / 7) tokens, m and n being their sizes, so in at most d segments, and d is at most a
+third of either size. Each set indexes, for its scheme:
+
+* a subset of its segments: the keys are the contents of those that aren't empty, in one global order, rare ones first
+  (a segment counts by its rarest token), and the first floor(n / 3) + 1 of them are kept. The first common key of a link
+  is kept by both sets, and neither has more than d keys before it. So what only a frequent passage has in common is
+  refused by position.
+* or, in bands where ``allocate`` finds it cheaper, one-deletion neighbourhoods: a key for a segment's content and one for
+  each content with one token less (empty contents aside). A segment then stands for min(2, its size) differences. Keys
+  with a frequent token are left out here. A set with a frequent token, or whose segments can't carry its third of
+  differences, takes part in the first form too; one with more than a quarter of frequent tokens only there. Two sets that
+  don't meet there are a set without frequent tokens, whose keys are all here, and one that has all keys of such tokens.
+
+Where a set's non-empty segments are too few for the first form, its single tokens are keys as well: a link of two such
+sets is found by them, a link with another set by the other's segments.
+
+Links are found in rounds. First, each set's ``SKETCH`` smallest mixed tokens propose the smallest document that shares most of
+them. Then all kept keys go to buckets in compressed blobs, with each document's component so far. A bucket passes on only
+keys whose documents lie in several components: pairs for up to ``SMALL`` documents, and a row for each document of the
+longer lists. These are compared in blocks: a task holds the bitmaps of two blocks of a list and returns pairs that size,
+position and bitmaps can't refuse; at first only the best one of each component, at last all that lie across components.
+No pair within a list is made as a row before. Whole sets decide all pairs, so the components are exact.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; texts of fewer than five words
-have one shingle; repeated rows and equal texts share a component; rows with a null key are kept, without a component;
-ties have no effect; an empty table gives no rows; further columns are ignored (kept by ``deduplicate``).
+have one shingle; repeated rows and equal texts share a component; a repeated key with several texts has the links of
+all; rows with a null key are kept, without a component; ties have no effect; an empty table gives no rows; further
+columns are ignored (kept by ``deduplicate``).
 """
 
 from __future__ import annotations
@@ -34,46 +39,59 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, ship_package
 from .common import mix64, text_slices
-from .components import components
+from .components import components, merged
 from .shingles import WIDTH, shingle_sets
 
 #: Links need 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
 TOKEN_LEVEL = 32  # sets below this size use single tokens
-SKETCH, SKETCH_ROUNDS, STAR_ROUNDS = 12, 2, 2
+SKETCH, SKETCH_ROUNDS, BEST_ROUNDS = 12, 2, 1
 BUCKET_KEYS = 1_000_000
 SLICE_BYTES = 4_000_000
 EMIT_KEYS = 600_000
 MIN_LOCAL, MIN_HOT = 4, 12
 #: Frequent tokens that are broadcast, at most; which tokens count as frequent changes costs, not results.
 MAX_HOT = 200_000
-#: Documents whose ids are broadcast for a verification, at most; beyond, the join is shuffled.
-MAX_BROADCAST = 1_000_000
+#: Ids that are broadcast at once, at most, in bytes; beyond, the join is shuffled.
+MAX_BROADCAST_BYTES = 32 << 20
 GROUP = 512
+#: Documents of a list whose pairs its bucket gives out itself, and documents of a block of a longer list.
+SMALL, BLOCK = 4, 2048
+BITS = 8  # of a bitmap for each token, at least
 _ONE = np.uint64(1)
+_FORM = {"subset": np.uint64(0x9FB21C651E98DF25), "deletion": np.uint64(0xA24BAED4963EE407), "token": np.uint64(0xD6E8FEB86659FD93)}
+
+
+def linked(both, a, b):
+    return (DENOMINATOR * both >= NUMERATOR * (a + b - both)) & (both > 0)
 
 
-def linked(both: int, a: int, b: int) -> bool:
-    return DENOMINATOR * both >= NUMERATOR * (a + b - both) and both > 0
+def differences(a, b):
+    """Tokens that one of two linked sets of these sizes has alone, at most."""
+    return (a + b) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
 
 
 @lru_cache(maxsize=None)
 def allocate(upper: int) -> tuple[int, bool]:
     """Segments and whether they have deletion neighbourhoods, for sets of up to ``upper`` tokens: the cheaper form.
 
-    A key costs one, and a key of few tokens more, as more sets without a link share it. Exact keys: a third of the
-    tokens, of about 4/3 tokens each. Deletions: three tokens a segment, and a key for each token and segment.
+    A key costs one, and a key of few tokens more, as more sets without a link share it. Subset: a third of the tokens, of
+    about 4/3 tokens each. Deletions: three tokens a segment, and a key for each token and segment.
     """
     crowd = lambda tokens: 1 + 60.0 / upper * np.exp(1 - tokens)  # noqa: E731  short texts repeat more
-    exact = (upper / 3 + 1) * crowd(4 / 3)
-    deletion = (upper / 3 + upper) * crowd(3.0) / 1.6  # they need no frequencies, and hold for any order
-    return (upper * 3 // 4, False) if exact <= deletion or upper > 128 else (upper // 3, True)
+    subset = (upper / 3 + 1) * crowd(4 / 3)
+    deletion = (upper / 3 + upper) * crowd(3.0) / 1.6  # they need no positions, and no frequent token has a key
+    return (subset_segments(upper), False) if subset <= deletion or upper > 128 else (upper // 3, True)
+
+
+def subset_segments(upper: int) -> int:
+    return upper * 3 // 4
 
 
 def schemes(n: int) -> list[int]:
@@ -84,45 +102,63 @@ def schemes(n: int) -> list[int]:
     return [own, own * 2] if n * DENOMINATOR // NUMERATOR >= own else [own]
 
 
-def keys_of(tokens: np.ndarray, upper: int, hot: np.ndarray, plain: bool) -> np.ndarray | None:
-    """The kept keys of a set in a scheme; None if its segments can't carry the count of differences."""
-    need = len(tokens) // 3 + 1
-    salt = np.uint64(upper)
+def keys_of(tokens: np.ndarray, classes: np.ndarray, upper: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set in a scheme and the number of its keys before each; classes: of frequency, 0 for rare tokens."""
+    if upper == TOKEN_LEVEL:
+        return _by_token(tokens, classes, upper)
+    n, (_, deletion) = len(tokens), allocate(upper)
+    found, frequent, short = [], int(np.count_nonzero(classes)), False
+    if deletion:
+        keys, short = _by_deletion(tokens, classes, upper)
+        if 4 * frequent <= n:
+            found.append((keys, np.zeros(len(keys), dtype=np.int64)))
+    if not deletion or frequent or short:
+        keys, rank, few = _by_subset(tokens, classes, upper)
+        found.append((keys, rank))
+        if few:
+            found.append(_by_token(tokens, classes, upper))
+    return np.concatenate([k for k, _ in found]), np.concatenate([r for _, r in found])
+
+
+def _segments(tokens: np.ndarray, upper: int, count: int, form: np.uint64) -> tuple[np.ndarray, ...]:
+    """For the non-empty segments of a set: order of its tokens, first places, sizes, names, and the mixed tokens in order."""
     with np.errstate(over="ignore"):
-        if upper == TOKEN_LEVEL or plain:
-            contents, is_hot = mix64(tokens + salt), _among(tokens, hot)
-            return _first(contents, is_hot, need)
-        segments, deletion = allocate(upper)
-        at = (mix64(tokens ^ (salt * np.uint64(0xA24BAED4963EE407))) % np.uint64(segments)).astype(np.uint16 if segments < 65536 else np.uint32)
+        at = (mix64(tokens ^ (np.uint64(upper) * form)) % np.uint64(count)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         at, mixed = at[order], mix64(tokens[order])
         edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        sums = np.add.reduceat(mixed, edge)
-        sizes = np.diff(np.append(edge, len(at)))
-        names = (at[edge].astype(np.uint64) + _ONE) * np.uint64(0x9FB21C651E98DF25) + salt
-        contents = mix64(sums ^ mix64(names))
-        if not deletion:
-            if len(contents) < need:
-                return None
-            return _first(contents, np.minimum.reduceat(_among(tokens[order], hot), edge), need)
-        if np.minimum(sizes, 2).sum() < need:
-            return None
-        several = np.repeat(sizes > 1, sizes)
+        return order, edge, np.diff(np.append(edge, len(at))), (at[edge].astype(np.uint64) + _ONE) * form + np.uint64(upper), mixed
+
+
+def _by_deletion(tokens: np.ndarray, classes: np.ndarray, upper: int) -> tuple[np.ndarray, bool]:
+    """Contents and contents less a token, those with a frequent token aside; whether they carry too few differences."""
+    order, edge, sizes, names, mixed = _segments(tokens, upper, allocate(upper)[0], _FORM["deletion"])
+    hot = (classes[order] > 0).astype(np.int64)
+    with np.errstate(over="ignore"):
+        sums, hots = np.add.reduceat(mixed, edge), np.add.reduceat(hot, edge)
+        several = np.repeat(sizes > 1, sizes) & (np.repeat(hots, sizes) - hot == 0)
         less = (np.repeat(sums, sizes) - mixed)[several]
-        return np.concatenate([contents, mix64(less ^ mix64(np.repeat(names, sizes)[several]))])
+        keys = np.concatenate([mix64(sums ^ mix64(names))[hots == 0], mix64(less ^ mix64(np.repeat(names, sizes)[several]))])
+    return keys, int(np.minimum(sizes, 2).sum()) < len(tokens) // 3 + 1
 
 
-def _among(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    if not len(hot):
-        return np.zeros(len(tokens), dtype=np.uint8)
-    return (hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens).astype(np.uint8)
+def _by_subset(tokens: np.ndarray, classes: np.ndarray, upper: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    order, edge, _, names, mixed = _segments(tokens, upper, subset_segments(upper), _FORM["subset"])
+    with np.errstate(over="ignore"):
+        contents = mix64(np.add.reduceat(mixed, edge) ^ mix64(names))
+    need = len(tokens) // 3 + 1
+    return *_first(contents, np.minimum.reduceat(classes[order], edge), need), len(contents) < need
+
+
+def _by_token(tokens: np.ndarray, classes: np.ndarray, upper: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return _first(mix64(tokens + np.uint64(upper) * _FORM["token"]), classes, len(tokens) // 3 + 1)
 
 
-def _first(contents: np.ndarray, is_hot: np.ndarray, need: int) -> np.ndarray:
-    if len(contents) <= need:
-        return contents
-    rank = (contents >> _ONE) | (is_hot.astype(np.uint64) << np.uint64(63))
-    return contents[np.argpartition(rank, need - 1)[:need]]
+def _first(contents: np.ndarray, classes: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    rank = (contents >> np.uint64(6)) | (classes.astype(np.uint64) << np.uint64(58))
+    order = np.argsort(rank, kind="stable")[:need]
+    return contents[order], np.arange(len(order))
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -131,11 +167,11 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-SETS = T.StructType([T.StructField("frequent", T.BooleanType()), T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("frequent", T.BooleanType()), T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """A row (doc, n, digest and sketch of the set) per document, and rows (token, count) of tokens that a task meets often."""
+    """A row (doc, n, digest, sketch and bitmap of the set) per document, and rows (token, count) of tokens that a task meets often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, every, size = _arrow(SETS), [], 0
@@ -155,7 +191,8 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                     every, size = [], 0
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 sketches = [np.partition(mix64(s), SKETCH - 1)[:SKETCH].view(np.int64) if len(s) > SKETCH else mix64(s).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([False] * len(sets)), batch.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], schema=arrow)
+                bits = [_bitmap(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([False] * len(sets)), batch.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(bits, pa.binary())], schema=arrow)
         if every:
             fold()
         if counts:
@@ -164,31 +201,33 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             tokens, total = tokens[total >= MIN_LOCAL], total[total >= MIN_LOCAL]
             for a in range(0, len(tokens), 10_000):
                 part = tokens[a : a + 10_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([True] * len(part)), pa.array(part), pa.array(total[a : a + 10_000]), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.list_(pa.int64()))], schema=arrow)
+                none = pa.nulls(len(part), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([True] * len(part)), pa.array(part), pa.array(total[a : a + 10_000]), none, pa.nulls(len(part), pa.list_(pa.int64())), none], schema=arrow)
 
     return docs.mapInArrow(run, SETS)
 
 
-def keyed(docs: DataFrame, width: int, buckets: int, hot, plain: bool) -> DataFrame:
+def keyed(docs: DataFrame, width: int, buckets: int, hot) -> DataFrame:
     """Rows (bucket, blob): the kept keys of each set of docs (doc, text, component), once for equal sets of a task."""
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, frequent, met = _arrow(schema), np.frombuffer(hot.value, dtype=np.uint64), set()
+        arrow, met = _arrow(schema), set()
+        frequent, class_of = np.frombuffer(hot.value[0], dtype=np.uint64), np.frombuffer(hot.value[1], dtype=np.uint8)
         found, ids, sizes, parts, total = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            every = np.concatenate(found)
-            of = np.repeat(np.arange(len(found), dtype=np.int64), [len(f) for f in found])
+            every, before = np.concatenate([k for k, _ in found]), np.concatenate([r for _, r in found])
+            of = np.repeat(np.arange(len(found), dtype=np.int64), [len(k) for k, _ in found])
             bucket = (every % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")  # documents stay in order within a bucket
-            every, of, bucket = every[order], of[order], bucket[order]
+            every, before, of, bucket = every[order], np.minimum(before[order], 65535).astype("<u2"), of[order], bucket[order]
             edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             blobs = []
             for a, b in zip(edge, np.append(edge[1:], len(every)), strict=True):
                 docs_, runs = np.unique(of[a:b], return_counts=True)
                 head = np.array([len(docs_)], dtype="<i8").tobytes() + np.array(ids, dtype="<i8")[docs_].tobytes() + np.array(parts, dtype="<i8")[docs_].tobytes() + np.array(sizes, dtype="<i4")[docs_].tobytes() + runs.astype("<i4").tobytes()
-                blobs.append(head + (every[a:b] >> np.uint64(16)).view("u1").reshape(-1, 8)[:, :6].tobytes())
+                blobs.append(head + before[a:b].tobytes() + (every[a:b] >> np.uint64(16)).view("u1").reshape(-1, 8)[:, :6].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), pa.array(blobs, pa.binary())], schema=arrow)
 
         for batch in batches:
@@ -199,15 +238,14 @@ def keyed(docs: DataFrame, width: int, buckets: int, hot, plain: bool) -> DataFr
                 if doc is None or not len(tokens) or digest in met:
                     continue
                 met.add(digest)
+                classes = _classes(tokens, frequent, class_of)
                 for upper in schemes(len(tokens)):
-                    keys = keys_of(tokens, upper, frequent, plain)
-                    if keys is None:
-                        raise ValueError(SHORT)
-                    found.append(np.unique(keys))
+                    keys = keys_of(tokens, classes, upper)
+                    found.append(keys)
                     ids.append(doc)
                     parts.append(part)
                     sizes.append(len(tokens))
-                    total += len(found[-1])
+                    total += len(keys[0])
                 if total > EMIT_KEYS:
                     yield flush()
                     found, ids, sizes, parts, total = [], [], [], [], 0
@@ -217,63 +255,86 @@ def keyed(docs: DataFrame, width: int, buckets: int, hot, plain: bool) -> DataFr
     return docs.mapInArrow(run, schema)
 
 
-SHORT = "a set has too few segments"
-CANDIDATES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("keys", T.LongType()), T.StructField("members", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType()))])
+def _classes(tokens: np.ndarray, frequent: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(tokens), dtype=np.uint8)
+    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+    return np.where(frequent[at] == tokens, class_of[at], 0).astype(np.uint8)
+
+
+CANDIDATES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("list", T.LongType()), T.StructField("many", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("before", T.IntegerType())])
 
 
 def _read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Keys, documents, set sizes, components and numbers of keys before."""
     n = int(np.frombuffer(blob, "<i8", 1)[0])
     docs, parts = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n)
     sizes, runs = np.frombuffer(blob, "<i4", n, 8 + 16 * n), np.frombuffer(blob, "<i4", n, 8 + 20 * n)
-    six = np.frombuffer(blob, "u1", offset=8 + 24 * n).reshape(-1, 6)
-    keys = np.zeros((len(six), 8), dtype="u1")
-    keys[:, :6] = six
-    return keys.view("<u8").ravel(), np.repeat(docs, runs), np.repeat(sizes, runs), np.repeat(parts, runs)
+    total, at = int(runs.sum()), 8 + 24 * n
+    keys = np.zeros((total, 8), dtype="u1")
+    keys[:, :6] = np.frombuffer(blob, "u1", 6 * total, at + 2 * total).reshape(-1, 6)
+    return keys.view("<u8").ravel(), np.repeat(docs, runs), np.repeat(sizes, runs), np.repeat(parts, runs), np.frombuffer(blob, "<u2", total, at).astype(np.int32)
+
+
+def _may_meet(n, m, before_n, before_m):
+    """Whether sets of these sizes can be linked with so many keys before their first common one."""
+    return (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m)) & (np.maximum(before_n, before_m) <= differences(n, m))
 
 
 def _bucket_rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    keys, docs, sizes, parts = (np.concatenate(x) for x in zip(*map(_read_blob, blobs), strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys, docs, sizes, parts = keys[order], docs[order], sizes[order], parts[order]
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    count = np.diff(np.append(edge, len(keys)))
-    wanted = np.repeat(np.minimum.reduceat(parts, edge) != np.maximum.reduceat(parts, edge), count)  # several components
-    keys, docs, sizes, parts = keys[wanted], docs[wanted], sizes[wanted], parts[wanted]
+    keys, docs, sizes, parts, before = (np.concatenate(x) for x in zip(*map(_read_blob, blobs), strict=True))
+
+    def keep(which: np.ndarray) -> None:
+        nonlocal keys, docs, sizes, parts, before
+        keys, docs, sizes, parts, before = keys[which], docs[which], sizes[which], parts[which], before[which]
+
+    def runs() -> tuple[np.ndarray, np.ndarray]:
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return edge, np.diff(np.append(edge, len(keys)))
+
+    keep(np.argsort(keys, kind="stable"))
+    edge, count = runs()
+    keep(np.repeat(np.minimum.reduceat(parts, edge) != np.maximum.reduceat(parts, edge), count))  # several components
     if not len(keys):
         return
-    order = np.lexsort((docs, keys))
-    keys, docs, sizes, parts = keys[order], docs[order], sizes[order], parts[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
-    keys, docs, sizes, parts = keys[new], docs[new], sizes[new], parts[new]
-    count = np.diff(np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys)))
-    edge = np.cumsum(count) - count
+    keep(np.lexsort((before, docs, keys)))
+    keep(np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])]))
+    edge, count = runs()
     arrow = _arrow(CANDIDATES)
-    # the first document of each key with each of its others in another component
-    first = np.repeat(edge, count)
-    other = parts[first] != parts
-    a, b = docs[first][other], docs[other]
-    small, large = np.minimum(sizes[first][other], sizes[other]), np.maximum(sizes[first][other], sizes[other])
-    ok = DENOMINATOR * small >= NUMERATOR * large
-    pairs, votes = np.unique(np.stack([a[ok], b[ok]]), axis=1, return_counts=True) if ok.any() else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
-    for lo in range(0, len(votes), 10_000):
+    in_small, pairs = np.repeat(count <= SMALL, count), []
+    for step in range(1, SMALL):
+        i = np.flatnonzero(in_small[:-step] & (keys[:-step] == keys[step:]))
+        j = i + step
+        ok = (parts[i] != parts[j]) & _may_meet(sizes[i], sizes[j], before[i], before[j])
+        pairs.append(np.stack([docs[i[ok]], docs[j[ok]]]))
+    a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    for lo in range(0, len(a), 10_000):
+        some = [pa.array(x[lo : lo + 10_000]) for x in (a, b)]
+        yield pa.RecordBatch.from_arrays([*some, *(pa.nulls(len(some[0]), f.type) for f in list(arrow)[2:])], schema=arrow)
+    large = np.flatnonzero(count > SMALL)
+    if not len(large):
+        return
+    with np.errstate(over="ignore"):  # lists of the same documents become one; so would lists that met in a hash
+        name = np.add.reduceat(mix64(docs.view(np.uint64)), edge)[large].view(np.int64)
+    at = np.repeat(edge[large], count[large]) + _places(count[large])
+    name, many = np.repeat(name, count[large]), np.repeat(count[large], count[large])
+    order = np.lexsort((before[at], docs[at], many, name))
+    at, name, many = at[order], name[order], many[order]
+    new = np.concatenate([[True], (name[1:] != name[:-1]) | (many[1:] != many[:-1]) | (docs[at[1:]] != docs[at[:-1]])])
+    at, name, many = at[new], name[new], many[new].astype(np.int32)
+    for lo in range(0, len(at), 10_000):
         part = slice(lo, lo + 10_000)
-        n = len(votes[part])
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0][part]), pa.array(pairs[1][part]), pa.array(votes[part]), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], schema=arrow)
-    # each distinct list of three documents or more
-    lists = np.flatnonzero(count > 2)
-    if len(lists):
-        with np.errstate(over="ignore"):
-            digest = np.add.reduceat(mix64(docs.view(np.uint64)), edge)[lists]
-        lists = lists[np.unique(digest, return_index=True)[1]]
-        for lo in range(0, len(lists), 1000):
-            members = [docs[edge[i] : edge[i] + count[i]] for i in lists[lo : lo + 1000]]
-            own = [sizes[edge[i] : edge[i] + count[i]].astype(np.int64) for i in lists[lo : lo + 1000]]
-            none = pa.nulls(len(members), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(members, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64()))], schema=arrow)
+        own = at[part]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), *map(pa.array, (name[part], many[part], docs[own], sizes[own], before[own]))], schema=arrow)
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of consecutive runs of these sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def candidates(blobs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (a, b, keys) to verify first, and rows of members and their set sizes for longer keys."""
+    """Rows (a, b) of short lists, and rows (list, many, doc, n, before) of the longer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, own = None, []
@@ -290,80 +351,138 @@ def candidates(blobs: DataFrame, buckets: int) -> DataFrame:
     return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, CANDIDATES)
 
 
-PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("linked", T.BooleanType())])
-
-
-def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(a, b, linked) for pairs (a, b), exactly: bitmaps of the sets refuse most others, whole sets decide the rest."""
-    pairs = materialise(pairs, "pairs")
-    possible = _compared(pairs, docs, width, _bitmap, _may_link)
-    rest = materialise(possible.where("linked").select("a", "b"), "possible")
-    sure = _compared(rest, docs, width, lambda tokens: tokens.tobytes(), _do_link)
-    return possible.where("not linked").union(sure)
-
-
 def _bitmap(tokens: np.ndarray) -> bytes:
-    """The number of tokens, and a bit for each of their hashes below a power of two from twice that number on."""
-    size = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    """A bit for each token's hash below a power of two, from ``BITS`` times the number of tokens on."""
+    size = max(64, 1 << (BITS * len(tokens) - 1).bit_length())
     bits = np.zeros(size, dtype=np.uint8)
     bits[(mix64(tokens) & np.uint64(size - 1)).astype(np.int64)] = 1
-    return len(tokens).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _may_link(x: bytes, y: bytes) -> bool:
-    """False only if the sets can't link: a bit that one bitmap alone has stands for a token that one set alone has."""
-    m, n = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
-    a, b = np.frombuffer(x, "<u8", offset=8), np.frombuffer(y, "<u8", offset=8)
-    size = min(len(a), len(b))
-    a, b = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (a, b))  # bits of hashes below the smaller power
-    return linked(min(m - int(np.bitwise_count(a & ~b).sum()), n - int(np.bitwise_count(b & ~a).sum())), m, n)
+def _folded(bits: list[bytes]) -> np.ndarray:
+    """A matrix of bitmaps, each with bits for hashes below the smallest power among them."""
+    words = min(map(len, bits)) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, "<u8").reshape(-1, words), axis=0) for b in bits])
 
 
-def _do_link(x: bytes, y: bytes) -> bool:
-    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-    return linked(_common(a, b), len(a), len(b))
+def most_common(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Common tokens at most, for rows of bitmaps: a bit that one alone has stands for a token that one set alone has."""
+    return np.minimum(n - np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64))
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, width: int, form, holds) -> DataFrame:
-    """(a, b, linked) for written pairs (a, b): ``holds`` of the two sets' ``form``.
+def block_pairs(x: dict, y: dict | None, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of documents of two blocks, or of one, in different components, that nothing refuses as yet.
 
-    The pairs of one ``a`` meet in groups of ``GROUP`` b's. A group streams: one set of ``a`` stays, the others pass.
+    ``best``: for each component only the pair whose bitmaps have most in common.
     """
-    if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], PAIR)
-    salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(Window.partitionBy("a")) / GROUP)).cast("int"))
-    roles = salted.select(F.col("b").alias("doc"), F.col("a").alias("rep"), "part").union(salted.select(F.col("a").alias("doc"), F.col("a").alias("rep"), "part").distinct())
-    roles = materialise(roles.groupBy("doc").agg(F.collect_list(F.struct("rep", "part")).alias("roles")), "roles")
-    if roles.count() <= MAX_BROADCAST:
-        roles = F.broadcast(roles)
-    texts = docs.join(roles, "doc").select("doc", "text", "roles")
-    kind = T.ArrayType(T.StructType([T.StructField("rep", T.LongType()), T.StructField("part", T.IntegerType())]))
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("roles", kind)])
+    bits = _folded(x["bits"] + (y["bits"] if y else []))
+    left, right = bits[: len(x["doc"])], bits[len(x["doc"]) :] if y else bits
+    y, same = y or x, y is None
+    step, found = max(1, 1_000_000 // max(1, len(y["doc"]))), []
+    for lo in range(0, len(left), step):
+        row = {k: x[k][lo : lo + step, None] for k in ("doc", "n", "before", "component")}
+        ok = (row["component"] != y["component"]) & _may_meet(row["n"], y["n"], row["before"], y["before"])
+        i, j = np.nonzero(ok & (row["doc"] < y["doc"]) if same else ok)
+        most = max(1, 2_000_000 // bits.shape[1])
+        for at in range(0, len(i), most):
+            u, v = i[at : at + most] + lo, j[at : at + most]
+            n, m = x["n"][u], y["n"][v]
+            both = most_common(left[u], right[v], n, m)
+            may = linked(both, n, m)
+            u, v, share = u[may], v[may], (both / (n + m - both))[may]
+            found.append([x["doc"][u], y["doc"][v], x["component"][u], y["component"][v], share])
+        if best and found:
+            found = [_best_of(*map(np.concatenate, zip(*found, strict=True)))]
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _best_of(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort((b, a, -share))
+    first = np.union1d(order[np.unique(of_a[order], return_index=True)[1]], order[np.unique(of_b[order], return_index=True)[1]])
+    return [z[first] for z in (a, b, of_a, of_b, share)]
+
+
+PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def in_lists(lists: DataFrame, bits: DataFrame, within: DataFrame, best: bool) -> DataFrame:
+    """(a, b) across components that sizes, positions and bitmaps can't refuse, from blocks of the lists' documents."""
+    placed = _placed(lists, within, "doc")
+    open_ = materialise(placed.groupBy("list", "many").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list", "many"), "open")
+    placed = placed.join(open_, ["list", "many"], "left_semi").join(bits, "doc")
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("list", "many", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "n", "before", "component", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, group, own = _arrow(PAIR), None, []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            sides = {}
+            for row in own:
+                sides.setdefault(row[0], []).append(row[1:])
+            sides = [{k: list(c) if k == "bits" else np.array(c, dtype=np.int64) for k, c in zip(("doc", "n", "before", "component", "bits"), zip(*rows, strict=True), strict=True)} for rows in sides.values()]
+            if len(sides) == 2 or sides and group[2] == group[3]:
+                a, b = block_pairs(sides[0], sides[1] if len(sides) == 2 else None, best)
+                for lo in range(0, len(a), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 10_000]), pa.array(b[lo : lo + 10_000])], schema=arrow)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = _arrow(schema)
         for batch in batches:
-            for lo, hi, texts in text_slices(batch.column(1), SLICE_BYTES):
-                tokens = [form(s) for s in shingle_sets(texts, width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(tokens, pa.binary()), batch.column(2)[lo:hi].cast(arrow[2].type)], schema=arrow)
+            for *key, block, doc, n, before, component, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != group:
+                    yield from pairs()
+                    group, own = key, []
+                own.append((block, doc, n, before, component, raw))
+        yield from pairs()
+
+    keys = ["list", "many", "low", "high"]
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, PAIR).distinct()
+
+
+def _fits(rows: int, width: int) -> bool:
+    return rows * width <= MAX_BROADCAST_BYTES
+
+
+def compared(pairs: DataFrame, forms: DataFrame, holds) -> DataFrame:
+    """The written pairs (a, b) for which ``holds`` of rows (n, form) of both documents in forms (doc, n, form).
+
+    The pairs of one ``a`` meet in groups of about ``GROUP`` b's. A group streams: the rows of ``a`` stay, the others pass.
+    """
+    many = materialise(pairs.groupBy("a").count(), "many").withColumn("parts", F.ceil(F.col("count") / GROUP))
+    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    roles = salted.select(F.col("b").alias("doc"), F.col("a").alias("rep"), "part").union(salted.select(F.col("a").alias("doc"), F.col("a").alias("rep"), "part").distinct())
+    met = materialise(roles, "roles").join(forms, "doc").select("rep", "part", "doc", "n", "form")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, group, own = _arrow(PAIR), None, []
         for batch in batches:
             rows = []
-            for rep, part, doc, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for rep, part, doc, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (rep, part) != group:
                     group, own = (rep, part), []
                 if doc == rep:
-                    own.append(raw)  # a repeated id has several sets
-                    continue
-                rows.append((rep, doc, any(holds(o, raw) for o in own)))
+                    own.append((n, raw))  # a repeated id has several sets
+                elif any(holds(*o, n, raw) for o in own):
+                    rows.append((rep, doc))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    met = texts.mapInArrow(sets, schema).select(F.explode("roles").alias("r"), "doc", "tokens").select("r.rep", "r.part", "doc", "tokens")
     met = met.repartition("rep", "part").sortWithinPartitions("rep", "part", (F.col("doc") != F.col("rep")))
-    return materialise(met.mapInArrow(compare, PAIR).groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
+    return met.mapInArrow(compare, PAIR).distinct()
+
+
+def _may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
+    """False only if the sets can't link."""
+    a, b = _folded([x, y])
+    return bool(linked(most_common(a, b, n, m), n, m))
+
+
+def _do_link(n: int, x: bytes, m: int, y: bytes) -> bool:
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    return bool(linked(_common(a, b), n, m))
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -373,81 +492,97 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
+def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The written pairs (a, b) that are links, by their whole sets."""
+    needed = materialise(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "needed")
+    texts = docs.join(F.broadcast(needed) if _fits(needed.count(), 8) else needed, "doc", "left_semi").select("doc", "text")
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("form", T.BinaryType())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = _arrow(schema)
+        for batch in batches:
+            for lo, hi, texts in text_slices(batch.column(1), SLICE_BYTES):
+                own = list(shingle_sets(texts, width))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], schema=arrow)
+
+    return materialise(compared(pairs, texts.mapInArrow(sets, schema), _do_link), "verified")
+
+
 def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame:
     """One row (``key``, n_shingles, component_id) per row of ``df``; ``key`` is an integer column."""
     spark = df.sparkSession
     ship_package(spark)
-    docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     described = materialise(describe(docs, width), "sets")
-    rows = described.where("not frequent").select("doc", "n", "digest", "sketch")
-    top = described.where("frequent").groupBy("doc").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_HOT).orderBy(F.desc("n"), "doc").limit(MAX_HOT)
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top.select("doc").collect()], dtype=np.int64).view(np.uint64)).tobytes())
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(12, -(-int(total) // (2 * BUCKET_KEYS)))  # half the tokens, about, become keys
+    rows = described.where("not frequent").select("doc", "n", "digest")
+    buckets = max(12, -(-int(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // (2 * BUCKET_KEYS)))  # half the tokens, about, become keys
+    hot = spark.sparkContext.broadcast(frequent_tokens(described))
     # equal sets are one node, named by their smallest document
-    same = rows.where("digest is not null and doc is not null")
-    named = same.join(same.groupBy("digest").agg(F.min("doc").alias("node")), "digest").select("doc", "node", "n", "sketch")
-    edges = named.where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
-    tokens = named.where("doc = node").select("doc", "n", F.explode("sketch").alias("token"))
-    first = tokens.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("first"), F.count("*").alias("many")).where("many > 1")
-    asked = tokens.join(first, "token").where("doc <> first.doc").where(_similar("n", "first.n"))
-    asked = materialise(asked.groupBy(F.col("first.doc").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("keys")), "asked")
-    done = None
-    for step in range(SKETCH_ROUNDS):
-        pairs = _best(_across(asked, components(edges)).join(done, ["a", "b"], "left_anti") if step else asked)
-        checked = verify(pairs, docs, width)
-        done = done.union(checked.select("a", "b")) if step else checked.select("a", "b")
-        edges = edges.union(checked.where("linked").select("a", "b"))
-    within = components(edges).withColumnRenamed("node", "doc")
-    if within.count() <= MAX_BROADCAST:
-        within = F.broadcast(within)
-    placed = docs.join(within, "doc", "left").select("doc", "text", F.coalesce("component", "doc").alias("component"))
-    try:
-        found = materialise(candidates(keyed(placed, width, buckets, hot, False), buckets), "candidates")
-    except Exception as error:
-        if SHORT not in str(error):
-            raise
-        found = materialise(candidates(keyed(placed, width, buckets, hot, True), buckets), "candidates")
-    pairs_left = found.where("a is not null").groupBy("a", "b").agg(F.sum("keys").alias("keys"))
-    lists = found.where("members is not null").select("members", "sizes").distinct()  # many keys have the same documents
-    # named by a hash: lists that met in one would only propose more pairs
-    lists = lists.select(F.xxhash64("members").alias("list"), F.explode(F.arrays_zip("members", "sizes")).alias("m"))
-    lists = materialise(lists.select("list", F.col("m.members").alias("doc"), F.col("m.sizes").alias("n")), "lists")
-    for step in range(STAR_ROUNDS + 1):
-        within = components(edges)
-        placed = lists.join(within.withColumnRenamed("node", "doc"), "doc", "left").select("list", "doc", "n", F.coalesce("component", "doc").alias("component"))
-        left = _across(pairs_left, within)
-        if step < STAR_ROUNDS:  # each document with the first one of another component in its lists
-            heads = placed.groupBy("list", "component").agg(F.min(F.struct("doc", "n")).alias("head"))
-            mine = placed.join(heads.select("list", F.col("component").alias("other"), "head"), "list").where("component <> other")
-            mine = mine.where(_similar("n", "head.n")).select(F.least("doc", "head.doc").alias("a"), F.greatest("doc", "head.doc").alias("b"), F.lit(1).alias("keys"))
-            left = left.unionByName(mine).groupBy("a", "b").agg(F.sum("keys").alias("keys"))
-            pairs = _best(left.join(done, ["a", "b"], "left_anti"))
-        else:
-            open_ = placed.join(placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list"), "list", "left_semi")
-            x, y = open_.alias("x"), open_.alias("y")
-            cross = x.join(y, "list").where(F.expr("x.component <> y.component and x.doc < y.doc")).where(_similar("x.n", "y.n")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-            pairs = left.select("a", "b").union(cross).distinct().join(done, ["a", "b"], "left_anti")
-        checked = verify(pairs, docs, width)
-        done, edges = done.union(checked.select("a", "b")), edges.union(checked.where("linked").select("a", "b"))
-    final = components(edges).select(F.col("node").alias("doc"), "component")
-    out = rows.join(final, "doc", "left")
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    classes = rows.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("node"), F.count("*").alias("many"))
+    classes = materialise(classes.where("many > 1").select("digest", "node"), "classes")
+    gone = materialise(rows.where("doc is not null").join(classes, "digest").where("doc <> node").select("doc", "digest", "node").distinct(), "gone")
+    nodes = described.where("not frequent and digest is not null and doc is not null").join(gone, ["doc", "digest"], "left_anti")
+    nodes = materialise(nodes.select("doc", "n", "sketch", F.col("bits").alias("form")), "nodes")
+    within = components(gone.select(F.col("doc").alias("a"), F.col("node").alias("b")))
+    asked, done = materialise(by_sketch(nodes), "asked"), None
+    for _ in range(SKETCH_ROUNDS):
+        left = asked if done is None else _across(asked, within).join(done, ["a", "b"], "left_anti")
+        pairs = materialise(_best(left), "pairs")
+        links = verify(materialise(compared(pairs, nodes, _may_link), "possible"), docs, width)
+        done = pairs if done is None else done.union(pairs)
+        within = merged(within, links)
+    small = F.broadcast(within) if _fits(within.count(), 16) else within
+    blobs = keyed(_placed(docs, small, "doc").select("doc", "text", "component"), width, buckets, hot)
+    found = materialise(candidates(blobs, buckets), "candidates")
+    lists = found.where("list is not null").groupBy("list", "many", "doc", "n").agg(F.min("before").alias("before"))
+    lists = materialise(lists, "lists")
+    short = materialise(found.where("a is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "short")
+    short = materialise(compared(short, nodes, _may_link), "possible")
+    listed = lists.select("doc").distinct()
+    bits = materialise(nodes.join(F.broadcast(listed) if _fits(listed.count(), 8) else listed, "doc", "left_semi").select("doc", F.col("form").alias("bits")), "bits")
+    for step in range(BEST_ROUNDS + 1):
+        best = step < BEST_ROUNDS
+        pairs = in_lists(lists, bits, within, best).union(_best(_across(short, within)) if best else _across(short, within).select("a", "b"))
+        pairs = materialise(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        links = verify(pairs, docs, width)
+        done, within = done.union(pairs), merged(within, links)
+    named = rows.join(classes, "digest", "left").select("doc", "n", F.coalesce("node", "doc").alias("node"))
+    out = named.join(within.withColumnRenamed("doc", "node"), "node", "left")
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
+
+
+def frequent_tokens(described: DataFrame) -> tuple[bytes, bytes]:
+    """Sorted tokens of at least ``MIN_HOT`` counts, ``MAX_HOT`` at most, and their class: the logarithm of the count."""
+    top = described.where("frequent").groupBy("doc").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_HOT).orderBy(F.desc("n"), "doc").limit(MAX_HOT).collect()
+    tokens = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order].tobytes(), np.array([int(r[1]).bit_length() for r in top], dtype=np.uint8)[order].tobytes()
+
+
+def by_sketch(nodes: DataFrame) -> DataFrame:
+    """(a, b, keys): for each token of a sketch, its smallest document with each of its others of similar size."""
+    tokens = nodes.select("doc", "n", F.explode("sketch").alias("token"))
+    first = materialise(tokens.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("first"), F.count("*").alias("many")).where("many > 1").select("token", "first"), "first")
+    asked = tokens.join(first, "token").where("doc <> first.doc").where(DENOMINATOR * F.least("n", "first.n") >= NUMERATOR * F.greatest("n", "first.n"))
+    return asked.groupBy(F.col("first.doc").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("keys"))
 
 
 def _best(pairs: DataFrame) -> DataFrame:
     """For each b the a that most keys ask for, the smallest of several."""
-    return pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
+    keys = F.col("keys") if "keys" in pairs.columns else F.lit(1)
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct(keys, -F.col("a"))).alias("a")).select("a", "b")
 
 
-def _across(pairs: DataFrame, within: DataFrame) -> DataFrame:
-    """The pairs (a, b, keys) whose documents lie in different components."""
-    both = pairs.join(within.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(within.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "keys")
+def _placed(rows: DataFrame, within: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the component of the document in ``column``: its own id where it has no link."""
+    own = within.select(F.col("doc").alias("_doc"), F.col("component").alias("_component"))
+    return rows.join(own, F.col(column) == F.col("_doc"), "left").withColumn("component", F.coalesce("_component", column)).drop("_doc", "_component")
 
 
-def _similar(a: str, b: str):
-    return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
+def _across(pairs: DataFrame, within: DataFrame) -> DataFrame:
+    """The pairs whose documents lie in different components."""
+    both = _placed(_placed(pairs, within, "a").withColumnRenamed("component", "of_a"), within, "b")
+    return both.where("of_a <> component").select(*pairs.columns)
 
 
 def deduplicate(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame:
