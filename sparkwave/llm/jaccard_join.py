@@ -20,10 +20,11 @@ sets is found by them, a link with another set by the other's segments.
 
 Links are found in rounds. First, each set's ``SKETCH`` smallest mixed tokens propose the smallest document that shares most of
 them. Then all kept keys go to buckets in compressed blobs, with each document's component so far. A bucket passes on only
-keys whose documents lie in several components: pairs for up to ``SMALL`` documents, and a row for each document of the
-longer lists. These are compared in blocks: a task holds the bitmaps of two blocks of a list and returns pairs that size,
-position and bitmaps can't refuse; at first only the best one of each component, at last all that lie across components.
-No pair within a list is made as a row before. Whole sets decide all pairs, so the components are exact.
+keys whose documents lie in several components: the pairs that size and position can't refuse, where they are at most
+``PAIRS`` times the documents, and else a row for each document that has such a pair. These lists are compared in blocks: a
+task holds the bitmaps of two blocks of a list and returns pairs that bitmaps can't refuse either; at first only the best
+one of each component, at last all that lie across components. So the rows made are in proportion to the documents of the
+lists, not to their squares. Whole sets decide all pairs, so the components are exact.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; texts of fewer than five words
 have one shingle; repeated rows and equal texts share a component; a repeated key with several texts has the links of
@@ -61,8 +62,9 @@ MAX_HOT = 200_000
 #: Ids that are broadcast at once, at most, in bytes; beyond, the join is shuffled.
 MAX_BROADCAST_BYTES = 32 << 20
 GROUP = 512
-#: Documents of a list whose pairs its bucket gives out itself, and documents of a block of a longer list.
-SMALL, BLOCK = 4, 2048
+#: Pairs for each document of a list that its bucket gives out itself, at most; documents of a block of a list; lists up
+#: to ``SHORT`` documents are gone through together.
+PAIRS, BLOCK, SHORT = 8, 2048, 64
 BITS = 8  # of a bitmap for each token, at least
 _ONE = np.uint64(1)
 _FORM = {"subset": np.uint64(0x9FB21C651E98DF25), "deletion": np.uint64(0xA24BAED4963EE407), "token": np.uint64(0xD6E8FEB86659FD93)}
@@ -301,40 +303,55 @@ def _bucket_rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     keep(np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])]))
     edge, count = runs()
     arrow = _arrow(CANDIDATES)
-    in_small, pairs = np.repeat(count <= SMALL, count), []
-    for step in range(1, SMALL):
-        i = np.flatnonzero(in_small[:-step] & (keys[:-step] == keys[step:]))
-        j = i + step
-        ok = (parts[i] != parts[j]) & _may_meet(sizes[i], sizes[j], before[i], before[j])
-        pairs.append(np.stack([docs[i[ok]], docs[j[ok]]]))
-    a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    sparse, met = _pairs_of_sparse(edge, count, docs, sizes, parts, before)
+    a, b = np.unique(np.sort(docs[sparse], axis=0), axis=1)
     for lo in range(0, len(a), 10_000):
         some = [pa.array(x[lo : lo + 10_000]) for x in (a, b)]
         yield pa.RecordBatch.from_arrays([*some, *(pa.nulls(len(some[0]), f.type) for f in list(arrow)[2:])], schema=arrow)
-    large = np.flatnonzero(count > SMALL)
-    if not len(large):
+    keep(met)
+    if not len(keys):
         return
+    edge, count = runs()
     with np.errstate(over="ignore"):  # lists of the same documents become one; so would lists that met in a hash
-        name = np.add.reduceat(mix64(docs.view(np.uint64)), edge)[large].view(np.int64)
-    at = np.repeat(edge[large], count[large]) + _places(count[large])
-    name, many = np.repeat(name, count[large]), np.repeat(count[large], count[large])
-    order = np.lexsort((before[at], docs[at], many, name))
-    at, name, many = at[order], name[order], many[order]
-    new = np.concatenate([[True], (name[1:] != name[:-1]) | (many[1:] != many[:-1]) | (docs[at[1:]] != docs[at[:-1]])])
-    at, name, many = at[new], name[new], many[new].astype(np.int32)
-    for lo in range(0, len(at), 10_000):
+        name = np.add.reduceat(mix64(docs.view(np.uint64)), edge).view(np.int64)
+    name, many = np.repeat(name, count), np.repeat(count, count)
+    order = np.lexsort((before, docs, many, name))
+    keep(order)
+    name, many = name[order], many[order].astype(np.int32)
+    new = np.concatenate([[True], (name[1:] != name[:-1]) | (many[1:] != many[:-1]) | (docs[1:] != docs[:-1])])
+    keep(new)
+    name, many = name[new], many[new]
+    for lo in range(0, len(docs), 10_000):
         part = slice(lo, lo + 10_000)
-        own = at[part]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), *map(pa.array, (name[part], many[part], docs[own], sizes[own], before[own]))], schema=arrow)
-
-
-def _places(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ... within each of consecutive runs of these sizes."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        none = pa.nulls(len(docs[part]), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x[part]) for x in (name, many, docs, sizes, before))], schema=arrow)
+
+
+def _pairs_of_sparse(edge: np.ndarray, count: np.ndarray, docs: np.ndarray, sizes: np.ndarray, parts: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of lists in which at most ``PAIRS`` times their number of documents may meet; for the
+    other lists, marks for the documents that may meet any."""
+    may = lambda i, j: (parts[i] != parts[j]) & _may_meet(sizes[i], sizes[j], before[i], before[j])
+    of, found, dense, met = np.repeat(np.arange(len(count)), count), [], count > BLOCK, np.zeros(len(docs), dtype=bool)
+    met[dense[of]] = True  # their documents are dealt to several tasks
+    at = np.flatnonzero(np.repeat(count <= SHORT, count))
+    for step in range(1, SHORT):
+        at = at[at + step < edge[of[at]] + count[of[at]]]
+        ok = may(at, at + step)
+        found.append(np.stack([at[ok], at[ok] + step]))
+    for k in np.flatnonzero((count > SHORT) & ~dense):
+        own = np.arange(edge[k], edge[k] + count[k])
+        for lo in range(0, len(own), 256):
+            i, j = np.nonzero(may(own[lo : lo + 256, None], own[None, :]) & (own[lo : lo + 256, None] < own[None, :]))
+            found.append(np.stack([own[lo + i], own[j]]))
+    pairs = np.concatenate(found, axis=1)
+    dense |= np.bincount(of[pairs[0]], minlength=len(count)) > PAIRS * count
+    in_dense = dense[of[pairs[0]]]
+    met[pairs[:, in_dense].ravel()] = True
+    return pairs[:, ~in_dense], met
 
 
 def candidates(blobs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (a, b) of short lists, and rows (list, many, doc, n, before) of the longer ones."""
+    """Rows (a, b) of lists with few pairs, and rows (list, many, doc, n, before) of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, own = None, []
