@@ -1,15 +1,18 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are whole words: each run of letters and digits, lower-cased. Document frequencies are counted over every labelled
-training row. A term's weight is idf * (1 + chi2), where chi2 is the chi-square of its presence against the label, so a
-term that tells nothing keeps its idf and none is left out. Vectors are (1 + log tf) * weight over all terms of the
-examples, normalised; a word that no example has would shorten all of a text's cosines alike and isn't taken.
-
-Examples are a bounded sample: at most ``MAX_EXAMPLES`` different texts of each label among the training rows, those with
-the smallest hash; a text's number of rows is its weight in votes and in calibration. The inverted index keeps a term's postings in order of example number, in blocks with the largest weight of
-each block. A query takes its terms by falling upper bound, some at a time; once the bounds of the terms still to come
-leave few examples that can reach the k-th best score, only blocks that hold such an example and whose maximum could still
-lift it are read, so the k nearest are exact (ties to the smaller example number).
+Terms are whole words: each run of letters and digits, lower-cased. A term's weight is idf * (1 + chi2), where chi2 is the
+chi-square of its presence against the label, so a term that tells nothing keeps its idf and none is left out. Vectors are
+(1 + log tf) * weight over all terms of the examples, normalised; a word that no example has would shorten all of a text's
+cosines alike and isn't taken.
+
+The model is fitted on a bounded sample of labelled rows: those of ``DRAWN * MAX_EXAMPLES`` different keys of each label at
+most, those with the smallest hash, give the document frequencies, each row standing for as many as its label has for each
+that is drawn. Of these, at most ``MAX_EXAMPLES`` different texts of each label are examples, in order of their digest; a
+text's number of rows is its weight in votes and in calibration. The inverted index keeps a term's
+postings in order of example number, in blocks with the largest weight of each block. A query takes its terms by falling
+upper bound, some at a time; once the bounds of the terms still to come leave few examples that can reach the k-th best
+score, only blocks that hold such an example and whose maximum could still lift it are read, so the k nearest are exact
+(ties to the smaller example number).
 
 A score is the share of label 1 in the neighbours' votes, weighted by similarity and rows, and mapped to a probability by
 isotonic bins fitted on the examples' rows, each scored without itself. Texts without a term of the vocabulary
@@ -36,7 +39,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise, ship_package
 
-MAX_EXAMPLES = 2000
+MAX_EXAMPLES, DRAWN = 2000, 4
 NEIGHBOURS = 15
 BLOCK = 64
 #: Terms that a query takes at a time, and the share of the examples that must be shut out before blocks are looked at.
@@ -183,36 +186,47 @@ def calibrate(raw: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> tuple[np
     return np.array([-np.inf, *edges[1:]]), np.maximum.accumulate(levels)
 
 
+def draw(labels: DataFrame, key: str, label: str, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """(key, label, times) of labelled rows, ``most`` different keys of each label at most: those with the smallest hash.
+    Also the number of different keys by label."""
+    marked = labels.where(F.col(f"`{label}`").isin(0, 1)).where(F.col(f"`{key}`").isNotNull())
+    marked = marked.groupBy(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).agg(F.count("*").alias("times"))
+    marked = materialise(marked, "toxicity-labels")
+    drawn = [marked.where(F.col("label") == y).orderBy(F.xxhash64("key"), "key").limit(most) for y in (1, 0)]
+    return materialise(drawn[0].unionByName(drawn[1]), "toxicity-drawn"), {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Model:
-    """A model of the labelled documents. Their terms are counted in full; ``max_examples`` bounds the different texts by label."""
+    """A model of a bounded sample of the labelled documents. ``max_examples`` bounds the different texts by label; frequencies
+    and chi-squares are those of ``DRAWN`` times as many labelled documents. Documents are read once and not shuffled."""
     ship_package(docs.sparkSession)
-    marked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(marked, "key")
+    drawn, every = draw(labels, key, label, DRAWN * max_examples)
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(drawn), "key")
+    texts = rows.withColumn("digest", F.md5("text")).groupBy("label", "digest").agg(F.sum("times").alias("rows"), F.min("key").alias("key"), F.first("text").alias("text"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(batch: pd.Series) -> pd.Series:
         return batch.map(lambda x: [f"{t}\t{n}" for t, n in Counter(words(x)).items()])
 
-    counted = rows.select("key", "label", F.xxhash64("text").alias("order"), F.md5("text").alias("digest"), split.asNondeterministic()("text").alias("terms"))
-    counted = materialise(counted, "toxicity-terms")
-    totals = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    n = n1 + n0
-    term = counted.select("label", F.explode("terms").alias("term")).select("label", F.substring_index("term", "\t", 1).alias("term"))
-    df = term.groupBy("term").agg(F.sum("label").alias("d1"), F.count("*").alias("d"))
-    d1, d = F.col("d1").cast("double"), F.col("d").cast("double")
-    chi2 = F.lit(float(n)) * F.pow(d1 * F.lit(float(n)) - d * F.lit(float(n1)), F.lit(2.0)) / (d * (F.lit(float(n)) - d) * F.lit(float(max(n1, 1)) * max(n0, 1)))
-    texts = counted.groupBy("label", "order", "digest").agg(F.count("*").alias("rows"), F.min("key").alias("key"))
-    drawn = [texts.where(F.col("label") == y).orderBy("order", "digest").limit(max_examples) for y in (1, 0)]
-    drawn = F.broadcast(drawn[0].unionByName(drawn[1]))
-    drawn = counted.join(drawn, ["label", "order", "digest", "key"]).dropDuplicates(["label", "order", "digest"])
-    drawn = materialise(drawn, "toxicity-examples")
+    counted = materialise(materialise(texts, "toxicity-texts").select("label", "digest", "rows", "key", split.asNondeterministic()("text").alias("terms")), "toxicity-terms")
+    found = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.sum("rows").alias("n")).collect()}
+    # the labels are drawn apart, so a row found stands for as many rows as its label has keys for each key drawn
+    each = {y: every[y] / min(every[y], DRAWN * max_examples) if y in every else 0.0 for y in (0, 1)}
+    totals = {y: found.get(y, 0) * each[y] for y in (0, 1)}
+    n1, n = totals[1], totals[0] + totals[1]
+    term = counted.select("label", (F.col("rows") * F.when(F.col("label") == 1, each[1]).otherwise(each[0])).alias("rows"), F.explode("terms").alias("term"))
+    term = term.select("label", "rows", F.substring_index("term", "\t", 1).alias("term"))
+    df = term.groupBy("term").agg(F.sum(F.col("label") * F.col("rows")).alias("d1"), F.sum("rows").alias("d"))
+    d1, d = F.col("d1"), F.col("d")
+    chi2 = F.lit(float(n)) * F.pow(d1 * F.lit(float(n)) - d * F.lit(float(n1)), F.lit(2.0)) / (d * (F.lit(float(n)) - d) * F.lit(float(max(n1, 1) * max(totals[0], 1))))
+    taken = [counted.where(F.col("label") == y).orderBy("digest").limit(max_examples) for y in (1, 0)]
+    drawn = materialise(taken[0].unionByName(taken[1]), "toxicity-examples")
     used = drawn.select(F.explode("terms").alias("term")).select(F.substring_index("term", "\t", 1).alias("term")).distinct()
-    weight = (F.log(F.lit(float(n)) / d) + 1) * (1 + F.when(d < n, chi2).otherwise(0.0))
+    weight = (F.log(F.lit(float(n)) / d) + 1) * (1 + F.when(d < n - 0.5, chi2).otherwise(0.0))
     weighed = df.join(used, "term", "left_semi").select("term", weight.alias("weight")).toArrow()
     vocabulary = sorted(zip(weighed["term"].to_pylist(), weighed["weight"].to_pylist(), strict=True))
     examples, names, rows_of = [], [], []
-    for r in drawn.orderBy(F.desc("label"), "order", "digest").select("key", "label", "rows", "terms").toLocalIterator():
+    for r in drawn.orderBy(F.desc("label"), "digest").select("key", "label", "rows", "terms").toLocalIterator():
         examples.append((r["label"], {t: int(c) for t, c in (pair.split("\t") for pair in r["terms"])}))
         names.append(r["key"])
         rows_of.append(r["rows"])
@@ -227,9 +241,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             marks.append(y)
             sizes.append(rows_of[i])
     # examples are drawn by label, so a count stands for its label's share in the training rows
-    share = [totals.get(y, 0) / max(1, sum(c for e, c in zip(examples, rows_of, strict=True) if e[0] == y)) for y in (0, 1)]
-    edges, levels = calibrate(np.array(raw), np.array(marks, dtype=float), np.array(sizes, dtype=float)) if raw else (np.array([-np.inf]), np.array([n1 / n if n else 0.0]))
-    none = blank[1] * share[1] / (blank[0] * share[0] + blank[1] * share[1]) if any(blank) else (n1 / n if n else 0.0)
+    prior = n1 / n if n else 0.0
+    share = [totals[y] / max(1, sum(c for e, c in zip(examples, rows_of, strict=True) if e[0] == y)) for y in (0, 1)]
+    edges, levels = calibrate(np.array(raw), np.array(marks, dtype=float), np.array(sizes, dtype=float)) if raw else (np.array([-np.inf]), np.array([prior]))
+    none = blank[1] * share[1] / (blank[0] * share[0] + blank[1] * share[1]) if any(blank) else prior
     return Model(index, edges, levels, none, names)
 
 
