@@ -43,21 +43,21 @@ def decimal(value: Fraction | int) -> str:
     raise UnsupportedFormatError("a time has no exact decimal of 32 places or fewer")
 
 
+def places(value: Fraction) -> int:
+    """Decimal places of a fraction whose decimal is finite."""
+    return len(decimal(value).partition(".")[2])
+
+
 def short_number(value: Fraction, width: int = 8) -> str:
-    """The shortest exact text of a positive number: plain, without its leading zero, or with an exponent."""
+    """An exact text of a positive number in ``width`` characters at most: the shortest of its plain decimal, that without
+    its leading zero, and a whole number of powers of ten."""
     plain = decimal(value)
-    forms = [plain, plain[1:] if plain.startswith("0.") else plain]
-    whole, _, part = plain.partition(".")
-    digits, power = (whole + part).lstrip("0"), -len(part)
-    short = digits.rstrip("0")
-    power += len(digits) - len(short)
-    for k in range(1, len(short) + 1):
-        e = power + len(short) - k
-        forms.append(short[:k] + ("." + short[k:] if k < len(short) else "") + (f"E{e}" if e else ""))
-    best = min(forms, key=lambda t: (len(t), "E" in t, t))
-    if len(best) > width:
+    digits = str(int(value * 10 ** places(value)))
+    whole = digits.rstrip("0")
+    text = min(plain, plain.removeprefix("0") or plain, f"{whole}E{len(digits) - len(whole) - places(value)}", key=len)
+    if len(text) > width:
         raise UnsupportedFormatError(f"a number has no exact text of {width} characters")
-    return best
+    return text
 
 
 def half_even(numerator: Column, denominator: Column) -> Column:

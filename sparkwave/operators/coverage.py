@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataIntegrityError
@@ -10,29 +10,45 @@ from ..sources.recording import Recording
 from . import ranges
 
 
+def _by_segment(recording: Recording) -> tuple[DataFrame, DataFrame]:
+    """Islands of stored samples within each segment, and a row (segment_index, first, last) for each segment that has any.
+
+    The second has a row per segment, which the budget of segments bounds, so it may be broadcast and pass through one task.
+    """
+    inside = ranges.stored_ranges(recording.packets(), recording.origin, ["segment_index"])
+    return inside, inside.groupBy("segment_index").agg(F.min("start").alias("first"), F.max("stop").alias("last"))
+
+
 def ranges_of(recording: Recording, start: int = 0, stop: int | None = None) -> DataFrame:
-    """Stored ranges (start, stop) inside a window."""
+    """Stored ranges (start, stop) inside a window. Only a segment's first and last range can go on in another segment."""
     start, stop = recording.window(start, stop)
-    every = ranges.stored_ranges(recording.packets().withColumn("one", F.lit(1)), recording.origin, ["one"]).drop("one")
-    return ranges.clipped(every, start, stop)
+    inside, ends = _by_segment(recording)
+    marked = inside.join(F.broadcast(ends), "segment_index")
+    at_end = (F.col("start") == F.col("first")) | (F.col("stop") == F.col("last"))
+    merged = ranges.islands(marked.where(at_end).select(F.lit(1).alias("one"), "start", "stop"), ["one"]).drop("one")
+    return ranges.clipped(marked.where(~at_end).select("start", "stop").unionByName(merged), start, stop)
+
+
+def missing_of(recording: Recording) -> DataFrame:
+    """Gaps (start, stop) of a recording: within segments, and before, between and after them; all of it if none is stored."""
+    inside, ends = _by_segment(recording)
+    order = Window.partitionBy("segment_index").orderBy("start")
+    within = inside.select(F.lag("stop").over(order).alias("start"), F.col("start").alias("stop")).where("start is not null")
+    outer = ranges.gaps(ends.select(F.lit(1).alias("one"), F.col("first").alias("start"), F.col("last").alias("stop")), ["one"], 0, recording.n_samples, [(1,)])
+    return within.unionByName(outer.drop("one"))
 
 
 def validate(recording: Recording) -> DataFrame:
     """One row: segments, packets, logical, stored and missing samples (also by place), notes, events, unparsed notes."""
-    recording.check_packets()
-    packets = recording.packets().withColumn("one", F.lit(1))
-    if ranges.overlaps(packets.select("one", F.col("sample_stamp").alias("start"), (F.col("sample_stamp") + F.col("sample_span")).alias("stop")), ["one"]).count():
-        raise DataIntegrityError("packets overlap")
-    stored = ranges.stored_ranges(packets, recording.origin, ["one"])
+    packets = recording.packets()  # reading it makes the checks of each segment's index
     n = recording.n_samples
-    holes = ranges.gaps(stored, ["one"], 0, n)
     size = F.col("stop") - F.col("start")
-    sums = holes.agg(F.coalesce(F.sum(F.when(F.col("start") == 0, size)), F.lit(0)).alias("missing_leading"), F.coalesce(F.sum(F.when(F.col("stop") == n, size)), F.lit(0)).alias("missing_trailing"), F.coalesce(F.sum(size), F.lit(0)).alias("missing_samples"))
+    sums = missing_of(recording).agg(F.coalesce(F.sum(F.when(F.col("start") == 0, size)), F.lit(0)).alias("missing_leading"), F.coalesce(F.sum(F.when(F.col("stop") == n, size)), F.lit(0)).alias("missing_trailing"), F.coalesce(F.sum(size), F.lit(0)).alias("missing_samples"))
     counts = packets.agg(F.count("*").alias("packets"), F.coalesce(F.sum("sample_span"), F.lit(0)).alias("stored_samples"))
     notes = recording.notes().agg(F.count("*").alias("notes"), F.count_if(F.col("value").isNull()).alias("unparsed_notes"))
     events = recording.events().agg(F.count("*").alias("events"))
     row = counts.crossJoin(sums).crossJoin(notes).crossJoin(events).first()  # single rows
-    if row["stored_samples"] and row["stored_samples"] + row["missing_samples"] != n:
+    if row["stored_samples"] + row["missing_samples"] != n:
         raise DataIntegrityError("stored and missing samples don't add up")
     out = {"segments": len(recording.table), "logical_samples": n, **row.asDict()}
     return recording.spark.createDataFrame([tuple(out.values())], ", ".join(f"{k} long" for k in out))

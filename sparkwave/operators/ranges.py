@@ -30,12 +30,21 @@ def overlaps(ranges: DataFrame, by: list[str], start: str = "start", stop: str =
     return ranges.where(F.col(start) >= 0).withColumn("_reach", F.max(stop).over(order)).where(F.col(start) < F.col("_reach")).drop("_reach")
 
 
-def gaps(stored: DataFrame, by: list[str], low: int, high: int) -> DataFrame:
-    """(``by``, start, stop) of what ``stored`` islands leave of [low, high), with leading and trailing gaps."""
+def gaps(stored: DataFrame, by: list[str], low: int, high: int, keys: DataFrame | list[tuple] | None = None) -> DataFrame:
+    """(``by``, start, stop) of what ``stored`` islands leave of [low, high), with leading and trailing gaps.
+
+    A key without islands has one gap, all of [low, high), if ``keys`` (``by``) names it; without ``keys`` it isn't known.
+    """
     order = Window.partitionBy(*by).orderBy("start")
     edge = stored.select(*by, F.coalesce(F.lag("stop").over(order), F.lit(low)).alias("start"), F.col("start").alias("stop"))
     tail = stored.groupBy(*by).agg(F.max("stop").alias("start")).withColumn("stop", F.lit(high).cast("long"))
-    return edge.unionByName(tail.select(*by, "start", "stop")).where("stop > start")
+    found = edge.unionByName(tail.select(*by, "start", "stop")).where("stop > start")
+    if keys is None:
+        return found
+    if isinstance(keys, list):
+        keys = stored.sparkSession.createDataFrame(keys, stored.select(*by).schema)
+    empty = keys.select(*by).distinct().join(stored.select(*by), by, "left_anti")
+    return found.unionByName(empty.select(*by, F.lit(low).cast("long").alias("start"), F.lit(high).cast("long").alias("stop")).where("stop > start"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], width: int) -> DataFrame:

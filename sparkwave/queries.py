@@ -180,8 +180,7 @@ def stored_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leading, inner and trailing gaps."""
-    r = recording(spark, sf_dir)
-    return ranges.gaps(coverage.ranges_of(r).withColumn("one", F.lit(1)), ["one"], 0, r.n_samples).drop("one")
+    return coverage.missing_of(recording(spark, sf_dir))
 
 
 def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,19 +309,13 @@ def _plan(spark: SparkSession, sf_dir: str):
 def edf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First sample and time of each record of a discontinuous file."""
     _, p = _plan(spark, sf_dir)
-    firsts, points = p.grid.firsts, p.grid.points
-    spans = F.broadcast(spark.createDataFrame([(firsts[i], firsts[i + 1], a) for i, (a, _) in enumerate(p.grid.spans)], "one long, two long, a long"))
-    records = spark.range(p.records).select(F.col("id").alias("record"))
-    met = records.join(spans, (F.col("record") >= F.col("one")) & (F.col("record") < F.col("two")))
-    start = F.col("a") + (F.col("record") - F.col("one")) * points
-    return met.select("record", start.alias("start"), (F.lit(float(p.origin)) + start / RATE).alias("onset"))
+    return p.grid.table(spark).select("record", "start", (F.lit(float(p.origin)) + F.col("start") / RATE).alias("onset"))
 
 
 def edf_event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record of each event: in a gap that after it, outside the nearest."""
     r, p = _plan(spark, sf_dir)
-    rows = [(e["ordinal"], e["sample"], p.grid.record_of(e["sample"])) for e in r.events().collect()]  # bounded by max_ent_records
-    return spark.createDataFrame(rows, "ordinal int, sample long, record long")
+    return p.grid.placed(r.events(), "sample").select("ordinal", "sample", "record")
 
 
 def _exported(spark: SparkSession, sf_dir: str) -> edf.EdfFile:

@@ -41,69 +41,87 @@ def field(value: object, width: int) -> bytes:
     return text.ljust(width)
 
 
-def header(p: EdfPlan, calibrations: list[signal.Calibration]) -> bytes:
+def header(p: EdfPlan, kinds: list[signal.Signal]) -> bytes:
     local = exact.to_datetime(p.header_ticks, timezone(timedelta(seconds=p.offset_seconds)))
     day = f"Startdate {local.day:02d}-{MONTHS[local.month - 1]}-{local.year} X X X"
     head = (0, "X X X X", day, f"{local:%d.%m.%y}", f"{local:%H.%M.%S}", p.header_bytes, p.format, p.records, p.duration, len(p.channels) + 1)
     columns = (
-        [*p.labels, signal.ANNOTATIONS], [""] * (len(p.channels) + 1), [*(signal.unit(c) for c in p.channels), ""],
-        [*(c.pmin for c in calibrations), -1], [*(c.pmax for c in calibrations), 1], [*(c.dmin for c in calibrations), signal.DIGITAL_MIN], [*(c.dmax for c in calibrations), signal.DIGITAL_MAX],
+        [*p.labels, signal.ANNOTATIONS], [""] * (len(p.channels) + 1), [*(k.unit for k in kinds), ""],
+        [*(k.physical[0] for k in kinds), -1], [*(k.physical[1] for k in kinds), 1], [*(k.digital[0] for k in kinds), signal.DIGITAL_MIN], [*(k.digital[1] for k in kinds), signal.DIGITAL_MAX],
         [""] * (len(p.channels) + 1), [*[p.grid.points] * len(p.channels), p.slot // 2], [""] * (len(p.channels) + 1),
     )
     return b"".join(map(field, head, FILE_FIELDS)) + b"".join(field(v, w) for w, values in zip(SIGNAL_FIELDS, columns, strict=True) for v in values)
 
 
-def calibrations_of(recording: Recording, p: EdfPlan, max_error: float) -> list[signal.Calibration]:
+def kinds_of(recording: Recording, p: EdfPlan, max_error: float) -> list[signal.Signal]:
     """From one pass over the stored samples: their range by channel."""
     seen = {r["channel"]: (r["low"], r["high"]) for r in coverage.block_range(recording.blocks(p.start, p.stop, list(p.channels))).collect()}
     scale = lambda c: UV_PER_COUNT if c < SIGNAL_CHANNELS else None
-    return [signal.calibrate(c, recording.header.shorted[c], scale(c), *seen.get(c, (0, 0)), max_error) for c in p.channels]
+    return [signal.signal_of(c, recording.header.shorted[c], scale(c), *seen.get(c, (0, 0)), max_error) for c in p.channels]
 
 
-def encoded(recording: Recording, p: EdfPlan, calibrations: list[signal.Calibration]) -> DataFrame:
+def pieces(recording: Recording, p: EdfPlan, form) -> DataFrame:
+    """(record, pieces): the stored counts of each record that has any, as (place, offset, data) cut from blocks.
+
+    ``data`` is what ``form`` (place, counts) gives for the counts. A record has a bounded number of pieces.
+    """
+    place_of = {c: i for i, c in enumerate(p.channels)}
+    grid, low = p.grid, p.start
+    schema = "record long, place int, offset int, data binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            lists, counts = batch.column("values"), batch.column("values").flatten().to_numpy()
+            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            at = batch.column("start_sample").to_numpy() - low
+            span = np.searchsorted(grid.starts, at, side="right") - 1
+            inside, first = at - grid.starts[span], grid.firsts[span]
+            for channel, a, b, x, record in zip(batch.column("channel").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), inside.tolist(), first.tolist(), strict=True):
+                place, own = place_of[channel], counts[a:b]
+                data, width = form(place, own), 0
+                while len(own):
+                    n = min(len(own), grid.points - x % grid.points)
+                    width = width or len(data) // len(own)
+                    rows.append((record + x // grid.points, place, x % grid.points, data[: n * width]))
+                    own, data, x = own[n:], data[n * width :], x + n
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary())], names=["record", "place", "offset", "data"])
+
+    blocks = recording.blocks(p.start, p.stop, list(p.channels)).select("channel", "start_sample", "values")
+    return blocks.mapInArrow(cut, schema).groupBy("record").agg(F.collect_list(F.struct("place", "offset", "data")).alias("pieces"))
+
+
+def notes_of(p: EdfPlan) -> dict[int, bytes]:
+    """The events of each record that has any."""
+    out: dict[int, bytes] = {}
+    for record, (_, text) in zip(p.grid.record_of([at for at, _ in p.events]).tolist() if p.events else [], p.events, strict=True):
+        out[record] = out.get(record, b"") + text
+    return out
+
+
+def encoded(recording: Recording, p: EdfPlan, kinds: list[signal.Signal]) -> DataFrame:
     """(record, payload) of every record: its channels' codes and its annotations.
 
-    Blocks are cut at record borders and quantised as columns; the pieces of a record, a bounded number, meet in one
-    shuffle by record.
+    Blocks are quantised and cut at record borders where they are decoded; a record's pieces meet in one shuffle.
     """
-    spark, h = recording.spark, recording.header
-    rows = [(c, i, float(k.pmin), float(k.pmax), k.dmin, k.dmax, k.scale, k.raw_min, k.raw_step, k.raw) for i, (c, k) in enumerate(zip(p.channels, calibrations, strict=True)) if not h.shorted[c]]
-    table = spark.createDataFrame(rows, "channel int, place int, pmin double, pmax double, dmin int, dmax int, scale double, raw_min long, raw_step long, raw boolean")
-    firsts = p.grid.firsts
-    spans = spark.createDataFrame([(a, b, firsts[i]) for i, (a, b) in enumerate(p.grid.spans)], "a long, b long, first long")
-    points = p.grid.points
-    blocks = recording.blocks(p.start, p.stop, list(p.channels)).withColumn("at", F.col("start_sample") - p.start).join(F.broadcast(table), "channel")
-    end = F.col("at") + F.size("values")
-    met = blocks.join(F.broadcast(spans), (F.col("at") >= F.col("a")) & (F.col("at") < F.col("b")))
-    in_span = lambda x: F.floor((x - F.col("a")) / points)
-    cut = met.select("*", F.explode(F.sequence(in_span(F.col("at")), in_span(end - 1))).alias("n"))
-    low = F.greatest(F.col("at"), F.col("a") + F.col("n") * points)
-    high = F.least(end, F.col("a") + (F.col("n") + 1) * points)
-    part = F.slice("values", (low - F.col("at") + 1).cast("int"), (high - low).cast("int"))
-    code = lambda v: F.when(F.col("raw"), signal.raw_code(v, F.col("raw_min"), F.col("raw_step"), F.col("dmin"))).otherwise(signal.quantised(v * F.col("scale"), F.col("pmin"), F.col("pmax"), F.col("dmin"), F.col("dmax")).cast("long"))
-    pieces = cut.select((F.col("first") + F.col("n")).alias("record"), F.struct("place", (low - F.col("a") - F.col("n") * points).cast("int").alias("offset"), F.transform(part, code).alias("codes"), "dmin", "dmax").alias("piece"))
-    grouped = pieces.groupBy("record").agg(F.collect_list("piece").alias("pieces"))
-    every = spark.range(p.records).select(F.col("id").alias("record")).join(grouped, "record", "left")
-    texts: dict[int, bytes] = {}
-    for sample, text in p.events:
-        texts[p.grid.record_of(sample)] = texts.get(p.grid.record_of(sample), b"") + text
-    shorted = [bool(h.shorted[c]) for c in p.channels]
+    shorted = np.array([bool(recording.header.shorted[c]) for c in p.channels])
+    found = pieces(recording, p, lambda place, counts: signal.codes_of(counts, kinds[place]).tobytes())
+    every = recording.spark.range(p.records).select(F.col("id").alias("record")).join(found, "record", "left")
+    points, texts = p.grid.points, notes_of(p)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads = []
-            for record, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for record, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = np.full((len(shorted), points), signal.DISCONNECTED, dtype="<i2")
-                filled = np.array([points if s else 0 for s in shorted])
-                for piece in found or []:
-                    values = np.array(piece["codes"], dtype=object)
-                    if any(v is None or not piece["dmin"] <= v <= piece["dmax"] for v in values):
-                        raise DataIntegrityError("a sample leaves its channel's range")
-                    codes[piece["place"], piece["offset"] : piece["offset"] + len(values)] = values.astype("<i8")
+                filled = np.where(shorted, points, 0)
+                for piece in own or []:
+                    values = np.frombuffer(piece["data"], "<i2")
+                    codes[piece["place"], piece["offset"] : piece["offset"] + len(values)] = values
                     filled[piece["place"]] += len(values)
                 if (filled != points).any():
                     raise DataIntegrityError(f"record {record} isn't filled")
-                notes = tal(p.origin + p.grid.start_of(record) / p.rate) + texts.get(record, b"")
+                notes = tal(p.origin + int(p.grid.start_of(record)) / p.rate) + texts.get(record, b"")
                 payloads.append(codes.tobytes() + notes.ljust(p.slot, b"\0"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(payloads, pa.binary())], names=["record", "payload"])
 
@@ -132,21 +150,28 @@ def export(recording: Recording, path: str, *, max_error: float = 0.5, progress=
         raise ValueError("the path must end in .edf")
     if os.path.exists(path):
         raise FileExistsError(path)
-    tell = progress or (lambda stage: None)
     before = _signatures(recording)
+
+    def stage(name: str) -> None:
+        """Tell, and look whether the source is still what it was, also after what was told may have changed it."""
+        if progress:
+            progress(name)
+        if _signatures(recording) != before:
+            raise DataIntegrityError("the recording changed while it was exported")
+
     p = plan(recording, **options)
-    tell("planned")
+    stage("planned")
     if os.statvfs(os.path.dirname(os.path.abspath(path))).f_bavail * os.statvfs(os.path.dirname(os.path.abspath(path))).f_frsize < p.output_bytes:
         raise OSError("not enough space for the file")
     times = [time.monotonic()]
-    calibrations = calibrations_of(recording, p, max_error)
-    tell("range_scan")
+    kinds = kinds_of(recording, p, max_error)
+    stage("range_scan")
     times.append(time.monotonic())
     partial = f"{path}.partial-{uuid.uuid4().hex}"
-    records = encoded(recording, p, calibrations)
+    records = encoded(recording, p, kinds)
     try:
         with open(partial, "xb") as f:
-            f.write(header(p, calibrations))
+            f.write(header(p, kinds))
             f.truncate(p.output_bytes)
 
         def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,22 +189,18 @@ def export(recording: Recording, path: str, *, max_error: float = 0.5, progress=
         written = records.mapInArrow(put, "n long").agg(F.sum("n")).first()[0]
         if written != p.records:
             raise DataIntegrityError("some records weren't written")
-        tell("write")
+        stage("write")
         times.append(time.monotonic())
-        differing = verify(recording.spark, partial, p, calibrations, records)
-        if differing:
-            raise DataIntegrityError(f"{differing} records differ from the source")
-        tell("verify")
+        error = verify(recording, partial, p, kinds)
+        stage("verify")
         times.append(time.monotonic())
-        tell("publishing")
-        if _signatures(recording) != before:
-            raise DataIntegrityError("the recording changed while it was exported")
+        stage("publishing")
         os.link(partial, path)  # fails if the name is taken
     finally:
         if os.path.exists(partial):
             os.unlink(partial)
     spent = [b - a for a, b in zip(times, times[1:], strict=False)]
-    return EdfResult(path, p.format, p.records, p.output_bytes, p.stored_samples, max((c.error for c in calibrations), default=0.0), *spent)
+    return EdfResult(path, p.format, p.records, p.output_bytes, p.stored_samples, error, *spent)
 
 
 def _signatures(recording: Recording) -> list:
@@ -190,14 +211,41 @@ def _signatures(recording: Recording) -> list:
     return [(i.path, i.size, i.mtime_ns) for i in infos]
 
 
-def verify(spark: SparkSession, path: str, p: EdfPlan, calibrations: list[signal.Calibration], records: DataFrame) -> int:
-    """Records of the file that differ from ``records``, encoded anew from the source; the header must be equal."""
+def verify(recording: Recording, path: str, p: EdfPlan, kinds: list[signal.Signal]) -> float:
+    """The largest difference between the file and the source, which is decoded again; refused if anything is wrong.
+
+    The header is compared as bytes, annotations by record with the plan's, and every code with its count: what the code
+    stands for may differ from the count by half a step.
+    """
     with open(path, "rb") as f:
-        if f.read(p.header_bytes) != header(p, calibrations) or os.fstat(f.fileno()).st_size != p.output_bytes:
+        if f.read(p.header_bytes) != header(p, kinds) or os.fstat(f.fileno()).st_size != p.output_bytes:
             raise DataIntegrityError("the file's header or size is wrong")
-    back = raw_records(spark, path, p.header_bytes, p.record_bytes, p.records).select("record", F.sha2("payload", 256).alias("there"))
-    both = records.select("record", F.sha2("payload", 256).alias("here")).join(back, "record", "full_outer")
-    return both.where(~F.col("here").eqNullSafe(F.col("there"))).count()
+    shorted = np.array([bool(recording.header.shorted[c]) for c in p.channels])
+    source = pieces(recording, p, lambda place, counts: counts.astype("<i8").tobytes())
+    there = raw_records(recording.spark, path, p.header_bytes, p.record_bytes, p.records)
+    points, texts = p.grid.points, notes_of(p)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records, wrong, most = 0, 0, 0.0
+        for batch in batches:
+            for record, payload, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes = np.frombuffer(payload, "<i2", len(shorted) * points).reshape(len(shorted), points)
+                notes = tal(p.origin + int(p.grid.start_of(record)) / p.rate) + texts.get(record, b"")
+                good = payload[codes.nbytes :] == notes.ljust(p.slot, b"\0") and bool((codes[shorted] == signal.DISCONNECTED).all())
+                seen = np.zeros(codes.shape, dtype=bool)
+                for piece in own or []:
+                    counts, at, kind = np.frombuffer(piece["data"], "<i8"), slice(piece["offset"], piece["offset"] + len(piece["data"]) // 8), kinds[piece["place"]]
+                    errors = signal.errors_of(codes[piece["place"], at], counts, kind)
+                    good = good and bool((errors <= kind.half_step * (1 + 1e-9)).all()) and not seen[piece["place"], at].any()
+                    seen[piece["place"], at], most = True, max(most, float(errors.max(initial=0)))
+                records, wrong = records + 1, wrong + (not good or not seen[~shorted].all())
+        yield pa.RecordBatch.from_arrays([pa.array([records], pa.int64()), pa.array([wrong], pa.int64()), pa.array([most])], names=["records", "wrong", "most"])
+
+    met = there.join(source, "record", "left").select("record", "payload", "pieces")
+    found = met.mapInArrow(compare, "records long, wrong long, most double").agg(F.sum("records"), F.sum("wrong"), F.max("most")).first()
+    if found[0] != p.records or found[1]:
+        raise DataIntegrityError(f"{found[1]} records differ from the source")
+    return found[2]
 
 
 def raw_records(spark: SparkSession, path: str, start: int, width: int, count: int) -> DataFrame:

@@ -125,6 +125,25 @@ def parse_packets(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.dtype([("offset", "<i4"), ("stamp", "<i4"), ("number", "<i4"), ("span", "<i2"), ("unknown", "<i2")]), offset=HEADER)
 
 
+def index_faults(entries: np.ndarray, ends: np.ndarray, size: int, header: Header, first: int, last: int) -> dict[str, np.ndarray]:
+    """By fault, a mark for each entry: it contradicts its data file of ``size`` bytes, its segment's stamps from ``first`` to
+    ``last``, or the entry before it."""
+    offset, stamp, number, span = (entries[c].astype(np.int64) for c in ("offset", "stamp", "number", "span"))
+    least, most = packet_byte_bounds(span, header.n_channels, header.n_channels - sum(header.shorted))
+    later = np.arange(len(entries)) > 0
+    before = lambda x: np.append(x[:1], x[:-1])
+    return {
+        "span": span < 1,
+        "offset": (offset < ERD_HEADER) | (offset >= size),
+        "lead": ~later & (offset != ERD_HEADER),
+        "order": later & (offset <= before(offset)),
+        "overlap": later & (stamp < before(stamp) + before(span)),
+        "number": later & (number != before(number) + before(span)),
+        "segment": (stamp < first) | (stamp + span - 1 > last),
+        "bytes": (ends - offset < least) | (ends - offset > most),
+    }
+
+
 def parse_anchors(data: bytes) -> list[tuple[int, int]]:
     """(stamp, 100 ns ticks since 1601)"""
     if data[:16] != SNC_GUID:

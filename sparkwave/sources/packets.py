@@ -11,45 +11,57 @@ _LARGEST = 1 << 62
 
 
 def decode(data: bytes, span: int, shorted: np.ndarray, stop: int | None = None) -> np.ndarray:
-    """Counts (samples, channels that aren't shorted) of a packet's samples before ``stop``.
+    """Counts (samples, channels that aren't shorted) of a packet's samples before ``stop``."""
+    return decode_run([data], [span], shorted, [span if stop is None else stop])[0]
+
+
+def decode_run(packets: list[bytes], spans: list[int], shorted: np.ndarray, stops: list[int]) -> list[np.ndarray]:
+    """The same for several packets, sample i of all of them at a time.
 
     A sample is an event byte, a mask with a bit per channel, a delta per active channel (16 bits if its mask bit is set)
     and a 32-bit value for each delta that is the sentinel. Sums of deltas run until the next such value. Samples differ in
-    length, so they are taken one by one, each with all its channels at once.
+    length, so those of a packet can only be taken one by one, but packets are independent.
     """
-    raw = np.frombuffer(data, dtype=np.uint8)
-    channels, active = len(shorted), np.flatnonzero(~shorted)
-    mask_bytes, stop = (channels + 7) // 8, span if stop is None else stop
-    out = np.zeros((stop, len(active)), dtype=np.int64)
-    state, at = np.zeros(len(active), dtype=np.int64), 0
-    for i in range(stop):
-        if at + 1 + mask_bytes + len(active) > len(raw):
-            raise DataIntegrityError(f"the packet ends inside sample {i}")
-        if raw[at] > 1:
-            raise DataIntegrityError(f"sample {i} has the event byte {raw[at]}")
-        wide = np.unpackbits(raw[at + 1 : at + 1 + mask_bytes], bitorder="little")[active].astype(bool)
-        ends = np.cumsum(1 + wide) + at + 1 + mask_bytes
-        after = int(ends[-1]) if len(ends) else at + 1 + mask_bytes
-        if after > len(raw):
-            raise DataIntegrityError(f"the packet ends inside sample {i}")
-        delta = raw[ends - 1].view(np.int8).astype(np.int64)  # of a wide one this is the high byte
-        if wide.any():
-            delta[wide] = delta[wide] * 256 + raw[ends[wide] - 2]
+    raw = np.frombuffer(b"".join(packets), dtype=np.uint8)
+    ends = np.cumsum([len(p) for p in packets])
+    at = ends - [len(p) for p in packets]
+    active, stop = np.flatnonzero(~shorted), np.array(stops)
+    n, mask_bytes = len(active), (len(shorted) + 7) // 8
+    out = [np.zeros((k, n), dtype=np.int64) for k in stops]
+    state = np.zeros((len(packets), n), dtype=np.int64)
+    for i in range(max(stops, default=0)):
+        own = np.flatnonzero(stop > i)
+        here, room = at[own], ends[own]
+
+        def refuse(wrong: np.ndarray, what: str) -> None:
+            if wrong.any():
+                raise DataIntegrityError(what)
+
+        refuse(here + 1 + mask_bytes + n > room, f"the packet ends inside sample {i}")
+        refuse(raw[here] > 1, f"sample {i} has the event byte {int(raw[here].max())}")
+        masks = raw[here[:, None] + 1 + np.arange(mask_bytes)]
+        wide = np.unpackbits(masks, axis=1, bitorder="little")[:, active].astype(bool)
+        last = np.cumsum(1 + wide, axis=1) + (here + mask_bytes)[:, None]  # the last byte of each delta
+        after = last[:, -1] + 1 if n else here + 1 + mask_bytes
+        refuse(after > room, f"the packet ends inside sample {i}")
+        delta = raw[last].view(np.int8).astype(np.int64)
+        delta[wide] = delta[wide] * 256 + raw[last[wide] - 1]
         anew = wide & (delta == _SENTINEL)
-        n = int(anew.sum())
-        if i == 0 and n < len(active):
-            raise DataIntegrityError("the first sample of a packet isn't absolute")
+        many = anew.sum(axis=1)
+        if i == 0:
+            refuse(many < n, "the first sample of a packet isn't absolute")
+        refuse(after + 4 * many > room, f"the packet ends inside sample {i}")
         delta[anew] = 0
-        state = state + delta
-        if n:
-            if after + 4 * n > len(raw):
-                raise DataIntegrityError(f"the packet ends inside sample {i}")
-            state[anew] = np.frombuffer(data, "<i4", n, after)
-        at = after + 4 * n
-        out[i] = state
-    if stop == span and at != len(raw):
+        values = state[own] + delta
+        if many.any():
+            first = (after[:, None] + 4 * (np.cumsum(anew, axis=1) - 1))[anew]
+            values[anew] = np.ascontiguousarray(raw[first[:, None] + np.arange(4)]).view("<i4").ravel()
+        state[own], at[own] = values, after + 4 * many
+        for row, k in zip(values, own.tolist(), strict=True):
+            out[k][i] = row
+    if ((stop == np.array(spans)) & (at != ends)).any():
         raise DataIntegrityError("the packet has bytes after its last sample")
-    if len(out) and np.abs(out).max(initial=0) > _LARGEST:
+    if any(np.abs(o).max(initial=0) > _LARGEST for o in out):
         raise DataIntegrityError("a sum of deltas leaves the range of 64 bits")
     return out
 

@@ -6,6 +6,7 @@ bytes are read only by ``blocks``, whose tasks take runs of packets. Nothing but
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -13,7 +14,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataIntegrityError, UnsupportedFormatError
@@ -21,29 +22,41 @@ from ..functions import notes as note_functions
 from ..limits import ReadLimits, check, index
 from ..session import ship_package
 from . import layout
-from .packets import decode
+from .packets import decode_run
 
 SEGMENTS = "segment_index int, segment_name string, start_stamp long, end_stamp long, sample_number long, stored_samples long, erd string, etc string"
 PACKETS = "segment_index int, packet_index int, byte_offset long, byte_end long, sample_stamp long, sample_number long, sample_span int, erd string, file_size long, modified long"
+FAULTS = "segment_index int, packet_index int, fault string"
 BLOCKS = "segment_index int, packet_index int, channel int, start_sample long, values array<long>"
 ANCHORS = "stamp long, ticks long"
-#: Packets that one task takes, at least.
-RUN_PACKETS = 64
+#: Packets that one task takes, at least, and that are decoded together; bytes of these.
+RUN_PACKETS, RUN_BYTES = 64, 4 << 20
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def read_bytes(fs: pafs.FileSystem, path: str, most: int, what: str) -> bytes:
-    """A small file, whole; its size is checked first and must stay as it is."""
-    size = fs.get_file_info(path).size
-    if size is None:
+def regular(fs: pafs.FileSystem, path: str) -> pafs.FileInfo:
+    """A file's size and time; on a local file system, links are refused, as their target may lie anywhere."""
+    if isinstance(fs, pafs.LocalFileSystem) and os.path.islink(path):
+        raise DataIntegrityError(f"{path} is a symbolic link")
+    info = fs.get_file_info(path)
+    if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
-    check(size, most, what)
+    if info.type != pafs.FileType.File:
+        raise DataIntegrityError(f"{path} isn't a regular file")
+    return info
+
+
+def read_bytes(fs: pafs.FileSystem, path: str, most: int, what: str) -> bytes:
+    """A small file, whole; its size is checked first, no more than that is read, and it must stay as it is."""
+    before = regular(fs, path)
+    check(before.size, most, what)
     with fs.open_input_file(path) as f:
-        data = f.read()
-    if len(data) != size:
+        data = f.read(before.size)
+    after = fs.get_file_info(path)
+    if len(data) != before.size or (after.size, after.mtime_ns) != (before.size, before.mtime_ns):
         raise DataIntegrityError(f"{what} changed while it was read")
     return data
 
@@ -155,69 +168,66 @@ class Recording:
     def segments(self) -> DataFrame:
         return self.spark.createDataFrame([(i, *s, *f) for i, (s, f) in enumerate(zip(self.table, self.files, strict=True))], SEGMENTS)
 
-    @cached_property
-    def _packets(self) -> DataFrame:
+    def _indexed(self, give, schema: str) -> DataFrame:
+        """The rows that ``give`` makes of each segment's row, index entries, packet ends and data file; a task per segment."""
         limits, header = self.limits, self.header
 
         def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     fs, path = filesystem(row["etc"])
+                    _, erd = filesystem(row["erd"])
+                    data = regular(fs, erd)
                     entries = layout.parse_packets(read_bytes(fs, path, limits.max_metadata_bytes, "a packet index"))
                     check(len(entries), limits.max_packets_per_segment, "packets of a segment")
-                    _, erd = filesystem(row["erd"])
-                    data = fs.get_file_info(erd)
                     if data.size >= layout.ERD_HEADER:
                         with fs.open_input_file(erd) as f:
                             own = layout.parse_header(f.read(layout.ERD_HEADER))
                         if own != header:
                             raise DataIntegrityError("sample rates of segments differ" if own.sample_rate != header.sample_rate else "headers of segments differ")
-                    if not len(entries) and data.size > layout.ERD_HEADER:
-                        raise DataIntegrityError("a data file has samples that no index entry names")
+                    if (now := fs.get_file_info(erd)).size != data.size or now.mtime_ns != data.mtime_ns:
+                        raise DataIntegrityError("a data file changed while it was indexed")
                     offsets = entries["offset"].astype(np.int64)
-                    n = len(entries)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([row["segment_index"]] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(offsets), pa.array(np.append(offsets[1:], data.size)[:n].astype(np.int64)),
-                        *(pa.array(entries[c].astype(np.int64)) for c in ("stamp", "number")), pa.array(entries["span"].astype(np.int32)),
-                        pa.array([row["erd"]] * n, pa.string()), pa.array([data.size] * n, pa.int64()), pa.array([data.mtime_ns] * n, pa.int64()),
-                    ], names=[f.split()[0] for f in PACKETS.split(", ")])
+                    yield pa.RecordBatch.from_arrays(give(row, entries, np.append(offsets[1:], data.size)[: len(entries)], data), names=[f.split()[0] for f in schema.split(", ")])
+
+        return self.segments().repartition(len(self.table), "segment_index").mapInArrow(parse, schema)
+
+    @cached_property
+    def _packets(self) -> DataFrame:
+        limits, header = self.limits, self.header
 
-        return self.segments().repartition(len(self.table), "segment_index").mapInArrow(parse, PACKETS)
+        def give(row: dict, entries: np.ndarray, ends: np.ndarray, data: pafs.FileInfo) -> list[pa.Array]:
+            faults = {name: int(bad.sum()) for name, bad in layout.index_faults(entries, ends, data.size, header, row["start_stamp"], row["end_stamp"]).items() if bad.any()}
+            if faults:
+                raise DataIntegrityError("packet index: " + ", ".join(f"{name} ({n})" for name, n in sorted(faults.items())))
+            if not len(entries) and data.size != layout.ERD_HEADER:
+                raise DataIntegrityError("a data file has samples that no index entry names")
+            if int(entries["span"].sum(dtype=np.int64)) != row["stored_samples"]:
+                raise DataIntegrityError("a segment stores another number of samples than its table says")
+            check(int((ends - entries["offset"]).max(initial=0)), limits.max_packet_bytes, "packet bytes")
+            n = len(entries)
+            return [
+                pa.array([row["segment_index"]] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(entries["offset"].astype(np.int64)), pa.array(ends.astype(np.int64)),
+                *(pa.array(entries[c].astype(np.int64)) for c in ("stamp", "number")), pa.array(entries["span"].astype(np.int32)),
+                pa.array([row["erd"]] * n, pa.string()), pa.array([data.size] * n, pa.int64()), pa.array([data.mtime_ns] * n, pa.int64()),
+            ]
+
+        return self._indexed(give, PACKETS)
 
     def packets(self) -> DataFrame:
-        """The packet index of all segments; ``byte_end`` is the next packet's offset or the file's size."""
+        """The packet index of all segments, refused by whoever reads it if a segment's entries contradict their file, the
+        segment or each other. ``byte_end`` is the next packet's offset or the file's size."""
         return self._packets
 
     def packet_faults(self) -> DataFrame:
         """(segment_index, packet_index, fault) of entries that contradict their file, their segment or each other."""
-        h, order = self.header, Window.partitionBy("segment_index").orderBy("packet_index")
-        least, most = layout.packet_byte_bounds(F.col("sample_span"), h.n_channels, h.n_channels - sum(h.shorted))
-        size, before = F.col("byte_end") - F.col("byte_offset"), lambda c: F.lag(c).over(order)
-        rules = [
-            ("span", F.col("sample_span") < 1),
-            ("offset", (F.col("byte_offset") < layout.ERD_HEADER) | (F.col("byte_offset") >= F.col("file_size"))),
-            ("lead", (F.col("packet_index") == 0) & (F.col("byte_offset") != layout.ERD_HEADER)),
-            ("order", F.col("byte_offset") <= before("byte_offset")),
-            ("overlap", F.col("sample_stamp") < before("sample_stamp") + before("sample_span")),
-            ("number", F.col("sample_number") != before("sample_number") + before("sample_span")),
-            ("segment", (F.col("sample_stamp") < F.col("start_stamp")) | (F.col("sample_stamp") + F.col("sample_span") - 1 > F.col("end_stamp"))),
-            ("bytes", (size < least) | (size > most)),
-        ]
-        found = F.filter(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules)), lambda x: x.isNotNull())
-        joined = self.packets().join(F.broadcast(self.segments().select("segment_index", "start_stamp", "end_stamp")), "segment_index")
-        return joined.select("segment_index", "packet_index", found.alias("faults")).select("segment_index", "packet_index", F.explode("faults").alias("fault"))
-
-    def check_packets(self) -> None:
-        """Raise if an index entry is at fault or a segment's packets don't add up to its stored samples."""
-        faults = self.packet_faults().groupBy("fault").agg(F.count("*").alias("n")).collect()
-        if faults:
-            raise DataIntegrityError("packet index: " + ", ".join(f"{r['fault']} ({r['n']})" for r in sorted(faults)))
-        large = self.packets().agg(F.max(F.col("byte_end") - F.col("byte_offset"))).first()[0] or 0
-        check(large, self.limits.max_packet_bytes, "packet bytes")
-        sums = self.packets().groupBy("segment_index").agg(F.sum("sample_span").alias("total"))
-        wrong = self.segments().join(sums, "segment_index", "left").where(F.coalesce("total", F.lit(0)) != F.col("stored_samples")).count()
-        if wrong:
-            raise DataIntegrityError(f"{wrong} segments store another number of samples than their table says")
+        header = self.header
+
+        def give(row: dict, entries: np.ndarray, ends: np.ndarray, data: pafs.FileInfo) -> list[pa.Array]:
+            found = [(i, name) for name, bad in layout.index_faults(entries, ends, data.size, header, row["start_stamp"], row["end_stamp"]).items() for i in np.flatnonzero(bad).tolist()]
+            return [pa.array([row["segment_index"]] * len(found), pa.int32()), pa.array([i for i, _ in found], pa.int32()), pa.array([name for _, name in found], pa.string())]
+
+        return self._indexed(give, FAULTS)
 
     def select(self, channels: object = None) -> list[int]:
         """Channel numbers of a selection: None (the signals), a number, a name, or a sequence of them in its order."""
@@ -267,28 +277,31 @@ class Recording:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             active = np.flatnonzero(~shorted)
             keep = np.arange(len(active)) if wanted is None else np.flatnonzero(np.isin(active, wanted))
-            for batch in batches:
-                for row in batch.to_pylist():
-                    fs, path = filesystem(row["erd"])
-                    for _ in range(2):  # before and after the read
-                        now = fs.get_file_info(path)
-                        if (now.size, now.mtime_ns) != (row["file_size"], row["modified"]):
-                            raise DataIntegrityError("a data file changed after it was indexed")
-                    at = row["sample_stamp"] - origin
-                    a, b = max(0, start - at), min(row["sample_span"], stop - at)
-                    with fs.open_input_file(path) as f:
+            n = len(keep)
+            for rows in packet_runs(batches):
+                fs, path = filesystem(rows[0]["erd"])
+                unchanged(fs, path, rows[0])
+                parts = []
+                with fs.open_input_file(path) as f:
+                    for row in rows:
                         f.seek(row["byte_offset"])
-                        data = f.read(row["byte_end"] - row["byte_offset"])
-                    values = decode(data, row["sample_span"], shorted, b)[a:]
-                    if not len(keep):
-                        continue
-                    flat = pa.array(np.ascontiguousarray(values[:, keep].T).ravel())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * len(values)), flat)
-                    n = len(keep)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["segment_index"]] * n, pa.int32()), pa.array([row["packet_index"]] * n, pa.int32()), pa.array(active[keep].astype(np.int32)), pa.array([at + a] * n, pa.int64()), lists], names=["segment_index", "packet_index", "channel", "start_sample", "values"])
+                        parts.append(f.read(row["byte_end"] - row["byte_offset"]))
+                unchanged(fs, path, rows[0])
+                places = [row["sample_stamp"] - origin for row in rows]
+                stops = [min(row["sample_span"], stop - at) for row, at in zip(rows, places, strict=True)]
+                decoded = decode_run(parts, [row["sample_span"] for row in rows], shorted, stops)
+                if not n:
+                    continue
+                skipped = [max(0, start - at) for at in places]
+                values = [np.ascontiguousarray(v[a:, keep].T) for v, a in zip(decoded, skipped, strict=True)]
+                sizes = np.repeat([v.shape[1] for v in values], n)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate([v.ravel() for v in values])))
+                repeated = lambda x, kind: pa.array(np.repeat(np.array(x), n).astype(kind))
+                yield pa.RecordBatch.from_arrays([repeated([r["segment_index"] for r in rows], "i4"), repeated([r["packet_index"] for r in rows], "i4"), pa.array(np.tile(active[keep], len(rows)).astype(np.int32)), repeated([at + a for at, a in zip(places, skipped, strict=True)], "i8"), lists], names=["segment_index", "packet_index", "channel", "start_sample", "values"])
 
         run_of = F.floor(F.col("packet_index") / RUN_PACKETS)
-        return touched.repartition(self.spark.sparkContext.defaultParallelism, "segment_index", run_of).mapInArrow(run, BLOCKS)
+        dealt = touched.repartition(self.spark.sparkContext.defaultParallelism, "segment_index", run_of)
+        return dealt.sortWithinPartitions("segment_index", "packet_index").mapInArrow(run, BLOCKS)
 
     def samples(self, start: int = 0, stop: int | None = None, channels: list[int] | None = None) -> DataFrame:
         """(sample, stamp, channel, value) of stored samples."""
@@ -336,10 +349,17 @@ class Recording:
         return self.spark.range(1).repartition(1).mapInArrow(parse, note_functions.NOTES)
 
     def events(self) -> DataFrame:
-        """Notes with an integer stamp and a text, in order of stamp and then of the file."""
-        value = lambda path, kind: F.try_variant_get(F.parse_json("value"), path, kind)
-        rows = self.notes().where("value is not null").select("ordinal", "note_type", F.schema_of_variant(F.parse_json("value")).alias("kind"), value("$.Stamp", "long").alias("stamp"), value("$.Text", "string").alias("text"), value("$.Data.User", "string").alias("user"), "value")
-        rows = rows.where(F.col("value").startswith("{") & F.col("stamp").isNotNull() & F.get_json_object("value", "$.Stamp").rlike("^-?[0-9]+$") & F.col("text").isNotNull())
+        """Notes whose stamp is an integer and whose text is a string, in order of stamp and then of the file.
+
+        Nothing is cast: ``"6"`` and ``true`` are no stamps, 7 is no text, and a user that isn't a string is null.
+        """
+        value = F.parse_json("value")
+        part = lambda path: F.try_variant_get(value, path, "variant")
+        kind = lambda path: F.schema_of_variant(part(path))
+        user = F.when(kind("$.Data.User") == "STRING", F.try_variant_get(value, "$.Data.User", "string"))
+        rows = self.notes().where(F.col("value").startswith("{"))
+        rows = rows.where(kind("$.Stamp").rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$") & (kind("$.Text") == "STRING") & F.get_json_object("value", "$.Stamp").rlike("^-?[0-9]+$"))
+        rows = rows.select("ordinal", "note_type", F.try_variant_get(value, "$.Stamp", "long").alias("stamp"), F.try_variant_get(value, "$.Text", "string").alias("text"), user.alias("user")).where("stamp is not null")
         return rows.select("ordinal", "stamp", (F.col("stamp") - self.origin).alias("sample"), "text", "user", "note_type").orderBy("stamp", "ordinal")
 
     def anchors(self) -> DataFrame:
@@ -358,6 +378,27 @@ class Recording:
         return self.spark.createDataFrame(pairs, ANCHORS)
 
 
+def packet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Up to ``RUN_PACKETS`` rows of one file at a time, and of no more than ``RUN_BYTES`` unless one has more."""
+    run, size = [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            more = row["byte_end"] - row["byte_offset"]
+            if run and (row["erd"] != run[0]["erd"] or len(run) == RUN_PACKETS or size + more > RUN_BYTES):
+                yield run
+                run, size = [], 0
+            run.append(row)
+            size += more
+    if run:
+        yield run
+
+
+def unchanged(fs: pafs.FileSystem, path: str, row: dict) -> None:
+    now = regular(fs, path)
+    if (now.size, now.mtime_ns) != (row["file_size"], row["modified"]):
+        raise DataIntegrityError("a data file changed after it was indexed")
+
+
 def in_window(sample: Column, start: int, stop: int) -> Column:
     return (sample >= start) & (sample < stop)
 

@@ -88,7 +88,9 @@ def test_exact_numbers():
     assert exact.decimal(Fraction(-5, 4)) == "-1.25" and exact.decimal(Fraction(3)) == "3"
     with pytest.raises(UnsupportedFormatError):
         exact.decimal(Fraction(1, 3))
-    assert float(exact.short_number(Fraction(1, 8))) == 0.125
+    assert [exact.short_number(Fraction(*f)) for f in ((1, 8), (3, 1), (1234567, 10**7), (10**12, 1), (12345, 10**9))] == [".125", "3", ".1234567", "1E12", "12345E-9"]
+    with pytest.raises(UnsupportedFormatError):
+        exact.short_number(Fraction(123456789, 10**8))
     assert [exact.to_datetime(t, "UTC").microsecond for t in (5, 15, 25)] == [0, 2, 2]
     assert exact.to_datetime(0).utcoffset().total_seconds() == 8 * 3600
 
@@ -108,12 +110,17 @@ def test_clock_of_one_sample():
 
 
 def test_calibration_and_labels():
-    c = signal.calibrate(0, False, -0.25, -10, 1000, 0.5)
-    assert float(c.pmin) <= -250 and float(c.pmax) >= 2.5
+    c = signal.signal_of(0, False, -0.25, -10, 1000, 0.5)
+    assert c.span[0] <= -250 and c.span[1] >= 2.5 and c.physical == ("-250", "3")
+    assert signal.limit_text(-123456789.5, "ROUND_FLOOR") == "-12346E4" and signal.limit_text(0.2, "ROUND_CEILING") == "1"
     with pytest.raises(UnsupportedFormatError):
-        signal.calibrate(0, False, 1.0, -10_000_000, 10_000_000, 0.5)
+        signal.signal_of(0, False, 1.0, -10_000_000, 10_000_000, 0.5)
     with pytest.raises(UnsupportedFormatError):
-        signal.calibrate(273, False, None, 1, 1, 0.5)
+        signal.signal_of(273, False, None, 1, 1, 0.5)
+    for kind, values in ((c, np.arange(-10, 1001)), (signal.signal_of(256, False, None, -7, 900, 0.5), np.arange(-7, 901))):
+        assert signal.errors_of(signal.codes_of(values, kind), values, kind).max() <= kind.half_step * (1 + 1e-9)
+    with pytest.raises(DataIntegrityError):
+        signal.codes_of(np.array([10**6]), c)
     assert signal.labels(["A", "A", "", "EDF Annotations", "B"])[4] == "B" and len(set(signal.labels(["A", "A", "", "x" * 20]))) == 4
     assert signal.escaped("a\\b\n") == "a\\\\b\\u000a"
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from sparkwave.errors import DataIntegrityError, ResourceLimitError, UnsupportedFormatError
+from sparkwave.functions import notes as note_functions
 from sparkwave.limits import ReadLimits
 from sparkwave.operators import coverage, ranges
 from sparkwave.session import scratch_dir
@@ -70,8 +71,37 @@ def test_a_changed_index_is_refused(spark, folder):
     with open(path, "r+b") as f:
         f.seek(352 + 16 + 4)
         f.write((1010).to_bytes(4, "little"))  # the second packet now overlaps the first
-    with pytest.raises(DataIntegrityError, match="overlap"):
-        Recording.open(spark, other, channels=None).check_packets()
+    broken = Recording.open(spark, other, channels=None)
+    assert [tuple(r) for r in broken.packet_faults().collect()] == [(0, 1, "overlap")]
+    for read in (broken.samples().count, lambda: broken.matrix(0, 10, units="digital"), lambda: coverage.validate(broken).collect()):
+        with pytest.raises(Exception, match="overlap"):
+            read()
+
+
+def test_a_recording_without_samples_misses_all(spark):
+    none = spark.createDataFrame([], "s long, a long")
+    empty = Recording.open(spark, synth.write(none, scratch_dir(spark, "empty"), sample="s", values=["a"], n_samples=100, rate=512.0, n_channels=1, packet=32, segment=64), channels=None)
+    row = coverage.validate(empty).first()
+    assert (row["stored_samples"], row["missing_samples"], row["missing_leading"]) == (0, 100, 100)
+    assert np.isnan(empty.matrix(0, 100)).all() and coverage.ranges_of(empty).count() == 0
+
+
+def test_only_typed_notes_are_events(spark):
+    rows = spark.createDataFrame([(s, s) for s in range(8)], "s long, a long")
+    given = [{"Stamp": 1004, "Text": "yes", "Data": {"User": 12}}, {"Stamp": "6", "Text": "text stamp"}, {"Stamp": True, "Text": "flag"}, {"Stamp": 1001, "Text": 7}, {"Stamp": 1001, "Text": True}, {"Stamp": 1001.5, "Text": "half"}, {"Stamp": 1002, "Text": "first", "Data": {"User": "me"}}]
+    notes = [(1, note_functions.write_literal(n)) for n in given]
+    r = Recording.open(spark, synth.write(rows, scratch_dir(spark, "typed"), sample="s", values=["a"], n_samples=8, rate=512.0, n_channels=1, packet=8, segment=8, notes=notes), channels=None)
+    assert [(e["stamp"], e["text"], e["user"]) for e in r.events().collect()] == [(1002, "first", "me"), (1004, "yes", None)]
+
+
+def test_links_are_refused(spark, folder):
+    path = f"{folder.removeprefix('file://')}"
+    other = f"{path}-linked"
+    os.mkdir(other)
+    for name in os.listdir(path):
+        os.symlink(f"{path}/{name}", f"{other}/{name}")
+    with pytest.raises(DataIntegrityError, match="link"):
+        Recording.open(spark, f"file://{other}", channels=None)
 
 
 def test_edf_round_trip(spark, recording):
