@@ -22,9 +22,9 @@ Links are found in rounds. First, each set's ``SKETCH`` smallest mixed tokens pr
 them. Then all kept keys go to buckets in compressed blobs, with each document's component so far. A bucket passes on only
 keys whose documents lie in several components: the pairs that size and position can't refuse, where they are at most
 ``PAIRS`` times the documents, and else a row for each document that has such a pair. These lists are compared in blocks: a
-task holds the bitmaps of two blocks of a list and returns pairs that bitmaps can't refuse either; at first only the best
-one of each component, at last all that lie across components. So the rows made are in proportion to the documents of the
-lists, not to their squares. Whole sets decide all pairs, so the components are exact.
+task holds the bitmaps of two blocks of a list and returns the pairs that bitmaps can't refuse either; where these are more
+than ``PAIRS`` times the documents, at first only the best one of each component, and what then still lies across components
+when those are verified. So the rows made are in proportion to the documents of the lists, not to their squares. Whole sets decide all pairs, so the components are exact.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; texts of fewer than five words
 have one shingle; repeated rows and equal texts share a component; a repeated key with several texts has the links of
@@ -53,11 +53,12 @@ from .shingles import WIDTH, shingle_sets
 NUMERATOR, DENOMINATOR = 75, 100
 TOKEN_LEVEL = 32  # sets below this size use single tokens
 SKETCH, SKETCH_ROUNDS, BEST_ROUNDS = 12, 2, 1
-BUCKET_KEYS = 1_000_000
-SLICE_BYTES = 4_000_000
-EMIT_KEYS = 600_000
-MIN_LOCAL, MIN_HOT = 4, 12
-#: Frequent tokens that are broadcast, at most; which tokens count as frequent changes costs, not results.
+BUCKET_KEYS = 400_000
+SLICE_BYTES = 2_000_000
+EMIT_KEYS = 300_000
+#: A token counts as frequent by the counts of the tasks that met it in ``MIN_LOCAL`` sets; ``MAX_HOT`` such tokens are
+#: broadcast, at most. Which tokens count as frequent changes costs, not results.
+MIN_LOCAL, MIN_HOT = 2, 8
 MAX_HOT = 200_000
 #: Ids that are broadcast at once, at most, in bytes; beyond, the join is shuffled.
 MAX_BROADCAST_BYTES = 32 << 20
@@ -387,20 +388,21 @@ def most_common(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> n
     return np.minimum(n - np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64))
 
 
-def block_pairs(x: dict, y: dict | None, best: bool) -> tuple[np.ndarray, np.ndarray]:
+def block_pairs(x: dict, y: dict | None, most_pairs: float) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs (a < b) of documents of two blocks, or of one, in different components, that nothing refuses as yet.
 
-    ``best``: for each component only the pair whose bitmaps have most in common.
+    Beyond ``most_pairs``, for each component only the pair whose bitmaps have most in common; then the last value is True.
     """
+    some = False
     bits = _folded(x["bits"] + (y["bits"] if y else []))
     left, right = bits[: len(x["doc"])], bits[len(x["doc"]) :] if y else bits
     y, same = y or x, y is None
-    step, found = max(1, 1_000_000 // max(1, len(y["doc"]))), []
+    step, found = max(1, 250_000 // max(1, len(y["doc"]))), []
     for lo in range(0, len(left), step):
         row = {k: x[k][lo : lo + step, None] for k in ("doc", "n", "before", "component")}
         ok = (row["component"] != y["component"]) & _may_meet(row["n"], y["n"], row["before"], y["before"])
         i, j = np.nonzero(ok & (row["doc"] < y["doc"]) if same else ok)
-        most = max(1, 2_000_000 // bits.shape[1])
+        most = max(1, 500_000 // bits.shape[1])
         for at in range(0, len(i), most):
             u, v = i[at : at + most] + lo, j[at : at + most]
             n, m = x["n"][u], y["n"][v]
@@ -408,12 +410,12 @@ def block_pairs(x: dict, y: dict | None, best: bool) -> tuple[np.ndarray, np.nda
             may = linked(both, n, m)
             u, v, share = u[may], v[may], (both / (n + m - both))[may]
             found.append([x["doc"][u], y["doc"][v], x["component"][u], y["component"][v], share])
-        if best and found:
-            found = [_best_of(*map(np.concatenate, zip(*found, strict=True)))]
+        if some or sum(len(f[0]) for f in found) > most_pairs:
+            some, found = True, [_best_of(*map(np.concatenate, zip(*found, strict=True)))]
     if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False
     a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.minimum(a, b), np.maximum(a, b), some
 
 
 def _best_of(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
@@ -422,20 +424,23 @@ def _best_of(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, s
     return [z[first] for z in (a, b, of_a, of_b, share)]
 
 
+FOUND = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("list", T.LongType()), T.StructField("many", T.IntegerType())])
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def in_lists(lists: DataFrame, bits: DataFrame, within: DataFrame, best: bool) -> DataFrame:
-    """(a, b) across components that sizes, positions and bitmaps can't refuse, from blocks of the lists' documents."""
-    placed = _placed(lists, within, "doc")
-    open_ = materialise(placed.groupBy("list", "many").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list", "many"), "open")
-    placed = placed.join(open_, ["list", "many"], "left_semi").join(bits, "doc")
+def in_lists(lists: DataFrame, bits: DataFrame, within: DataFrame, whole: bool) -> DataFrame:
+    """(a, b) across components that sizes, positions and bitmaps can't refuse, from blocks of the lists' documents.
+
+    Unless ``whole``, a block gives at most ``PAIRS`` for each document, or the best of each component and a row (list,
+    many) of its list, which has to be gone through again.
+    """
+    placed = _placed(lists, within, "doc").join(bits, "doc")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("list", "many", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "n", "before", "component", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, group, own = _arrow(PAIR), None, []
+        arrow, group, own = _arrow(FOUND), None, []
 
         def pairs() -> Iterator[pa.RecordBatch]:
             sides = {}
@@ -443,9 +448,12 @@ def in_lists(lists: DataFrame, bits: DataFrame, within: DataFrame, best: bool) -
                 sides.setdefault(row[0], []).append(row[1:])
             sides = [{k: list(c) if k == "bits" else np.array(c, dtype=np.int64) for k, c in zip(("doc", "n", "before", "component", "bits"), zip(*rows, strict=True), strict=True)} for rows in sides.values()]
             if len(sides) == 2 or sides and group[2] == group[3]:
-                a, b = block_pairs(sides[0], sides[1] if len(sides) == 2 else None, best)
+                a, b, some = block_pairs(sides[0], sides[1] if len(sides) == 2 else None, np.inf if whole else PAIRS * len(own))
                 for lo in range(0, len(a), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 10_000]), pa.array(b[lo : lo + 10_000])], schema=arrow)
+                    n = len(a[lo : lo + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 10_000]), pa.array(b[lo : lo + 10_000]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=arrow)
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([group[0]], pa.int64()), pa.array([group[1]], pa.int32())], schema=arrow)
 
         for batch in batches:
             for *key, block, doc, n, before, component, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -456,11 +464,18 @@ def in_lists(lists: DataFrame, bits: DataFrame, within: DataFrame, best: bool) -
         yield from pairs()
 
     keys = ["list", "many", "low", "high"]
-    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, PAIR).distinct()
+    return materialise(placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, FOUND).distinct(), "listed")
 
 
-def _fits(rows: int, width: int) -> bool:
-    return rows * width <= MAX_BROADCAST_BYTES
+def _small(rows: DataFrame, width: int) -> DataFrame:
+    """``rows``, written, of ``width`` bytes each, to be broadcast if they fit."""
+    return F.broadcast(rows) if rows.count() * width <= MAX_BROADCAST_BYTES else rows
+
+
+def _of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``rows`` (doc, ...) of the documents of written pairs."""
+    needed = materialise(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "needed")
+    return rows.join(_small(needed, 8), "doc", "left_semi")
 
 
 def compared(pairs: DataFrame, forms: DataFrame, holds) -> DataFrame:
@@ -511,8 +526,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The written pairs (a, b) that are links, by their whole sets."""
-    needed = materialise(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "needed")
-    texts = docs.join(F.broadcast(needed) if _fits(needed.count(), 8) else needed, "doc", "left_semi").select("doc", "text")
+    texts = _of(docs, pairs).select("doc", "text")
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("form", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -538,31 +552,34 @@ def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame
     classes = rows.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("node"), F.count("*").alias("many"))
     classes = materialise(classes.where("many > 1").select("digest", "node"), "classes")
     gone = materialise(rows.where("doc is not null").join(classes, "digest").where("doc <> node").select("doc", "digest", "node").distinct(), "gone")
-    nodes = described.where("not frequent and digest is not null and doc is not null").join(gone, ["doc", "digest"], "left_anti")
-    nodes = materialise(nodes.select("doc", "n", "sketch", F.col("bits").alias("form")), "nodes")
+    nodes = described.where("not frequent and digest is not null and doc is not null").join(_small(gone, 32), ["doc", "digest"], "left_anti")
+    nodes = nodes.select("doc", "n", "sketch", F.col("bits").alias("form"))
     within = components(gone.select(F.col("doc").alias("a"), F.col("node").alias("b")))
     asked, done = materialise(by_sketch(nodes), "asked"), None
     for _ in range(SKETCH_ROUNDS):
         left = asked if done is None else _across(asked, within).join(done, ["a", "b"], "left_anti")
         pairs = materialise(_best(left), "pairs")
-        links = verify(materialise(compared(pairs, nodes, _may_link), "possible"), docs, width)
+        links = verify(possible(pairs, nodes), docs, width)
         done = pairs if done is None else done.union(pairs)
         within = merged(within, links)
-    small = F.broadcast(within) if _fits(within.count(), 16) else within
-    blobs = keyed(_placed(docs, small, "doc").select("doc", "text", "component"), width, buckets, hot)
+    blobs = keyed(_placed(docs, _small(within, 16), "doc").select("doc", "text", "component"), width, buckets, hot)
     found = materialise(candidates(blobs, buckets), "candidates")
     lists = found.where("list is not null").groupBy("list", "many", "doc", "n").agg(F.min("before").alias("before"))
     lists = materialise(lists, "lists")
-    short = materialise(found.where("a is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "short")
-    short = materialise(compared(short, nodes, _may_link), "possible")
-    listed = lists.select("doc").distinct()
-    bits = materialise(nodes.join(F.broadcast(listed) if _fits(listed.count(), 8) else listed, "doc", "left_semi").select("doc", F.col("form").alias("bits")), "bits")
+    short = possible(materialise(found.where("a is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "short"), nodes)
+    bits = nodes.join(_small(materialise(lists.select("doc").distinct(), "listed"), 8), "doc", "left_semi")
+    bits = materialise(bits.select("doc", F.col("form").alias("bits")), "bits")
     for step in range(BEST_ROUNDS + 1):
-        best = step < BEST_ROUNDS
-        pairs = in_lists(lists, bits, within, best).union(_best(_across(short, within)) if best else _across(short, within).select("a", "b"))
+        listed = in_lists(lists, bits, within, step == BEST_ROUNDS)
+        again = listed.where("a is null").select("list", "many").distinct()
+        last = again.isEmpty()
+        pairs = listed.where("a is not null").select("a", "b").union(_across(short, within) if last else _best(_across(short, within)))
         pairs = materialise(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         links = verify(pairs, docs, width)
         done, within = done.union(pairs), merged(within, links)
+        if last:
+            break
+        lists = materialise(lists.join(again, ["list", "many"], "left_semi"), "lists")
     named = rows.join(classes, "digest", "left").select("doc", "n", F.coalesce("node", "doc").alias("node"))
     out = named.join(within.withColumnRenamed("doc", "node"), "node", "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
@@ -576,6 +593,11 @@ def frequent_tokens(described: DataFrame) -> tuple[bytes, bytes]:
     return tokens[order].tobytes(), np.array([int(r[1]).bit_length() for r in top], dtype=np.uint8)[order].tobytes()
 
 
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The written pairs whose bitmaps can't refuse a link, written."""
+    return materialise(compared(pairs, _of(nodes, pairs), _may_link), "possible")
+
+
 def by_sketch(nodes: DataFrame) -> DataFrame:
     """(a, b, keys): for each token of a sketch, its smallest document with each of its others of similar size."""
     tokens = nodes.select("doc", "n", F.explode("sketch").alias("token"))

@@ -13,7 +13,7 @@ import numpy as np
 from .common import WHITE_SPACE, mix64, slices
 
 WIDTH = 5
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 250_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, dtype=bool)
