@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "1000"
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/sparkwave"
 _shipped: set[str] = set()
@@ -25,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        warnings.warn(f"{_CHECKPOINT_KEY} is unset: scratch goes to {_LOCAL_CHECKPOINTS}, which only one machine sees", stacklevel=2)
         spark.sparkContext.setCheckpointDir(_LOCAL_CHECKPOINTS)
     return _LOCAL_CHECKPOINTS
 
@@ -52,7 +56,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application."""
+    """Send this package to the Python workers once per application, and have rows go there in smaller batches.
+
+    Rows hold whole texts, blocks or blobs here, so 10,000 of them, Spark's default, take much of an executor's memory
+    outside its heap. Another number that the session sets is kept.
+    """
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
