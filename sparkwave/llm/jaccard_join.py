@@ -53,7 +53,7 @@ from .shingles import WIDTH, shingle_sets
 NUMERATOR, DENOMINATOR = 75, 100
 TOKEN_LEVEL = 32  # sets below this size use single tokens
 SKETCH, SKETCH_ROUNDS, BEST_ROUNDS = 12, 2, 1
-BUCKET_KEYS = 400_000
+BUCKET_KEYS = 1_000_000
 SLICE_BYTES = 2_000_000
 EMIT_KEYS = 300_000
 #: A token counts as frequent by the counts of the tasks that met it in ``MIN_LOCAL`` sets; ``MAX_HOT`` such tokens are
@@ -486,7 +486,7 @@ def compared(pairs: DataFrame, forms: DataFrame, holds) -> DataFrame:
     many = materialise(pairs.groupBy("a").count(), "many").withColumn("parts", F.ceil(F.col("count") / GROUP))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     roles = salted.select(F.col("b").alias("doc"), F.col("a").alias("rep"), "part").union(salted.select(F.col("a").alias("doc"), F.col("a").alias("rep"), "part").distinct())
-    met = materialise(roles, "roles").join(forms, "doc").select("rep", "part", "doc", "n", "form")
+    met = forms.join(_small(materialise(roles, "roles"), 20), "doc").select("rep", "part", "doc", "n", "form")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, group, own = _arrow(PAIR), None, []
