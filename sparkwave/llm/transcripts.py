@@ -40,18 +40,19 @@ _MARKER = re.compile(r"\s*(?:<\|([^|<>\n]{1,24})\|>|\[([^\]\n]{1,24})\]|#{1,4}\s
 TURNS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 
 
-def observe(transcript: str) -> list[tuple[str, str, str, bool, bool, int]]:
-    """(line, text after a marker, marker or "", blank before, question, size class) of each line that isn't blank."""
-    found, blank = [], True
+def observe(transcript: str) -> list[tuple[str, str, str, int, bool, int]]:
+    """(line, text after a marker, marker or "", number of blank lines before, question, size class) of each line that isn't
+    blank. Before the first line one counts at least, as before most turns."""
+    found, blank = [], 0
     for line in transcript.split("\n"):
         if not line.strip():
-            blank = True
+            blank += 1
             continue
         match = _MARKER.match(line)
         marker = next((g for g in match.groups() if g), "").strip().lower() if match else ""
         text = line[match.end() :] if match else line
-        found.append((line, text, marker, blank, text.rstrip().endswith("?"), sum(len(text) > s for s in SIZES)))
-        blank = False
+        found.append((line, text, marker, blank if found else max(1, blank), text.rstrip().endswith("?"), sum(len(text) > s for s in SIZES)))
+        blank = 0
     return found
 
 
@@ -69,6 +70,7 @@ class Model:
         known = len(self.markers)
         at = [self.markers.get(m, known + 1) if m else known for _, _, m, _, _, _ in lines]
         cues = [[int(line[i]) for line in lines] for i in (3, 4, 5)]
+        cues[0] = [min(1, b) for b in cues[0]]
         return (self.marker[:, at] + self.blank[:, cues[0]] + self.question[:, cues[1]] + self.size[:, cues[2]]).T
 
     def viterbi(self, lines: list) -> list[int]:
@@ -92,7 +94,7 @@ class Model:
             if begins or not turns:
                 turns.append((role, [text if marker in self.markers else line]))
             else:
-                turns[-1][1].extend([""] * (blank and len(turns[-1][1]) > 0) + [line])
+                turns[-1][1].extend([""] * blank + [line])
         return [(role, "\n".join(parts).strip("\n")) for role, parts in turns]
 
 
@@ -123,7 +125,7 @@ def fit(labelled: list[tuple[str, list[tuple[str, bool]]]]) -> Model:
             step[a, b] += 1
         for (_, _, m, before, asks, length), s in zip(lines, states, strict=True):
             marker[s, markers.get(m, len(markers) + 1) if m else len(markers)] += 1
-            blank[s, int(before)] += 1
+            blank[s, min(1, before)] += 1
             question[s, int(asks)] += 1
             size[s, length] += 1
     for i, (role, begins) in enumerate(STATES):  # a role's going on follows only its own lines; nothing starts by going on

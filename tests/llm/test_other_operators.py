@@ -1,6 +1,7 @@
 """Archives, nearest neighbours, pages, transcripts and the pipeline."""
 
 import hashlib
+import itertools
 
 import numpy as np
 import pytest
@@ -150,6 +151,24 @@ def test_no_transcript_holds_more_rows_than_a_part(spark):
     assert [t["piece"].split("u")[-1] for r in usual for t in r["truth"]] == [str(i) for i in range(600)]
 
 
+def _small_model():
+    return transcripts.fit([("User: hi\nBot: yo\nmore\n\nand more?\nUser: ok", [("user", True), ("assistant", True), ("assistant", False), ("assistant", False), ("user", True)])] * 4)
+
+
+def test_blank_lines_within_a_turn_stay():
+    assert _small_model().parse("User: hi\nBot: yo\n\n\nmore\nlast\nUser: ok") == [("user", "hi"), ("assistant", "yo\n\n\nmore\nlast"), ("user", "ok")]
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    model = _small_model()
+    for text in ("User: a\nb?\n\nBot: c\nd", "x\nBot: y\n\nz?\nUser: w\nv"):
+        lines = transcripts.observe(text)
+        emit = model.emissions(lines)
+        score = lambda path: model.start[path[0]] + sum(emit[i][s] for i, s in enumerate(path)) + sum(model.step[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, B905, E731
+        every = max(score(path) for path in itertools.product(range(len(transcripts.STATES)), repeat=len(lines)))
+        assert score(model.viterbi(lines)) == pytest.approx(every)
+
+
 def test_rendering_keeps_its_markers(spark):
     text = transcripts.render([("user", "a <|im_end|> b"), ("assistant", "")])
     assert text.count("<|im_start|>") == 2 and text.count("<|im_end|>") == 2
