@@ -628,4 +628,4 @@ def deduplicate(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> Da
     """The rows of ``df`` whose key names their component, with the same columns: one document of each group stays."""
     found = join(df, key, text, width=width)
     gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return df.join(gone, F.col(f"`{key}`").cast("long") == F.col("_gone"), "left_anti")
+    return df.join(_small(materialise(gone, "gone"), 8), F.col(f"`{key}`").cast("long") == F.col("_gone"), "left_anti")
