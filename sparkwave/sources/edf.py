@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..errors import DataIntegrityError, UnsupportedFormatError
 from ..functions import exact, signal
-from ..operators import coverage
 from ..plans.edf import EdfPlan, plan, tal
 from ..session import ship_package
 from .layout import SIGNAL_CHANNELS, UV_PER_COUNT
@@ -55,40 +54,26 @@ def header(p: EdfPlan, kinds: list[signal.Signal]) -> bytes:
 
 def kinds_of(recording: Recording, p: EdfPlan, max_error: float) -> list[signal.Signal]:
     """From one pass over the stored samples: their range by channel."""
-    seen = {r["channel"]: (r["low"], r["high"]) for r in coverage.block_range(recording.blocks(p.start, p.stop, list(p.channels))).collect()}
+    seen = {r["channel"]: (r["low"], r["high"]) for r in recording.ranges(p.start, p.stop, list(p.channels)).collect()}
     scale = lambda c: UV_PER_COUNT if c < SIGNAL_CHANNELS else None
     return [signal.signal_of(c, recording.header.shorted[c], scale(c), *seen.get(c, (0, 0)), max_error) for c in p.channels]
 
 
-def pieces(recording: Recording, p: EdfPlan, form) -> DataFrame:
-    """(record, pieces): the stored counts of each record that has any, as (place, offset, data) cut from blocks.
+def stretches(starts: list[int], values: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Packets that follow one another without a gap, as one array (channels, samples) each."""
+    first = 0
+    for i in range(1, len(starts) + 1):
+        if i == len(starts) or starts[i] != starts[i - 1] + values[i - 1].shape[1]:
+            joined = np.concatenate(values[first:i], axis=1)
+            if joined.shape[1]:
+                yield starts[first], joined
+            first = i
 
-    ``data`` is what ``form`` (place, counts) gives for the counts. A record has a bounded number of pieces.
-    """
-    place_of = {c: i for i, c in enumerate(p.channels)}
-    grid, low = p.grid, p.start
-    schema = "record long, place int, offset int, data binary"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            lists, counts = batch.column("values"), batch.column("values").flatten().to_numpy()
-            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            at = batch.column("start_sample").to_numpy() - low
-            span = np.searchsorted(grid.starts, at, side="right") - 1
-            inside, first = at - grid.starts[span], grid.firsts[span]
-            for channel, a, b, x, record in zip(batch.column("channel").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), inside.tolist(), first.tolist(), strict=True):
-                place, own = place_of[channel], counts[a:b]
-                data, width = form(place, own), 0
-                while len(own):
-                    n = min(len(own), grid.points - x % grid.points)
-                    width = width or len(data) // len(own)
-                    rows.append((record + x // grid.points, place, x % grid.points, data[: n * width]))
-                    own, data, x = own[n:], data[n * width :], x + n
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary())], names=["record", "place", "offset", "data"])
-
-    blocks = recording.blocks(p.start, p.stop, list(p.channels)).select("channel", "start_sample", "values")
-    return blocks.mapInArrow(cut, schema).groupBy("record").agg(F.collect_list(F.struct("place", "offset", "data")).alias("pieces"))
+def places_of(p: EdfPlan, channels: np.ndarray) -> list[int]:
+    """Where the channels stand in the file."""
+    place = {c: i for i, c in enumerate(p.channels)}
+    return [place[c] for c in channels.tolist()]
 
 
 def notes_of(p: EdfPlan) -> dict[int, bytes]:
@@ -102,24 +87,41 @@ def notes_of(p: EdfPlan) -> dict[int, bytes]:
 def encoded(recording: Recording, p: EdfPlan, kinds: list[signal.Signal]) -> DataFrame:
     """(record, payload) of every record: its channels' codes and its annotations.
 
-    Blocks are quantised and cut at record borders where they are decoded; a record's pieces meet in one shuffle.
+    Stretches of samples are quantised and cut at record borders where they are decoded, all channels together; a
+    record's pieces, of which each packet gives one at most, meet in one shuffle.
     """
     shorted = np.array([bool(recording.header.shorted[c]) for c in p.channels])
-    found = pieces(recording, p, lambda place, counts: signal.codes_of(counts, kinds[place]).tobytes())
+    points, texts, grid = p.grid.points, notes_of(p), p.grid
+
+    def cut(_, starts: list[int], own: np.ndarray, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        places, rows = places_of(p, own), []
+        for at, counts in stretches(starts, values):
+            codes = np.stack([signal.codes_of(c, kinds[i]) for c, i in zip(counts, places, strict=True)])[np.argsort(places)]
+            record, offset = grid.place(at - p.start)
+            edges = np.arange(-offset, codes.shape[1], points)
+            for i, edge in enumerate(edges.tolist()):
+                part = codes[:, max(edge, 0) : edge + points]
+                rows.append((record + i, max(-edge, 0), part.tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["record", "offset", "data"])
+
+    cuts = recording.decoded(cut, "record long, offset int, data binary", p.start, p.stop, list(p.channels))
+    found = cuts.groupBy("record").agg(F.collect_list(F.struct("offset", "data")).alias("pieces"))
     every = recording.spark.range(p.records).select(F.col("id").alias("record")).join(found, "record", "left")
-    points, texts = p.grid.points, notes_of(p)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live = np.flatnonzero(~shorted)
         for batch in batches:
             payloads = []
             for record, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = np.full((len(shorted), points), signal.DISCONNECTED, dtype="<i2")
-                filled = np.where(shorted, points, 0)
+                filled = np.zeros(points, dtype=int)
                 for piece in own or []:
-                    values = np.frombuffer(piece["data"], "<i2")
-                    codes[piece["place"], piece["offset"] : piece["offset"] + len(values)] = values
-                    filled[piece["place"]] += len(values)
-                if (filled != points).any():
+                    part = np.frombuffer(piece["data"], "<i2").reshape(len(live), -1)
+                    columns = slice(piece["offset"], piece["offset"] + part.shape[1])
+                    codes[live, columns] = part
+                    filled[columns] += 1
+                if len(live) and (filled != 1).any():
                     raise DataIntegrityError(f"record {record} isn't filled")
                 notes = tal(p.origin + int(p.grid.start_of(record)) / p.rate) + texts.get(record, b"")
                 payloads.append(codes.tobytes() + notes.ljust(p.slot, b"\0"))
@@ -214,38 +216,51 @@ def _signatures(recording: Recording) -> list:
 def verify(recording: Recording, path: str, p: EdfPlan, kinds: list[signal.Signal]) -> float:
     """The largest difference between the file and the source, which is decoded again; refused if anything is wrong.
 
-    The header is compared as bytes, annotations by record with the plan's, and every code with its count: what the code
-    stands for may differ from the count by half a step.
+    The header is compared as bytes, annotations and disconnected channels by record with the plan's, and every code with
+    its count, by the task that decodes the count (no shuffle): what the code stands for may differ by half a step. Packets
+    don't overlap, so all codes were compared if as many were as the file holds.
     """
     with open(path, "rb") as f:
         if f.read(p.header_bytes) != header(p, kinds) or os.fstat(f.fileno()).st_size != p.output_bytes:
             raise DataIntegrityError("the file's header or size is wrong")
     shorted = np.array([bool(recording.header.shorted[c]) for c in p.channels])
-    source = pieces(recording, p, lambda place, counts: counts.astype("<i8").tobytes())
-    there = raw_records(recording.spark, path, p.header_bytes, p.record_bytes, p.records)
-    points, texts = p.grid.points, notes_of(p)
+    points, texts, grid, size = p.grid.points, notes_of(p), p.grid, 2 * p.grid.points * len(p.channels)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, wrong, most = 0, 0, 0.0
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = wrong = 0
         for batch in batches:
-            for record, payload, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                codes = np.frombuffer(payload, "<i2", len(shorted) * points).reshape(len(shorted), points)
-                notes = tal(p.origin + int(p.grid.start_of(record)) / p.rate) + texts.get(record, b"")
-                good = payload[codes.nbytes :] == notes.ljust(p.slot, b"\0") and bool((codes[shorted] == signal.DISCONNECTED).all())
-                seen = np.zeros(codes.shape, dtype=bool)
-                for piece in own or []:
-                    counts, at, kind = np.frombuffer(piece["data"], "<i8"), slice(piece["offset"], piece["offset"] + len(piece["data"]) // 8), kinds[piece["place"]]
-                    errors = signal.errors_of(codes[piece["place"], at], counts, kind)
-                    good = good and bool((errors <= kind.half_step * (1 + 1e-9)).all()) and not seen[piece["place"], at].any()
-                    seen[piece["place"], at], most = True, max(most, float(errors.max(initial=0)))
-                records, wrong = records + 1, wrong + (not good or not seen[~shorted].all())
-        yield pa.RecordBatch.from_arrays([pa.array([records], pa.int64()), pa.array([wrong], pa.int64()), pa.array([most])], names=["records", "wrong", "most"])
-
-    met = there.join(source, "record", "left").select("record", "payload", "pieces")
-    found = met.mapInArrow(compare, "records long, wrong long, most double").agg(F.sum("records"), F.sum("wrong"), F.max("most")).first()
-    if found[0] != p.records or found[1]:
-        raise DataIntegrityError(f"{found[1]} records differ from the source")
-    return found[2]
+            for record, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes = np.frombuffer(payload, "<i2", size // 2).reshape(len(shorted), points)
+                notes = tal(p.origin + int(grid.start_of(record)) / p.rate) + texts.get(record, b"")
+                good = payload[size:] == notes.ljust(p.slot, b"\0") and bool((codes[shorted] == signal.DISCONNECTED).all())
+                records, wrong = records + 1, wrong + (not good)
+        yield pa.RecordBatch.from_arrays([pa.array([records], pa.int64()), pa.array([wrong], pa.int64())], names=["records", "wrong"])
+
+    there = raw_records(recording.spark, path, p.header_bytes, p.record_bytes, p.records)
+    records, wrong = there.mapInArrow(marks, "records long, wrong long").agg(F.sum("records"), F.sum("wrong")).first()
+    if records != p.records or wrong:
+        raise DataIntegrityError(f"{wrong} records differ in their annotations or disconnected channels")
+
+    def compare(_, starts: list[int], own: np.ndarray, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        places, compared, wrong, most = places_of(p, own), 0, 0, 0.0
+        with open(path, "rb") as f:
+            for at, counts in stretches(starts, values):
+                record, offset = grid.place(at - p.start)
+                n = -(-(offset + counts.shape[1]) // points)
+                f.seek(p.header_bytes + record * p.record_bytes)
+                raw = np.frombuffer(f.read(n * p.record_bytes), np.uint8).reshape(n, p.record_bytes)[:, :size]
+                codes = np.ascontiguousarray(raw).view("<i2").reshape(n, len(shorted), points)
+                for place, own_counts in zip(places, counts, strict=True):
+                    errors = signal.errors_of(codes[:, place].ravel()[offset : offset + len(own_counts)], own_counts, kinds[place])
+                    wrong += int((errors > kinds[place].half_step * (1 + 1e-9)).sum())
+                    compared, most = compared + len(own_counts), max(most, float(errors.max()))
+        yield pa.RecordBatch.from_arrays([pa.array([compared], pa.int64()), pa.array([wrong], pa.int64()), pa.array([most])], names=["compared", "wrong", "most"])
+
+    seen = recording.decoded(compare, "compared long, wrong long, most double", p.start, p.stop, list(p.channels))
+    compared, wrong, most = seen.agg(F.coalesce(F.sum("compared"), F.lit(0)), F.coalesce(F.sum("wrong"), F.lit(0)), F.coalesce(F.max("most"), F.lit(0.0))).first()
+    if wrong or compared != p.records * points * int((~shorted).sum()):
+        raise DataIntegrityError(f"{wrong} of {compared} codes differ from the source")
+    return most
 
 
 def raw_records(spark: SparkSession, path: str, start: int, width: int, count: int) -> DataFrame:

@@ -67,16 +67,20 @@ def decode_run(packets: list[bytes], spans: list[int], shorted: np.ndarray, stop
 
 
 def encode(values: np.ndarray, shorted: np.ndarray, event: int = 0) -> bytes:
-    """The packet of ``values`` (samples, active channels); the shortest form of each delta is taken."""
-    active = np.flatnonzero(~shorted)
-    previous, parts = None, []
-    for row in values.astype(np.int64):
-        delta = np.zeros(len(active), dtype=np.int64) if previous is None else row - previous
-        narrow = (delta >= -128) & (delta < 128) if previous is not None else np.zeros(len(active), dtype=bool)
-        anew = ~narrow & ((delta < -32768) | (delta > 32767) | (previous is None))
-        bits = np.zeros((len(shorted) + 7) // 8 * 8, dtype=np.uint8)
-        bits[active] = ~narrow
-        fields = [(int(d) & 0xFF).to_bytes(1, "little") if n else (0xFFFF if a else int(d) & 0xFFFF).to_bytes(2, "little") for d, n, a in zip(delta, narrow, anew, strict=True)]
-        parts += [bytes([event]), np.packbits(bits, bitorder="little").tobytes(), *fields, row[anew].astype("<i4").tobytes()]
-        previous = row
-    return b"".join(parts)
+    """The packet of ``values`` (samples, active channels); the shortest form of each delta is taken.
+
+    All bytes that samples could need are laid out as rows, and those that are needed are kept.
+    """
+    values, active = values.astype(np.int64), np.flatnonzero(~shorted)
+    n, mask_bytes = len(values), (len(shorted) + 7) // 8
+    delta = np.diff(values, axis=0, prepend=values[:1])
+    wide = (delta < -128) | (delta > 127)
+    anew = (delta < -32768) | (delta > 32767)
+    wide[:1] = anew[:1] = True
+    bits = np.zeros((n, mask_bytes * 8), dtype=bool)
+    bits[:, active] = wide
+    fields = np.where(anew, 0xFFFF, delta & 0xFFFF).astype("<u2")
+    rows = [np.full((n, 1), event, dtype=np.uint8), np.packbits(bits, axis=1, bitorder="little"), fields.view(np.uint8), values.astype("<i4").view(np.uint8)]
+    second = np.stack([np.ones_like(wide), wide], axis=2).reshape(n, -1)
+    kept = [np.ones((n, 1 + mask_bytes), dtype=bool), second, np.repeat(anew, 4, axis=1)]
+    return np.concatenate(rows, axis=1)[np.concatenate(kept, axis=1)].tobytes()

@@ -7,7 +7,7 @@ bytes are read only by ``blocks``, whose tasks take runs of packets. Nothing but
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -266,8 +266,12 @@ class Recording:
             raise IndexError(f"samples {start} to {stop} of {self.n_samples}")
         return start, stop
 
-    def blocks(self, start: int = 0, stop: int | None = None, channels: list[int] | None = None) -> DataFrame:
-        """Stored counts as one row per packet and channel that isn't shorted, clipped to the samples asked for."""
+    def decoded(self, give: Callable[..., Iterator[pa.RecordBatch]], schema: str, start: int = 0, stop: int | None = None, channels: list[int] | None = None) -> DataFrame:
+        """What ``give`` makes of runs of neighbouring packets, in the task that decodes them.
+
+        It gets the packets' rows, their first samples, the channels that aren't shorted, in ascending order, and for each
+        packet an array of counts (channels, samples), clipped to the samples asked for.
+        """
         start, stop = self.window(start, stop)
         h, origin, wanted = self.header, self.origin, None if channels is None else sorted(set(channels))
         shorted = np.array(h.shorted)
@@ -277,7 +281,6 @@ class Recording:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             active = np.flatnonzero(~shorted)
             keep = np.arange(len(active)) if wanted is None else np.flatnonzero(np.isin(active, wanted))
-            n = len(keep)
             for rows in packet_runs(batches):
                 fs, path = filesystem(rows[0]["erd"])
                 unchanged(fs, path, rows[0])
@@ -289,19 +292,37 @@ class Recording:
                 unchanged(fs, path, rows[0])
                 places = [row["sample_stamp"] - origin for row in rows]
                 stops = [min(row["sample_span"], stop - at) for row, at in zip(rows, places, strict=True)]
-                decoded = decode_run(parts, [row["sample_span"] for row in rows], shorted, stops)
-                if not n:
-                    continue
-                skipped = [max(0, start - at) for at in places]
-                values = [np.ascontiguousarray(v[a:, keep].T) for v, a in zip(decoded, skipped, strict=True)]
-                sizes = np.repeat([v.shape[1] for v in values], n)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate([v.ravel() for v in values])))
-                repeated = lambda x, kind: pa.array(np.repeat(np.array(x), n).astype(kind))
-                yield pa.RecordBatch.from_arrays([repeated([r["segment_index"] for r in rows], "i4"), repeated([r["packet_index"] for r in rows], "i4"), pa.array(np.tile(active[keep], len(rows)).astype(np.int32)), repeated([at + a for at, a in zip(places, skipped, strict=True)], "i8"), lists], names=["segment_index", "packet_index", "channel", "start_sample", "values"])
+                found = decode_run(parts, [row["sample_span"] for row in rows], shorted, stops)
+                if len(keep):
+                    skipped = [max(0, start - at) for at in places]
+                    yield from give(rows, [at + a for at, a in zip(places, skipped, strict=True)], active[keep], [np.ascontiguousarray(v[a:, keep].T) for v, a in zip(found, skipped, strict=True)])
 
         run_of = F.floor(F.col("packet_index") / RUN_PACKETS)
         dealt = touched.repartition(self.spark.sparkContext.defaultParallelism, "segment_index", run_of)
-        return dealt.sortWithinPartitions("segment_index", "packet_index").mapInArrow(run, BLOCKS)
+        return dealt.sortWithinPartitions("segment_index", "packet_index").mapInArrow(run, schema)
+
+    def blocks(self, start: int = 0, stop: int | None = None, channels: list[int] | None = None) -> DataFrame:
+        """Stored counts as one row per packet and channel that isn't shorted, clipped to the samples asked for."""
+
+        def give(rows: list[dict], starts: list[int], own: np.ndarray, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            n = len(own)
+            sizes = np.repeat([v.shape[1] for v in values], n)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate([v.ravel() for v in values])))
+            repeated = lambda x, kind: pa.array(np.repeat(np.array(x), n).astype(kind))
+            yield pa.RecordBatch.from_arrays([repeated([r["segment_index"] for r in rows], "i4"), repeated([r["packet_index"] for r in rows], "i4"), pa.array(np.tile(own, len(rows)).astype(np.int32)), repeated(starts, "i8"), lists], names=["segment_index", "packet_index", "channel", "start_sample", "values"])
+
+        return self.decoded(give, BLOCKS, start, stop, channels)
+
+    def ranges(self, start: int = 0, stop: int | None = None, channels: list[int] | None = None) -> DataFrame:
+        """(channel, low, high): least and largest stored count of each channel; a task gives one row a run and channel."""
+
+        def give(rows: list[dict], starts: list[int], own: np.ndarray, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            filled = [v for v in values if v.shape[1]]
+            if filled:
+                low, high = np.min([v.min(axis=1) for v in filled], axis=0), np.max([v.max(axis=1) for v in filled], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(low), pa.array(high)], names=["channel", "low", "high"])
+
+        return self.decoded(give, "channel int, low long, high long", start, stop, channels).groupBy("channel").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
     def samples(self, start: int = 0, stop: int | None = None, channels: list[int] | None = None) -> DataFrame:
         """(sample, stamp, channel, value) of stored samples."""

@@ -91,7 +91,8 @@ def write(df: DataFrame, folder: str, *, sample: str, values: list[str], n_sampl
         fs_, path_ = filesystem(folder)
         last = after = None
         for batch in batches:
-            for at, number, seg, row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            rows_ = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(values))
+            for at, number, seg, row in zip(*(batch.column(i).to_pylist() for i in range(3)), rows_, strict=True):
                 if seg != current:
                     if current is not None:
                         yield close()

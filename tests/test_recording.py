@@ -10,6 +10,7 @@ from sparkwave.errors import DataIntegrityError, ResourceLimitError, Unsupported
 from sparkwave.functions import notes as note_functions
 from sparkwave.limits import ReadLimits
 from sparkwave.operators import coverage, ranges
+from sparkwave.plans.edf import plan
 from sparkwave.session import scratch_dir
 from sparkwave.sources import edf, synth
 from sparkwave.sources.layout import UV_PER_COUNT
@@ -118,6 +119,32 @@ def test_edf_round_trip(spark, recording):
     assert all(set(r["codes"]) == {32767} for r in back.codes().where("signal = 2").collect())
 
 
+def test_a_changed_edf_file_is_refused(spark, recording):
+    path = f"/tmp/checkpoints/{uuid.uuid4().hex}.edf"
+    edf.export(recording, path, timezone="UTC")
+    p = plan(recording, timezone="UTC")
+    kinds = edf.kinds_of(recording, p, 0.5)
+    assert edf.verify(recording, path, p, kinds) <= 0.5
+    good = open(path, "rb").read()
+    places = {"code": p.header_bytes + p.record_bytes + 1, "disconnected": p.header_bytes + 2 * 2 * p.grid.points, "note": p.header_bytes + 3 * p.record_bytes + 3 * 2 * p.grid.points + 1, "header": 30}
+    for at in places.values():
+        with open(path, "wb") as f:
+            f.write(good[:at] + bytes([good[at] ^ 0x55]) + good[at + 1 :])
+        with pytest.raises(DataIntegrityError):
+            edf.verify(recording, path, p, kinds)
+
+
+def test_parts_of_records_and_any_order_of_channels(spark, recording):
+    path = f"/tmp/checkpoints/{uuid.uuid4().hex}.edf"
+    edf.export(recording, path, timezone="UTC", channels=[1, 0])
+    codes = {(r["record"], r["signal"]): r["codes"] for r in edf.EdfFile.open(spark, path).codes().collect()}
+    a, b = (np.concatenate([codes[k] for k in sorted(codes) if k[1] == i]) for i in (1, 0))
+    stored = [s for s in range(N) if not 64 <= s < 128]
+    wanted = [np.array([1500 + s * 7 % 257 * 2 for s in stored]), np.array([s - 100 for s in stored])]
+    for found, counts in zip((a, b), wanted, strict=True):
+        assert np.corrcoef(found, -counts)[0, 1] > 0.999999  # a count is a negative number of microvolts
+
+
 def test_range_operators(spark):
     stored = spark.createDataFrame([("x", 0, 5), ("x", 5, 9), ("x", 12, 20), ("y", 3, 4)], "k string, start long, stop long")
     assert sorted(map(tuple, ranges.islands(stored, ["k"]).collect())) == [("x", 0, 9), ("x", 12, 20), ("y", 3, 4)]
