@@ -16,7 +16,10 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ LEVELS = 40
 GAMMA = 2.0
 BATCH_CHARS = 4_000_000
 READ_BYTES = 8 << 20
+SHARDS_AT_ONCE = 100_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -270,26 +274,51 @@ def read_store(spark: SparkSession, folder: str, digest: bool = False) -> DataFr
 def lookup(keys: DataFrame, key: str, folder: str) -> DataFrame:
     """Rows (key, ids) for every document in the store with one of the keys; absent keys give no row.
 
-    Keys meet the shard whose range holds them, then one hash lookup finds each.
+    Shards hold disjoint ranges of keys, so a bisection names the shard of a key and one hash lookup finds it there.
+    Ranges are broadcast, ``SHARDS_AT_ONCE`` at a time; with more shards, keys are read once for each such part.
     """
     spark = keys.sparkSession
     ship_package(spark)
-    shards = spark.read.parquet(f"{folder}/manifest")
-    kind = shards.schema["low"].dataType
+    bounds = spark.read.parquet(f"{folder}/manifest").where("low is not null").select("low", "high", "name")
+    kind = bounds.schema["low"].dataType
     wanted = keys.select(F.col(key).cast(kind).alias("key")).where("key is not null").distinct()
-    met = wanted.join(shards.select("name", "low", "high"), F.col("key").between(F.col("low"), F.col("high"))).select("name", "key")
     schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.LongType()))])
+    named = T.StructType([T.StructField("name", T.StringType()), T.StructField("key", kind)])
+
+    def routed(part: list[tuple]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(tuple(map(list, zip(*part, strict=True))))
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lows, highs, names = shared.value
+            for batch in batches:
+                own = batch.column(0).to_pylist()
+                at = [bisect_right(lows, k) - 1 for k in own]
+                hit = [i >= 0 and k <= highs[i] for i, k in zip(at, own, strict=True)]
+                kept = batch.column(0).filter(pa.array(hit, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, h in zip(at, hit, strict=True) if h], pa.string()), kept], schema=_arrow(named))
+
+        return wanted.mapInArrow(route, named)
+
+    parts, part = [], []
+    for row in bounds.orderBy("low").toLocalIterator():  # a row per shard
+        part.append(tuple(row))
+        if len(part) == SHARDS_AT_ONCE:
+            parts, part = [*parts, routed(part)], []
+    parts += [routed(part)] if part else []
+    if not parts:
+        return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, name = None, None
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for i, n in enumerate(names):
+            for n, run in groupby(enumerate(batch.column(0).to_pylist()), lambda x: x[1]):
                 if n != name:
                     shard, name = Shard(folder, n), n
-                for where in shard.find(batch.column(1)[i : i + 1]):
-                    if len(where):
-                        rows = [{"key": batch.column(1)[i].as_py(), "ids": ids.astype(np.int64)} for ids in shard.read(where.start, where.stop)]
-                        yield pa.RecordBatch.from_pylist(rows, schema=_arrow(schema))
+                places = [i for i, _ in run]
+                own = batch.column(1)[places[0] : places[-1] + 1]
+                for k, where in zip(own.to_pylist(), shard.find(own), strict=True):
+                    for ids in shard.read(where.start, where.stop):
+                        yield pa.RecordBatch.from_pylist([{"key": k, "ids": ids.astype(np.int64)}], schema=_arrow(schema))
 
+    met = reduce(DataFrame.unionAll, parts)
     return met.repartition("name").sortWithinPartitions("name").mapInArrow(read, schema)

@@ -49,7 +49,9 @@ def test_neighbours(spark, folder_of):
     assert {r["query_id"] for r in found} == {i for i in every if i % 20 == 0}
 
 
-def test_recall_on_the_embeddings(spark):
+@pytest.mark.parametrize("block", [16_384, 700])
+def test_recall_on_the_embeddings(spark, monkeypatch, block):
+    monkeypatch.setattr(hash_forest, "BLOCK_ROWS", block)
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     local = [(r["vec_id"], np.array(r["embedding"], dtype=float)) for r in rows.collect() if r["embedding"]]
     local = [(i, v) for i, v in local if np.isfinite(v).all() and v.any()]
@@ -66,6 +68,23 @@ def test_recall_on_the_embeddings(spark):
     assert hits >= 0.9 * total
 
 
+def test_a_forest_looks_at_a_share_of_any_table():
+    rng = np.random.default_rng(3)
+    for n in (500, 4000):
+        vectors = rng.standard_normal((n, 64))
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+        own = list(hash_forest.Forest(vectors).candidates(vectors[:50], n // 2))
+        assert all(n // 2 <= len(c) for c in own) and np.mean([len(c) for c in own]) < 0.7 * n
+        best = np.argsort(-(vectors[:50] @ vectors.T), axis=1)[:, :21]
+        assert np.mean([np.isin(b, c).mean() for b, c in zip(best, own, strict=True)]) > 0.9
+
+
+def test_equal_vectors_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in (0, 3, 5, 5, 7)] + [(9, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    found = hash_forest.search(rows, rows["vec_id"] == 0, key="vec_id", vector="embedding", k=3).orderBy("rank").collect()
+    assert [tuple(r) for r in found] == [(0, 1, 3, 1.0), (0, 2, 5, 1.0), (0, 3, 5, 1.0)]
+
+
 def test_vectors_of_no_use(spark):
     none = spark.createDataFrame([(0, None), (20, [0.0])], "vec_id long, embedding array<float>")
     assert hash_forest.search(none, none["vec_id"] % 20 == 0, key="vec_id", vector="embedding", k=20).count() == 0

@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkwave.llm import decontaminate, op2_decontamination, op8_toxicity, packing, ppm, token_store, toxicity
@@ -15,6 +17,8 @@ from sparkwave.llm.op10_token_ids import tokenizer_file
 
 from .conftest import SF
 
+FILE = tokenizer_file()
+
 
 def low(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
@@ -198,6 +202,51 @@ def test_token_files_round_trip(spark, documents):
         at += len(ids)
 
 
+@pytest.mark.parametrize("at_once", [100_000, 2])
+def test_lookup_finds_keys_that_are_there_and_no_others(spark, documents, monkeypatch, at_once):
+    monkeypatch.setattr(token_store, "SHARDS_AT_ONCE", at_once)
+    rows = documents.union(documents.where("doc_id = 1").withColumn("doc_id", documents["doc_id"] + 1000)).withColumn("doc_id", F.when(F.col("doc_id") == 2, None).otherwise(F.col("doc_id") * 10))
+    folder = token_store.write_store(rows.repartition(5), "doc_id", "text", FILE)
+    asked = spark.createDataFrame([(k, "x", 1) for k in (*range(-5, 145), 10_009, 10_010, 10_011, 1 << 60, 30, 30, None)], "k long, name string, low int")
+    found = sorted((r["key"], list(r["ids"])) for r in token_store.lookup(asked, "k", folder).collect())
+    wanted = sorted((r["doc_id"], [*Tokenizer.from_file(FILE).encode(r["text"] or "", add_special_tokens=False).ids, 0]) for r in rows.where("doc_id is not null").collect())
+    assert found == wanted
+
+
+def test_lookup_by_texts_and_in_an_empty_store(spark, documents):
+    rows = documents.select(F.concat(F.lit("ü"), "doc_id").alias("name"), "text").where("doc_id <> 3")
+    folder = token_store.write_store(rows.repartition(3), "name", "text", FILE)
+    asked = spark.createDataFrame([("ü1",), ("ü10",), ("u1",), ("ü99",), ("",)], "name string")
+    assert sorted(r["key"] for r in token_store.lookup(asked, "name", folder).collect()) == ["ü1", "ü10"]
+    empty = token_store.write_store(rows.where("false"), "name", "text", FILE)
+    assert token_store.lookup(asked, "name", empty).count() == 0
+
+
+def test_fingerprints_refuse_other_keys(spark, documents):
+    folder = token_store.write_store(documents.coalesce(1), "doc_id", "text", FILE)
+    shard = token_store.Shard(folder, token_store.manifest(spark, folder).first()["name"])
+    assert all(len(w) == 0 for w in shard.find(pa.array([*range(100, 5000), None, -1])))
+    assert [len(w) for w in shard.find(pa.array([0, 3, 14]))] == [1, 2, 1]
+
+
+def test_spans_are_places_in_the_original(spark):
+    item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    text = "Über  Ähren — ALPHA,beta; gamma\ndelta (epsilon) zeta\teta theta iota kappa λ lambda"
+    long = "ö! " + item.upper().replace(" ", " .. ") + " ÿ"
+    docs = spark.createDataFrame([(1, text), (2, long), (3, "x Short-Item ü short item"), (4, None), (5, "short items")], "doc_id long, text string").withColumn("hits", F.lit("clash"))
+    items = spark.createDataFrame([("a", item), ("b", "short item"), ("c", None), ("d", "--")], "item_id string, text string")
+    found = {r["doc_id"]: r["hits"] for r in decontaminate.hits(docs, items, spans=True).collect()}
+    words = [m.group(0) for m in re.finditer("[A-Z]+", long)]
+    begin, end = long.index("ALPHA"), long.index("NU") + 2
+    assert [(s["start"], s["end"], s["item_id"]) for s in found[2]["spans"]] == [(begin, end, "a"), (long.index("BETA"), long.index("XI") + 2, "a")]
+    assert (found[2]["n_hit"], found[2]["n_words"]) == (len(words), len(words) + 2)
+    three = "x Short-Item ü short item"
+    assert [three[s["start"] : s["end"]] for s in found[3]["spans"]] == ["Short-Item", "short item"]
+    assert not found[1]["spans"] and not found[4]["spans"] and not found[5]["spans"]
+    none = decontaminate.hits(docs, items.where("false"), spans=True).collect()
+    assert all(r["hits"]["n_hit"] == 0 and not r["hits"]["spans"] for r in none)
+
+
 def test_minimal_perfect_hash():
     hashes = np.unique(np.random.default_rng(2).integers(0, 2**63, 5000, dtype=np.uint64))
     mph, _ = token_store.build_mph(hashes)
