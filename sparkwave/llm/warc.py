@@ -7,6 +7,9 @@ read; only the smallest key of each digest is shuffled and joined back, and Spar
 Reading: archives are dealt out as byte ranges. A task looks for the gzip magic in its range, tries to decode a header
 that starts with ``WARC/1.`` at each candidate, and owns every record that starts inside its range, the last one to its
 end. Each member is decoded in full, so its length and CRC-32 are checked and payloads are compared with their digest.
+A payload may itself hold such members, stored as they are: the writer takes their magic apart, and of other writers'
+archives the first record that a range finds must be followed by another one or by the end of the file. (A whole chain of
+members that ends a payload of theirs isn't told from records, if a range begins between it and its own record's start.)
 
 Defined cases: a null payload is empty; rows with a null key are responses and refer to nothing; rows that repeat the
 smallest key of a digest are all responses; an empty table gives no archives and no rows; other columns are left out.
@@ -67,8 +70,20 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _member(payload: bytes) -> bytes:
+    """A gzip member. If bytes that are stored as they are would look like a record's start, such starts are taken apart:
+    a flush between the first two bytes puts a block header there."""
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(payload) + packer.flush()
+    plain = packer.compress(payload) + packer.flush()
+    at = plain.find(MAGIC, 1)
+    while at >= 0 and not _starts_record(plain[at:]):
+        at = plain.find(MAGIC, at + 1)
+    if at < 0:
+        return plain
+    packer, parts, done = zlib.compressobj(6, zlib.DEFLATED, 31), [], 0
+    while (at := payload.find(MAGIC, done)) >= 0:
+        parts += [packer.compress(payload[done : at + 1]), packer.flush(zlib.Z_SYNC_FLUSH)]
+        done = at + 1
+    return b"".join(parts) + packer.compress(payload[done:]) + packer.flush()
 
 
 FILES = T.StructType([T.StructField("name", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("records", T.LongType())])
@@ -150,7 +165,7 @@ def _starts_record(data: bytes) -> bool:
 
 def records_in(file, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
     """(offset, record) of every record that starts in the bytes from ``start`` to before ``stop``."""
-    window = _Range(file, start)
+    window, follows = _Range(file, start), start == 0  # of a record that is known, or of the file's start
     while window.base < stop:
         at = window.data.find(MAGIC)
         if at < 0:
@@ -175,8 +190,15 @@ def records_in(file, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
                 fed = len(window.data)
         except zlib.error as error:
             raise ValueError(f"the record at byte {window.base} is damaged: {error}") from error
+        end = len(window.data) - len(unpack.unused_data)
+        while not follows and len(window.data) - end < PROBE and window.more():
+            pass
+        if not follows and len(window.data) > end and not _starts_record(window.data[end : end + PROBE]):
+            window.drop(1)  # a member inside a payload
+            continue
         yield window.base, b"".join(parts)
-        window.drop(len(window.data) - len(unpack.unused_data))
+        window.drop(end)
+        follows = True
 
 
 def splits(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -1,6 +1,8 @@
 """Archives, nearest neighbours, pages, transcripts and the pipeline."""
 
+import gzip
 import hashlib
+import io
 import itertools
 
 import numpy as np
@@ -31,6 +33,31 @@ def test_any_split_owns_each_record_once(spark):
         assert sorted(r["key"] for r in warc.read(spark, folder, payloads=False, split_bytes=size).collect()) == wanted
 
 
+def test_members_inside_payloads_are_no_records(spark):
+    noise = np.random.default_rng(0).bytes
+    inner = warc._member(warc.render(99, "inner", noise(5000), "0", None))
+    payload = noise(70_000) + inner + noise(70_000) + inner + inner + noise(40_000)
+    rows = spark.createDataFrame([(1, payload), (2, noise(300)), (3, None), (None, b"no key"), (3, b"again")], "key long, body binary").coalesce(1)
+    folder = warc.write(rows, "key", "body")
+    for size in (1000, 4096, 1 << 24):
+        found = warc.read(spark, folder, split_bytes=size).collect()
+        assert sorted((r["key"] or 0, bytes(r["payload"])) for r in found) == sorted((r["key"] or 0, bytes(r["body"] or b"")) for r in rows.collect())
+    empty = warc.write(rows.where("false"), "key", "body")
+    assert warc.read(spark, empty).count() == 0
+
+
+def test_archives_of_other_writers():
+    noise = np.random.default_rng(1).bytes
+    pack = lambda x: gzip.compress(x, mtime=0)
+    inner = pack(warc.render(99, None, noise(3000), "0", None))
+    members = [pack(warc.render(k, None, body, "0", None)) for k, body in ((1, noise(20_000) + inner + noise(20_000)), (2, b"x"), (3, inner + noise(9)))]
+    data, edges = b"".join(members), list(itertools.accumulate(map(len, members), initial=0))
+    assert inner in data
+    for size in (700, 5000, 1 << 20):
+        found = [at for a in range(0, len(data), size) for at, _ in warc.records_in(io.BytesIO(data), a, min(len(data), a + size))]
+        assert found == edges[:-1]
+
+
 def test_neighbours(spark, folder_of):
     rng = np.random.default_rng(1)
     vectors = [[float(x) for x in v] for v in rng.standard_normal((400, 16))]
