@@ -8,7 +8,7 @@ import itertools
 import numpy as np
 import pytest
 
-from sparkwave.llm import hash_forest, html_blocks, op1_warc, op4_hash_forest, op9_chat_format, transcripts, warc
+from sparkwave.llm import hash_forest, html_blocks, op1_warc, op4_hash_forest, op6_html_blocks, op9_chat_format, transcripts, warc
 
 from .conftest import SF
 
@@ -143,6 +143,38 @@ def test_no_text_is_lost_after_raw_elements_and_heads(page, wanted):
     assert [t for t, _, _ in html_blocks.blocks(page)] == wanted
 
 
+def test_blocks_of_other_made_pages_are_labelled_right():
+    """F1 of content blocks, over pages of a seed that the labeller wasn't trained on."""
+    pages = html_blocks.training_pages(80, html_blocks.SEED + 1000)
+    x, mask = html_blocks.padded([p for p, _ in pages])
+    found = html_blocks.predict(html_blocks.trained().arrays, x, mask)[0] > 0.5
+    right = sum(int((found[i, : len(y)] & (y > 0)).sum()) for i, (_, y) in enumerate(pages))
+    given, wanted = sum(int(found[i, : len(y)].sum()) for i, (_, y) in enumerate(pages)), sum(int(y.sum()) for _, y in pages)
+    assert 2 * right / (given + wanted) > 0.95
+
+
+def test_main_text_of_odd_pages(spark, folder_of):
+    words = "The harbour town rebuilt its old lighthouse last spring, and many visitors came to see how the work was done. "
+    article = [f"{words} Part {i} tells more of it &amp; of its keepers." for i in range(6)]
+    page = "<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></nav><article><h1>The lighthouse</h1>" + "".join(f"<p>{p}</p>" for p in article) + "</article><footer><p>Copyright, all rights reserved</p></footer></body></html>"
+    long = page.replace(article[3], article[3] * 4000)
+    rows = [(1, None), (2, ""), (3, page), (3, page), (4, "<<<"), (5, long), (None, page)]
+    folder = folder_of(pages=spark.createDataFrame([(k, "u", h, "clash") for k, h in rows], "page_id long, url string, html string, main string"))
+    found = op6_html_blocks.op6_html_blocks(spark, folder).collect()
+    assert len(found) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in found)
+    clean = [" ".join(p.replace("&amp;", "&").split()) for p in article]
+    for r in found:
+        if r["page_id"] in (1, 2):
+            assert r["text"] == ""
+        elif r["page_id"] in (3, None):
+            assert r["text"].split("\n")[-6:] == clean and "Home" not in r["text"] and "Copyright" not in r["text"]
+        elif r["page_id"] == 5:
+            assert all(c in r["text"] for c in clean) and r["n_chars"] > 4000 * len(clean[3])
+    folder = folder_of(none=spark.createDataFrame([], "x int"))
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/empty/pages.parquet")
+    assert op6_html_blocks.op6_html_blocks(spark, f"{folder}/empty").count() == 0
+
+
 def test_gradients_are_right():
     """Of the block labeller, by central differences."""
     rng = np.random.default_rng(0)

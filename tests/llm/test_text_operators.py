@@ -134,6 +134,45 @@ def test_base_scores_equal_brute_force(spark, documents):
         assert math.isfinite(r["score"]) and r["score"] <= 0
 
 
+def test_model_scores_equal_a_trie_of_plain_dicts(spark, documents):
+    found = {(r["doc_id"], r["n_tokens"]): r["score"] for r in ppm.scores(documents, key="doc_id", text="text", train=F.col("doc_id") % 2 == 0).collect()}
+    trie = defaultdict(Counter)
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in documents.collect()]
+
+    def steps(text):
+        symbols = [ppm.START] * ppm.ORDER + [*text, ppm.END]
+        for i in range(ppm.ORDER, len(symbols)):
+            yield [tuple(symbols[i - n : i]) for n in range(ppm.ORDER, -1, -1)], symbols[i]
+
+    for key, text in rows:
+        if key % 2 == 0:
+            for contexts, symbol in steps(text):
+                for c in contexts:
+                    trie[c][symbol] += 1
+    for key, text in rows:
+        total = 0.0
+        for contexts, symbol in steps(text):
+            excluded = set()
+            for c in contexts:
+                left = {x: n for x, n in trie.get(c, {}).items() if x not in excluded}
+                size = sum(left.values()) + len(left)
+                if symbol in left:
+                    total += math.log10(left[symbol] / size)
+                    break
+                total += math.log10(len(left) / size) if left else 0.0
+                excluded |= left.keys()
+            else:
+                total -= math.log10(257 - len(excluded))
+        assert found[key, len(text.split()) + 1] == pytest.approx(total, rel=1e-5)
+
+
+def test_scores_without_training_texts_and_of_an_empty_table(spark, documents):
+    some = documents.where("doc_id in (1, 8)")
+    found = {r["doc_id"]: r["score"] for r in ppm.scores(some, key="doc_id", text="text", train=F.lit(False)).collect()}
+    assert found == {1: pytest.approx(-math.log10(257)), 8: pytest.approx(-math.log10(257) * (len("short text") + 1))}
+    assert ppm.scores(documents.where("false"), key="doc_id", text="text", train=F.lit(True)).count() == 0
+
+
 def test_adaptive_code_is_a_distribution():
     """After a context, the probabilities of all bytes and the end add up to at most one, and repeats get shorter."""
     text = b"abracadabra abracadabra"
