@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def islands(ranges: DataFrame, by: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
     """Adjacent ranges merged: (``by``, start, stop). Overlaps are for the caller to refuse; they merge here."""
@@ -47,31 +49,52 @@ def gaps(stored: DataFrame, by: list[str], low: int, high: int, keys: DataFrame
     return found.unionByName(empty.select(*by, F.lit(low).cast("long").alias("start"), F.lit(high).cast("long").alias("stop")).where("stop > start"))
 
 
+#: Cells of a level are this many times as wide as those of the level below it; levels that 64 bits can need.
+BASE, LEVELS = 8, 21
+
+
+def _cell(at: Column, width: Column) -> Column:
+    """The number of the cell of ``width`` that holds ``at``, in whole numbers."""
+    return F.call_function("div", at - F.pmod(at, width), width)
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], width: int) -> DataFrame:
-    """Rows of ``left`` (lo, hi) and ``right`` (start, stop) whose ranges overlap, as an equality join on bins of ``width``.
+    """Rows of ``left`` (lo, hi) and ``right`` (start, stop) whose ranges overlap, whatever their lengths.
 
-    Each overlap is found in the bin where the later of the two starts, so none comes twice, and neither side needs to be
-    small. A bin with very many ranges of one side is split by Spark as any skewed join key.
+    Two ranges overlap if and only if the later of their starts lies in the other one. A range takes the one or two cells
+    that it touches on the level whose cells are at least as wide as it, ``width`` at level 0 and ``BASE`` times as much a
+    level; a start takes its cell on each level that the other side has. So ranges of any length become a few rows, joined
+    by equality on (level, cell), and each overlap is found once. A hot cell is split by Spark as any skewed join key.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width))).alias("_bin")
-    one = left.where("hi > lo").select("*", bins("lo", "hi"))
-    two = right.where("stop > start").select("*", bins("start", "stop"))
-    met = one.join(two, [*on, "_bin"]).where("lo < stop and start < hi")
-    return met.where(F.col("_bin") == F.floor(F.greatest("lo", "start") / width)).drop("_bin")
+    widths = [width * BASE**j for j in range(LEVELS) if width * BASE**j < 1 << 62]
+    level = lambda a, b: sum(((F.col(b) - F.col(a)) > w).cast("int") for w in widths[:-1])
+    wide = lambda j: F.get(F.array(*(F.lit(w).cast("long") for w in widths)), j)
+
+    def cells(rows: DataFrame, a: str, b: str, levels: list[int], inside: int) -> DataFrame:
+        """Rows once for each cell of their range, marked ``inside``, and of their start, marked by the other number."""
+        ranged = rows.withColumn("_level", level(a, b)).withColumn("_cell", F.explode(F.sequence(_cell(F.col(a), wide(F.col("_level"))), _cell(F.col(b) - 1, wide(F.col("_level"))))))
+        starts = rows.withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("_cell", _cell(F.col(a), wide(F.col("_level"))))
+        return ranged.withColumn("_kind", F.lit(inside)).unionByName(starts.withColumn("_kind", F.lit(1 - inside)))
+
+    one, two = left.where("hi > lo"), right.where("stop > start")
+    levels_of = lambda rows, a, b: sorted(r[0] for r in rows.select(level(a, b)).distinct().collect())  # noqa: E731  LEVELS at most
+    met = cells(one, "lo", "hi", levels_of(two, "start", "stop"), 1).join(cells(two, "start", "stop", levels_of(one, "lo", "hi"), 0), [*on, "_kind", "_level", "_cell"])
+    found = F.when(F.col("_kind") == 1, (F.col("lo") < F.col("start")) & (F.col("start") < F.col("hi"))).otherwise((F.col("start") <= F.col("lo")) & (F.col("lo") < F.col("stop")))
+    return met.where(found).drop("_kind", "_level", "_cell")
 
 
 def as_of(left: DataFrame, right: DataFrame, on: list[str], at: str, value: list[str]) -> DataFrame:
     """``left`` with the ``value`` columns of the last row of ``right`` at or before ``at`` (null if none).
 
-    Both sides are merged into one order and the last value is carried on: one shuffle, no inequality join.
+    Both sides are merged into one order and the last value is carried on in two levels, so a key may hold any share of
+    the rows. A row of ``left`` without ``at`` finds none, a row of ``right`` without it is found by none.
     """
     names = left.columns
-    marked = left.select(*on, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), *(F.lit(None).cast(right.schema[v].dataType).alias(v) for v in value))
-    source = right.select(*on, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(marked.schema["_row"].dataType).alias("_row"), *value)
-    order = Window.partitionBy(*on).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    packed = F.when(F.col("_side") == 0, F.struct(*value))
-    filled = marked.unionByName(source).withColumn("_last", F.last(packed, ignorenulls=True).over(order))
-    return filled.where("_side = 1").select("_row.*", *(F.col(f"_last.{v}").alias(v) for v in value))
+    marked = left.select(*on, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*names).alias("_source"), *(F.lit(None).cast(right.schema[v].dataType).alias(v) for v in value))
+    source = right.where(F.col(at).isNotNull()).select(*on, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(marked.schema["_source"].dataType).alias("_source"), *value)
+    both = marked.unionByName(source).select(*on, "_at", "_side", F.monotonically_increasing_id().alias("_tie"), "_source", F.when(F.col("_side") == 0, F.struct(*value)).alias("_last"))
+    filled = scan.last_values(both, on, ["_at", "_side", "_tie"], "_last")
+    return filled.where("_side = 1").select("_source.*", *(F.col(f"_last.{v}").alias(v) for v in value))
 
 
 def chunk(sample: Column, start: int, size: int) -> Column:
@@ -85,8 +108,14 @@ def stored_ranges(packets: DataFrame, origin: int, by: list[str]) -> DataFrame:
     return islands(packets.select(*by, start.alias("start"), (start + F.col("sample_span")).alias("stop")), by)
 
 
-def carried(deltas: DataFrame, by: list[str], order: str, delta: str, absolute: str, out: str) -> DataFrame:
-    """Running sums of ``delta`` that start anew wherever ``absolute`` has a value; null before the first such value."""
+def carried(deltas: DataFrame, by: list[str], order: str, delta: str, absolute: str, out: str, *, bounded: bool = False) -> DataFrame:
+    """Running sums of ``delta`` that start anew wherever ``absolute`` has a value; null before the first such value.
+
+    Two levels, so a key may hold any share of the rows; ``bounded`` says that keys are small by format, as packets are,
+    and takes one window for each.
+    """
+    if not bounded:
+        return scan.carried_sums(deltas, by, [order], delta, absolute, out)
     one = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     run = deltas.withColumn("_run", F.count(absolute).over(one))
     within = Window.partitionBy(*by, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -135,7 +135,7 @@ def delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = blocks.select("channel", "start_sample", F.posexplode("values").alias("i", "value"), "values")
     before = F.get("values", F.col("i") - 1)
     deltas = each.select("channel", "start_sample", (F.col("start_sample") + F.col("i")).alias("sample"), (F.col("value") - before).alias("delta"), F.when(F.col("i") == 0, F.col("value")).alias("absolute"))
-    return ranges.carried(deltas, ["channel", "start_sample"], "sample", "delta", "absolute", "value").select("sample", "channel", "value")
+    return ranges.carried(deltas, ["channel", "start_sample"], "sample", "delta", "absolute", "value", bounded=True).select("sample", "channel", "value")
 
 
 # Metadata
@@ -196,7 +196,7 @@ def packet_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = every.select("event_id", (F.col("sample") - 8).alias("lo"), (F.col("sample") + 9).alias("hi"))
     start = F.col("sample_stamp") - ORIGIN
     packets = r.packets().select(start.alias("start"), (start + F.col("sample_span")).alias("stop"))
-    met = ranges.interval_join(windows, packets, [], 4 * PACKET)
+    met = ranges.interval_join(windows, packets, [], PACKET)
     return met.select("event_id", F.col("start").alias("packet_start"), F.greatest("lo", "start").alias("first"), F.least("hi", "stop").alias("last"))
 
 
@@ -207,6 +207,23 @@ def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.as_of(left, right, ["key"], "at", ["o_orderkey"]).drop("at")
 
 
+def long_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days and orders of the customer's nation in a span after each order: an interval join of lengths from 0 to 4095."""
+    day = lambda c: F.datediff(F.col(c), F.lit("1992-01-01")).cast("long")
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    orders = table(spark, sf_dir, "orders").join(nation, "o_custkey")
+    spans = orders.select("o_orderkey", "nation", day("o_orderdate").alias("lo"), (day("o_orderdate") + F.pow(F.lit(4.0), F.col("o_orderkey") % 7).cast("long") - 1).alias("hi"))
+    days = orders.groupBy("nation", day("o_orderdate").alias("start")).agg(F.count("*").alias("orders")).withColumn("stop", F.col("start") + 1)
+    met = ranges.interval_join(spans, days, ["nation"], 4)
+    return met.groupBy("o_orderkey").agg(F.count("*").alias("days"), F.sum("orders").alias("orders"))
+
+
+def running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums over all events, which are one key, that start anew at some users' events."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit(0).alias("one"), F.round(F.col("value") * 100).cast("long").alias("delta"), F.when(F.col("user_id") % 50 == 7, F.col("user_id")).alias("absolute"))
+    return ranges.carried(rows, ["one"], "event_id", "delta", "absolute", "total").select("event_id", "total")
+
+
 def _clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = recording(spark, sf_dir)
     return clock.at_samples(spark.range(r.n_samples).select(F.col("id").alias("sample")), r.anchors(), ORIGIN, RATE, extrapolation="nominal", max_seconds=NOMINAL_SAMPLES / RATE)
@@ -347,7 +364,7 @@ def saved_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     decode_samples, channel_stats, decode_window, channel_selection, gap_fill, missing_by_channel, microvolts, delta_decode,
     packet_index, packet_bounds, packet_faults, segments, recording_info, channels, stored_ranges, missing_ranges, validate,
-    packet_overlap, as_of, clock_exact, clock_micros, chunk_counts, stream_chunks, quantised_codes, quantisation_error, raw_codes,
+    packet_overlap, long_overlap, as_of, running_total, clock_exact, clock_micros, chunk_counts, stream_chunks, quantised_codes, quantisation_error, raw_codes,
     events, literals, legal_labels, escaped_texts, edf_records, edf_event_records, edf_codes, edf_annotations, saved_samples,
 )}
 
@@ -396,6 +413,11 @@ FROM (SELECT unnest(range(0, ((SELECT n FROM size) + {SEGMENT - 1}) // {SEGMENT}
     "missing_ranges": WITH + "SELECT * FROM (SELECT coalesce(lag(stop) OVER (ORDER BY start), 0) AS start, start AS stop FROM islands UNION ALL SELECT max(stop), (SELECT n FROM size) FROM islands) WHERE start < stop",
     "validate": WITH + f"SELECT n AS logical_samples, (SELECT count(*) FROM packets) AS packets, (SELECT count(*) FROM days) AS stored_samples, CAST({LEAD} AS BIGINT) AS missing_leading, CAST({TRAIL} AS BIGINT) AS missing_trailing, n - (SELECT count(*) FROM days) AS missing_samples, (SELECT count(*) FROM nation) AS notes, CAST(0 AS BIGINT) AS unparsed_notes, (SELECT count(*) FROM nation) AS events FROM size",
     "packet_overlap": WITH + "SELECT event_id, start AS packet_start, greatest(sample - 8, start) AS first, least(sample + 9, stop) AS last FROM days JOIN packets ON sample - 8 < stop AND start < sample + 9",
+    "long_overlap": """WITH o AS (SELECT o_orderkey, c_nationkey AS nation, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS lo FROM orders JOIN customer ON o_custkey = c_custkey),
+days AS (SELECT nation, lo AS start, count(*) AS orders FROM o GROUP BY ALL)
+SELECT o_orderkey, count(*) AS days, CAST(sum(orders) AS BIGINT) AS orders FROM o JOIN days ON o.nation = days.nation AND start >= lo AND start < lo + CAST(pow(4, o_orderkey % 7) AS BIGINT) - 1 GROUP BY o_orderkey""",
+    "running_total": """WITH e AS (SELECT event_id, CAST(round(value * 100) AS BIGINT) AS delta, CASE WHEN user_id % 50 = 7 THEN user_id END AS absolute, count(absolute) OVER (ORDER BY event_id) AS run FROM events)
+SELECT event_id, CASE WHEN run > 0 THEN CAST(sum(coalesce(absolute, delta)) OVER (PARTITION BY run ORDER BY event_id) AS BIGINT) END AS total FROM e""",
     "as_of": "SELECT l_orderkey, l_linenumber, l_partkey AS key, o_orderkey FROM lineitem ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) o ON l_partkey = o_custkey AND l_shipdate >= o_orderdate",
     "clock_exact": WITH + f", {ANCHORS} SELECT sample, CAST(num AS VARCHAR) AS numerator, CAST(den AS VARCHAR) AS denominator, kind FROM exact",
     "clock_micros": WITH + f""", {ANCHORS}, parts AS (SELECT sample, num // (den * 10) AS q, num % (den * 10) * 2 AS twice, den * 10 AS d FROM exact WHERE kind IS NOT NULL)

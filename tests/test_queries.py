@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for t in "nation supplier part orders lineitem events conversations".split():
+    for t in "nation customer supplier part orders lineitem events conversations".split():
         connection.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return connection
 
