@@ -1,30 +1,32 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are whole words: each run of letters and digits, lower-cased. A term's weight is idf * (1 + chi2), where chi2 is the
-chi-square of its presence against the label, so a term that tells nothing keeps its idf and none is left out. Vectors are
-(1 + log tf) * weight over all terms of the examples, normalised; a word that no example has would shorten all of a text's
-cosines alike and isn't taken.
-
-The model is fitted on a bounded sample of labelled rows: those of ``DRAWN * MAX_EXAMPLES`` different keys of each label at
-most, those with the smallest hash, give the document frequencies, each row standing for as many as its label has for each
-that is drawn. Of these, at most ``MAX_EXAMPLES`` different texts of each label are examples, in order of their digest; a
-text's number of rows is its weight in votes and in calibration. The inverted index keeps a term's
+Terms are whole words: each run of letters and digits, lower-cased. Vectors are (1 + log tf) * idf over all terms of a text,
+normalised; idf is 1 + log((1 + rows) / (1 + rows with the term)), so a term that no example has weighs most and shortens
+all of a text's cosines.
+
+The model is fitted on a bounded sample of the labelled rows: of the different texts of each label those with the smallest
+digests, ``MAX_EXAMPLES`` as examples, and ``DRAWN`` times as many for the rows with a term, each text standing for all its
+rows and for as many more as its label has for each that is drawn. Copies so take one place, and their number is the text's
+weight in votes and in calibration. The inverted index keeps a term's
 postings in order of example number, in blocks with the largest weight of each block. A query takes its terms by falling
 upper bound, some at a time; once the bounds of the terms still to come leave few examples that can reach the k-th best
 score, only blocks that hold such an example and whose maximum could still lift it are read, so the k nearest are exact
 (ties to the smaller example number).
 
-A score is the share of label 1 in the neighbours' votes, weighted by similarity and rows, and mapped to a probability by
-isotonic bins fitted on the examples' rows, each scored without itself. Texts without a term of the vocabulary
-get the share of label 1 among such examples.
+The share of label 1 in the neighbours' votes, weighted by similarity and rows, is calibrated together with a second number:
+the sum, over a text's terms, of how many standard deviations beyond ``SURE`` a term's rows of label 1 are from what chance
+would give (its signed chi). A logistic function of both, fitted on the examples, each without its own rows and both labels weighing alike, is
+mapped to a probability by isotonic bins. Texts without a term of the vocabulary get the share of label 1 among such
+examples.
 
-Defined cases: null and empty texts have no terms; rows with null or other labels and labels without a document aren't
-examples; repeated rows count as often as they are there; with no examples at all the score is 0; further columns are
-ignored, those of documents are kept.
+Defined cases: null and empty texts have no terms; rows with null or other labels, null keys and labels without a document
+aren't examples; repeated rows count as often as they are there; with no examples at all the score is 0; further columns are
+ignored, those of documents are kept, but for one that is named as the result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -44,6 +46,7 @@ NEIGHBOURS = 15
 BLOCK = 64
 #: Terms that a query takes at a time, and the share of the examples that must be shut out before blocks are looked at.
 GROUP, SHUT = 256, 0.75
+SURE = 3.0
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 
@@ -74,10 +77,11 @@ class Index:
     labels: np.ndarray
     rows: np.ndarray
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, counts: dict[int, int], rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights; ``rest`` is the sum of squares of terms that no example has."""
         ids = np.fromiter(counts, dtype=np.int64, count=len(counts))
         w = (1 + np.log(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))) * self.idf[ids]
-        return ids, w / np.sqrt((w * w).sum())
+        return ids, w / np.sqrt((w * w).sum() + rest)
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples but ``skip`` with a common term, and their cosines: exact, ties to smaller numbers."""
@@ -117,15 +121,15 @@ class Index:
         best = found[np.lexsort((found, -scores[found]))][:k]
         return best, scores[best]
 
-    def vote(self, counts: dict[int, int], k: int, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
+    def vote(self, counts: dict[int, int], k: int, skip: int = -1, rest: float = 0.0) -> tuple[float | None, np.ndarray, np.ndarray]:
         """The vote without one row of ``skip``: its other rows are neighbours like any."""
         if not counts:
             return None, np.zeros(0, dtype=np.int64), np.zeros(0)
         alone = skip >= 0 and self.rows[skip] <= 1
-        best, cosines = self.nearest(*self.vector(counts), k, skip if alone else -1)
+        best, cosines = self.nearest(*self.vector(counts, rest), k, skip if alone else -1)
         if not len(best):
             return None, best, cosines
-        weights = cosines / (1.0 - cosines + 0.05) * (self.rows[best] - (best == skip))  # by distance
+        weights = cosines * (self.rows[best] - (best == skip))
         return float((weights * self.labels[best]).sum() / weights.sum()), best, cosines
 
 
@@ -154,21 +158,61 @@ def build_index(vocabulary: list[tuple[str, float]], examples: list[tuple[int, d
 @dataclass
 class Model:
     index: Index
+    #: Rows of label 1, and all rows, with each term; of all terms together.
+    with_term: np.ndarray
+    rows: np.ndarray
+    unseen: float
+    #: Mean and deviation of the vote and the signs, and what the logistic function makes of them.
+    scale: np.ndarray
+    weights: np.ndarray
     edges: np.ndarray
     levels: np.ndarray
     blank: float
     names: list
 
+    def signs(self, ids: np.ndarray, label: int = 0, own: float = 0.0) -> float:
+        """The sum of signed chi beyond ``SURE``, without ``own`` rows of ``label``."""
+        return float(signed(self.with_term[ids] - own * np.array([label, 1]), self.rows - own * np.array([label, 1])).sum())
+
+    def linear(self, vote: float | np.ndarray, signs: float | np.ndarray) -> float | np.ndarray:
+        (m0, m1), (d0, d1) = self.scale
+        return self.weights[0] * ((vote - m0) / d0) + self.weights[1] * ((signs - m1) / d1) + self.weights[2]
+
     def score(self, text: str, evidence: int = 0) -> tuple[float, list[tuple[str, float, int]]]:
-        known = self.index.terms
-        counts = {known[t]: c for t, c in Counter(words(text)).items() if t in known}
-        raw, best, cosines = self.index.vote(counts, NEIGHBOURS)
-        if raw is None:
+        known, counts, rest = self.index.terms, {}, 0.0
+        for t, c in Counter(words(text)).items():
+            i = known.get(t)
+            if i is None:
+                rest += ((1 + math.log(c)) * self.unseen) ** 2
+            else:
+                counts[i] = c
+        vote, best, cosines = self.index.vote(counts, NEIGHBOURS, rest=rest)
+        if vote is None:
             return self.blank, []
+        raw = self.linear(vote, self.signs(np.fromiter(counts, dtype=np.int64, count=len(counts))))
         level = float(self.levels[np.searchsorted(self.edges, raw, side="right") - 1])
         return level, [(str(self.names[b]), float(c), int(self.index.labels[b])) for b, c in zip(best[:evidence], cosines[:evidence], strict=True)]
 
 
+def signed(rows: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Of terms with (rows of label 1, rows): the standard deviations beyond ``SURE`` by which the label follows the term."""
+    (n1, n), d1, d = every, rows[:, 0], rows[:, 1]
+    apart = d1 * n - d * n1
+    spread = d * (n - d) * n1 * (n - n1)
+    chi = np.sqrt(n) * np.abs(apart) / np.sqrt(np.where(spread > 0, spread, np.inf))
+    return np.sign(apart) * np.maximum(0.0, chi - SURE)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Weights of the columns of ``x`` and a constant, by Newton steps; the former are held down by one unit each."""
+    x = np.column_stack([x, np.ones(len(x))])
+    b, hold = np.zeros(3), np.diag([1.0, 1.0, 1e-6])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        b += np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + hold, x.T @ (rows * (y - p)) - hold @ b)
+    return b
+
+
 def calibrate(raw: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing steps (lower edges and levels) by pooling adjacent violators, smoothed by half a row of each label."""
     edges, sums, sizes = [], [], []
@@ -186,66 +230,74 @@ def calibrate(raw: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> tuple[np
     return np.array([-np.inf, *edges[1:]]), np.maximum.accumulate(levels)
 
 
-def draw(labels: DataFrame, key: str, label: str, most: int) -> tuple[DataFrame, dict[int, int]]:
-    """(key, label, times) of labelled rows, ``most`` different keys of each label at most: those with the smallest hash.
-    Also the number of different keys by label."""
+def draw(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """(label, digest, key, rows) of ``most`` different texts of each label at most, those with the smallest digests; and the
+    number of all labelled rows by label. Documents go to Spark's join as keys and digests, no text is shuffled."""
     marked = labels.where(F.col(f"`{label}`").isin(0, 1)).where(F.col(f"`{key}`").isNotNull())
     marked = marked.groupBy(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).agg(F.count("*").alias("times"))
-    marked = materialise(marked, "toxicity-labels")
-    drawn = [marked.where(F.col("label") == y).orderBy(F.xxhash64("key"), "key").limit(most) for y in (1, 0)]
-    return materialise(drawn[0].unionByName(drawn[1]), "toxicity-drawn"), {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    light = docs.select(F.col(f"`{key}`").alias("key"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("digest"))
+    texts = materialise(light.join(marked, "key").groupBy("label", "digest").agg(F.sum("times").alias("rows"), F.min("key").alias("key")), "toxicity-texts")
+    drawn = [texts.where(F.col("label") == y).orderBy("digest").limit(most) for y in (1, 0)]
+    return materialise(drawn[0].unionByName(drawn[1]), "toxicity-drawn"), {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.sum("rows").alias("n")).collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Model:
-    """A model of a bounded sample of the labelled documents. ``max_examples`` bounds the different texts by label; frequencies
-    and chi-squares are those of ``DRAWN`` times as many labelled documents. Documents are read once and not shuffled."""
+    """A model of a bounded sample of the labelled documents. ``max_examples`` bounds the different texts by label; the rows
+    with a term are those of ``DRAWN`` times as many texts. Documents are read twice and not shuffled."""
     ship_package(docs.sparkSession)
-    drawn, every = draw(labels, key, label, DRAWN * max_examples)
+    drawn, every = draw(docs, labels, key, text, label, DRAWN * max_examples)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(drawn), "key")
-    texts = rows.withColumn("digest", F.md5("text")).groupBy("label", "digest").agg(F.sum("times").alias("rows"), F.min("key").alias("key"), F.first("text").alias("text"))
+    texts = rows.where(F.md5("text") == F.col("digest")).groupBy("label", "digest").agg(F.first("rows").alias("rows"), F.first("key").alias("key"), F.first("text").alias("text"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(batch: pd.Series) -> pd.Series:
         return batch.map(lambda x: [f"{t}\t{n}" for t, n in Counter(words(x)).items()])
 
-    counted = materialise(materialise(texts, "toxicity-texts").select("label", "digest", "rows", "key", split.asNondeterministic()("text").alias("terms")), "toxicity-terms")
+    counted = materialise(texts.select("label", "digest", "rows", "key", split.asNondeterministic()("text").alias("terms")), "toxicity-terms")
     found = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.sum("rows").alias("n")).collect()}
-    # the labels are drawn apart, so a row found stands for as many rows as its label has keys for each key drawn
-    each = {y: every[y] / min(every[y], DRAWN * max_examples) if y in every else 0.0 for y in (0, 1)}
-    totals = {y: found.get(y, 0) * each[y] for y in (0, 1)}
-    n1, n = totals[1], totals[0] + totals[1]
-    term = counted.select("label", (F.col("rows") * F.when(F.col("label") == 1, each[1]).otherwise(each[0])).alias("rows"), F.explode("terms").alias("term"))
+    # the labels are drawn apart, so a row found stands for as many as its label has for each that is drawn
+    each = {y: every[y] / found[y] if found.get(y) else 0.0 for y in (0, 1)}
+    totals = {y: every.get(y, 0) for y in (0, 1)}
+    term = counted.select("label", "rows", F.explode("terms").alias("term"))
     term = term.select("label", "rows", F.substring_index("term", "\t", 1).alias("term"))
     df = term.groupBy("term").agg(F.sum(F.col("label") * F.col("rows")).alias("d1"), F.sum("rows").alias("d"))
-    d1, d = F.col("d1"), F.col("d")
-    chi2 = F.lit(float(n)) * F.pow(d1 * F.lit(float(n)) - d * F.lit(float(n1)), F.lit(2.0)) / (d * (F.lit(float(n)) - d) * F.lit(float(max(n1, 1) * max(totals[0], 1))))
     taken = [counted.where(F.col("label") == y).orderBy("digest").limit(max_examples) for y in (1, 0)]
     drawn = materialise(taken[0].unionByName(taken[1]), "toxicity-examples")
     used = drawn.select(F.explode("terms").alias("term")).select(F.substring_index("term", "\t", 1).alias("term")).distinct()
-    weight = (F.log(F.lit(float(n)) / d) + 1) * (1 + F.when(d < n - 0.5, chi2).otherwise(0.0))
-    weighed = df.join(used, "term", "left_semi").select("term", weight.alias("weight")).toArrow()
-    vocabulary = sorted(zip(weighed["term"].to_pylist(), weighed["weight"].to_pylist(), strict=True))
+    met = df.join(used, "term", "left_semi").toArrow().sort_by("term")
+    with_term = np.stack([met["d1"].to_numpy(), met["d"].to_numpy()], axis=1).astype(np.float64)
+    n = totals[0] + totals[1]
+    idf = 1 + np.log((1 + n) / (1 + with_term[:, 0] * each[1] + (with_term[:, 1] - with_term[:, 0]) * each[0]))
     examples, names, rows_of = [], [], []
     for r in drawn.orderBy(F.desc("label"), "digest").select("key", "label", "rows", "terms").toLocalIterator():
         examples.append((r["label"], {t: int(c) for t, c in (pair.split("\t") for pair in r["terms"])}))
         names.append(r["key"])
         rows_of.append(r["rows"])
-    index = build_index(vocabulary, examples, rows_of)
+    index = build_index(list(zip(met["term"].to_pylist(), idf.tolist(), strict=True)), examples, rows_of)
+    model = Model(index, with_term, np.array([found.get(1, 0), found.get(0, 0) + found.get(1, 0)], dtype=float), 1 + math.log(1 + n), np.array([[0.0, 0.0], [1.0, 1.0]]), np.zeros(3), np.array([-np.inf]), np.array([0.0]), 0.0, names)
     raw, marks, sizes, blank = [], [], [], [0, 0]
     for i, (y, counts) in enumerate(examples):
-        vote, _, _ = index.vote({index.terms[t]: c for t, c in counts.items()}, NEIGHBOURS, skip=i)
+        own = {index.terms[t]: c for t, c in counts.items()}
+        vote, _, _ = index.vote(own, NEIGHBOURS, skip=i)
         if vote is None:
             blank[y] += rows_of[i]
         else:
-            raw.append(vote)
+            raw.append((vote, model.signs(np.fromiter(own, dtype=np.int64, count=len(own)), y, rows_of[i])))
             marks.append(y)
             sizes.append(rows_of[i])
+    prior = totals[1] / n if n else 0.0
+    model.levels = np.array([prior])
+    if raw:
+        x, y, held = np.array(raw), np.array(marks, dtype=float), np.array(sizes, dtype=float)
+        if 0 < y @ held < held.sum():  # both labels weigh alike, as examples are drawn by label
+            held = held * np.where(y == 1, (1 - y) @ held / (y @ held), 1.0)
+        model.scale = np.stack([x.mean(axis=0), x.std(axis=0) + 1e-9])
+        model.weights = logistic((x - model.scale[0]) / model.scale[1], y, held)
+        model.edges, model.levels = calibrate(model.linear(x[:, 0], x[:, 1]), y, held)
     # examples are drawn by label, so a count stands for its label's share in the training rows
-    prior = n1 / n if n else 0.0
     share = [totals[y] / max(1, sum(c for e, c in zip(examples, rows_of, strict=True) if e[0] == y)) for y in (0, 1)]
-    edges, levels = calibrate(np.array(raw), np.array(marks, dtype=float), np.array(sizes, dtype=float)) if raw else (np.array([-np.inf]), np.array([prior]))
-    none = blank[1] * share[1] / (blank[0] * share[0] + blank[1] * share[1]) if any(blank) else prior
-    return Model(index, edges, levels, none, names)
+    model.blank = blank[1] * share[1] / (blank[0] * share[0] + blank[1] * share[1]) if any(blank) else prior
+    return model
 
 
 _models: dict[str, Model] = {}

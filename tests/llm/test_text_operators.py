@@ -110,6 +110,68 @@ def test_copies_take_one_place_among_the_examples(spark):
         assert len(model.names) == 40 and sorted(model.index.rows) == [1] * 39 + [301]
 
 
+def test_toxicity_query_equals_brute_force(spark, folder_of):
+    """All cosines of all pairs by dicts, with copies, rows without a label and texts of unseen words."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda bad: " ".join([*rng.choice(words, rng.integers(3, 25)), *["vile"] * int(bad * rng.integers(1, 3))])
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(160)]
+    rows += [(200 + i, rows[4][1], 1) for i in range(9)] + [(300, None, 0), (301, "", 0), (302, "unseen words only", 1), (303, "w1 w2 unheard", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 10 != 9], "doc_id long, toxic int")
+    folder = folder_of(documents=docs, labels=labels)
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    train = Counter((y, t or "") for i, t, y in rows if i % 10 != 9 and not held(i))
+    train = sorted(train.items(), key=lambda x: (-x[0][0], hashlib.md5(x[0][1].encode()).hexdigest()))
+    n, n1 = sum(c for _, c in train), sum(c for (y, _), c in train if y)
+    d, d1 = Counter(), Counter()
+    for (y, t), c in train:
+        for w in set(t.split()):
+            d[w] += c
+            d1[w] += c * y
+
+    def vector(t):
+        v = {w: (1 + math.log(f)) * (1 + math.log((1 + n) / (1 + d[w]))) for w, f in Counter(t.split()).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    known = [(y, t, c, vector(t)) for (y, t), c in train]
+
+    def raw(t, skip=None):
+        v, own = vector(t), known[skip][2] if skip is not None else 0
+        near = [(-sum(x * w.get(k, 0.0) for k, x in v.items()), j) for j, (_, _, _, w) in enumerate(known) if not (j == skip and own == 1)]
+        near = sorted((round(s, 12), j) for s, j in near if s < 0)[: toxicity.NEIGHBOURS]
+        if not near:
+            return None
+        weights = [-s * (known[j][2] - (j == skip)) for s, j in near]
+        y = known[skip][0] if skip is not None else 0
+        signs = 0.0
+        for w in {*t.split()} & {*d}:
+            a, b, m1, m = d1[w] - own * y, d[w] - own, n1 - own * y, n - own
+            spread = b * (m - b) * m1 * (m - m1)
+            z = (a * m - b * m1) * math.sqrt(m / spread) if spread > 0 else 0.0
+            signs += math.copysign(max(0.0, abs(z) - toxicity.SURE), z)
+        return sum(x * known[j][0] for x, (_, j) in zip(weights, near, strict=True)) / sum(weights), signs
+
+    own = [raw(t, i) for i, (_, t, _, _) in enumerate(known)]
+    x = np.array([o for o in own if o])
+    y, c = (np.array([float(k[f]) for o, k in zip(own, known, strict=True) if o]) for f in (0, 2))
+    c = c * np.where(y == 1, ((1 - y) @ c) / (y @ c), 1.0)
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    b = toxicity.logistic((x - mean) / spread, y, c)
+    edges, levels = toxicity.calibrate((x - mean) / spread @ b[:2] + b[2], y, c)
+    blanks = [(k[0], k[2]) for o, k in zip(own, known, strict=True) if not o]
+    blank = sum(k for z, k in blanks if z) / max(1, sum(k for _, k in blanks)) if blanks else n1 / n
+    wanted = {}
+    for i, t, _ in rows:
+        found = raw(t or "")
+        wanted[i] = blank if found is None else levels[np.searchsorted(edges, (np.array(found) - mean) / spread @ b[:2] + b[2] + 1e-9, side="right") - 1]
+    result = {r["doc_id"]: r for r in op8_toxicity.op8_toxicity(spark, folder).collect()}
+    assert set(result) == set(wanted)
+    assert all(r["held_out"] == held(i) and r["predicted"] == int(r["score"] >= 0.7) for i, r in result.items())
+    assert np.mean([abs(r["score"] - wanted[i]) < 1e-6 for i, r in result.items()]) > 0.97  # bins meet at equal values
+
+
 def test_toxicity_of_odd_rows(spark, documents):
     labels = spark.createDataFrame([(3, 1), (8, 0), (999, 1), (4, None)], "doc_id long, toxic int")
     model = toxicity.fit(documents, labels)
