@@ -33,7 +33,8 @@ TICKS_0 = 133_485_408_000_000_000  # 2024-01-01 in ticks of 100 ns since 1601
 TICKS_PER_SAMPLE = 20_000
 ANCHOR_STEP, ANCHOR_FIRST, NOMINAL_SAMPLES = 1000, 200, 100
 #: Larger recordings than the defaults allow are fine here.
-LIMITS = ReadLimits(max_packets_per_segment=1 << 20, max_read_samples=1 << 40, max_read_bytes=1 << 50)
+LIMITS = ReadLimits(max_packets_per_segment=1 << 20, max_read_samples=1 << 40, max_read_bytes=1 << 50, max_metadata_bytes=1 << 30, max_segments=1 << 22, max_directory_entries=1 << 24, max_clock_anchors=1 << 26)
+WIDE, SLOTS = 276, 512
 _made: dict[tuple[str, str, str], str] = {}
 
 
@@ -174,6 +175,27 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recording(spark, sf_dir).channels().select("channel", "name", "shorted", "is_signal", "unit")
 
 
+def _montage(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
+    """A note with a name for each slot of an expanded montage, from the first parts, inside syntax that isn't known."""
+    parts = table(spark, sf_dir, "part").where(F.col("p_partkey") <= SLOTS).select("p_partkey", "p_name").collect()  # of fixed size
+    names = dict(parts)
+    slots = [None if i % 7 == 0 else "chan007" if i == 300 else names.get(i + 1) for i in range(SLOTS)]
+    listed = notes.write_literal([*slots, *notes.AUXILIARY])
+    return [(1, notes.write_literal({"ChanNames": ["older", "names"]})), (1, f"""(.(."Comment", "(.'ChanNames', ('quoted'))"), (."Geometry", [unknown]), (."ChanNames", {listed}))""")]
+
+
+def montage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the channels of a wide recording with an expanded montage: blank ones get numbers that no slot's name has."""
+    made = (spark.sparkContext.applicationId, sf_dir, "wide")
+    if made not in _made:
+        rows = signals(spark, sf_dir)
+        n = rows.count()
+        _made[made] = synth.write(rows, scratch_dir(spark, "recording-wide"), sample="event_id", values=["c0"], n_samples=n, rate=RATE, n_channels=WIDE, packet=PACKET, segment=SEGMENT, origin=ORIGIN, notes=_montage(spark, sf_dir))
+    r = Recording.open(spark, _made[made], limits=LIMITS)
+    stored = r.samples().groupBy("channel").agg(F.count("*").alias("stored"))
+    return r.channels().join(stored, "channel", "left").select("channel", "name", "name_resolved", "is_signal", F.coalesce("stored", F.lit(0)).alias("stored"))
+
+
 def stored_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.ranges_of(recording(spark, sf_dir))
 
@@ -363,7 +385,7 @@ def saved_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     decode_samples, channel_stats, decode_window, channel_selection, gap_fill, missing_by_channel, microvolts, delta_decode,
-    packet_index, packet_bounds, packet_faults, segments, recording_info, channels, stored_ranges, missing_ranges, validate,
+    packet_index, packet_bounds, packet_faults, segments, recording_info, channels, montage, stored_ranges, missing_ranges, validate,
     packet_overlap, long_overlap, as_of, running_total, clock_exact, clock_micros, chunk_counts, stream_chunks, quantised_codes, quantisation_error, raw_codes,
     events, literals, legal_labels, escaped_texts, edf_records, edf_event_records, edf_codes, edf_annotations, saved_samples,
 )}
@@ -409,6 +431,11 @@ CAST(coalesce(sum(span), 0) AS BIGINT) AS stored_samples, count(span) AS packets
 FROM (SELECT unnest(range(0, ((SELECT n FROM size) + {SEGMENT - 1}) // {SEGMENT})) AS i) LEFT JOIN packets ON segment_index = i GROUP BY i""",
     "recording_info": WITH + f"SELECT CAST({RATE} AS DOUBLE) AS sample_rate, n AS n_samples, {CHANNELS} AS n_recorded_channels, CAST((n + {SEGMENT - 1}) // {SEGMENT} AS INTEGER) AS segment_count, CAST({ORIGIN} AS BIGINT) AS start_stamp, {ORIGIN} + n - 1 AS end_stamp, CAST(n AS DOUBLE) / CAST({RATE} AS DOUBLE) AS duration_seconds FROM size",
     "channels": "SELECT CAST(i AS INTEGER) AS channel, 'chan00' || i AS name, i = 3 AS shorted, true AS is_signal, 'uV' AS unit FROM (SELECT unnest(range(0, 4)) AS i)",
+    "montage": f"""WITH slots AS (SELECT i, CASE WHEN i % 7 = 0 THEN NULL WHEN i = 300 THEN 'chan007' ELSE p_name END AS name FROM (SELECT unnest(range(0, {SLOTS})) AS i) LEFT JOIN part ON p_partkey = i + 1),
+aux AS (SELECT i + 256 AS i, CASE i WHEN 16 THEN 'TRIG' WHEN 17 THEN 'OSAT' WHEN 18 THEN 'PR' WHEN 19 THEN 'Pleth' ELSE 'DC' || (i + 1) END AS name FROM (SELECT unnest(range(0, 20)) AS i)),
+given AS (SELECT i, name FROM slots WHERE i < 256 UNION ALL SELECT i, name FROM aux)
+SELECT CAST(i AS INTEGER) AS channel, coalesce(name, 'chan' || lpad(CAST(i AS VARCHAR), 3, '0') || CASE WHEN i = 7 THEN '_1' ELSE '' END) AS name, name IS NOT NULL AS name_resolved, i < 256 AS is_signal,
+CASE WHEN i = 0 THEN (SELECT count(*) FROM events) ELSE 0 END AS stored FROM given""",
     "stored_ranges": WITH + "SELECT start, stop FROM islands",
     "missing_ranges": WITH + "SELECT * FROM (SELECT coalesce(lag(stop) OVER (ORDER BY start), 0) AS start, start AS stop FROM islands UNION ALL SELECT max(stop), (SELECT n FROM size) FROM islands) WHERE start < stop",
     "validate": WITH + f"SELECT n AS logical_samples, (SELECT count(*) FROM packets) AS packets, (SELECT count(*) FROM days) AS stored_samples, CAST({LEAD} AS BIGINT) AS missing_leading, CAST({TRAIL} AS BIGINT) AS missing_trailing, n - (SELECT count(*) FROM days) AS missing_samples, (SELECT count(*) FROM nation) AS notes, CAST(0 AS BIGINT) AS unparsed_notes, (SELECT count(*) FROM nation) AS events FROM size",
