@@ -21,7 +21,7 @@ from .limits import ReadLimits
 from .operators import coverage, ranges
 from .plans.edf import plan
 from .session import materialise, scratch_dir, ship_package
-from .sources import edf, synth
+from .sources import datasource, edf, synth
 from .sources.layout import UV_PER_COUNT, packet_byte_bounds
 from .sources.recording import Recording
 from .streaming.chunks import stream_chunk_stats
@@ -270,11 +270,23 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gap_fill(spark, sf_dir).groupBy(at, "channel").agg(F.count("value").alias("stored"), F.count_if(F.col("value").isNull()).alias("missing"))
 
 
+def _limits() -> dict[str, str]:
+    return {name: str(value) for name, value in LIMITS.items()}
+
+
 def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Range of chunks of 1024 samples from a stream of block files."""
-    folder = scratch_dir(spark, "blocks")
-    recording(spark, sf_dir).blocks().write.parquet(folder)
-    return stream_chunk_stats(spark, folder, 1024)
+    """Range of chunks of 1024 samples from a recording that is read as a stream."""
+    return stream_chunk_stats(spark, recording(spark, sf_dir).uri, 1024, signal_channels="any", **_limits())
+
+
+def source_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of samples and two channels from the data source, which takes these conditions from Spark's plan; a condition
+    on values stays there."""
+    r = recording(spark, sf_dir)
+    datasource.register(spark)
+    rows = spark.read.format(datasource.NAME).options(signal_channels="any", **_limits()).load(r.uri)
+    kept = rows.where(F.col("channel").isin(0, 2) & (F.col("sample") >= r.n_samples // 4) & (F.col("sample") < r.n_samples // 2) & (F.col("value") % 2 == 0))
+    return kept
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +398,7 @@ def saved_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     decode_samples, channel_stats, decode_window, channel_selection, gap_fill, missing_by_channel, microvolts, delta_decode,
     packet_index, packet_bounds, packet_faults, segments, recording_info, channels, montage, stored_ranges, missing_ranges, validate,
-    packet_overlap, long_overlap, as_of, running_total, clock_exact, clock_micros, chunk_counts, stream_chunks, quantised_codes, quantisation_error, raw_codes,
+    packet_overlap, long_overlap, as_of, running_total, clock_exact, clock_micros, chunk_counts, stream_chunks, source_window, quantised_codes, quantisation_error, raw_codes,
     events, literals, legal_labels, escaped_texts, edf_records, edf_event_records, edf_codes, edf_annotations, saved_samples,
 )}
 
@@ -451,6 +463,7 @@ SELECT event_id, CASE WHEN run > 0 THEN CAST(sum(coalesce(absolute, delta)) OVER
 SELECT sample, CAST(q + CASE WHEN twice > d OR (twice = d AND q % 2 = 1) THEN 1 ELSE 0 END - 11644473600000000 AS BIGINT) AS micros FROM parts""",
     "chunk_counts": WITH + f", {FILLED} SELECT sample // 480 AS chunk, channel, count(value) AS stored, count(*) - count(value) AS missing FROM cells GROUP BY ALL",
     "stream_chunks": WITH + "SELECT sample // 1024 AS chunk, channel, min(value) AS low, max(value) AS high, count(*) AS n FROM long GROUP BY ALL",
+    "source_window": WITH + f"SELECT sample, sample + {ORIGIN} AS stamp, channel, value FROM long, size WHERE sample >= n // 4 AND sample < n // 2 AND channel IN (0, 2) AND value % 2 = 0",
     "quantised_codes": WITH + f", {CODES} SELECT sample, channel, CAST(code AS BIGINT) AS code FROM codes",
     "quantisation_error": WITH + "SELECT channel, count(*) AS n, CAST(0 AS BIGINT) AS beyond FROM long GROUP BY channel",
     "raw_codes": WITH + "SELECT sample, channel, CASE WHEN value + 32768 >= 0 AND (value + 32768) % 2 = 0 THEN (value + 32768) // 2 - 32768 END AS code FROM long",

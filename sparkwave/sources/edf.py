@@ -161,6 +161,7 @@ def export(recording: Recording, path: str, *, max_error: float = 0.5, progress=
         if _signatures(recording) != before:
             raise DataIntegrityError("the recording changed while it was exported")
 
+    recording = recording.indexed()
     p = plan(recording, **options)
     stage("planned")
     if os.statvfs(os.path.dirname(os.path.abspath(path))).f_bavail * os.statvfs(os.path.dirname(os.path.abspath(path))).f_frsize < p.output_bytes:

@@ -102,12 +102,13 @@ def parse_segments(data: bytes) -> list[tuple[str, int, int, int, int]]:
 
 def segment_faults(segments: list[tuple[str, int, int, int, int]]) -> list[str]:
     faults = [] if segments else ["no segments"]
-    stems = [s[0].casefold() for s in segments]
+    seen: set[str] = set()
     for i, (name, start, end, _, stored) in enumerate(segments):
         if not safe_name(name):
             faults.append(f"segment {i}: unsafe name")
-        if stems.index(stems[i]) != i:
+        if name.casefold() in seen:
             faults.append(f"segment {i}: repeated name")
+        seen.add(name.casefold())
         if end < start:
             faults.append(f"segment {i}: reversed bounds")
         if not 0 <= stored <= end - start + 1:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..errors import DataIntegrityError, UnsupportedFormatError
 from ..functions import notes as note_functions
 from ..limits import ReadLimits, check, index
-from ..session import ship_package
+from ..session import materialise, ship_package
 from . import layout
 from .packets import decode_run
 
@@ -110,6 +111,34 @@ def resolve(uri: str, limits: ReadLimits) -> tuple[Directory, str]:
     return folder, tables[0]
 
 
+def described(uri: str, limits: ReadLimits, channels: int | None) -> tuple:
+    """The fields of a recording but for its session: its metadata is read and checked here."""
+    folder, name = resolve(uri, limits)
+    table = layout.parse_segments(read_bytes(folder.fs, folder.require(name).path, limits.max_metadata_bytes, "the segment table"))
+    check(len(table), limits.max_segments, "segments")
+    faults = layout.segment_faults(table)
+    if faults:
+        raise DataIntegrityError("; ".join(faults))
+    files = [(folder.require(f"{s[0]}.erd"), folder.require(f"{s[0]}.etc")) for s in table]
+    if uri.casefold().endswith(".erd") and uri.rsplit("/", 1)[1].casefold() not in {e.base_name.casefold() for e, _ in files}:
+        raise DataIntegrityError("the data file belongs to no segment of the table")
+    first = next((e for e, _ in files if e.size >= layout.ERD_HEADER), None)
+    if first is None:
+        raise DataIntegrityError("no data file has a whole header")
+    regular(folder.fs, first.path)
+    with folder.fs.open_input_file(first.path) as f:
+        header = layout.parse_header(f.read(layout.ERD_HEADER))
+    unlike = layout.layout_faults(header, channels)
+    if unlike:
+        raise UnsupportedFormatError("layout not supported: " + ", ".join(unlike))
+    stem = name[:-4]
+    notes = folder.find(f"{stem}.ent") or folder.find(f"{stem}.ent.old")
+    clock = folder.find(f"{stem}.snc")
+    base = uri if not uri.casefold().endswith((".stc", ".eeg", ".erd")) else uri.rpartition("/")[0]
+    where = lambda info: None if info is None else f"{base.rstrip('/')}/{info.base_name}"
+    return (base, limits, header, table, [(where(e), where(t)) for e, t in files], where(notes), where(clock))
+
+
 @dataclass(frozen=True)
 class Recording:
     """A static recording. ``open`` checks its metadata; waveforms are decoded lazily by the DataFrames."""
@@ -126,30 +155,7 @@ class Recording:
     @staticmethod
     def open(spark: SparkSession, uri: str, *, limits: ReadLimits | None = None, channels: int | None = layout.RECORDED_CHANNELS) -> Recording:
         ship_package(spark)
-        limits = limits or ReadLimits()
-        folder, name = resolve(uri, limits)
-        table = layout.parse_segments(read_bytes(folder.fs, folder.require(name).path, limits.max_metadata_bytes, "the segment table"))
-        check(len(table), limits.max_segments, "segments")
-        faults = layout.segment_faults(table)
-        if faults:
-            raise DataIntegrityError("; ".join(faults))
-        files = [(folder.require(f"{s[0]}.erd"), folder.require(f"{s[0]}.etc")) for s in table]
-        if uri.casefold().endswith(".erd") and uri.rsplit("/", 1)[1].casefold() not in {e.base_name.casefold() for e, _ in files}:
-            raise DataIntegrityError("the data file belongs to no segment of the table")
-        first = next((e for e, _ in files if e.size >= layout.ERD_HEADER), None)
-        if first is None:
-            raise DataIntegrityError("no data file has a whole header")
-        with folder.fs.open_input_file(first.path) as f:
-            header = layout.parse_header(f.read(layout.ERD_HEADER))
-        unlike = layout.layout_faults(header, channels)
-        if unlike:
-            raise UnsupportedFormatError("layout not supported: " + ", ".join(unlike))
-        stem = name[:-4]
-        notes = folder.find(f"{stem}.ent") or folder.find(f"{stem}.ent.old")
-        clock = folder.find(f"{stem}.snc")
-        base = uri if not uri.casefold().endswith((".stc", ".eeg", ".erd")) else uri.rpartition("/")[0]
-        where = lambda info: None if info is None else f"{base.rstrip('/')}/{info.base_name}"
-        return Recording(spark, base, limits, header, table, [(where(e), where(t)) for e, t in files], where(notes), where(clock))
+        return Recording(spark, *described(uri, limits or ReadLimits(), channels))
 
     @property
     def origin(self) -> int:
@@ -175,20 +181,8 @@ class Recording:
         def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    fs, path = filesystem(row["etc"])
-                    _, erd = filesystem(row["erd"])
-                    data = regular(fs, erd)
-                    entries = layout.parse_packets(read_bytes(fs, path, limits.max_metadata_bytes, "a packet index"))
-                    check(len(entries), limits.max_packets_per_segment, "packets of a segment")
-                    if data.size >= layout.ERD_HEADER:
-                        with fs.open_input_file(erd) as f:
-                            own = layout.parse_header(f.read(layout.ERD_HEADER))
-                        if own != header:
-                            raise DataIntegrityError("sample rates of segments differ" if own.sample_rate != header.sample_rate else "headers of segments differ")
-                    if (now := fs.get_file_info(erd)).size != data.size or now.mtime_ns != data.mtime_ns:
-                        raise DataIntegrityError("a data file changed while it was indexed")
-                    offsets = entries["offset"].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(give(row, entries, np.append(offsets[1:], data.size)[: len(entries)], data), names=[f.split()[0] for f in schema.split(", ")])
+                    entries, ends, data = index_of(row, limits, header)
+                    yield pa.RecordBatch.from_arrays(give(row, entries, ends, data), names=[f.split()[0] for f in schema.split(", ")])
 
         return self.segments().repartition(len(self.table), "segment_index").mapInArrow(parse, schema)
 
@@ -197,14 +191,7 @@ class Recording:
         limits, header = self.limits, self.header
 
         def give(row: dict, entries: np.ndarray, ends: np.ndarray, data: pafs.FileInfo) -> list[pa.Array]:
-            faults = {name: int(bad.sum()) for name, bad in layout.index_faults(entries, ends, data.size, header, row["start_stamp"], row["end_stamp"]).items() if bad.any()}
-            if faults:
-                raise DataIntegrityError("packet index: " + ", ".join(f"{name} ({n})" for name, n in sorted(faults.items())))
-            if not len(entries) and data.size != layout.ERD_HEADER:
-                raise DataIntegrityError("a data file has samples that no index entry names")
-            if int(entries["span"].sum(dtype=np.int64)) != row["stored_samples"]:
-                raise DataIntegrityError("a segment stores another number of samples than its table says")
-            check(int((ends - entries["offset"]).max(initial=0)), limits.max_packet_bytes, "packet bytes")
+            refuse(row, entries, ends, data, limits, header)
             n = len(entries)
             return [
                 pa.array([row["segment_index"]] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(entries["offset"].astype(np.int64)), pa.array(ends.astype(np.int64)),
@@ -279,23 +266,8 @@ class Recording:
         touched = self.packets().where((first < stop) & (first + F.col("sample_span") > start))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            active = np.flatnonzero(~shorted)
-            keep = np.arange(len(active)) if wanted is None else np.flatnonzero(np.isin(active, wanted))
-            for rows in packet_runs(batches):
-                fs, path = filesystem(rows[0]["erd"])
-                unchanged(fs, path, rows[0])
-                parts = []
-                with fs.open_input_file(path) as f:
-                    for row in rows:
-                        f.seek(row["byte_offset"])
-                        parts.append(f.read(row["byte_end"] - row["byte_offset"]))
-                unchanged(fs, path, rows[0])
-                places = [row["sample_stamp"] - origin for row in rows]
-                stops = [min(row["sample_span"], stop - at) for row, at in zip(rows, places, strict=True)]
-                found = decode_run(parts, [row["sample_span"] for row in rows], shorted, stops)
-                if len(keep):
-                    skipped = [max(0, start - at) for at in places]
-                    yield from give(rows, [at + a for at, a in zip(places, skipped, strict=True)], active[keep], [np.ascontiguousarray(v[a:, keep].T) for v, a in zip(found, skipped, strict=True)])
+            for found in decoded_runs(row_runs(row for batch in batches for row in batch.to_pylist()), shorted, origin, start, stop, wanted):
+                yield from give(*found)
 
         run_of = F.floor(F.col("packet_index") / RUN_PACKETS)
         dealt = touched.repartition(self.spark.sparkContext.defaultParallelism, "segment_index", run_of)
@@ -342,18 +314,41 @@ class Recording:
 
         check_output(len(chosen), stop - start, self.limits)
         out = np.full((self.header.n_channels, stop - start), np.nan)
-        for row in self.blocks(start, stop, chosen).toLocalIterator():
-            at = row["start_sample"] - start
-            out[row["channel"], at : at + len(row["values"])] = row["values"]
+        for batch in self.blocks(start, stop, chosen).select("channel", "start_sample", "values").toArrow().to_batches():  # as small as the window
+            lists = batch.column(2)
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for channel, at, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends, ends[1:], strict=False):
+                out[channel, at - start : at - start + b - a] = flat[a:b]
         return out[chosen] * (layout.UV_PER_COUNT if units == "uV" else 1.0)
 
     def chunks(self, start: int = 0, stop: int | None = None, *, chunk_samples: int = 20_480, channels: object = None, units: str = "uV") -> Iterator[np.ndarray]:
-        """Dense windows of ``chunk_samples`` samples, the last one shorter."""
+        """Dense windows of ``chunk_samples`` samples, the last one shorter.
+
+        The index is parsed once. As many chunks as a dense read may have are read by one job, and the next ones while the
+        caller takes these, so two such reads are held at a time.
+        """
         start, stop = self.window(start, stop)
         if index(chunk_samples, "chunk_samples") < 1:
             raise ValueError("chunk_samples must be positive")
-        for a in range(start, stop, chunk_samples):
-            yield self.matrix(a, min(stop, a + chunk_samples), channels, units)
+        width = max(1, len(self.select(channels))) * 8
+        most = min(self.limits.max_read_samples, self.limits.max_read_bytes // width)
+        step = max(1, most // chunk_samples) * chunk_samples
+        windows = [(a, min(stop, a + step)) for a in range(start, stop, step)]
+        source = self.indexed() if len(windows) > 1 else self
+        with ThreadPoolExecutor(1) as ahead:
+            due = [ahead.submit(source.matrix, *w, channels, units) for w in windows[:1]]
+            for following in [*windows[1:], None]:
+                found = due.pop().result() if due else np.zeros((0, 0))
+                if following:
+                    due.append(ahead.submit(source.matrix, *following, channels, units))
+                for a in range(0, found.shape[1], chunk_samples):
+                    yield found[:, a : a + chunk_samples]
+
+    def indexed(self) -> Recording:
+        """The same with its packet index parsed and checked now, once, and written to the shared scratch folder."""
+        other = replace(self)
+        other.__dict__["_packets"] = materialise(self._packets, "packets")
+        return other
 
     def notes(self) -> DataFrame:
         """(ordinal, note_type, length, previous_length, text, value) with the parsed value as JSON, null if it has none."""
@@ -399,17 +394,67 @@ class Recording:
         return self.spark.createDataFrame(pairs, ANCHORS)
 
 
-def packet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+def index_of(row: dict, limits: ReadLimits, header: layout.Header) -> tuple[np.ndarray, np.ndarray, pafs.FileInfo]:
+    """A segment's index entries, where their packets end, and its data file, whose header must be the recording's."""
+    fs, path = filesystem(row["etc"])
+    _, erd = filesystem(row["erd"])
+    data = regular(fs, erd)
+    entries = layout.parse_packets(read_bytes(fs, path, limits.max_metadata_bytes, "a packet index"))
+    check(len(entries), limits.max_packets_per_segment, "packets of a segment")
+    if data.size >= layout.ERD_HEADER:
+        with fs.open_input_file(erd) as f:
+            own = layout.parse_header(f.read(layout.ERD_HEADER))
+        if own != header:
+            raise DataIntegrityError("sample rates of segments differ" if own.sample_rate != header.sample_rate else "headers of segments differ")
+    if (now := fs.get_file_info(erd)).size != data.size or now.mtime_ns != data.mtime_ns:
+        raise DataIntegrityError("a data file changed while it was indexed")
+    offsets = entries["offset"].astype(np.int64)
+    return entries, np.append(offsets[1:], data.size)[: len(entries)], data
+
+
+def refuse(row: dict, entries: np.ndarray, ends: np.ndarray, data: pafs.FileInfo, limits: ReadLimits, header: layout.Header) -> None:
+    """Raise if a segment's entries contradict their file, the segment or each other."""
+    faults = {name: int(bad.sum()) for name, bad in layout.index_faults(entries, ends, data.size, header, row["start_stamp"], row["end_stamp"]).items() if bad.any()}
+    if faults:
+        raise DataIntegrityError("packet index: " + ", ".join(f"{name} ({n})" for name, n in sorted(faults.items())))
+    if not len(entries) and data.size != layout.ERD_HEADER:
+        raise DataIntegrityError("a data file has samples that no index entry names")
+    if int(entries["span"].sum(dtype=np.int64)) != row["stored_samples"]:
+        raise DataIntegrityError("a segment stores another number of samples than its table says")
+    check(int((ends - entries["offset"]).max(initial=0)), limits.max_packet_bytes, "packet bytes")
+
+
+def decoded_runs(runs: Iterator[list[dict]], shorted: np.ndarray, origin: int, start: int, stop: int, wanted: list[int] | None) -> Iterator[tuple[list[dict], list[int], np.ndarray, list[np.ndarray]]]:
+    """For each run of packets of one file its rows, first samples, channels and counts (channels, samples) by packet."""
+    active = np.flatnonzero(~shorted)
+    keep = np.arange(len(active)) if wanted is None else np.flatnonzero(np.isin(active, wanted))
+    for rows in runs:
+        fs, path = filesystem(rows[0]["erd"])
+        unchanged(fs, path, rows[0])
+        parts = []
+        with fs.open_input_file(path) as f:
+            for row in rows:
+                f.seek(row["byte_offset"])
+                parts.append(f.read(row["byte_end"] - row["byte_offset"]))
+        unchanged(fs, path, rows[0])
+        places = [row["sample_stamp"] - origin for row in rows]
+        stops = [min(row["sample_span"], stop - at) for row, at in zip(rows, places, strict=True)]
+        found = decode_run(parts, [row["sample_span"] for row in rows], shorted, stops)
+        if len(keep):
+            skipped = [max(0, start - at) for at in places]
+            yield rows, [at + a for at, a in zip(places, skipped, strict=True)], active[keep], [np.ascontiguousarray(v[a:, keep].T) for v, a in zip(found, skipped, strict=True)]
+
+
+def row_runs(rows: Iterator[dict]) -> Iterator[list[dict]]:
     """Up to ``RUN_PACKETS`` rows of one file at a time, and of no more than ``RUN_BYTES`` unless one has more."""
     run, size = [], 0
-    for batch in batches:
-        for row in batch.to_pylist():
-            more = row["byte_end"] - row["byte_offset"]
-            if run and (row["erd"] != run[0]["erd"] or len(run) == RUN_PACKETS or size + more > RUN_BYTES):
-                yield run
-                run, size = [], 0
-            run.append(row)
-            size += more
+    for row in rows:
+        more = row["byte_end"] - row["byte_offset"]
+        if run and (row["erd"] != run[0]["erd"] or len(run) == RUN_PACKETS or size + more > RUN_BYTES):
+            yield run
+            run, size = [], 0
+        run.append(row)
+        size += more
     if run:
         yield run
 
@@ -422,6 +467,3 @@ def unchanged(fs: pafs.FileSystem, path: str, row: dict) -> None:
 
 def in_window(sample: Column, start: int, stop: int) -> Column:
     return (sample >= start) & (sample < stop)
-
-
-

@@ -1,31 +1,35 @@
-"""Statistics of fixed-size chunks over a stream of blocks."""
+"""Statistics of fixed-size chunks over a recording that is read as a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ranges import chunk
 from ..session import scratch_dir
-from ..sources.recording import BLOCKS
+from ..sources import datasource
 
+STATS = "chunk long, channel int, low long, high long, n long"
 
-def chunk_stats(blocks: DataFrame, size: int) -> DataFrame:
-    """(chunk, channel, low, high, n) of blocks; the same plan for tables and streams, partial sums before the shuffle."""
-    samples = blocks.select("channel", "start_sample", F.posexplode("values").alias("i", "value"))
-    at = chunk(F.col("start_sample") + F.col("i"), 0, size)
-    return samples.groupBy(at.alias("chunk"), "channel").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"))
 
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """(chunk, channel, low, high, n) of blocks cut at chunk borders, without exploding them; partial sums before the shuffle."""
+    per = chunks.select("chunk", "channel", F.array_min("values").alias("low"), F.array_max("values").alias("high"), F.size("values").cast("long").alias("n"))
+    return per.groupBy("chunk", "channel").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
-def stream_chunk_stats(spark: SparkSession, folder: str, size: int, *, files_per_trigger: int = 4) -> DataFrame:
-    """The statistics of all block files in ``folder``, read as a stream until none is left.
 
-    The state has a row per chunk and channel. Each trigger replaces the result, so a trigger that is run again after a
-    failure changes nothing.
+def stream_chunk_stats(spark: SparkSession, uri: str, size: int, *, out: str | None = None, log: str | None = None, **options: str) -> DataFrame:
+    """The statistics of a recording's finished chunks, read as a stream until no more of it is there.
+
+    Batches begin and end at chunk borders, so no chunk has rows in two of them and there is no state: each batch adds its
+    chunks to ``out``, in a folder named by its number, which a batch that is run again replaces. With the same ``out`` and
+    ``log`` a later call goes on where the one before it ended.
     """
-    out, log = scratch_dir(spark, "chunks"), scratch_dir(spark, "chunks-log")
-    stream = spark.readStream.schema(BLOCKS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    stats = chunk_stats(stream, size)
-    writer = stats.writeStream.outputMode("complete").option("checkpointLocation", log).trigger(availableNow=True)
-    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
-    return spark.read.schema(stats.schema).parquet(out)
+    datasource.register(spark)
+    out, log = out or scratch_dir(spark, "chunks"), log or scratch_dir(spark, "chunks-log")
+    stream = spark.readStream.format(datasource.NAME).options(rows="chunks", chunk_samples=size, **options).load(uri)
+
+    def add(batch: DataFrame, number: int) -> None:
+        chunk_stats(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    return spark.read.schema(f"{STATS}, batch int").parquet(out).drop("batch")
