@@ -389,6 +389,28 @@ def edf_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exported(spark, sf_dir).annotations().select("record", "ordinal", F.col("onset").cast("double").alias("onset"), "text")
 
 
+def edf_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which codes of a damaged copy of the exported file differ from the recording: one of every third record, by a bit."""
+    file, r = _exported(spark, sf_dir), recording(spark, sf_dir, "runs")
+    copy, p = f"{file.path}.damaged.edf", plan(r, timezone="UTC")
+    with open(file.path, "rb") as f, open(copy, "wb") as g:
+        g.write(f.read(p.header_bytes))
+        g.truncate(p.output_bytes)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(copy, "r+b") as g:
+            for batch in batches:
+                for record, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    data, at = bytearray(payload), 2 * (record % RUN) + 1
+                    data[at] ^= 0x10 if record % 3 == 0 else 0
+                    g.seek(p.header_bytes + record * p.record_bytes)
+                    g.write(data)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    edf.raw_records(spark, file.path, p.header_bytes, p.record_bytes, p.records).mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    return edf.differences(r, copy, p, edf.kinds_of(r, p, 0.5))
+
+
 def saved_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples by way of Parquet files; counts by channel and hundred."""
     saved = materialise(decode_samples(spark, sf_dir), "samples")
@@ -399,7 +421,7 @@ QUERIES = {f.__name__: f for f in (
     decode_samples, channel_stats, decode_window, channel_selection, gap_fill, missing_by_channel, microvolts, delta_decode,
     packet_index, packet_bounds, packet_faults, segments, recording_info, channels, montage, stored_ranges, missing_ranges, validate,
     packet_overlap, long_overlap, as_of, running_total, clock_exact, clock_micros, chunk_counts, stream_chunks, source_window, quantised_codes, quantisation_error, raw_codes,
-    events, literals, legal_labels, escaped_texts, edf_records, edf_event_records, edf_codes, edf_annotations, saved_samples,
+    events, literals, legal_labels, escaped_texts, edf_records, edf_event_records, edf_codes, edf_annotations, edf_damage, saved_samples,
 )}
 
 UV = f"CAST('{UV_PER_COUNT!r}' AS DOUBLE)"
@@ -477,6 +499,10 @@ SELECT sample, CAST(q + CASE WHEN twice > d OR (twice = d AND q % 2 = 1) THEN 1
 limits AS (SELECT signal, floor(least(min(value) * {UV}, max(value) * {UV})) AS pmin, ceil(greatest(min(value) * {UV}, max(value) * {UV})) AS pmax FROM long GROUP BY signal)
 SELECT record, CAST(signal AS INTEGER) AS signal, CAST(place AS INTEGER) AS place, CAST(round_even((value * {UV} - pmin) * (65535 / (pmax - pmin)) + -32768, 0) AS BIGINT) AS code FROM long JOIN limits USING (signal)
 UNION ALL SELECT record, 3, CAST(place AS INTEGER), 32767 FROM runs""",
+    "edf_damage": f"""WITH {RUNS}, long AS (SELECT record, place, c0 AS value FROM runs),
+limits AS (SELECT floor(least(min(value) * {UV}, max(value) * {UV})) AS pmin, ceil(greatest(min(value) * {UV}, max(value) * {UV})) AS pmax FROM long)
+SELECT CAST(record AS BIGINT) AS record, CAST(0 AS INTEGER) AS signal, CAST(place AS INTEGER) AS place, xor(CAST(round_even((value * {UV} - pmin) * (65535 / (pmax - pmin)) + -32768, 0) AS BIGINT), CAST(4096 AS BIGINT)) AS code, value AS source
+FROM long, limits WHERE record % 3 = 0 AND place = record % {RUN}""",
     "edf_annotations": f"""WITH {RUNS} SELECT CAST(i AS BIGINT) AS record, CAST(0 AS INTEGER) AS ordinal, CAST(i * {RUN + RUN_GAP} AS DOUBLE) / CAST({RATE} AS DOUBLE) AS onset, '' AS text FROM (SELECT unnest(range(0, (SELECT n FROM total))) AS i)
 UNION ALL SELECT CAST(record AS BIGINT), CAST(row_number() OVER (PARTITION BY record ORDER BY sample, n_nationkey) AS INTEGER), CAST(sample AS DOUBLE) / CAST({RATE} AS DOUBLE), n_name FROM marked""",
     "saved_samples": WITH + "SELECT channel, CAST(floor(value / 100) AS BIGINT) AS hundred, count(*) AS n FROM long GROUP BY ALL",

@@ -7,11 +7,14 @@ file system that all tasks share.
 from __future__ import annotations
 
 import os
+import sys
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from datetime import timedelta, timezone
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -141,34 +144,113 @@ class EdfResult:
     scan_seconds: float
     write_seconds: float
     verify_seconds: float
+    logical_samples: int
+    stored_ranges: tuple[tuple[int, int], ...]
+    gap_seconds: Fraction
+    #: (channel, label, unit) in the file's order, and which of these are disconnected.
+    channels: tuple[tuple[int, str, str], ...]
+    shorted_channels: tuple[int, ...]
+    event_count: int
+
+
+def told(progress: object) -> Callable[[dict], None] | None:
+    """What to call with each event: nothing for False and None, a line on the console for True."""
+    if progress is None or progress is False:
+        return None
+    if progress is True:
+        return lambda event: print("EDF export:", ", ".join(f"{k} {v}" for k, v in event.items()), file=sys.stderr)
+    if not callable(progress):
+        raise TypeError("progress must be True, False, None or callable")
+    return progress
+
+
+def watched(spark: SparkSession, stage: str, tell: Callable[[dict], None] | None, action: Callable[[], object]) -> object:
+    """The action's result; while its jobs run, ``tell`` gets the tasks that are done and known, in the caller's thread.
+
+    If ``tell`` raises, the jobs are cancelled and the exception goes on.
+    """
+    if tell is None:
+        return action()
+    group, context = f"sparkwave-{stage}-{uuid.uuid4().hex}", spark.sparkContext
+    tracker = context.statusTracker()
+
+    def run() -> object:
+        context.setJobGroup(group, f"EDF export: {stage}")
+        return action()
+
+    with ThreadPoolExecutor(1) as one:
+        result, before = one.submit(run), None
+        try:
+            while not result.done():
+                wait([result], timeout=0.5)
+                infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+                now = (sum(i.numCompletedTasks for i in infos if i), sum(i.numTasks for i in infos if i))
+                if now != before and not result.done():
+                    before = now
+                    tell({"stage": stage, "tasks": now[0], "of": now[1]})
+        except BaseException:
+            context.cancelJobGroup(group)
+            raise
+        return result.result()
+
+
+def probe(folder: str, most: int) -> None:
+    """Refuse a folder in which a finished file couldn't be given its name, or that has no room, before any work is done."""
+    name = os.path.join(folder, f".publish-{uuid.uuid4().hex}")
+    try:
+        with open(name, "xb"):
+            pass
+        os.link(name, f"{name}.link")
+    finally:
+        for path in (f"{name}.link", name):
+            if os.path.lexists(path):
+                os.unlink(path)
+    free = os.statvfs(folder)
+    if free.f_bavail * free.f_frsize < most:
+        raise OSError("not enough space for the file")
+
+
+def publish(partial: str, path: str) -> None:
+    """Give a finished file its name, which must be free, and make the folder's entry last."""
+    os.link(partial, path)
+    folder = os.open(os.path.dirname(os.path.abspath(path)), os.O_RDONLY)
+    try:
+        os.fsync(folder)
+    finally:
+        os.close(folder)
 
 
-def export(recording: Recording, path: str, *, max_error: float = 0.5, progress=None, **options) -> EdfResult:
+def export(recording: Recording, path: str, *, max_error: float = 0.5, progress: object = None, **options) -> EdfResult:
     """Write an EDF+C or EDF+D file, compare all of it with the source, and only then give it its name.
 
-    An existing file is never replaced. ``options`` are those of the plan; ``progress`` is called with each stage.
+    Tasks write their records to their places in a file of another name; whatever fails before the last step, a task, a
+    callback, a change of the source or a name that is taken meanwhile, only that file was touched, and it goes. An
+    existing file is never replaced. ``options`` are those of the plan. ``progress`` is called with the tasks done of each
+    stage (range_scan, write, verify), its samples or records at its end, and before the file is published.
     """
+    tell = told(progress)
     if not path.casefold().endswith(".edf"):
         raise ValueError("the path must end in .edf")
-    if os.path.exists(path):
+    if os.path.lexists(path):
         raise FileExistsError(path)
+    folder = os.path.dirname(os.path.abspath(path))
+    probe(folder, 0)
     before = _signatures(recording)
 
-    def stage(name: str) -> None:
+    def stage(**event) -> None:
         """Tell, and look whether the source is still what it was, also after what was told may have changed it."""
-        if progress:
-            progress(name)
+        if tell:
+            tell(event)
         if _signatures(recording) != before:
             raise DataIntegrityError("the recording changed while it was exported")
 
-    recording = recording.indexed()
+    recording, spark = recording.indexed(), recording.spark
     p = plan(recording, **options)
-    stage("planned")
-    if os.statvfs(os.path.dirname(os.path.abspath(path))).f_bavail * os.statvfs(os.path.dirname(os.path.abspath(path))).f_frsize < p.output_bytes:
-        raise OSError("not enough space for the file")
+    stage(stage="planned", records=p.records, file_bytes=p.output_bytes)
+    probe(folder, p.output_bytes)
     times = [time.monotonic()]
-    kinds = kinds_of(recording, p, max_error)
-    stage("range_scan")
+    kinds = watched(spark, "range_scan", tell, lambda: kinds_of(recording, p, max_error))
+    stage(stage="range_scan", samples=p.stored_samples, total=p.stored_samples)
     times.append(time.monotonic())
     partial = f"{path}.partial-{uuid.uuid4().hex}"
     records = encoded(recording, p, kinds)
@@ -189,21 +271,25 @@ def export(recording: Recording, path: str, *, max_error: float = 0.5, progress=
                 os.fsync(f.fileno())
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-        written = records.mapInArrow(put, "n long").agg(F.sum("n")).first()[0]
+        written = watched(spark, "write", tell, lambda: records.mapInArrow(put, "n long").agg(F.sum("n")).first()[0])
         if written != p.records:
             raise DataIntegrityError("some records weren't written")
-        stage("write")
+        stage(stage="write", records=written, total=p.records)
         times.append(time.monotonic())
-        error = verify(recording, partial, p, kinds)
-        stage("verify")
+        error = watched(spark, "verify", tell, lambda: verify(recording, partial, p, kinds))
+        stage(stage="verify", records=p.records, total=p.records)
         times.append(time.monotonic())
-        stage("publishing")
-        os.link(partial, path)  # fails if the name is taken
+        stage(stage="publishing", file_bytes=p.output_bytes)
+        publish(partial, path)
     finally:
-        if os.path.exists(partial):
+        if os.path.lexists(partial):
             os.unlink(partial)
     spent = [b - a for a, b in zip(times, times[1:], strict=False)]
-    return EdfResult(path, p.format, p.records, p.output_bytes, p.stored_samples, error, *spent)
+    labels = tuple((c, label, k.unit) for c, label, k in zip(p.channels, p.labels, kinds, strict=True))
+    shorted = tuple(c for c in p.channels if recording.header.shorted[c])
+    spans = tuple((int(a), int(b)) for a, b in p.grid.spans)
+    gap = Fraction(spans[-1][1] - spans[0][0]) / p.rate - p.stored_seconds
+    return EdfResult(path, p.format, p.records, p.output_bytes, p.stored_samples, error, *spent, p.stop - p.start, spans, gap, labels, shorted, len(p.events))
 
 
 def _signatures(recording: Recording) -> list:
@@ -329,6 +415,13 @@ class EdfFile:
 
         return self._raw().mapInArrow(split, "record long, signal int, codes array<long>")
 
+    def values(self) -> DataFrame:
+        """(record, signal, place, code, physical): every code with what the header's scales make of it."""
+        ends = [tuple(map(float, s[3:7])) for s in self.signals]
+        scales = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(e, ("pmin", "pmax", "dmin", "dmax"), strict=True))) for e in ends))
+        rows = self.codes().select("record", "signal", F.posexplode("codes").alias("place", "code")).withColumn("_s", F.get(scales, F.col("signal")))
+        return rows.select("record", "signal", "place", "code", signal.restored(F.col("code").cast("double"), *(F.col(f"_s.{n}") for n in ("pmin", "pmax", "dmin", "dmax"))).alias("physical"))
+
     def annotations(self) -> DataFrame:
         """(record, ordinal, onset, text); the first of a record is its own time, with an empty text."""
         points, names = self.points, [s[0] for s in self.signals]
@@ -345,3 +438,28 @@ class EdfFile:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
         return self._raw().mapInArrow(split, "record long, ordinal int, onset string, text string")
+
+
+def differences(recording: Recording, path: str, p: EdfPlan, kinds: list[signal.Signal]) -> DataFrame:
+    """(record, signal, place, code, source): codes of a file, read with its own header's scales, that differ from the source's
+    count by more than half a step, or at all where codes are whole steps, and what only one of them has. An independent way to ``verify``: all rows of both sides
+    meet by record, signal and place; disconnected channels have no source and are left out."""
+    file = EdfFile.open(recording.spark, path)
+    place = {c: i for i, c in enumerate(p.channels)}
+    live = [i for c, i in place.items() if not recording.header.shorted[c]]
+    grid = p.grid
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            channel, sample, value = (batch.column(i).to_numpy() for i in range(3))
+            found = [grid.place(int(s) - p.start) for s in sample]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([place[c] for c in channel.tolist()], pa.int32()), pa.array([o for _, o in found], pa.int32()), pa.array(value)], names=["record", "signal", "place", "source"])
+
+    source = recording.samples(p.start, p.stop, list(p.channels)).select("channel", "sample", "value").mapInArrow(placed, "record long, signal int, place int, source long")
+    scale = F.array(*(F.lit(float(UV_PER_COUNT if c < SIGNAL_CHANNELS else 1.0)) for c in p.channels))
+    half = F.array(*(F.lit(float(k.half_step)) for k in kinds))
+    steps = F.array(*(F.struct(*(F.lit(x).cast("long").alias(n) for x, n in zip((*(k.steps or (None, None)), k.digital[0]), ("low", "size", "dmin"), strict=True))) for k in kinds))
+    both = file.values().where(F.col("signal").isin(live)).join(source, ["record", "signal", "place"], "full").withColumn("_k", F.get(steps, F.col("signal")))
+    whole = F.abs((F.col("code") - F.col("_k.dmin")) * F.col("_k.size") + F.col("_k.low") - F.col("source")).cast("double")
+    apart = F.coalesce(whole, F.abs(F.col("physical") - F.col("source") * F.get(scale, F.col("signal"))))
+    return both.where(apart.isNull() | (apart > F.get(half, F.col("signal")) * (1 + 1e-9))).select("record", "signal", "place", "code", "source")
