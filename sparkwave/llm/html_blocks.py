@@ -10,7 +10,8 @@ comments around an article, from a fixed seed; the words of a text are random, s
 names, lengths and order. Weights are trained once per driver process and broadcast (well below a megabyte).
 
 Defined cases: a null or empty page has no blocks and an empty text; scripts, styles, templates, comments and the head
-hold no blocks; unclosed and stray tags are tolerated, but an unclosed script or style runs to the end of the page; a head
+hold no blocks; unclosed and stray tags and quotes are tolerated, but an unclosed script, style or comment runs to the end
+of the page; a head
 ends at the first text or tag that can't stand in it; very long pages are read whole; further columns are kept.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,14 +37,17 @@ from .shingles import word_hashes
 PATH, WORDS, CUES = 96, 16, 8
 HIDDEN = 24
 BATCH = 32
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What begins at a ``<``: markup without a name, or a tag's name; and the steps through a tag's attributes.
+_MARK = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_STEP = re.compile(r"[^>=]*+(?:(>)|=\s*+)")
+_BARE = re.compile(r"[^\s>]*+")
 _NAME = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+|\d+")
 _SPACE = re.compile(r"\s+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math annotation menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without blocks. Nothing inside is a tag, whatever it looks like, but the first end tag of the same name.
-RAW = frozenset("script style noscript template textarea title iframe svg select datalist".split())
+RAW = frozenset("script style template textarea title iframe select datalist".split())
 _END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?(?:>|\Z)", re.I) for tag in RAW}
 #: What may stand in a head, besides.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes".split())
@@ -60,10 +65,65 @@ def _words_of(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(xxhash.xxh32_intdigest(n) % PATH for n in names)
 
 
+class Marks:
+    """The tags of a page, found in one pass: each character is looked at once, however odd the markup is.
+
+    A quote opens a value only where one begins, and only if it is closed somewhere. A tag that would run to the end of the
+    page ends at its first ``>``, and so do all tags after it; where there is none, the rest of the page is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.open, self.plain = page, {'"': True, "'": True}, False
+
+    def _after(self, at: int) -> int:
+        """The place after the tag whose attributes begin at ``at``, -1 if there is none."""
+        page = self.page
+        if self.plain:
+            return page.find(">", at) + 1 or -1
+        first = at
+        while step := _STEP.match(page, at):
+            at = step.end()
+            if step[1]:
+                return at
+            quote = page[at : at + 1]
+            if quote in self.open and self.open[quote]:
+                end = page.find(quote, at + 1)
+                if end >= 0:
+                    at = end + 1
+                    continue
+                self.open[quote] = False
+            at = _BARE.match(page, at).end()
+        self.plain = True
+        return page.find(">", first) + 1 or -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, tag, whether it is an end tag, attributes), without a tag for markup that isn't one. What is sent
+        is the place to go on from, where it isn't the end."""
+        page, at = self.page, 0
+        while mark := _MARK.search(page, at):
+            start, at, tag = mark.start(), mark.end(), ""
+            if mark[1] or mark[2]:
+                close = "-->" if mark[1] else "]]>"
+                end = page.find(close, at)
+                at = len(page) if end < 0 else end + len(close)
+                found = ""
+            elif mark[3]:
+                at = page.find(">", at) + 1 or len(page)
+                found = ""
+            else:
+                tag, end = mark[5].lower(), self._after(at)
+                if end < 0:
+                    return
+                found, at = page[at : end - 1], end
+            at = (yield start, at, tag, bool(mark[4]), found) or at
+
+
 def blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
     """(text, path features, share of link characters) of each block with text, in page order."""
     out: list[tuple[str, tuple[int, ...], float]] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[tuple[str, int]] = []  # tags, and the features of all of them so far as bits
+    outer: list[int] = []  # places of those that aren't inline
+    held: Counter[str] = Counter()
     text: list[str] = []
     path: tuple[int, ...] | None = None
     linked = in_link = at = 0
@@ -81,39 +141,48 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
         if piece:
             text.append(piece)
             if path is None and not piece.isspace():
-                path = tuple(f for _, features in stack for f in features)
+                bits = stack[-1][1] if stack else 0
+                path = tuple(i for i in range(PATH) if bits >> i & 1)
             linked += len(piece) if in_link else 0
 
-    in_head, endless = False, set()
-    while match := _TAG.search(page, at):
-        piece, at = page[at : match.start()], match.end()
+    def cut(depth: int) -> None:
+        """Close what is open from ``depth`` on."""
+        for tag, _ in stack[depth:]:
+            held[tag] -= 1
+        del stack[depth:]
+        while outer and outer[-1] >= depth:
+            outer.pop()
+
+    in_head, endless, marks, jump = False, set(), iter(Marks(page)), None
+    while mark := next(marks, None) if jump is None else _sent(marks, jump):
+        jump = None
+        start, end, tag, ends, attributes = mark
+        piece, at = page[at:start], end
         in_head = in_head and not piece.strip()
         if not in_head:
             take(piece)
-        name = match.group(2)
-        if not name:
+        if not tag:
             continue
-        tag = name.lower()
-        if match.group(1):
+        if ends:
             in_head = in_head and tag not in ("head", "body", "html", "br")
             if tag not in INLINE:
                 flush()
             elif tag == "a":
                 in_link = max(0, in_link - 1)
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if held[tag]:
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in RAW or tag == "head":
             flush()
             if tag == "head":
                 in_head = True
-            elif not match.group(3).rstrip().endswith("/"):
-                end = None if tag in endless else _END[tag].search(page, at)
-                if end:
-                    at = end.end()
+            elif not attributes.rstrip().endswith("/"):
+                close = None if tag in endless else _END[tag].search(page, at)
+                if close:
+                    at = jump = close.end()
                 elif tag in ("script", "style"):
                     at = len(page)
+                    break
                 else:  # never closed: what follows is read as if the tag weren't there
                     endless.add(tag)
             continue
@@ -125,22 +194,31 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
         if tag not in INLINE:
             flush()
             in_link = 0
-            closes = {"p"} if tag in ENDS_P else CLOSES.get(tag, set())
-            for depth in range(len(stack) - 1, -1, -1):  # an open paragraph or item ends here, with what is inside it
-                if stack[depth][0] in closes:
-                    del stack[depth:]
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
+            closes = {"p"} if tag in ENDS_P else CLOSES.get(tag, ())
+            if outer and stack[outer[-1]][0] in closes:  # an open paragraph or item ends here, with what is inside it
+                cut(outer[-1])
         elif tag == "a":
             in_link += 1
         if tag not in VOID:
-            stack.append((tag, _words_of(tag, match.group(3))))
+            bits = stack[-1][1] if stack else 0
+            for i in _words_of(tag, attributes):
+                bits |= 1 << i
+            if tag not in INLINE:
+                outer.append(len(stack))
+            stack.append((tag, bits))
+            held[tag] += 1
     take(page[at:])
     flush()
     return out
 
 
+def _sent(marks: Iterator, place: int):
+    try:
+        return marks.send(place)
+    except StopIteration:
+        return None
+
+
 def features(found: list[tuple[str, tuple[int, ...], float]]) -> np.ndarray:
     """A row per block: path, words and cues."""
     x = np.zeros((len(found), PATH + WORDS + CUES), dtype=np.float32)

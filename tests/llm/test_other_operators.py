@@ -299,3 +299,24 @@ def test_each_stage_keeps_just_what_it_should(spark, folder_of):
         assert kept == wanted, (name, kept ^ wanted)
         docs = docs.where(~docs["doc_id"].isin(sorted(gone)))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()} == wanted
+
+
+def test_odd_markup_takes_one_pass_and_loses_no_text():
+    import time
+
+    from sparkwave.llm.html_blocks import blocks
+
+    texts = lambda page: [t for t, _, _ in blocks(page)]
+    assert texts("<p class=it's>X</p><p>it's</p><p>Z</p>") == ["X", "it's", "Z"] and texts("<p class=it's>X</p>") == ["X"]
+    assert texts("<article><noscript><p>Text here</p></noscript><p>B</p></article>") == ["Text here", "B"]
+    assert texts("<p>a<svg><text>label</text></svg></p>")[-1].endswith("label")
+    assert texts('<p title="a > b" id=\'c>d\'>X</p>') == ["X"] and texts("<p title = \"x>y\">X</p><p>Y") == ["X", "Y"]
+    assert texts("<p>1 < 2 and <b>3</b> > 2</p>") == ["1 < 2 and 3 > 2"] and texts('<p class="open>X</p><p>Y</p>') == ["X", "Y"]
+    assert texts("<p>X</p><a href='") == ["X", "<a href='"] and texts("<p>X</p></b") == ["X", "</b"]
+    assert texts("<p>A<script>if (a<b) {'</p>'}</script>B</p><!-- <p>no</p> --><p>C") == ["A", "B", "C"]
+    assert texts("<p>A<textarea>B</p><p>C") == ["A", "B", "C"]
+    hard = ["<a '", "</b", "<a x='", '<a x="\'', "<i>", "<div>t", "<p><div><i>", "<h1></h1><i>", "<textarea>", "<b x=y'>t", "<!-", "<![", "<a x=\"'>"]
+    for piece in hard:
+        began = time.perf_counter()
+        blocks("<p><div>" + piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 6, piece
