@@ -13,14 +13,18 @@ KIB, MIB = 1 << 10, 1 << 20
 class ReadLimits:
     """By subject: what a dense read may return, what the files of a recording may hold, and what notes may cost to parse.
 
-    Distributed reads (``blocks``, ``samples``) return DataFrames of any size; their tasks are bound by ``max_packet_bytes``
-    and by the channels selected.
+    Distributed reads (``blocks``, ``samples``, ``ranges``) return DataFrames; how many values they may decode is estimated
+    from the segment table before any task starts, and their tasks are bound by ``max_packet_bytes``.
     """
 
+    # names and defaults are fixed values, but for max_scan_values
+
     # a dense read
     max_read_samples: int = 131_072
     max_read_bytes: int = 64 * MIB
     max_selected_channels: int = 1024
+    # a distributed read
+    max_scan_values: int = 1 << 42
     # files
     max_directory_entries: int = 20_000
     max_metadata_bytes: int = 8 * MIB

@@ -21,9 +21,9 @@ from .limits import ReadLimits
 from .operators import coverage, ranges
 from .plans.edf import plan
 from .session import materialise, scratch_dir, ship_package
-from .sources import datasource, edf, synth
+from .sources import datasource, edf, layout, synth
 from .sources.layout import UV_PER_COUNT, packet_byte_bounds
-from .sources.recording import Recording
+from .sources.recording import Recording, filesystem
 from .streaming.chunks import stream_chunk_stats
 
 RATE, ORIGIN, PACKET, SEGMENT, CHANNELS = 500.0, 1000, 64, 16_384, 4
@@ -33,7 +33,7 @@ TICKS_0 = 133_485_408_000_000_000  # 2024-01-01 in ticks of 100 ns since 1601
 TICKS_PER_SAMPLE = 20_000
 ANCHOR_STEP, ANCHOR_FIRST, NOMINAL_SAMPLES = 1000, 200, 100
 #: Larger recordings than the defaults allow are fine here.
-LIMITS = ReadLimits(max_packets_per_segment=1 << 20, max_read_samples=1 << 40, max_read_bytes=1 << 50, max_metadata_bytes=1 << 30, max_segments=1 << 22, max_directory_entries=1 << 24, max_clock_anchors=1 << 26)
+LIMITS = ReadLimits(max_packets_per_segment=1 << 20, max_read_samples=1 << 40, max_read_bytes=1 << 50, max_scan_values=1 << 62, max_metadata_bytes=1 << 30, max_segments=1 << 22, max_directory_entries=1 << 24, max_clock_anchors=1 << 26)
 WIDE, SLOTS = 276, 512
 _made: dict[tuple[str, str, str], str] = {}
 
@@ -65,10 +65,10 @@ def recording(spark: SparkSession, sf_dir: str, kind: str = "days") -> Recording
     made = (spark.sparkContext.applicationId, sf_dir, kind)
     if made not in _made:
         rows = signals(spark, sf_dir)
-        at = F.col("event_id") + LEAD + DAY_GAP * F.col("day") if kind == "days" else F.col("event_id") + RUN_GAP * F.floor(F.col("event_id") / RUN)
+        at = F.col("event_id") + LEAD + DAY_GAP * F.col("day") if kind in ("days", "broken") else F.col("event_id") + RUN_GAP * F.floor(F.col("event_id") / RUN)
         rows = rows.withColumn("at", at)
         n = rows.agg(F.max("at")).first()[0] + 1
-        if kind == "days":
+        if kind in ("days", "broken"):
             n += TRAIL
             anchors = _anchors(n)
         else:
@@ -154,9 +154,34 @@ def packet_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packet_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index entries by fault, and how many there are; a sound recording has none."""
+    """Faults of a recording in whose indexes every tenth entry's stamp is one too small: it overlaps a packet right before it,
+    and is sound after a gap."""
+    r, made = recording(spark, sf_dir, "broken"), (spark.sparkContext.applicationId, sf_dir, "faults")
+    if made not in _made:
+        def alter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for uri in batch.column(0).to_pylist():
+                    fs, path = filesystem(uri)
+                    with fs.open_input_file(path) as f:
+                        data = bytearray(f.read())
+                    entries = layout.parse_packets(bytes(data)).copy()
+                    entries["stamp"][3::10] -= 1
+                    with fs.open_output_stream(path, compression=None) as f:
+                        f.write(bytes(data[: layout.HEADER]) + entries.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+        r.segments().select("etc").repartition(8).mapInArrow(alter, "n long").agg(F.sum("n")).collect()
+        _made[made] = r.uri
+    return r.packet_faults()
+
+
+def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of events as stamps and back, with the exclusive end after the last one, and how far the clock anchors reach."""
     r = recording(spark, sf_dir)
-    return r.packets().agg(F.count("*").alias("packets")).crossJoin(r.packet_faults().agg(F.count("*").alias("faults")))  # single rows
+    every = signals(spark, sf_dir).select((F.col("event_id") + LEAD + DAY_GAP * F.col("day")).alias("sample"))
+    every = every.unionByName(spark.range(r.n_samples, r.n_samples + 1).select(F.col("id").alias("sample")))
+    both = every.withColumn("stamp", r.stamp_of(F.col("sample"))).withColumn("back", r.sample_of(F.col("stamp")))
+    return both.crossJoin(F.broadcast(r.anchor_span()))  # a single row
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,9 +329,11 @@ def quantised_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantisation_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether every restored value of a channel lies within half a step."""
+    """How many restored values of a channel lie beyond half a step, and the largest error in steps, to four places."""
     step = (F.col("pmax") - F.col("pmin")) / (signal.DIGITAL_MAX - signal.DIGITAL_MIN)
-    return _codes(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("back") - F.col("uv")) > step / 2 * (1 + 1e-9)).alias("beyond"))
+    error = F.abs(F.col("back") - F.col("uv"))
+    worst = F.round(F.max(error / step), 4)
+    return _codes(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n"), F.count_if(error > step / 2 * (1 + 1e-9)).alias("beyond"), worst.alias("worst"))
 
 
 def raw_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +446,7 @@ def saved_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     decode_samples, channel_stats, decode_window, channel_selection, gap_fill, missing_by_channel, microvolts, delta_decode,
-    packet_index, packet_bounds, packet_faults, segments, recording_info, channels, montage, stored_ranges, missing_ranges, validate,
+    packet_index, packet_bounds, packet_faults, conversions, segments, recording_info, channels, montage, stored_ranges, missing_ranges, validate,
     packet_overlap, long_overlap, as_of, running_total, clock_exact, clock_micros, chunk_counts, stream_chunks, source_window, quantised_codes, quantisation_error, raw_codes,
     events, literals, legal_labels, escaped_texts, edf_records, edf_event_records, edf_codes, edf_annotations, edf_damage, saved_samples,
 )}
@@ -459,7 +486,10 @@ bytes AS (SELECT sample, event_id, 2 + {" + ".join(f"(CASE WHEN p{i} IS NULL THE
 sizes AS (SELECT sample // {SEGMENT} AS segment_index, min(sample) AS start, count(*) AS span, sum(b) AS bytes FROM bytes GROUP BY sample // {SEGMENT}, sample // {PACKET}, sample - event_id)
 SELECT CAST(segment_index AS INTEGER) AS segment_index, start, span, CAST(coalesce(sum(span) OVER (PARTITION BY segment_index ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sample_number, CAST(bytes AS BIGINT) AS bytes FROM sizes""",
     "packet_bounds": WITH + "SELECT start, 20 + (span - 1) * 5 AS least, span * 20 AS most FROM packets",
-    "packet_faults": WITH + "SELECT count(*) AS packets, CAST(0 AS BIGINT) AS faults FROM packets",
+    "packet_faults": WITH + """, placed AS (SELECT segment_index, start, lag(stop) OVER w AS before, row_number() OVER w - 1 AS i FROM packets WINDOW w AS (PARTITION BY segment_index ORDER BY start))
+SELECT CAST(segment_index AS INTEGER) AS segment_index, CAST(i AS INTEGER) AS packet_index, 'overlap' AS fault FROM placed WHERE i % 10 = 3 AND before = start""",
+    "conversions": WITH + f""", every AS (SELECT sample FROM days UNION ALL SELECT n FROM size)
+SELECT sample, sample + {ORIGIN} AS stamp, sample AS back, CAST({ANCHOR_FIRST} AS BIGINT) AS first_anchor_sample, {ANCHOR_FIRST} + (n - {NOMINAL_SAMPLES} - {ANCHOR_FIRST} - 1) // {ANCHOR_STEP} * {ANCHOR_STEP} AS last_anchor_sample FROM every, size""",
     "segments": WITH + f"""SELECT CAST(i AS INTEGER) AS segment_index, {ORIGIN} + i * {SEGMENT} AS start_stamp, {ORIGIN} + least((SELECT n FROM size), (i + 1) * {SEGMENT}) - 1 AS end_stamp,
 CAST(coalesce(sum(span), 0) AS BIGINT) AS stored_samples, count(span) AS packets, CAST(coalesce(sum(span), 0) AS BIGINT) AS stored
 FROM (SELECT unnest(range(0, ((SELECT n FROM size) + {SEGMENT - 1}) // {SEGMENT})) AS i) LEFT JOIN packets ON segment_index = i GROUP BY i""",
@@ -487,7 +517,8 @@ SELECT sample, CAST(q + CASE WHEN twice > d OR (twice = d AND q % 2 = 1) THEN 1
     "stream_chunks": WITH + "SELECT sample // 1024 AS chunk, channel, min(value) AS low, max(value) AS high, count(*) AS n FROM long GROUP BY ALL",
     "source_window": WITH + f"SELECT sample, sample + {ORIGIN} AS stamp, channel, value FROM long, size WHERE sample >= n // 4 AND sample < n // 2 AND channel IN (0, 2) AND value % 2 = 0",
     "quantised_codes": WITH + f", {CODES} SELECT sample, channel, CAST(code AS BIGINT) AS code FROM codes",
-    "quantisation_error": WITH + "SELECT channel, count(*) AS n, CAST(0 AS BIGINT) AS beyond FROM long GROUP BY channel",
+    "quantisation_error": WITH + f""", {CODES}, back AS (SELECT *, abs((code + 32768) * ((pmax - pmin) / 65535) + pmin - uv) AS error, (pmax - pmin) / 65535 AS step FROM codes)
+SELECT channel, count(*) AS n, count(*) FILTER (error > step / 2 * (1 + 1e-9)) AS beyond, round(max(error / step), 4) AS worst FROM back GROUP BY channel""",
     "raw_codes": WITH + "SELECT sample, channel, CASE WHEN value + 32768 >= 0 AND (value + 32768) % 2 = 0 THEN (value + 32768) // 2 - 32768 END AS code FROM long",
     "events": f"SELECT CAST(n_nationkey + 1 AS INTEGER) AS place, CAST({ORIGIN} - 50 + n_nationkey // 2 * 100 AS BIGINT) AS stamp, CAST(n_nationkey // 2 * 100 - 50 AS BIGINT) AS sample, n_name AS text, 'u' || n_regionkey AS \"user\", CAST(1 AS INTEGER) AS note_type FROM nation",
     "literals": "SELECT event_id, event_type AS type, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, 'a\"b\\c' || chr(10) AS other FROM events",

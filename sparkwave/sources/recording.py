@@ -246,6 +246,26 @@ class Recording:
         rows = [(i, names[i], h.physical[i], h.shorted[i], i < layout.SIGNAL_CHANNELS, "uV" if i < layout.SIGNAL_CHANNELS else None, layout.UV_PER_COUNT if i < layout.SIGNAL_CHANNELS else None, i < len(given) and given[i] is not None) for i in range(h.n_channels)]
         return self.spark.createDataFrame(rows, "channel int, name string, physical_index int, shorted boolean, is_signal boolean, unit string, scale_uv_per_count double, name_resolved boolean")
 
+    def scan_size(self, start: int, stop: int, channels: list[int] | None = None) -> int:
+        """The most values that a read of a window can decode, from the segment table alone: of each segment as many samples
+        as it stores or the window has of it, of each channel that isn't shorted."""
+        live = sum(not self.header.shorted[c] for c in (range(self.header.n_channels) if channels is None else set(channels)))
+        inside = ((min(last - self.origin + 1, stop) - max(first - self.origin, start), stored) for _, first, last, _, stored in self.table)
+        return live * sum(max(0, min(n, stored)) for n, stored in inside)
+
+    def stamp_of(self, sample: Column) -> Column:
+        """The stamp of a sample; the exclusive end has one, too. Other samples raise."""
+        return F.when(sample.between(0, self.n_samples), sample + self.origin).when(sample.isNotNull(), F.raise_error(F.lit("a sample lies outside the recording")))
+
+    def sample_of(self, stamp: Column) -> Column:
+        """The sample of a stamp, up to that of the exclusive end. Other stamps raise."""
+        sample = stamp - self.origin
+        return F.when(sample.between(0, self.n_samples), sample).when(stamp.isNotNull(), F.raise_error(F.lit("a stamp lies outside the recording")))
+
+    def anchor_span(self) -> DataFrame:
+        """(first_anchor_sample, last_anchor_sample), one row."""
+        return self.anchors().agg((F.min("stamp") - self.origin).alias("first_anchor_sample"), (F.max("stamp") - self.origin).alias("last_anchor_sample"))
+
     def window(self, start: int, stop: int | None) -> tuple[int, int]:
         start = index(start, "start")
         stop = self.n_samples if stop is None else index(stop, "stop")
@@ -260,6 +280,7 @@ class Recording:
         packet an array of counts (channels, samples), clipped to the samples asked for.
         """
         start, stop = self.window(start, stop)
+        check(self.scan_size(start, stop, channels), self.limits.max_scan_values, "values of a read")
         h, origin, wanted = self.header, self.origin, None if channels is None else sorted(set(channels))
         shorted = np.array(h.shorted)
         first = F.col("sample_stamp") - origin

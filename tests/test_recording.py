@@ -65,6 +65,29 @@ def test_arguments_are_checked(spark, folder, recording):
         Recording.open(spark, f"{folder}/none.stc")
 
 
+def test_a_read_is_estimated_before_it_starts(spark, folder, recording):
+    assert recording.scan_size(0, N) == 2 * 256 and recording.scan_size(0, N, [0]) == 256 and recording.scan_size(10, 20, [0, 2, 0]) == 10 and recording.scan_size(5, 5) == 0
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    small = Recording.open(spark, folder, channels=None, limits=ReadLimits(max_scan_values=300))
+    before = jobs()
+    for read in (small.samples, small.blocks, small.ranges):
+        with pytest.raises(ResourceLimitError, match="values of a read: 512"):
+            read()
+    assert jobs() == before and small.samples(0, 160, [0]).count() == 96
+
+
+def test_conversions_with_the_exclusive_end(spark, recording):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0,), (N,), (None,)], "s long").select("s", recording.stamp_of(F.col("s")).alias("t")).withColumn("back", recording.sample_of(F.col("t")))
+    assert [tuple(r) for r in rows.collect()] == [(0, 1000, 0), (N, 1000 + N, N), (None, None, None)]
+    for bad in (-1, N + 1):
+        for column in (recording.stamp_of(F.lit(bad)), recording.sample_of(F.lit(1000 + bad))):
+            with pytest.raises(Exception, match="outside the recording"):
+                spark.range(1).select(column).collect()
+    assert tuple(recording.anchor_span().first()) == (0, 319)
+
+
 def test_a_changed_index_is_refused(spark, folder):
     rows = spark.createDataFrame([(s, s) for s in range(64)], "s long, a long")
     other = synth.write(rows, scratch_dir(spark, "broken"), sample="s", values=["a"], n_samples=64, rate=512.0, n_channels=1, packet=32, segment=64)
