@@ -269,14 +269,15 @@ CANDIDATES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b",
 
 
 def _read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
-    """Keys, documents, set sizes, components and numbers of keys before."""
+    """Keys and numbers of keys before them; and of the documents whose keys follow each other ids, components, set sizes and
+    numbers of keys."""
     n = int(np.frombuffer(blob, "<i8", 1)[0])
     docs, parts = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n)
     sizes, runs = np.frombuffer(blob, "<i4", n, 8 + 16 * n), np.frombuffer(blob, "<i4", n, 8 + 20 * n)
     total, at = int(runs.sum()), 8 + 24 * n
     keys = np.zeros((total, 8), dtype="u1")
     keys[:, :6] = np.frombuffer(blob, "u1", 6 * total, at + 2 * total).reshape(-1, 6)
-    return keys.view("<u8").ravel(), np.repeat(docs, runs), np.repeat(sizes, runs), np.repeat(parts, runs), np.frombuffer(blob, "<u2", total, at).astype(np.int32)
+    return keys.view("<u8").ravel(), np.frombuffer(blob, "<u2", total, at), docs, parts, sizes, runs
 
 
 def _may_meet(n, m, before_n, before_m):
@@ -285,7 +286,22 @@ def _may_meet(n, m, before_n, before_m):
 
 
 def _bucket_rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    keys, docs, sizes, parts, before = (np.concatenate(x) for x in zip(*map(_read_blob, blobs), strict=True))
+    keys, before, docs, parts, sizes, counts = (np.concatenate(x) for x in zip(*map(_read_blob, blobs), strict=True))
+    blobs.clear()
+    of = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
+    # most keys are of one component: they go before anything else is laid out by key
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    own = parts[of[order]]
+    several = np.minimum.reduceat(own, edge) != np.maximum.reduceat(own, edge)
+    del own
+    left = np.repeat(several, np.diff(np.append(edge, len(keys))))
+    keys, order = keys[left], order[left]
+    if not len(keys):
+        return
+    of, before = of[order], before[order].astype(np.int32)
+    docs, sizes, parts = docs[of], sizes[of], parts[of]
 
     def keep(which: np.ndarray) -> None:
         nonlocal keys, docs, sizes, parts, before
@@ -295,11 +311,6 @@ def _bucket_rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         return edge, np.diff(np.append(edge, len(keys)))
 
-    keep(np.argsort(keys, kind="stable"))
-    edge, count = runs()
-    keep(np.repeat(np.minimum.reduceat(parts, edge) != np.maximum.reduceat(parts, edge), count))  # several components
-    if not len(keys):
-        return
     keep(np.lexsort((before, docs, keys)))
     keep(np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])]))
     edge, count = runs()

@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -300,9 +299,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     return model
 
 
-_models: dict[str, Model] = {}
-
-
 def scored(docs: DataFrame, model: Model, *, text: str = "text", evidence: int = 3, into: str = "toxicity") -> DataFrame:
     """``docs`` with a struct column ``into``: score and evidence (nearest examples' key, cosine and label). No shuffle.
 
@@ -310,16 +306,14 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", evidence: int =
     """
     spark = docs.sparkSession
     ship_package(spark)
-    shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast(model)
     near = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", near)]))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if token not in _models:
-            _models.clear()
-            _models[token] = shared.value
+        own = shared.value  # a worker holds it only as long as its stage runs
         for batch in batches:
-            rows = [_models[token].score(x or "", evidence) for x in batch]
+            rows = [own.score(x or "", evidence) for x in batch]
             yield pd.DataFrame({"score": [r[0] for r in rows], "evidence": [[{"key": k, "cosine": c, "label": y} for k, c, y in r[1]] for r in rows]})
 
     return docs.withColumn(into, run.asNondeterministic()(F.col(text)))
