@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -210,8 +211,8 @@ def test_roles_are_recovered(spark):
     truth = {(r["conv_id"], r["part"]): [t["role"] for t in r["truth"]] for r in rows.collect()}
     found = op9_chat_format.op9_chat_format(spark, folder).collect()
     assert len(found) == len(truth)
-    right = [r["roles"].split(",") == truth[r["conv_id"], r["part"]] for r in found if r["conv_id"] is not None and int(r["conv_id"]) % 3 == 1]
-    assert np.mean(right) > 0.8
+    right = [r["roles"].split(",") == truth[r["conv_id"], r["part"]] for r in found if zlib.crc32(str(r["conv_id"]).encode()) % 3 == 1]  # those that fit leaves out
+    assert len(right) > 20 and np.mean(right) > 0.8
 
 
 def test_no_transcript_holds_more_rows_than_a_part(spark):
