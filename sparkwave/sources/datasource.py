@@ -18,8 +18,10 @@ offsets stand at multiples of ``chunk_samples``, so a batch has whole chunks; ot
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +51,21 @@ def rows_of(options: dict[str, str]) -> str:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, and let it take filters."""
+    """Make the format known to a session, and let it take filters.
+
+    A stream is planned by a Python process beside the driver that gets no files which were sent to workers, so the format
+    is registered with the place of this package on its path.
+    """
     ship_package(spark)
-    spark.dataSource.register(RecordingSource)
+    environment, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    before = environment.get("PYTHONPATH")
+    environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, before]))
+    try:
+        spark.dataSource.register(RecordingSource)
+    finally:
+        environment.pop("PYTHONPATH")
+        if before is not None:
+            environment["PYTHONPATH"] = before
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
