@@ -21,7 +21,7 @@ from .limits import ReadLimits
 from .operators import coverage, ranges
 from .plans.edf import plan
 from .session import materialise, scratch_dir, ship_package
-from .sources import datasource, edf, layout, synth
+from .sources import datasource, edf, edf_source, layout, synth
 from .sources.layout import UV_PER_COUNT, packet_byte_bounds
 from .sources.recording import Recording, filesystem
 from .streaming.chunks import stream_chunk_stats
@@ -305,13 +305,11 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A window of samples and two channels from the data source, which takes these conditions from Spark's plan; a condition
-    on values stays there."""
+    """A window of samples and two channels, which options tell the data source; a condition on values stays with Spark."""
     r = recording(spark, sf_dir)
     datasource.register(spark)
-    rows = spark.read.format(datasource.NAME).options(signal_channels="any", **_limits()).load(r.uri)
-    kept = rows.where(F.col("channel").isin(0, 2) & (F.col("sample") >= r.n_samples // 4) & (F.col("sample") < r.n_samples // 2) & (F.col("value") % 2 == 0))
-    return kept
+    rows = spark.read.format(datasource.NAME).options(signal_channels="any", start=r.n_samples // 4, stop=r.n_samples // 2, channels="0,2", **_limits()).load(r.uri)
+    return rows.where(F.col("value") % 2 == 0)
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,10 +432,31 @@ def edf_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
                     g.write(data)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    edf.raw_records(spark, file.path, p.header_bytes, p.record_bytes, p.records).mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    edf.raw_records(spark, file.stored).mapInArrow(put, "n long").agg(F.sum("n")).collect()
     return edf.differences(r, copy, p, edf.kinds_of(r, p, 0.5))
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> str:
+    """The recording as a folder of parts, written by the data source and verified, once in an application."""
+    made = (spark.sparkContext.applicationId, sf_dir, "parts")
+    if made not in _made:
+        r = recording(spark, sf_dir, "runs")
+        edf_source.export(r, f"{r.uri}/out-parts.edf", timezone="UTC")
+        _made[made] = f"{r.uri}/out-parts.edf"
+    edf_source.register(spark)
+    return _made[made]
+
+
+def edf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of a file that the data source wrote in parts, read by the data source."""
+    return spark.read.format("edf").load(_parts(spark, sf_dir)).select("record", "signal", "place", "code")
+
+
+def edf_parts_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.format("edf").option("rows", "annotations").load(_parts(spark, sf_dir))
+    return rows.select("record", "ordinal", F.col("onset").cast("double").alias("onset"), "text")
+
+
 def saved_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples by way of Parquet files; counts by channel and hundred."""
     saved = materialise(decode_samples(spark, sf_dir), "samples")
@@ -448,7 +467,7 @@ QUERIES = {f.__name__: f for f in (
     decode_samples, channel_stats, decode_window, channel_selection, gap_fill, missing_by_channel, microvolts, delta_decode,
     packet_index, packet_bounds, packet_faults, conversions, segments, recording_info, channels, montage, stored_ranges, missing_ranges, validate,
     packet_overlap, long_overlap, as_of, running_total, clock_exact, clock_micros, chunk_counts, stream_chunks, source_window, quantised_codes, quantisation_error, raw_codes,
-    events, literals, legal_labels, escaped_texts, edf_records, edf_event_records, edf_codes, edf_annotations, edf_damage, saved_samples,
+    events, literals, legal_labels, escaped_texts, edf_records, edf_event_records, edf_codes, edf_annotations, edf_damage, edf_parts, edf_parts_annotations, saved_samples,
 )}
 
 UV = f"CAST('{UV_PER_COUNT!r}' AS DOUBLE)"
@@ -538,3 +557,4 @@ FROM long, limits WHERE record % 3 = 0 AND place = record % {RUN}""",
 UNION ALL SELECT CAST(record AS BIGINT), CAST(row_number() OVER (PARTITION BY record ORDER BY sample, n_nationkey) AS INTEGER), CAST(sample AS DOUBLE) / CAST({RATE} AS DOUBLE), n_name FROM marked""",
     "saved_samples": WITH + "SELECT channel, CAST(floor(value / 100) AS BIGINT) AS hundred, count(*) AS n FROM long GROUP BY ALL",
 }
+ORACLE_SQL |= {"edf_parts": ORACLE_SQL["edf_codes"], "edf_parts_annotations": ORACLE_SQL["edf_annotations"]}

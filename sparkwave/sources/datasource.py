@@ -1,7 +1,7 @@
 """Recordings as a Spark data source: ``spark.read.format("recording").load(uri)``, and as a stream.
 
     register(spark)
-    spark.read.format("recording").load(uri).where("sample between 1000 and 1999 and channel in (0, 3)")
+    spark.read.format("recording").option("start", 1000).option("stop", 2000).option("channels", "0,3").load(uri)
 
 Rows, by the option ``rows``: ``samples`` (sample, stamp, channel, value), the default, ``blocks``, one row per packet and
 channel, or ``chunks``, blocks cut at multiples of ``chunk_samples``. Options ``start``, ``stop`` and ``channels`` (numbers, by
@@ -9,8 +9,11 @@ commas) narrow what is read; ``signal_channels`` "any" accepts other channel cou
 
 The driver reads the segment table and a header. A partition is a share of one segment's packets, by the place of their
 bytes, as many as the segment has times ``SPLIT_BYTES``; its task reads that segment's index, checks it, and decodes only
-packets that the window touches. Conditions on sample, stamp and channel are taken from Spark's filters, are evaluated here
-for each row, and shut out segments, packets and channels; all other conditions are left to Spark.
+packets that the window touches. With the option ``filters`` "true", conditions on sample, stamp and channel are taken from
+Spark's filters, are evaluated here for each row, and shut out segments, packets and channels; all other conditions are left to
+Spark. That isn't the default, as Spark 4.1 keeps the filters pushed last with what ``load()`` gave: where that is used again in
+the same plan, or later without a condition, it loses rows (``tests/test_datasource.py`` shows it). It's safe only if each
+``load()`` is used in one query; options are safe always.
 
 As a stream (rows ``chunks``), an offset is a sample. With ``closed`` "false" the recording may still get segments, and
 offsets stand at multiples of ``chunk_samples``, so a batch has whole chunks; otherwise the last offset is the end.
@@ -50,8 +53,8 @@ def rows_of(options: dict[str, str]) -> str:
     return rows
 
 
-def register(spark: SparkSession) -> None:
-    """Make the format known to a session, and let it take filters.
+def register(spark: SparkSession, source: type[DataSource] | None = None) -> None:
+    """Make the format, or another of this package, known to a session, and let loads that say so take filters.
 
     A stream is planned by a Python process beside the driver that gets no files which were sent to workers, so the format
     is registered with the place of this package on its path.
@@ -61,7 +64,7 @@ def register(spark: SparkSession) -> None:
     before = environment.get("PYTHONPATH")
     environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, before]))
     try:
-        spark.dataSource.register(RecordingSource)
+        spark.dataSource.register(source or RecordingSource)
     finally:
         environment.pop("PYTHONPATH")
         if before is not None:
@@ -196,14 +199,6 @@ class RecordingReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.source = Source(options)
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for condition in filters:
-            narrowed = self.source.window.narrowed(condition)
-            if narrowed is None or self.source.rows != "samples" and getattr(condition, "attribute", None) != ("channel",):
-                yield condition
-            else:
-                self.source.window = narrowed
-
     def partitions(self) -> Sequence[InputPartition]:
         self.source.open()
         return self.source.shares(*self.source.window.bounds(self.source.origin, self.source.n_samples)) or [InputPartition(None)]
@@ -215,6 +210,18 @@ class RecordingReader(DataSourceReader):
             yield from self.source.read(partition)
 
 
+class FilteredReader(RecordingReader):
+    """For loads that are used in one query only."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for condition in filters:
+            narrowed = self.source.window.narrowed(condition)
+            if narrowed is None or self.source.rows != "samples" and getattr(condition, "attribute", None) != ("channel",):
+                yield condition
+            else:
+                self.source.window = narrowed
+
+
 class RecordingStream(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.source = Source({"rows": "chunks"} | options)
@@ -250,7 +257,7 @@ class RecordingSource(DataSource):
         return SCHEMAS[rows_of(self.options)]
 
     def reader(self, schema) -> DataSourceReader:
-        return RecordingReader(dict(self.options))
+        return (FilteredReader if self.options.get("filters") == "true" else RecordingReader)(dict(self.options))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return RecordingStream(dict(self.options))

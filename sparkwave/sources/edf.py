@@ -25,12 +25,10 @@ from ..errors import DataIntegrityError, UnsupportedFormatError
 from ..functions import exact, signal
 from ..plans.edf import EdfPlan, plan, tal
 from ..session import ship_package
+from .edf_store import FILE_FIELDS, MANIFEST, SIGNAL_FIELDS, Stored, record_batch
 from .layout import SIGNAL_CHANNELS, UV_PER_COUNT
 from .recording import Recording
 
-#: Fixed widths of the header, in order: of the file, and of each signal.
-FILE_FIELDS = (8, 80, 80, 8, 8, 8, 44, 8, 8, 4)
-SIGNAL_FIELDS = (16, 80, 8, 8, 8, 8, 8, 80, 8, 32)
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 RECORDS = "record long, payload binary"
 TASK_BYTES = 16 << 20
@@ -300,16 +298,16 @@ def _signatures(recording: Recording) -> list:
     return [(i.path, i.size, i.mtime_ns) for i in infos]
 
 
-def verify(recording: Recording, path: str, p: EdfPlan, kinds: list[signal.Signal]) -> float:
+def verify(recording: Recording, path: str, p: EdfPlan, kinds: list[signal.Signal], manifest: str = MANIFEST) -> float:
     """The largest difference between the file and the source, which is decoded again; refused if anything is wrong.
 
     The header is compared as bytes, annotations and disconnected channels by record with the plan's, and every code with
     its count, by the task that decodes the count (no shuffle): what the code stands for may differ by half a step. Packets
     don't overlap, so all codes were compared if as many were as the file holds.
     """
-    with open(path, "rb") as f:
-        if f.read(p.header_bytes) != header(p, kinds) or os.fstat(f.fileno()).st_size != p.output_bytes:
-            raise DataIntegrityError("the file's header or size is wrong")
+    stored = Stored.open(path, manifest)
+    if stored.head.data != header(p, kinds):
+        raise DataIntegrityError("the file's header is wrong")
     shorted = np.array([bool(recording.header.shorted[c]) for c in p.channels])
     points, texts, grid, size = p.grid.points, notes_of(p), p.grid, 2 * p.grid.points * len(p.channels)
 
@@ -323,19 +321,18 @@ def verify(recording: Recording, path: str, p: EdfPlan, kinds: list[signal.Signa
                 records, wrong = records + 1, wrong + (not good)
         yield pa.RecordBatch.from_arrays([pa.array([records], pa.int64()), pa.array([wrong], pa.int64())], names=["records", "wrong"])
 
-    there = raw_records(recording.spark, path, p.header_bytes, p.record_bytes, p.records)
+    there = raw_records(recording.spark, stored)
     records, wrong = there.mapInArrow(marks, "records long, wrong long").agg(F.sum("records"), F.sum("wrong")).first()
     if records != p.records or wrong:
         raise DataIntegrityError(f"{wrong} records differ in their annotations or disconnected channels")
 
     def compare(_, starts: list[int], own: np.ndarray, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         places, compared, wrong, most = places_of(p, own), 0, 0, 0.0
-        with open(path, "rb") as f:
+        with stored.reader() as read:
             for at, counts in stretches(starts, values):
                 record, offset = grid.place(at - p.start)
                 n = -(-(offset + counts.shape[1]) // points)
-                f.seek(p.header_bytes + record * p.record_bytes)
-                raw = np.frombuffer(f.read(n * p.record_bytes), np.uint8).reshape(n, p.record_bytes)[:, :size]
+                raw = np.frombuffer(read(record, n), np.uint8).reshape(n, p.record_bytes)[:, :size]
                 codes = np.ascontiguousarray(raw).view("<i2").reshape(n, len(shorted), points)
                 for place, own_counts in zip(places, counts, strict=True):
                     errors = signal.errors_of(codes[:, place].ravel()[offset : offset + len(own_counts)], own_counts, kinds[place])
@@ -350,18 +347,17 @@ def verify(recording: Recording, path: str, p: EdfPlan, kinds: list[signal.Signa
     return most
 
 
-def raw_records(spark: SparkSession, path: str, start: int, width: int, count: int) -> DataFrame:
-    per = max(1, TASK_BYTES // width)
+def raw_records(spark: SparkSession, stored: Stored) -> DataFrame:
+    """(record, payload) of every record; a task reads about ``TASK_BYTES``."""
+    count, width = stored.head.records, stored.head.record_bytes
+    per = max(1, TASK_BYTES // max(1, width))
     ranges = spark.range(0, count, per, max(1, -(-count // per)))
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(path, "rb") as f:
+        with stored.reader() as read:
             for batch in batches:
                 for first in batch.column(0).to_pylist():
-                    numbers = list(range(first, min(count, first + per)))
-                    f.seek(start + first * width)
-                    data = f.read(width * len(numbers))
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([data[i * width : (i + 1) * width] for i in range(len(numbers))], pa.binary())], names=["record", "payload"])
+                    yield record_batch(first, read(first, min(count, first + per) - first), width)
 
     return ranges.mapInArrow(get, RECORDS)
 
@@ -372,32 +368,28 @@ class EdfFile:
 
     spark: SparkSession
     path: str
-    file: tuple[str, ...]
-    signals: tuple[tuple[str, ...], ...]
+    stored: Stored
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> EdfFile:
+        """Of a file or a folder of parts, by URI or path."""
         ship_package(spark)
-        with open(path, "rb") as f:
-            head = f.read(256)
-            texts, at = [], 0
-            for w in FILE_FIELDS:
-                texts.append(head[at : at + w].decode("ascii").rstrip())
-                at += w
-            n = int(texts[9])
-            body = f.read(256 * n)
-        columns, at = [], 0
-        for w in SIGNAL_FIELDS:
-            columns.append([body[at + i * w : at + (i + 1) * w].decode("ascii").rstrip() for i in range(n)])
-            at += w * n
-        return EdfFile(spark, path, tuple(texts), tuple(zip(*columns, strict=True)))
+        return EdfFile(spark, path, Stored.open(path))
+
+    @property
+    def file(self) -> tuple[str, ...]:
+        return self.stored.head.file
+
+    @property
+    def signals(self) -> tuple[tuple[str, ...], ...]:
+        return self.stored.head.signals
 
     @property
     def points(self) -> list[int]:
         return [int(s[8]) for s in self.signals]
 
     def _raw(self) -> DataFrame:
-        return raw_records(self.spark, self.path, int(self.file[5]), 2 * sum(self.points), int(self.file[7]))
+        return raw_records(self.spark, self.stored)
 
     def codes(self) -> DataFrame:
         """(record, signal, codes) of the ordinary signals."""

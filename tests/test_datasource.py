@@ -35,7 +35,16 @@ def loaded(spark, folder, **options):
 def test_conditions_give_what_spark_would(spark, folder, condition):
     every = spark.createDataFrame([(s, s + 1000, c, v) for s in STORED for c, v in ((0, s * 7 % 311), (1, -s))], datasource.SCHEMAS["samples"])
     order = ["sample", "channel"]
-    assert loaded(spark, folder).where(condition).orderBy(order).collect() == every.where(condition).orderBy(order).collect()
+    assert loaded(spark, folder, filters="true").where(condition).orderBy(order).collect() == every.where(condition).orderBy(order).collect()
+
+
+def test_one_load_takes_many_conditions_by_default(spark, folder):
+    """With filters pushed, Spark reads what the last of them left for all uses of a load; so that isn't the default."""
+    rows = loaded(spark, folder, channels="0", filters="true")
+    assert rows.where("sample < 10").count() == 10 and rows.select("sample").count() < len(STORED)  # Spark 4.1; once it's mended, filters can be the default
+    rows = loaded(spark, folder, channels="0")
+    few, both = rows.where("sample < 10"), rows.where("sample < 10").union(rows.where("sample = 500"))
+    assert few.count() == 10 and rows.select("sample").count() == len(STORED) and both.count() == 11 and rows.where("sample = 500").count() == 1
 
 
 def test_packets_out_of_the_window_are_not_read(spark, folder):
@@ -45,7 +54,7 @@ def test_packets_out_of_the_window_are_not_read(spark, folder):
     with open(f"{broken}/seg00000.erd", "r+b") as f:
         f.seek(-300, os.SEEK_END)
         f.write(b"\x07" * 200)
-    rows = loaded(spark, f"file://{broken}")
+    rows = loaded(spark, f"file://{broken}", filters="true")
     assert rows.where("sample < 150").count() == 300 and rows.where("sample >= 512").count() == 2 * (N - 512)
     assert rows.where("stamp between 1512 and 1600 and channel = 1").count() == 89
     with pytest.raises(Exception, match="event byte|absolute|ends inside"):
