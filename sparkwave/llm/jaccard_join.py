@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, ship_package
-from .common import mix64, text_slices
+from .common import mix64, text_slices, tidy
 from .components import components, merged
 from .shingles import WIDTH, shingle_sets
 
@@ -207,7 +207,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 none = pa.nulls(len(part), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([True] * len(part)), pa.array(part), pa.array(total[a : a + 10_000]), none, pa.nulls(len(part), pa.list_(pa.int64())), none], schema=arrow)
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(tidy(run), SETS)
 
 
 def keyed(docs: DataFrame, width: int, buckets: int, hot) -> DataFrame:
@@ -255,7 +255,7 @@ def keyed(docs: DataFrame, width: int, buckets: int, hot) -> DataFrame:
         if found:
             yield flush()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _classes(tokens: np.ndarray, frequent: np.ndarray, class_of: np.ndarray) -> np.ndarray:
@@ -377,7 +377,7 @@ def candidates(blobs: DataFrame, buckets: int) -> DataFrame:
         if own:
             yield from _bucket_rows(own)
 
-    return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, CANDIDATES)
+    return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), CANDIDATES)
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
@@ -475,7 +475,7 @@ def in_lists(lists: DataFrame, bits: DataFrame, within: DataFrame, whole: bool)
         yield from pairs()
 
     keys = ["list", "many", "low", "high"]
-    return materialise(placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, FOUND).distinct(), "listed")
+    return materialise(placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), FOUND).distinct(), "listed")
 
 
 def _small(rows: DataFrame, width: int) -> DataFrame:
@@ -514,7 +514,7 @@ def compared(pairs: DataFrame, forms: DataFrame, holds) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     met = met.repartition("rep", "part").sortWithinPartitions("rep", "part", (F.col("doc") != F.col("rep")))
-    return met.mapInArrow(compare, PAIR).distinct()
+    return met.mapInArrow(tidy(compare), PAIR).distinct()
 
 
 def _may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
@@ -547,7 +547,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 own = list(shingle_sets(texts, width))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], schema=arrow)
 
-    return materialise(compared(pairs, texts.mapInArrow(sets, schema), _do_link), "verified")
+    return materialise(compared(pairs, texts.mapInArrow(tidy(sets), schema), _do_link), "verified")
 
 
 def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, ship_package
+from .common import give_back
 
 MAX_EXAMPLES, DRAWN = 2000, 4
 NEIGHBOURS = 15
@@ -311,10 +312,12 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", evidence: int =
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", near)]))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         own = shared.value  # a worker holds it only as long as its stage runs
         for batch in batches:
             rows = [own.score(x or "", evidence) for x in batch]
             yield pd.DataFrame({"score": [r[0] for r in rows], "evidence": [[{"key": k, "cosine": c, "label": y} for k, c, y in r[1]] for r in rows]})
+        give_back()
 
     return docs.withColumn(into, run.asNondeterministic()(F.col(text)))
 
