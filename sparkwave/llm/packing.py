@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, ship_package
-from .common import slices, texts_in
+from .common import give_back, slices, texts_in, tidy
 from .tokenize import tokenizer
 
 CAPACITY = 1024
@@ -39,7 +39,7 @@ GAP = 1e-4
 #: And after so many rounds of pricing at most; rounds bound the time, not what is packed.
 ROUNDS = 1000
 BLOCK_ROWS = 2048
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
@@ -253,8 +253,9 @@ def tokenised(df: DataFrame, key: str, text: str, tokenizer_path: str, end: int,
                     out.append((n, rest, whole, block, ranks.get(rest, 0), chunks))
                     ranks[rest], chunks, rows_in_block = ranks.get(rest, 0) + 1, chunks + whole, rows_in_block + 1
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(arrow[0].type), pa.array(encoded, pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], schema=arrow)
+            give_back()  # what encoding took for a moment is several times what stays
 
-    return materialise(rows.mapInArrow(run, schema), "packed-ids")
+    return materialise(rows.mapInArrow(tidy(run), schema), "packed-ids")
 
 
 PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -281,13 +282,13 @@ def pack(df: DataFrame, key: str, text: str, tokenizer_path: str, *, end: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, dtype = to_arrow_schema(schema), tokenizer(tokenizer_path).dtype
+        arrow = to_arrow_schema(schema)
         for batch in batches:
             raws = batch.column(1)
             for a, b in slices((len(x) for x in raws.to_pylist()), 8 << 20):
                 columns: list[list] = [[] for _ in arrow]
                 for k, raw, n, rest, rank, full in zip(*(batch.column(i)[a:b].to_pylist() for i in range(6)), strict=True):
-                    wide, at = np.frombuffer(raw, dtype=dtype).astype("<u4"), 0
+                    wide, at = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype("<u4"), 0
                     where = [(plan.full_sequence + full + i, 0, capacity) for i in range(n // capacity)]
                     for seq, offset, size in where + (place(plan, rest, rank) if rest else []):
                         data = wide[at : at + size].tobytes()
@@ -296,4 +297,4 @@ def pack(df: DataFrame, key: str, text: str, tokenizer_path: str, *, end: int =
                         at += size
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return met.mapInArrow(cut, schema)
+    return met.mapInArrow(tidy(cut), schema)
