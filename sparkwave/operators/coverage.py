@@ -38,6 +38,14 @@ def missing_of(recording: Recording) -> DataFrame:
     return within.unionByName(outer.drop("one"))
 
 
+def filled_samples(recording: Recording) -> DataFrame:
+    """(sample, channel, value) of all logical samples of all channels: null in gaps and on shorted channels."""
+    r = recording.indexed()
+    gaps = missing_of(r).select(F.explode(F.lit([c for c, off in enumerate(r.header.shorted) if not off]).cast("array<int>")).alias("channel"), "start", "stop")
+    whole = r.spark.createDataFrame([(c, 0, r.n_samples) for c, off in enumerate(r.header.shorted) if off], "channel int, start long, stop long")
+    return ranges.filled(r.samples(), gaps.unionByName(whole))
+
+
 def validate(recording: Recording) -> DataFrame:
     """One row: segments, packets, logical, stored and missing samples (also by place), notes, events, unparsed notes."""
     packets = recording.packets()  # reading it makes the checks of each segment's index

@@ -123,8 +123,17 @@ def carried(deltas: DataFrame, by: list[str], order: str, delta: str, absolute:
     return run.withColumn(out, F.when(F.col("_run") > 0, total)).drop("_run")
 
 
-def filled(stored: DataFrame, low: int, high: int, channels: list[int]) -> DataFrame:
-    """A row (sample, channel, value) for every sample of [low, high) and channel; null where nothing is stored."""
-    spark = stored.sparkSession
-    grid = spark.range(low, high).select(F.col("id").alias("sample"), F.explode(F.array(*map(F.lit, channels))).alias("channel"))
-    return grid.join(stored.select("sample", "channel", "value"), ["sample", "channel"], "left")
+#: Samples of a gap that are made rows by one row.
+PIECE = 4096
+
+
+def filled(stored: DataFrame, missing: DataFrame) -> DataFrame:
+    """(sample, channel, value) of what is stored, and of every sample of the gaps ``missing`` (channel, start, stop), null.
+
+    Gaps are dealt in pieces and made rows beside what is stored, so there is no grid to join with, nothing of ``stored`` moves,
+    and the rows of a channel that has only a gap are spread as well. Stamps have 32 bits, so a gap has half a million pieces at most.
+    """
+    pieces = missing.where("stop > start").select("channel", F.explode(F.sequence("start", F.col("stop") - 1, F.lit(PIECE).cast("long"))).alias("start"), "stop")
+    pieces = pieces.repartition(stored.sparkSession.sparkContext.defaultParallelism, "channel", "start")
+    empty = pieces.select(F.explode(F.sequence("start", F.least(F.col("start") + PIECE, "stop") - 1)).alias("sample"), "channel", F.lit(None).cast(stored.schema["value"].dataType).alias("value"))
+    return stored.select("sample", "channel", "value").unionByName(empty)

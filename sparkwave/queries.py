@@ -117,8 +117,7 @@ def channel_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All logical samples of all channels: null in gaps and on the shorted channel."""
-    r = recording(spark, sf_dir)
-    return ranges.filled(r.samples(), 0, r.n_samples, list(range(CHANNELS)))
+    return coverage.filled_samples(recording(spark, sf_dir))
 
 
 def missing_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
