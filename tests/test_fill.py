@@ -14,7 +14,7 @@ from sparkwave.sources.recording import Recording
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["gap_fill", "chunk_counts"])
+@pytest.mark.parametrize("name", ["gap_fill", "chunk_counts", "missing_by_channel"])
 def test_samples_are_joined_with_nothing(spark, name):
     found = queries.QUERIES[name](spark, SF)
     found.collect()
