@@ -31,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -47,13 +48,22 @@ BLOCK = 64
 #: Terms that a query takes at a time, and the share of the examples that must be shut out before blocks are looked at.
 GROUP, SHUT = 256, 0.75
 SURE = 3.0
+#: Characters of a text whose words are listed at a time.
+PART = 1 << 16
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words(text: str) -> Iterator[str]:
-    """One at a time, as the words of a very long text take many times its memory."""
-    return (m[0] for m in _WORD.finditer(text.lower()))
+def word_counts(text: str) -> Counter:
+    """The words of a text with their numbers; part by part, as the words of a very long text take many times its memory."""
+    text, at, counts = text.lower(), 0, Counter()
+    while at < len(text):
+        end = at + PART
+        if (rest := _WORD.match(text, end)) is not None:  # a word isn't cut
+            end = rest.end()
+        counts.update(_WORD.findall(text, at, end))
+        at = end
+    return counts
 
 
 def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -79,8 +89,10 @@ class Index:
 
     def vector(self, counts: dict[int, int], rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights; ``rest`` is the sum of squares of terms that no example has."""
-        ids = np.fromiter(counts, dtype=np.int64, count=len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))) * self.idf[ids]
+        return self.weighted(np.fromiter(counts, dtype=np.int64, count=len(counts)), np.fromiter(counts.values(), dtype=np.float64, count=len(counts)), rest)
+
+    def weighted(self, ids: np.ndarray, counts: np.ndarray, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.idf[ids]
         return ids, w / np.sqrt((w * w).sum() + rest)
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +105,10 @@ class Index:
         scores = np.zeros(n)
         for a in range(0, len(ids), GROUP):
             t, v, b = ids[a : a + GROUP], w[a : a + GROUP], min(a + GROUP, len(ids))
-            if open_ is None:
+            if open_ is None:  # whole lists, which lie together
                 low, high = self.at[t], self.at[t + 1]
+                parts = [slice(*x) for x in zip(low.tolist(), high.tolist(), strict=True)]
+                docs, weights = (np.concatenate([x[p] for p in parts]) for x in (self.docs, self.weights))
             else:  # blocks that hold an example that can still enter
                 sizes = self.block_at[t + 1] - self.block_at[t]
                 block = _spans(self.block_at[t], self.block_at[t + 1])
@@ -106,8 +120,10 @@ class Index:
                 most = np.maximum.reduceat(held, np.stack([first, last], axis=1).ravel())[::2]
                 can = (first < last) & (most + v * self.block_max[block] + others >= floor)
                 v, low, high = v[can], low[can], high[can]
-            picks = _spans(low, high)
-            scores += np.bincount(self.docs[picks], np.repeat(v, high - low) * self.weights[picks], n)
+                picks = _spans(low, high)
+                docs, weights = self.docs[picks], self.weights[picks]
+            weights *= np.repeat(v, high - low)
+            scores += np.bincount(docs, weights, n)
             if skip >= 0:
                 scores[skip] = 0.0
             if b < len(ids) and n > k:
@@ -121,12 +137,12 @@ class Index:
         best = found[np.lexsort((found, -scores[found]))][:k]
         return best, scores[best]
 
-    def vote(self, counts: dict[int, int], k: int, skip: int = -1, rest: float = 0.0) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """The vote without one row of ``skip``: its other rows are neighbours like any."""
-        if not counts:
+    def vote(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """The vote for a vector without one row of ``skip``: its other rows are neighbours like any."""
+        if not len(ids):
             return None, np.zeros(0, dtype=np.int64), np.zeros(0)
         alone = skip >= 0 and self.rows[skip] <= 1
-        best, cosines = self.nearest(*self.vector(counts, rest), k, skip if alone else -1)
+        best, cosines = self.nearest(ids, w, k, skip if alone else -1)
         if not len(best):
             return None, best, cosines
         weights = cosines * (self.rows[best] - (best == skip))
@@ -179,17 +195,16 @@ class Model:
         return self.weights[0] * ((vote - m0) / d0) + self.weights[1] * ((signs - m1) / d1) + self.weights[2]
 
     def score(self, text: str, evidence: int = 0) -> tuple[float, list[tuple[str, float, int]]]:
-        known, counts, rest = self.index.terms, {}, 0.0
-        for t, c in Counter(words(text)).items():
-            i = known.get(t)
-            if i is None:
-                rest += ((1 + math.log(c)) * self.unseen) ** 2
-            else:
-                counts[i] = c
-        vote, best, cosines = self.index.vote(counts, NEIGHBOURS, rest=rest)
+        counts = word_counts(text)
+        ids = np.fromiter(map(self.index.terms.get, counts, repeat(-1)), dtype=np.int64, count=len(counts))
+        times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        known = ids >= 0
+        rest = float((((1 + np.log(times[~known])) * self.unseen) ** 2).sum())
+        ids, w = self.index.weighted(ids[known], times[known], rest)
+        vote, best, cosines = self.index.vote(ids, w, NEIGHBOURS)
         if vote is None:
             return self.blank, []
-        raw = self.linear(vote, self.signs(np.fromiter(counts, dtype=np.int64, count=len(counts))))
+        raw = self.linear(vote, self.signs(ids))
         level = float(self.levels[np.searchsorted(self.edges, raw, side="right") - 1])
         return level, [(str(self.names[b]), float(c), int(self.index.labels[b])) for b, c in zip(best[:evidence], cosines[:evidence], strict=True)]
 
@@ -251,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: [f"{t}\t{n}" for t, n in Counter(words(x)).items()])
+        return batch.map(lambda x: [f"{t}\t{n}" for t, n in word_counts(x).items()])
 
     counted = materialise(texts.select("label", "digest", "rows", "key", split.asNondeterministic()("text").alias("terms")), "toxicity-terms")
     found = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.sum("rows").alias("n")).collect()}
@@ -278,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     raw, marks, sizes, blank = [], [], [], [0, 0]
     for i, (y, counts) in enumerate(examples):
         own = {index.terms[t]: c for t, c in counts.items()}
-        vote, _, _ = index.vote(own, NEIGHBOURS, skip=i)
+        vote, _, _ = index.vote(*index.vector(own), NEIGHBOURS, skip=i)
         if vote is None:
             blank[y] += rows_of[i]
         else:
