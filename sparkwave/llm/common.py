@@ -40,24 +40,34 @@ def _trim() -> Callable[[int], int] | None:
         return None
 
 
-def give_back() -> None:
-    """Return what this process has freed to the system: by itself, neither the C library nor Arrow does so soon."""
+#: What clears the things that a stage keeps in its worker process across tasks, as a tokenizer with its cache.
+KEPT: list[Callable[[], None]] = []
+
+
+def give_back(kept: bool = False) -> None:
+    """Return what this process has freed to the system: by itself, neither the C library nor Arrow does so soon.
+
+    With ``kept``, what other stages keep here across their tasks is dropped first.
+    """
+    if kept:
+        for clear in KEPT:
+            clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if (trim := _trim()) is not None:
         trim(0)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's function that holds nothing of the worker's earlier tasks, and leaves nothing to later ones.
 
     Spark keeps workers from stage to stage, beside the JVM in the same memory, and drops a stage's broadcasts in them only
-    as the next task begins.
+    as the next task begins. Only a stage that says ``keep`` finds what its earlier tasks have kept.
     """
 
     @wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        give_back(not keep)
         yield from run(batches)
         give_back()
 

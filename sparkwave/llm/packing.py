@@ -255,7 +255,7 @@ def tokenised(df: DataFrame, key: str, text: str, tokenizer_path: str, end: int,
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(arrow[0].type), pa.array(encoded, pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], schema=arrow)
             give_back()  # what encoding took for a moment is several times what stays
 
-    return materialise(rows.mapInArrow(tidy(run), schema), "packed-ids")
+    return materialise(rows.mapInArrow(tidy(run, keep=True), schema), "packed-ids")
 
 
 PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

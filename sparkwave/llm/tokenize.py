@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from . import common  # noqa: F401  (sets TOKENIZERS_PARALLELISM)
+from . import common  # sets TOKENIZERS_PARALLELISM, too
 
 CACHE_ENTRIES = 700_000
 #: Slots that remember by hash which chunks came before: only those that come again stay in the cache.
@@ -84,5 +84,8 @@ class ChunkTokenizer:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ChunkTokenizer:
-    """One per worker process, so that its cache lives across tasks."""
+    """One per worker process, so that its cache lives across tasks, until a stage that has no use for it."""
     return ChunkTokenizer(path)
+
+
+common.KEPT.append(tokenizer.cache_clear)

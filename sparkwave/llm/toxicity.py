@@ -327,7 +327,7 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", evidence: int =
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", near)]))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        give_back()
+        give_back(kept=True)
         own = shared.value  # a worker holds it only as long as its stage runs
         for batch in batches:
             rows = [own.score(x or "", evidence) for x in batch]
