@@ -38,12 +38,41 @@ def missing_of(recording: Recording) -> DataFrame:
     return within.unionByName(outer.drop("one"))
 
 
+def _missing_by_channel(r: Recording) -> DataFrame:
+    """(channel, start, stop) of what isn't stored: the gaps of each channel, and all of a shorted one."""
+    gaps = missing_of(r).select(F.explode(F.lit([c for c, off in enumerate(r.header.shorted) if not off]).cast("array<int>")).alias("channel"), "start", "stop")
+    whole = r.spark.createDataFrame([(c, 0, r.n_samples) for c, off in enumerate(r.header.shorted) if off], "channel int, start long, stop long")
+    return gaps.unionByName(whole)
+
+
 def filled_samples(recording: Recording) -> DataFrame:
     """(sample, channel, value) of all logical samples of all channels: null in gaps and on shorted channels."""
     r = recording.indexed()
-    gaps = missing_of(r).select(F.explode(F.lit([c for c, off in enumerate(r.header.shorted) if not off]).cast("array<int>")).alias("channel"), "start", "stop")
-    whole = r.spark.createDataFrame([(c, 0, r.n_samples) for c, off in enumerate(r.header.shorted) if off], "channel int, start long, stop long")
-    return ranges.filled(r.samples(), gaps.unionByName(whole))
+    return ranges.filled(r.samples(), _missing_by_channel(r))
+
+
+def _lengths(recording: Recording) -> tuple[DataFrame, DataFrame]:
+    """Ranges (channel, start, stop) of stored samples, a row per decoded block, and of missing ones, in pieces."""
+    r = recording.indexed()
+    stored = r.blocks().select("channel", F.col("start_sample").alias("start"), (F.col("start_sample") + F.size("values")).alias("stop"))
+    return stored, ranges.pieces(r.spark, _missing_by_channel(r))
+
+
+def _summed(stored: DataFrame, missing: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, stored, missing): sums of ``n`` of both."""
+    none = F.lit(0).cast("long")
+    both = stored.select(*by, F.col("n").alias("stored"), none.alias("missing")).unionByName(missing.select(*by, none.alias("stored"), F.col("n").alias("missing")))
+    return both.groupBy(*by).agg(F.sum("stored").alias("stored"), F.sum("missing").alias("missing"))
+
+
+def chunk_counts(recording: Recording, size: int) -> DataFrame:
+    """(chunk, channel, stored, missing) samples of chunks of ``size``, from decoded blocks and gaps, without a row a sample."""
+    return _summed(*(ranges.by_chunk(x, size) for x in _lengths(recording)), ["chunk", "channel"])
+
+
+def channel_counts(recording: Recording) -> DataFrame:
+    """(channel, stored, missing) samples, in the same way."""
+    return _summed(*(x.select("channel", (F.col("stop") - F.col("start")).alias("n")) for x in _lengths(recording)), ["channel"])
 
 
 def validate(recording: Recording) -> DataFrame:

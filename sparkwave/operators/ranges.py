@@ -5,7 +5,7 @@ All ranges are half-open. Windows run within partitions that the caller names, s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scan
@@ -127,13 +127,25 @@ def carried(deltas: DataFrame, by: list[str], order: str, delta: str, absolute:
 PIECE = 4096
 
 
+def pieces(spark: SparkSession, missing: DataFrame) -> DataFrame:
+    """The ranges ``missing`` (channel, start, stop) in pieces of ``PIECE`` samples, dealt to all tasks, so that the rows of a
+    channel that has only a gap are spread as well. Stamps have 32 bits, so a gap has half a million pieces at most."""
+    cut = missing.where("stop > start").select("channel", F.explode(F.sequence("start", F.col("stop") - 1, F.lit(PIECE).cast("long"))).alias("start"), "stop")
+    return cut.repartition(spark.sparkContext.defaultParallelism, "channel", "start").withColumn("stop", F.least(F.col("start") + PIECE, "stop"))
+
+
 def filled(stored: DataFrame, missing: DataFrame) -> DataFrame:
     """(sample, channel, value) of what is stored, and of every sample of the gaps ``missing`` (channel, start, stop), null.
 
-    Gaps are dealt in pieces and made rows beside what is stored, so there is no grid to join with, nothing of ``stored`` moves,
-    and the rows of a channel that has only a gap are spread as well. Stamps have 32 bits, so a gap has half a million pieces at most.
+    Gaps are made rows beside what is stored, so there is no grid to join with and nothing of ``stored`` moves.
     """
-    pieces = missing.where("stop > start").select("channel", F.explode(F.sequence("start", F.col("stop") - 1, F.lit(PIECE).cast("long"))).alias("start"), "stop")
-    pieces = pieces.repartition(stored.sparkSession.sparkContext.defaultParallelism, "channel", "start")
-    empty = pieces.select(F.explode(F.sequence("start", F.least(F.col("start") + PIECE, "stop") - 1)).alias("sample"), "channel", F.lit(None).cast(stored.schema["value"].dataType).alias("value"))
+    dealt = pieces(stored.sparkSession, missing)
+    empty = dealt.select(F.explode(F.sequence("start", F.col("stop") - 1)).alias("sample"), "channel", F.lit(None).cast(stored.schema["value"].dataType).alias("value"))
     return stored.select("sample", "channel", "value").unionByName(empty)
+
+
+def by_chunk(ranges: DataFrame, size: int) -> DataFrame:
+    """(chunk, channel, n): the samples of each range (channel, start, stop) in each chunk of ``size`` that it touches."""
+    first, last = chunk(F.col("start"), 0, size), chunk(F.col("stop") - 1, 0, size)
+    parts = ranges.where("stop > start").select("channel", "start", "stop", F.explode(F.sequence(first, last)).alias("chunk"))
+    return parts.select("chunk", "channel", (F.least("stop", (F.col("chunk") + 1) * size) - F.greatest("start", F.col("chunk") * size)).alias("n"))

@@ -290,8 +290,7 @@ def clock_micros(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored and missing samples of chunks of 480."""
-    at = ranges.chunk(F.col("sample"), 0, 480).alias("chunk")
-    return gap_fill(spark, sf_dir).groupBy(at, "channel").agg(F.count("value").alias("stored"), F.count_if(F.col("value").isNull()).alias("missing"))
+    return coverage.chunk_counts(recording(spark, sf_dir), 480)
 
 
 def _limits() -> dict[str, str]:
