@@ -122,7 +122,7 @@ def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical and missing samples of each channel."""
-    return gap_fill(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("logical"), F.count_if(F.col("value").isNull()).alias("missing"))
+    return coverage.channel_counts(recording(spark, sf_dir)).select("channel", (F.col("stored") + F.col("missing")).alias("logical"), "missing")
 
 
 def microvolts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def test_a_recording_without_samples_is_all_null(spark):
     assert (row["n"], row["samples"], row["values"]) == (100, 100, 0)
 
 
-@pytest.mark.parametrize("name", ["chunk_counts"])
+@pytest.mark.parametrize("name", ["chunk_counts", "missing_by_channel"])
 def test_counting_makes_no_row_of_each_sample(spark, name):
     found = queries.QUERIES[name](spark, SF)
     found.collect()
