@@ -66,6 +66,7 @@ GROUP = 512
 #: Pairs for each document of a list that its bucket gives out itself, at most; documents of a block of a list; lists up
 #: to ``SHORT`` documents are gone through together.
 PAIRS, BLOCK, SHORT = 8, 2048, 64
+CROWDED = 8
 BITS = 8  # of a bitmap for each token, at least
 _ONE = np.uint64(1)
 _FORM = {"subset": np.uint64(0x9FB21C651E98DF25), "deletion": np.uint64(0xA24BAED4963EE407), "token": np.uint64(0xD6E8FEB86659FD93)}
@@ -211,7 +212,10 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, width: int, buckets: int, hot) -> DataFrame:
-    """Rows (bucket, blob): the kept keys of each set of docs (doc, text, component), once for equal sets of a task."""
+    """Rows (bucket, blob): the kept keys of each set of docs (doc, text, component, gone), once for equal sets of a task.
+
+    A set with the digest ``gone`` is left out: an equal one of the same component is another document's, and has the same links.
+    """
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,11 +238,11 @@ def keyed(docs: DataFrame, width: int, buckets: int, hot) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), pa.array(blobs, pa.binary())], schema=arrow)
 
         for batch in batches:
-            ids_here, parts_here = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids_here, parts_here, gone_here = (batch.column(i).to_pylist() for i in (0, 2, 3))
             sets = (s for _, _, texts in text_slices(batch.column(1), SLICE_BYTES) for s in shingle_sets(texts, width))
-            for doc, part, tokens in zip(ids_here, parts_here, sets, strict=True):
+            for doc, part, gone, tokens in zip(ids_here, parts_here, gone_here, sets, strict=True):
                 digest = xxhash.xxh3_128_digest(tokens.tobytes())
-                if doc is None or not len(tokens) or digest in met:
+                if doc is None or not len(tokens) or digest == gone or digest in met:
                     continue
                 met.add(digest)
                 classes = _classes(tokens, frequent, class_of)
@@ -317,6 +321,23 @@ def _bucket_rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     arrow = _arrow(CANDIDATES)
     sparse, met = _pairs_of_sparse(edge, count, docs, sizes, parts, before)
     a, b = np.unique(np.sort(docs[sparse], axis=0), axis=1)
+    crowd = _crowds(a, b)
+    inside = crowd >= 0
+    if inside.any():
+        at = np.unique(sparse)
+        at = at[np.isin(docs[at], a[inside]) | np.isin(docs[at], b[inside])]
+        members, of_member = np.unique(np.concatenate([a[inside], b[inside]]), return_index=True)
+        group = np.concatenate([crowd[inside], crowd[inside]])[of_member]
+        with np.errstate(over="ignore"):
+            named = np.zeros(int(group.max()) + 1, dtype=np.uint64)
+            np.add.at(named, group, mix64(members.view(np.uint64)))
+        group_at = group[np.searchsorted(members, docs[at])]
+        order = np.lexsort((before[at], sizes[at], docs[at]))
+        at, group_at = at[order], group_at[order]
+        first = np.concatenate([[True], (docs[at][1:] != docs[at][:-1]) | (sizes[at][1:] != sizes[at][:-1])])
+        at, group_at = at[first], group_at[first]
+        yield from _list_rows(named.view(np.int64)[group_at], np.bincount(group)[group_at].astype(np.int32), docs[at], sizes[at], before[at])
+        a, b = a[~inside], b[~inside]
     for lo in range(0, len(a), 10_000):
         some = [pa.array(x[lo : lo + 10_000]) for x in (a, b)]
         yield pa.RecordBatch.from_arrays([*some, *(pa.nulls(len(some[0]), f.type) for f in list(arrow)[2:])], schema=arrow)
@@ -332,11 +353,37 @@ def _bucket_rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     name, many = name[order], many[order].astype(np.int32)
     new = np.concatenate([[True], (name[1:] != name[:-1]) | (many[1:] != many[:-1]) | (docs[1:] != docs[:-1])])
     keep(new)
-    name, many = name[new], many[new]
-    for lo in range(0, len(docs), 10_000):
-        part = slice(lo, lo + 10_000)
-        none = pa.nulls(len(docs[part]), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x[part]) for x in (name, many, docs, sizes, before))], schema=arrow)
+    yield from _list_rows(name[new], many[new], docs, sizes, before)
+
+
+def _list_rows(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of lists from (list, many, doc, n, before)."""
+    arrow = _arrow(CANDIDATES)
+    for lo in range(0, len(columns[0]), 10_000):
+        part = [pa.array(x[lo : lo + 10_000]) for x in columns]
+        none = pa.nulls(len(part[0]), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, *part], schema=arrow)
+
+
+def _crowds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of a bucket's pairs the number of its crowd, or -1: documents that these pairs connect, with more pairs than
+    documents and at least one in ``CROWDED`` of all that they could have. A crowd's list has a row for each document, and
+    is the same one in other buckets that connect the same documents; its pairs would come again from most of them."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[i], label[j])
+        after = label.copy()
+        np.minimum.at(after, label[i], low)
+        np.minimum.at(after, label[j], low)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    many, pairs = np.bincount(label, minlength=len(ids)), np.bincount(label[i], minlength=len(ids))
+    crowded = (pairs > many) & (many <= BLOCK) & (many * (many - 1) <= 2 * CROWDED * pairs)
+    return np.where(crowded[label[i]], label[i], -1)
 
 
 def _pairs_of_sparse(edge: np.ndarray, count: np.ndarray, docs: np.ndarray, sizes: np.ndarray, parts: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -573,7 +620,10 @@ def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame
         links = verify(possible(pairs, nodes), docs, width)
         done = pairs if done is None else done.union(pairs)
         within = merged(within, links)
-    blobs = keyed(_placed(docs, _small(within, 16), "doc").select("doc", "text", "component"), width, buckets, hot)
+    # a repeated key with several texts comes once for each of its digests that are gone, so none of its sets is left out for good
+    marks = materialise(within.join(gone.select("doc", F.col("digest").alias("gone")), "doc", "left"), "marks")
+    placed = docs.join(_small(marks, 32), "doc", "left").select("doc", "text", F.coalesce("component", "doc").alias("component"), "gone")
+    blobs = keyed(placed, width, buckets, hot)
     found = materialise(candidates(blobs, buckets), "candidates")
     lists = found.where("list is not null").groupBy("list", "many", "doc", "n").agg(F.min("before").alias("before"))
     lists = materialise(lists, "lists")
