@@ -74,13 +74,12 @@ def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings by term: ``at[t]:at[t+1]`` of ``docs`` and ``weights``; a block's largest weight in ``block_max``."""
+    """Postings by term: ``at[t]:at[t+1]`` of ``postings`` (docs, weights); a block's largest weight in ``block_max``."""
 
     terms: dict[str, int]
     idf: np.ndarray
     at: np.ndarray
-    docs: np.ndarray
-    weights: np.ndarray
+    postings: np.ndarray
     block_at: np.ndarray
     block_max: np.ndarray
     term_max: np.ndarray
@@ -107,23 +106,20 @@ class Index:
             t, v, b = ids[a : a + GROUP], w[a : a + GROUP], min(a + GROUP, len(ids))
             if open_ is None:  # whole lists, which lie together
                 low, high = self.at[t], self.at[t + 1]
-                parts = [slice(*x) for x in zip(low.tolist(), high.tolist(), strict=True)]
-                docs, weights = (np.concatenate([x[p] for p in parts]) for x in (self.docs, self.weights))
+                picked = np.concatenate([self.postings[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)])
             else:  # blocks that hold an example that can still enter
                 sizes = self.block_at[t + 1] - self.block_at[t]
                 block = _spans(self.block_at[t], self.block_at[t + 1])
                 low = np.repeat(self.at[t], sizes) + (block - np.repeat(self.block_at[t], sizes)) * BLOCK
                 high = np.minimum(low + BLOCK, np.repeat(self.at[t + 1], sizes))
                 v, others = np.repeat(v, sizes), rest[a] - np.repeat(bounds[a:b], sizes)
-                first, last = np.searchsorted(open_, self.docs[low]), np.searchsorted(open_, self.docs[high - 1], side="right")
+                first, last = np.searchsorted(open_, self.postings[low, 0]), np.searchsorted(open_, self.postings[high - 1, 0], side="right")
                 held = np.append(scores[open_], -np.inf)
                 most = np.maximum.reduceat(held, np.stack([first, last], axis=1).ravel())[::2]
                 can = (first < last) & (most + v * self.block_max[block] + others >= floor)
                 v, low, high = v[can], low[can], high[can]
-                picks = _spans(low, high)
-                docs, weights = self.docs[picks], self.weights[picks]
-            weights *= np.repeat(v, high - low)
-            scores += np.bincount(docs, weights, n)
+                picked = self.postings[_spans(low, high)]
+            scores += np.bincount(picked[:, 0].astype(np.int64), picked[:, 1] * np.repeat(v, high - low), n)
             if skip >= 0:
                 scores[skip] = 0.0
             if b < len(ids) and n > k:
@@ -153,19 +149,19 @@ def build_index(vocabulary: list[tuple[str, float]], examples: list[tuple[int, d
     terms = {t: i for i, (t, _) in enumerate(vocabulary)}
     idf = np.array([v for _, v in vocabulary])
     labels = np.array([y for y, _ in examples], dtype=np.float64)
-    index = Index(terms, idf, *(np.zeros(0),) * 6, labels, np.array(rows if rows else [1] * len(examples), dtype=np.float64))
+    index = Index(terms, idf, *(np.zeros(0),) * 5, labels, np.array(rows if rows else [1] * len(examples), dtype=np.float64))
     none = np.zeros(0, dtype=np.int64), np.zeros(0)
     vectors = [index.vector({terms[t]: c for t, c in counts.items()}) if counts else none for _, counts in examples]
     of = np.concatenate([none[0], *(ids for ids, _ in vectors)])
     docs = np.repeat(np.arange(len(examples)), [len(ids) for ids, _ in vectors])
     order = np.argsort(of, kind="stable")
-    index.docs, index.weights = docs[order], np.concatenate([none[1], *(w for _, w in vectors)])[order]
+    index.postings = np.stack([docs, np.concatenate([none[1], *(w for _, w in vectors)])], axis=1)[order]  # side by side, to be taken at once
     sizes = np.bincount(of, minlength=len(terms))
     index.at = np.append(0, np.cumsum(sizes))
     blocks = -(-sizes // BLOCK)
     index.block_at = np.append(0, np.cumsum(blocks))
     starts = np.repeat(index.at[:-1], blocks) + (np.arange(index.block_at[-1]) - np.repeat(index.block_at[:-1], blocks)) * BLOCK
-    index.block_max = np.maximum.reduceat(index.weights, starts) if len(starts) else none[1]
+    index.block_max = np.maximum.reduceat(index.postings[:, 1], starts) if len(starts) else none[1]
     index.term_max = np.zeros(len(terms))
     np.maximum.at(index.term_max, np.repeat(np.arange(len(terms)), blocks), index.block_max)
     return index

@@ -30,3 +30,12 @@ def test_no_word_is_cut(monkeypatch, part):
     monkeypatch.setattr(toxicity, "PART", part, raising=False)
     for text in ("", " ", "a", "One two,two  THREE_three ünï ß ÄB́c 12a 12a", "x" * 20, "  , ab", "İstanbul İ"):
         assert toxicity.word_counts(text) == Counter(m[0] for m in toxicity._WORD.finditer(text.lower()))
+
+
+def test_a_query_takes_a_terms_postings_at_once(monkeypatch):
+    index = toxicity.build_index([(f"w{i}", 1.0) for i in range(40)], [(i % 2, {f"w{j}": 1 for j in range(i, i + 20)}) for i in range(20)])
+    ids, weights = index.vector({i: 1 for i in range(40)})
+    calls, real = [], np.concatenate
+    monkeypatch.setattr(np, "concatenate", lambda *a, **k: calls.append(1) or real(*a, **k))
+    best, cosines = index.nearest(ids, weights, 3)
+    assert len(calls) == 1 and len(best) == 3 and (np.diff(cosines) <= 0).all()
