@@ -53,9 +53,14 @@ def give_back(kept: bool = False) -> None:
         for clear in KEPT:
             clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The same without looking for cycles, which takes as long as all objects of the process, for what has none."""
     pa.default_memory_pool().release_unused()
-    if (trim := _trim()) is not None:
-        trim(0)
+    if (call := _trim()) is not None:
+        call(0)
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

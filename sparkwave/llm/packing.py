@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, ship_package
-from .common import give_back, slices, texts_in, tidy
+from .common import slices, texts_in, tidy, trim
 from .tokenize import tokenizer
 
 CAPACITY = 1024
@@ -253,7 +253,7 @@ def tokenised(df: DataFrame, key: str, text: str, tokenizer_path: str, end: int,
                     out.append((n, rest, whole, block, ranks.get(rest, 0), chunks))
                     ranks[rest], chunks, rows_in_block = ranks.get(rest, 0) + 1, chunks + whole, rows_in_block + 1
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(arrow[0].type), pa.array(encoded, pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], schema=arrow)
-            give_back()  # what encoding took for a moment is several times what stays
+            trim()  # what encoding took for a moment is several times what stays
 
     return materialise(rows.mapInArrow(tidy(run, keep=True), schema), "packed-ids")
 
