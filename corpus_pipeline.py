@@ -11,13 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkwave.llm import decontaminate, jaccard_join, op8_toxicity, packing, toxicity
+from sparkwave.llm.common import give_back
 from sparkwave.llm.op10_token_ids import tokenizer_file
 from sparkwave.session import materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score, from the nearest labelled examples, stays below the threshold."""
-    return toxicity.clean_documents(docs, op8_toxicity.fit(spark, docs, sf_dir))
+    kept = toxicity.clean_documents(docs, op8_toxicity.fit(spark, docs, sf_dir))
+    give_back()  # the driver needs neither the model nor what it was fitted on any more
+    return kept
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,33 +8,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, materialise_observed
 
 #: Rounds after which the job fails. A path of 2^k nodes takes about k of them, so no table comes near.
 MAX_ROUNDS = 200
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc, component) for every node of ``edges`` (a, b), written; a component is named by its smallest node.
+    """(doc, component) for every node of ``edges`` (a, b), written; a component is named by its smallest node."""
+    return materialise(_members(_stars(edges)), "components")
+
+
+def _members(links: DataFrame) -> DataFrame:
+    return links.select(F.col("u").alias("doc"), F.col("v").alias("component")).union(links.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(u, v), written: each node of ``edges`` but a component's smallest, with that one.
 
     Each round sends a node's neighbours to the smallest node around it: a minimum per node, summed map-side, and a
     join, which Spark splits where a node is skewed. Rounds end when no edge changes; they are few, as stars halve paths.
+    A round is one written table, whose rows are summed up as they are written: each query leaves plans, tasks and metrics
+    in the driver's memory.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    links = materialise(links, "links")
     before = None
     for _ in range(MAX_ROUNDS):
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            out = links.select(F.col("u").alias("doc"), F.col("v").alias("component"))
-            return materialise(out.union(links.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct()), "components")
+        links, state = materialise_observed(links, "links", F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        if state == before or not state.get("n"):
+            return links
         before = state
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        links = materialise(small.where("u <> v").distinct(), "links")
+        links = small.where("u <> v").distinct()
     raise RuntimeError(f"components aren't complete after {MAX_ROUNDS} rounds")
 
 
@@ -42,7 +51,7 @@ def merged(within: DataFrame, edges: DataFrame) -> DataFrame:
     """The components ``within`` (doc, component) after further edges (a, b): those of the components are joined."""
     a, b = (within.select(F.col("doc").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
     between = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    joined = components(between)
+    joined = _members(_stars(between))
     new = joined.withColumnRenamed("doc", "old").withColumnRenamed("component", "new")
     kept = within.join(new, F.col("component") == F.col("old"), "left").select("doc", F.coalesce("new", "component").alias("component"))
     return materialise(kept.union(joined.join(within, "doc", "left_anti")), "components")

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise, ship_package
+from ..session import materialise, materialise_observed, ship_package
 from .common import mix64, text_slices, tidy
 from .components import components, merged
 from .shingles import WIDTH, shingle_sets
@@ -525,15 +525,20 @@ def in_lists(lists: DataFrame, bits: DataFrame, within: DataFrame, whole: bool)
     return materialise(placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), FOUND).distinct(), "listed")
 
 
-def _small(rows: DataFrame, width: int) -> DataFrame:
-    """``rows``, written, of ``width`` bytes each, to be broadcast if they fit."""
-    return F.broadcast(rows) if rows.count() * width <= MAX_BROADCAST_BYTES else rows
+def _written(rows: DataFrame, name: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """``rows``, written, of ``width`` bytes each; and the same to be broadcast, if they fit. Writing counts them."""
+    rows, seen = materialise_observed(rows, name, F.count("*").alias("rows"))
+    return rows, F.broadcast(rows) if seen.get("rows", 0) * width <= MAX_BROADCAST_BYTES else rows
+
+
+def _small(rows: DataFrame, name: str, width: int) -> DataFrame:
+    return _written(rows, name, width)[1]
 
 
 def _of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``rows`` (doc, ...) of the documents of written pairs."""
-    needed = materialise(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "needed")
-    return rows.join(_small(needed, 8), "doc", "left_semi")
+    needed = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+    return rows.join(_small(needed, "needed", 8), "doc", "left_semi")
 
 
 def compared(pairs: DataFrame, forms: DataFrame, holds) -> DataFrame:
@@ -544,7 +549,7 @@ def compared(pairs: DataFrame, forms: DataFrame, holds) -> DataFrame:
     many = materialise(pairs.groupBy("a").count(), "many").withColumn("parts", F.ceil(F.col("count") / GROUP))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     roles = salted.select(F.col("b").alias("doc"), F.col("a").alias("rep"), "part").union(salted.select(F.col("a").alias("doc"), F.col("a").alias("rep"), "part").distinct())
-    met = forms.join(_small(materialise(roles, "roles"), 20), "doc").select("rep", "part", "doc", "n", "form")
+    met = forms.join(_small(roles, "roles", 20), "doc").select("rep", "part", "doc", "n", "form")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, group, own = _arrow(PAIR), None, []
@@ -609,8 +614,8 @@ def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame
     # equal sets are one node, named by their smallest document
     classes = rows.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("node"), F.count("*").alias("many"))
     classes = materialise(classes.where("many > 1").select("digest", "node"), "classes")
-    gone = materialise(rows.where("doc is not null").join(classes, "digest").where("doc <> node").select("doc", "digest", "node").distinct(), "gone")
-    nodes = described.where("not frequent and digest is not null and doc is not null").join(_small(gone, 32), ["doc", "digest"], "left_anti")
+    gone, small = _written(rows.where("doc is not null").join(classes, "digest").where("doc <> node").select("doc", "digest", "node").distinct(), "gone", 32)
+    nodes = described.where("not frequent and digest is not null and doc is not null").join(small, ["doc", "digest"], "left_anti")
     nodes = nodes.select("doc", "n", "sketch", F.col("bits").alias("form"))
     within = components(gone.select(F.col("doc").alias("a"), F.col("node").alias("b")))
     asked, done = materialise(by_sketch(nodes), "asked"), None
@@ -621,14 +626,14 @@ def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame
         done = pairs if done is None else done.union(pairs)
         within = merged(within, links)
     # a repeated key with several texts comes once for each of its digests that are gone, so none of its sets is left out for good
-    marks = materialise(within.join(gone.select("doc", F.col("digest").alias("gone")), "doc", "left"), "marks")
-    placed = docs.join(_small(marks, 32), "doc", "left").select("doc", "text", F.coalesce("component", "doc").alias("component"), "gone")
+    marks = within.join(gone.select("doc", F.col("digest").alias("gone")), "doc", "left")
+    placed = docs.join(_small(marks, "marks", 32), "doc", "left").select("doc", "text", F.coalesce("component", "doc").alias("component"), "gone")
     blobs = keyed(placed, width, buckets, hot)
     found = materialise(candidates(blobs, buckets), "candidates")
     lists = found.where("list is not null").groupBy("list", "many", "doc", "n").agg(F.min("before").alias("before"))
     lists = materialise(lists, "lists")
     short = possible(materialise(found.where("a is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "short"), nodes)
-    bits = nodes.join(_small(materialise(lists.select("doc").distinct(), "listed"), 8), "doc", "left_semi")
+    bits = nodes.join(_small(lists.select("doc").distinct(), "listed", 8), "doc", "left_semi")
     bits = materialise(bits.select("doc", F.col("form").alias("bits")), "bits")
     for step in range(BEST_ROUNDS + 1):
         listed = in_lists(lists, bits, within, step == BEST_ROUNDS)
@@ -689,4 +694,4 @@ def deduplicate(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> Da
     """The rows of ``df`` whose key names their component, with the same columns: one document of each group stays."""
     found = join(df, key, text, width=width)
     gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return df.join(_small(materialise(gone, "gone"), 8), F.col(f"`{key}`").cast("long") == F.col("_gone"), "left_anti")
+    return df.join(_small(gone, "gone", 8), F.col(f"`{key}`").cast("long") == F.col("_gone"), "left_anti")

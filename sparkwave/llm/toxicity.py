@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -147,11 +147,21 @@ class Index:
 
 def build_index(vocabulary: list[tuple[str, float]], examples: list[tuple[int, dict[str, int]]], rows: list[int] | None = None) -> Index:
     terms = {t: i for i, (t, _) in enumerate(vocabulary)}
-    idf = np.array([v for _, v in vocabulary])
-    labels = np.array([y for y, _ in examples], dtype=np.float64)
+    return index_of(terms, np.array([v for _, v in vocabulary]), [(y, *numbered(terms, counts.items())) for y, counts in examples], rows)
+
+
+def numbered(terms: dict[str, int], counts: Iterable[tuple[str, int | str]]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's terms by their numbers, and how often each is there: a small part of what its words take as strings."""
+    pairs = np.array([(terms[t], int(n)) for t, n in counts], dtype=np.int32).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+def index_of(terms: dict[str, int], idf: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray]], rows: list[int] | None = None) -> Index:
+    """``build_index`` of examples (label, numbers of terms, counts)."""
+    labels = np.array([y for y, _, _ in examples], dtype=np.float64)
     index = Index(terms, idf, *(np.zeros(0),) * 5, labels, np.array(rows if rows else [1] * len(examples), dtype=np.float64))
     none = np.zeros(0, dtype=np.int64), np.zeros(0)
-    vectors = [index.vector({terms[t]: c for t, c in counts.items()}) if counts else none for _, counts in examples]
+    vectors = [index.weighted(ids, counts) if len(ids) else none for _, ids, counts in examples]
     of = np.concatenate([none[0], *(ids for ids, _ in vectors)])
     docs = np.repeat(np.arange(len(examples)), [len(ids) for ids, _ in vectors])
     order = np.argsort(of, kind="stable")
@@ -279,21 +289,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     with_term = np.stack([met["d1"].to_numpy(), met["d"].to_numpy()], axis=1).astype(np.float64)
     n = totals[0] + totals[1]
     idf = 1 + np.log((1 + n) / (1 + with_term[:, 0] * each[1] + (with_term[:, 1] - with_term[:, 0]) * each[0]))
+    terms = {t: i for i, t in enumerate(met["term"].to_pylist())}
     examples, names, rows_of = [], [], []
     for r in drawn.orderBy(F.desc("label"), "digest").select("key", "label", "rows", "terms").toLocalIterator():
-        examples.append((r["label"], {t: int(c) for t, c in (pair.split("\t") for pair in r["terms"])}))
+        examples.append((r["label"], *numbered(terms, (pair.split("\t") for pair in r["terms"]))))
         names.append(r["key"])
         rows_of.append(r["rows"])
-    index = build_index(list(zip(met["term"].to_pylist(), idf.tolist(), strict=True)), examples, rows_of)
+    index = index_of(terms, idf, examples, rows_of)
     model = Model(index, with_term, np.array([found.get(1, 0), found.get(0, 0) + found.get(1, 0)], dtype=float), 1 + math.log(1 + n), np.array([[0.0, 0.0], [1.0, 1.0]]), np.zeros(3), np.array([-np.inf]), np.array([0.0]), 0.0, names)
     raw, marks, sizes, blank = [], [], [], [0, 0]
-    for i, (y, counts) in enumerate(examples):
-        own = {index.terms[t]: c for t, c in counts.items()}
-        vote, _, _ = index.vote(*index.vector(own), NEIGHBOURS, skip=i)
+    for i, (y, own, counts) in enumerate(examples):
+        vote, _, _ = index.vote(*index.weighted(own, counts), NEIGHBOURS, skip=i)
         if vote is None:
             blank[y] += rows_of[i]
         else:
-            raw.append((vote, model.signs(np.fromiter(own, dtype=np.int64, count=len(own)), y, rows_of[i])))
+            raw.append((vote, model.signs(own, y, rows_of[i])))
             marks.append(y)
             sizes.append(rows_of[i])
     prior = totals[1] / n if n else 0.0

@@ -9,7 +9,7 @@ import warnings
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 BATCH_ROWS = "1000"
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -55,6 +55,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def materialise_observed(df: DataFrame, name: str, *values: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, with named aggregates of all rows, which the tasks that write them gather: no further job.
+
+    The names may be missing where there is no row, as Spark then may drop the part of the plan that gathers.
+    """
+    seen = Observation()
+    return materialise(df.observe(seen, *values), name), seen.get
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, and have rows go there in smaller batches.
 
