@@ -235,11 +235,15 @@ def logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def calibrate(raw: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-decreasing steps (lower edges and levels) by pooling adjacent violators, smoothed by half a row of each label."""
-    edges, sums, sizes = [], [], []
+    """Non-decreasing steps (lower edges and levels) by pooling adjacent violators, smoothed by half a row of each label.
+
+    An edge lies midway between the values of the two steps that it parts: texts in a gap go to the nearer one.
+    """
+    edges, tops, sums, sizes = [], [], [], []
     for value in np.unique(raw):
         same = raw == value
         edges.append(float(value))
+        tops.append(float(value))
         sums.append(float((labels[same] * rows[same]).sum()))
         sizes.append(float(rows[same].sum()))
         while len(sums) > 1 and sums[-2] / sizes[-2] >= sums[-1] / sizes[-1]:
@@ -247,8 +251,10 @@ def calibrate(raw: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> tuple[np
             sums[-1] += s
             sizes[-1] += n
             edges.pop()
+            del tops[-2]
     levels = (np.array(sums) + 0.5) / (np.array(sizes) + 1)
-    return np.array([-np.inf, *edges[1:]]), np.maximum.accumulate(levels)
+    between = [max((low + high) / 2, np.nextafter(low, high)) for low, high in zip(tops, edges[1:], strict=False)]
+    return np.array([-np.inf, *between]), np.maximum.accumulate(levels)
 
 
 def draw(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> tuple[DataFrame, dict[int, int]]:
