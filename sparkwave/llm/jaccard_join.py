@@ -55,7 +55,9 @@ TOKEN_LEVEL = 32  # sets below this size use single tokens
 SKETCH, SKETCH_ROUNDS, BEST_ROUNDS = 12, 2, 1
 BUCKET_KEYS = 1_000_000
 SLICE_BYTES = 2_000_000
-EMIT_KEYS = 300_000
+#: Keys that a task gathers before it deals them to buckets, and the mean number of keys in a row of a bucket, at most: Spark
+#: sends a thousand rows to a worker at once.
+EMIT_KEYS, ROW_KEYS = 300_000, 2048
 #: A token counts as frequent by the counts of the tasks that met it in ``MIN_LOCAL`` sets; ``MAX_HOT`` such tokens are
 #: broadcast, at most. Which tokens count as frequent changes costs, not results.
 MIN_LOCAL, MIN_HOT = 2, 8
@@ -222,6 +224,7 @@ def keyed(docs: DataFrame, width: int, buckets: int, hot) -> DataFrame:
         arrow, met = _arrow(schema), set()
         frequent, class_of = np.frombuffer(hot.value[0], dtype=np.uint64), np.frombuffer(hot.value[1], dtype=np.uint8)
         found, ids, sizes, parts, total = [], [], [], [], 0
+        most = min(EMIT_KEYS, ROW_KEYS * buckets)
 
         def flush() -> pa.RecordBatch:
             every, before = np.concatenate([k for k, _ in found]), np.concatenate([r for _, r in found])
@@ -253,7 +256,7 @@ def keyed(docs: DataFrame, width: int, buckets: int, hot) -> DataFrame:
                     parts.append(part)
                     sizes.append(len(tokens))
                     total += len(keys[0])
-                if total > EMIT_KEYS:
+                if total > most:
                     yield flush()
                     found, ids, sizes, parts, total = [], [], [], [], 0
         if found:
@@ -272,7 +275,7 @@ def _classes(tokens: np.ndarray, frequent: np.ndarray, class_of: np.ndarray) ->
 CANDIDATES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("list", T.LongType()), T.StructField("many", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("before", T.IntegerType())])
 
 
-def _read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
+def _read_blob(blob: bytes | pa.Buffer) -> tuple[np.ndarray, ...]:
     """Keys and numbers of keys before them; and of the documents whose keys follow each other ids, components, set sizes and
     numbers of keys."""
     n = int(np.frombuffer(blob, "<i8", 1)[0])
@@ -289,7 +292,7 @@ def _may_meet(n, m, before_n, before_m):
     return (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m)) & (np.maximum(before_n, before_m) <= differences(n, m))
 
 
-def _bucket_rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _bucket_rows(blobs: list[bytes | pa.Buffer]) -> Iterator[pa.RecordBatch]:
     keys, before, docs, parts, sizes, counts = (np.concatenate(x) for x in zip(*map(_read_blob, blobs), strict=True))
     blobs.clear()
     of = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
@@ -415,12 +418,12 @@ def candidates(blobs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, own = None, []
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if k != bucket:
                     if own:
                         yield from _bucket_rows(own)
                     bucket, own = k, []
-                own.append(blob)
+                own.append(blob.as_buffer())  # no copy
         if own:
             yield from _bucket_rows(own)
 
