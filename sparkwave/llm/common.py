@@ -63,6 +63,15 @@ def trim() -> None:
         call(0)
 
 
+@lru_cache(maxsize=1)
+def set_aside() -> None:
+    """Leave out of all later searches for cycles what a worker holds before the rows of its first task.
+
+    That is modules, for the most part: going through them took longer than most tasks of a small table.
+    """
+    gc.freeze()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's function that holds nothing of the worker's earlier tasks, and leaves nothing to later ones.
 
@@ -72,6 +81,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
 
     @wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        set_aside()
         give_back(not keep)
         yield from run(batches)
         give_back()

@@ -27,17 +27,15 @@ def _stars(edges: DataFrame) -> DataFrame:
     """(u, v), written: each node of ``edges`` but a component's smallest, with that one.
 
     Each round sends a node's neighbours to the smallest node around it: a minimum per node, summed map-side, and a
-    join, which Spark splits where a node is skewed. Rounds end when no edge changes; they are few, as stars halve paths.
-    A round is one written table, whose rows are summed up as they are written: each query leaves plans, tasks and metrics
-    in the driver's memory.
+    join, which Spark splits where a node is skewed. Rounds end when the links are stars, which a further round wouldn't
+    change; they are few, as stars halve paths. A round is one written table and a look at it: each query leaves plans,
+    tasks and metrics in the driver's memory.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
     for _ in range(MAX_ROUNDS):
-        links, state = materialise_observed(links, "links", F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
-        if state == before or not state.get("n"):
+        links, seen = materialise_observed(links, "links", F.count("*").alias("n"))
+        if not seen.get("n") or _are_stars(links):
             return links
-        before = state
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -47,6 +45,13 @@ def _stars(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components aren't complete after {MAX_ROUNDS} rounds")
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node of different links (u, v) with v < u has one link as u, or only links as v."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high"))
+    ends = ends.union(links.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return ends.where("low > 1 or low = 1 and high = 1").count() == 0
+
+
 def merged(within: DataFrame, edges: DataFrame) -> DataFrame:
     """The components ``within`` (doc, component) after further edges (a, b): those of the components are joined."""
     a, b = (within.select(F.col("doc").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")

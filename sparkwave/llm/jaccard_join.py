@@ -64,6 +64,7 @@ MIN_LOCAL, MIN_HOT = 2, 8
 MAX_HOT = 200_000
 #: Ids that are broadcast at once, at most, in bytes; beyond, the join is shuffled.
 MAX_BROADCAST_BYTES = 32 << 20
+ROLE_BYTES = 20  # of a document's role in a pair
 GROUP = 512
 #: Pairs for each document of a list that its bucket gives out itself, at most; documents of a block of a list; lists up
 #: to ``SHORT`` documents are gone through together.
@@ -528,48 +529,63 @@ def in_lists(lists: DataFrame, bits: DataFrame, within: DataFrame, whole: bool)
     return materialise(placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), FOUND).distinct(), "listed")
 
 
-def _written(rows: DataFrame, name: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """``rows``, written, of ``width`` bytes each; and the same to be broadcast, if they fit. Writing counts them."""
+def _counted(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``rows``, written, and their number: writing counts them."""
     rows, seen = materialise_observed(rows, name, F.count("*").alias("rows"))
-    return rows, F.broadcast(rows) if seen.get("rows", 0) * width <= MAX_BROADCAST_BYTES else rows
+    return rows, seen.get("rows", 0)
+
+
+def _fit(rows: int, width: int) -> bool:
+    return rows * width <= MAX_BROADCAST_BYTES
+
+
+def _written(rows: DataFrame, name: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """``rows``, written, of ``width`` bytes each; and the same to be broadcast, if they fit."""
+    rows, many = _counted(rows, name)
+    return rows, F.broadcast(rows) if _fit(many, width) else rows
 
 
-def _small(rows: DataFrame, name: str, width: int) -> DataFrame:
-    return _written(rows, name, width)[1]
+def _small(rows: DataFrame, name: str, width: int, most: int | None = None) -> DataFrame:
+    """The same to be broadcast, if they fit; ``most``: known to be no more rows, so that they need not be written."""
+    return F.broadcast(rows) if most is not None and _fit(most, width) else _written(rows, name, width)[1]
 
 
-def _of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``rows`` (doc, ...) of the documents of written pairs."""
+def _of(rows: DataFrame, pairs: DataFrame, number: int) -> DataFrame:
+    """The ``rows`` (doc, ...) of the documents of so many written pairs."""
     needed = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    return rows.join(_small(needed, "needed", 8), "doc", "left_semi")
+    return rows.join(_small(needed, "needed", 8, 2 * number), "doc", "left_semi")
 
 
-def compared(pairs: DataFrame, forms: DataFrame, holds) -> DataFrame:
-    """The written pairs (a, b) for which ``holds`` of rows (n, form) of both documents in forms (doc, n, form).
+def compared(pairs: DataFrame, number: int, forms: DataFrame, holds) -> DataFrame:
+    """Those of so many written pairs (a, b) for which ``holds`` of rows (n, form) of both documents in forms (doc, n, form).
 
     The pairs of one ``a`` meet in groups of about ``GROUP`` b's. A group streams: the rows of ``a`` stay, the others pass.
     """
-    many = materialise(pairs.groupBy("a").count(), "many").withColumn("parts", F.ceil(F.col("count") / GROUP))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    salted = pairs.withColumn("part", F.lit(0))
+    if number > GROUP:
+        many = pairs.groupBy("a").count().where(F.col("count") > GROUP).select("a", F.ceil(F.col("count") / GROUP).alias("parts"))
+        salted = pairs.join(_small(many, "many", 16, number // GROUP), "a", "left")
+        salted = salted.select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
     roles = salted.select(F.col("b").alias("doc"), F.col("a").alias("rep"), "part").union(salted.select(F.col("a").alias("doc"), F.col("a").alias("rep"), "part").distinct())
-    met = forms.join(_small(roles, "roles", 20), "doc").select("rep", "part", "doc", "n", "form")
+    met = forms.join(_small(roles, "roles", ROLE_BYTES, 2 * number), "doc").select("rep", "part", "doc", "n", "form")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, group, own = _arrow(PAIR), None, []
+        arrow, group, own, found = _arrow(PAIR), None, [], set()
         for batch in batches:
             rows = []
             for rep, part, doc, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (rep, part) != group:
-                    group, own = (rep, part), []
+                    group, own, found = (rep, part), [], set()
                 if doc == rep:
                     own.append((n, raw))  # a repeated id has several sets
-                elif any(holds(*o, n, raw) for o in own):
+                elif doc not in found and any(holds(*o, n, raw) for o in own):
+                    found.add(doc)
                     rows.append((rep, doc))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     met = met.repartition("rep", "part").sortWithinPartitions("rep", "part", (F.col("doc") != F.col("rep")))
-    return met.mapInArrow(tidy(compare), PAIR).distinct()
+    return met.mapInArrow(tidy(compare), PAIR)  # each pair once, as it lies in one group
 
 
 def _may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
@@ -590,9 +606,11 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The written pairs (a, b) that are links, by their whole sets."""
-    texts = _of(docs, pairs).select("doc", "text")
+def verify(pairs: DataFrame, number: int, docs: DataFrame, width: int) -> DataFrame:
+    """Those of so many written pairs (a, b) that are links, by their whole sets."""
+    if not number:
+        return pairs
+    texts = _of(docs, pairs, number).select("doc", "text")
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("form", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -602,7 +620,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 own = list(shingle_sets(texts, width))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], schema=arrow)
 
-    return materialise(compared(pairs, texts.mapInArrow(tidy(sets), schema), _do_link), "verified")
+    return materialise(compared(pairs, number, texts.mapInArrow(tidy(sets), schema), _do_link), "verified")
 
 
 def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame:
@@ -624,8 +642,8 @@ def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame
     asked, done = materialise(by_sketch(nodes), "asked"), None
     for _ in range(SKETCH_ROUNDS):
         left = asked if done is None else _across(asked, within).join(done, ["a", "b"], "left_anti")
-        pairs = materialise(_best(left), "pairs")
-        links = verify(possible(pairs, nodes), docs, width)
+        pairs, number = _counted(_best(left), "pairs")
+        links = verify(*possible(pairs, number, nodes), docs, width)
         done = pairs if done is None else done.union(pairs)
         within = merged(within, links)
     # a repeated key with several texts comes once for each of its digests that are gone, so none of its sets is left out for good
@@ -635,7 +653,7 @@ def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame
     found = materialise(candidates(blobs, buckets), "candidates")
     lists = found.where("list is not null").groupBy("list", "many", "doc", "n").agg(F.min("before").alias("before"))
     lists = materialise(lists, "lists")
-    short = possible(materialise(found.where("a is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "short"), nodes)
+    short, _ = possible(*_counted(found.where("a is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "short"), nodes)
     bits = nodes.join(_small(lists.select("doc").distinct(), "listed", 8), "doc", "left_semi")
     bits = materialise(bits.select("doc", F.col("form").alias("bits")), "bits")
     for step in range(BEST_ROUNDS + 1):
@@ -643,8 +661,8 @@ def join(df: DataFrame, key: str, text: str, *, width: int = WIDTH) -> DataFrame
         again = listed.where("a is null").select("list", "many").distinct()
         last = again.isEmpty()
         pairs = listed.where("a is not null").select("a", "b").union(_across(short, within) if last else _best(_across(short, within)))
-        pairs = materialise(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        links = verify(pairs, docs, width)
+        pairs, number = _counted(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        links = verify(pairs, number, docs, width)
         done, within = done.union(pairs), merged(within, links)
         if last:
             break
@@ -662,9 +680,12 @@ def frequent_tokens(described: DataFrame) -> tuple[bytes, bytes]:
     return tokens[order].tobytes(), np.array([int(r[1]).bit_length() for r in top], dtype=np.uint8)[order].tobytes()
 
 
-def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The written pairs whose bitmaps can't refuse a link, written."""
-    return materialise(compared(pairs, _of(nodes, pairs), _may_link), "possible")
+def possible(pairs: DataFrame, number: int, nodes: DataFrame) -> tuple[DataFrame, int]:
+    """Those of so many written pairs whose bitmaps can't refuse a link, written, and their number."""
+    if not number:
+        return pairs, 0
+    forms = nodes if _fit(2 * number, ROLE_BYTES) else _of(nodes, pairs, number)  # a broadcast of roles leaves out the others
+    return _counted(compared(pairs, number, forms, _may_link), "possible")
 
 
 def by_sketch(nodes: DataFrame) -> DataFrame:
